@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cropframe.plans import q_climate  # noqa: F401
+from cropframe.plans import q_climate, q_features  # noqa: F401
 from cropframe.plans.registry import ORACLE, QUERIES, SURVEY_IDS
 
 
