@@ -101,13 +101,11 @@ def standardize(df: DataFrame, cols: list[str] | None = None, exclude: tuple[str
                     and not c.lower().startswith("year") and not c.lower().endswith(suffix)]
     if not cols:
         return df
-    stats = df.agg(*[x for c in cols for x in (F.avg(_q(c)).alias(f"m__{c}"), F.stddev_samp(_q(c)).alias(f"s__{c}"))])
-    out = df
-    for c in cols:
-        m = stats.select(F.col(f"`m__{c}`")).scalar()
-        s = stats.select(F.col(f"`s__{c}`")).scalar()
-        out = out.withColumn(f"{c}{suffix}", F.when(s > 0, (_q(c) - m) / s))
-    return out
+    # one struct-valued scalar subquery: Spark evaluates it once and reuses it for every column
+    stats = df.agg(F.struct(*[x for i, c in enumerate(cols) for x in (
+        F.avg(_q(c)).alias(f"m{i}"), F.stddev_samp(_q(c)).alias(f"s{i}"))]).alias("s")).scalar()
+    return df.select("*", *[F.when(stats[f"s{i}"] > 0, (_q(c) - stats[f"m{i}"]) / stats[f"s{i}"]).alias(f"{c}{suffix}")
+                            for i, c in enumerate(cols)])
 
 
 def crop_category_pivot(long_df: DataFrame, seq_col: str = "ingest_seq",
@@ -163,12 +161,10 @@ def engineer_yield_features(df: DataFrame) -> DataFrame:
     feats = [c for c in ("AVG_GDD", "GROWING_SEASON_PRCP", "GDD_PRCP_INTERACTION") if c in out.columns]
     if not feats:
         return out
-    stats = out.agg(*[x for c in feats for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))])
-    for c in feats:
-        m = stats.select(f"m_{c}").scalar()
-        s = stats.select(f"s_{c}").scalar()
-        out = out.withColumn(f"{c}_NORM", F.try_divide(F.col(c) - m, s))
-    return out
+    stats = out.agg(F.struct(*[x for c in feats for x in (
+        F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).alias("s")).scalar()
+    return out.select("*", *[F.try_divide(F.col(c) - stats[f"m_{c}"], stats[f"s_{c}"]).alias(f"{c}_NORM")
+                             for c in feats])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
