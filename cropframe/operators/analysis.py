@@ -87,7 +87,10 @@ def error_histogram(res: DataFrame, col: str = "error", bins: int = 30, by: list
     else:
         lo, hi = res.agg(F.min(_q(col))).scalar(), res.agg(F.max(_q(col))).scalar()
     width = (hi - lo) / bins
-    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((_q(col) - lo) / width).cast("int"), F.lit(bins - 1)))
+    # clamp both ends: the bounds come from a separate evaluation of the input, whose
+    # floating sums may differ in the last bit from this one
+    raw = F.floor((_q(col) - lo) / width).cast("int")
+    b = F.when(hi == lo, F.lit(0)).otherwise(F.greatest(F.least(raw, F.lit(bins - 1)), F.lit(0)))
     x = res.filter(_q(col).isNotNull()).select(*by, b.alias("bin"), lo.alias("lo"), width.alias("width"))
     return (x.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"), F.first("lo").alias("lo"),
                                       F.first("width").alias("width"))

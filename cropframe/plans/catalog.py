@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cropframe.plans import q_climate, q_features, q_integrate, q_temporal  # noqa: F401
+from cropframe.plans import q_climate, q_features, q_integrate, q_models, q_temporal  # noqa: F401
 from cropframe.plans.registry import ORACLE, QUERIES, SURVEY_IDS
 
 

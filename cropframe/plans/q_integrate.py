@@ -203,10 +203,10 @@ def q_error_summary(spark, sf_dir):
 
 @register("error_histogram", "A29", sql=_RESID_SQL + """,
 b AS (SELECT min(error) AS lo, max(error) AS hi, (max(error) - min(error)) / 30 AS w FROM res2)
-SELECT CAST(CASE WHEN b.hi = b.lo THEN 0 ELSE least(floor((r.error - b.lo) / b.w), 29) END AS INTEGER) AS bin,
-       round(any_value(b.lo) + CAST(CASE WHEN b.hi = b.lo THEN 0 ELSE least(floor((r.error - b.lo) / b.w), 29) END
+SELECT CAST(CASE WHEN b.hi = b.lo THEN 0 ELSE greatest(least(floor((r.error - b.lo) / b.w), 29), 0) END AS INTEGER) AS bin,
+       round(any_value(b.lo) + CAST(CASE WHEN b.hi = b.lo THEN 0 ELSE greatest(least(floor((r.error - b.lo) / b.w), 29), 0) END
              AS INTEGER) * any_value(b.w), 6) AS bin_start,
-       round(any_value(b.lo) + (CAST(CASE WHEN b.hi = b.lo THEN 0 ELSE least(floor((r.error - b.lo) / b.w), 29) END
+       round(any_value(b.lo) + (CAST(CASE WHEN b.hi = b.lo THEN 0 ELSE greatest(least(floor((r.error - b.lo) / b.w), 29), 0) END
              AS INTEGER) + 1) * any_value(b.w), 6) AS bin_end,
        count(*) AS count
 FROM res2 r, b GROUP BY 1""")

@@ -1,0 +1,127 @@
+"""Seeded synthetic generators (S13-S17), expressed with ``spark.range`` and ``rand(seed)``.
+
+They reproduce the reference's sample-data formulas (not its random draws).
+They feed examples and tests only; no registered query reads them.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cropframe import dims
+from cropframe.functions import agro
+
+# FIXED VALUES: sample census bases per crop (yield, harvested acres).
+CENSUS_BASE_YIELD = {"CORN": 120, "SOYBEANS": 40, "WHEAT": 45, "COTTON": 750, "RICE": 7000}
+CENSUS_BASE_ACRES = {"CORN": 80000000, "SOYBEANS": 70000000, "WHEAT": 50000000, "COTTON": 10000000,
+                     "RICE": 3000000}
+
+
+def _uniform(lo: float, hi: float, seed: int) -> Column:
+    return F.lit(lo) + (F.lit(hi) - F.lit(lo)) * F.rand(seed)
+
+
+def _crop_map(values: dict) -> Column:
+    pairs = []
+    for k, v in values.items():
+        pairs += [F.lit(k), F.lit(float(v))]
+    return F.create_map(*pairs)
+
+
+def sample_census(spark: SparkSession, seed: int = 42) -> DataFrame:
+    """Per crop x census year: base x trend x U(0.9, 1.1); acres base x trend x U(0.95, 1.05)."""
+    crops = spark.createDataFrame([(c,) for c in dims.CROPS], "crop string")
+    years = F.explode(F.array(*[F.lit(y) for y in dims.CENSUS_YEARS])).alias("year")
+    g = crops.select("crop", years)
+    dy = F.col("year") - 1997
+    y = F.element_at(_crop_map(CENSUS_BASE_YIELD), F.col("crop")) * (1 + dy * 0.01) * _uniform(0.9, 1.1, seed)
+    a = (F.element_at(_crop_map(CENSUS_BASE_ACRES), F.col("crop")) * (1 + dy * 0.005)
+         * _uniform(0.95, 1.05, seed + 1))
+    out = g.select("year", "crop", y.alias("_y"), a.alias("_a"))
+    return out.select(F.col("year").cast("int"), "crop", F.round("_y", 1).alias("yield"),
+                      F.col("_a").cast("bigint").alias("harvested_acres"),
+                      (F.col("_y") * F.col("_a")).cast("bigint").alias("production"))
+
+
+def sample_growing_seasons(spark: SparkSession, seed: int = 42) -> DataFrame:
+    """Per census year: season temperatures / precipitation with trend + uniform noise;
+    GDD = (tmean - 10) * 150 when tmean > 10."""
+    g = spark.createDataFrame([(y,) for y in dims.CENSUS_YEARS], "year int")
+    dy = (F.col("year") - 1997) / 5
+    tmax = F.lit(28.0) + dy * 0.2 + _uniform(-1.0, 1.0, seed)
+    tmin = F.lit(15.0) + dy * 0.2 + _uniform(-1.0, 1.0, seed + 1)
+    out = g.select("year", tmax.alias("growing_season_tmax_mean"), tmin.alias("growing_season_tmin_mean"),
+                   (F.lit(550.0) + _uniform(-100.0, 100.0, seed + 2)).alias("growing_season_ppt_total"))
+    tmean = (F.col("growing_season_tmax_mean") + F.col("growing_season_tmin_mean")) / 2
+    return out.select("*", tmean.alias("growing_season_tmean"),
+                      F.when(tmean > 10, (tmean - 10) * 150).otherwise(0.0).alias("growing_degree_days_base10"))
+
+
+def sample_daily_climate(spark: SparkSession, year: int = 2020, states: tuple[str, ...] = ("IA", "IL"),
+                         seed: int = 42) -> DataFrame:
+    """Sin-curve daily temperatures + N(0, 2) noise; rain = Bernoulli(0.3) x Exp(mean 5)."""
+    d0 = F.make_date(F.lit(year), F.lit(1), F.lit(1))
+    d1 = F.make_date(F.lit(year), F.lit(12), F.lit(31))
+    st = spark.createDataFrame([(s,) for s in states], "state_code string")
+    days = st.select("state_code", F.explode(F.sequence(d0, d1, F.expr("interval 1 day"))).alias("date"))
+    doy = F.dayofyear("date")
+    tmean = F.lit(12.0) + F.lit(15.0) * F.sin(F.lit(2 * math.pi) * (doy - 105) / 365) + F.randn(seed) * 2
+    rain = F.when(F.rand(seed + 1) < 0.3, -5 * F.log(1 - F.rand(seed + 2))).otherwise(0.0)
+    out = days.select("state_code", "date", F.year("date").alias("year"), F.month("date").alias("month"),
+                      F.dayofmonth("date").alias("day"), tmean.alias("tmean"), rain.alias("ppt"))
+    return out.select("*", (F.col("tmean") - 5).alias("tmin"), (F.col("tmean") + 5).alias("tmax"))
+
+
+def scenario_training_set(spark: SparkSession, n: int = 200, seed: int = 42) -> DataFrame:
+    """Six uniform features and per-crop yields from the reference's formulas plus noise.
+
+    The corn formula adds 2.5 x |T - 25| (it rewards deviation from 25 degC); kept as is.
+    """
+    base = spark.range(n).select(
+        _uniform(15, 30, seed).alias("temperature"), _uniform(300, 800, seed + 1).alias("precipitation"),
+        _uniform(3, 9, seed + 2).alias("soil_quality"), _uniform(90, 180, seed + 3).alias("growing_season"),
+        _uniform(50, 500, seed + 4).alias("elevation"), _uniform(20, 80, seed + 5).alias("fertilizer"))
+    t, p, s, g, f = (F.col(c) for c in ("temperature", "precipitation", "soil_quality", "growing_season",
+                                        "fertilizer"))
+    return base.select(
+        "*",
+        (120 + 2.5 * F.abs(t - 25) + 0.05 * p + 2 * s + 0.1 * g + 0.01 * f + F.randn(seed + 10) * 5).alias("CORN"),
+        (40 + 1.0 * F.abs(t - 23) + 0.02 * p + 1.5 * s + 0.05 * g + 0.02 * f + F.randn(seed + 11) * 2)
+        .alias("SOYBEANS"),
+        (50 - 1.5 * (t - 20) + 0.01 * p + 2 * s + 0.03 * g + 0.015 * f + F.randn(seed + 12) * 3).alias("WHEAT"),
+        (800 + 10 * (t - 18) - 0.05 * (p - 400) + 15 * s + 0.5 * g + 0.2 * f + F.randn(seed + 13) * 30)
+        .alias("COTTON"),
+        (7000 + 50 * (t - 22) + 0.5 * p + 100 * s + 5 * g + F.randn(seed + 14) * 200).alias("RICE"))
+
+
+def sample_grid_points(spark: SparkSession, year: int = 2017, seed: int = 42,
+                       points_per_state: int = 10) -> DataFrame:
+    """4 variables x 12 months x 5 states x N points around (40, -90), seasonal means + noise."""
+    states = [c for c, _n, _b in dims.STATE_RECTANGLES]
+    month_temp = F.lit(-5.0) + F.lit(15.0) * (1 - F.cos(F.lit(2 * math.pi) * (F.col("month") - 1) / 12))
+    grid = (spark.range(points_per_state).withColumnRenamed("id", "point")
+            .select("point", F.explode(F.array(*[F.lit(s) for s in states])).alias("state_code"))
+            .select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+            .select("*", F.explode(F.array(*[F.lit(v) for v in ("ppt", "tmax", "tmean", "tmin")])).alias("variable")))
+    base = (F.when(F.col("variable") == "ppt", F.lit(60.0) + F.lit(30.0) * F.sin(F.lit(math.pi) * F.col("month") / 12))
+            .when(F.col("variable") == "tmax", month_temp + 6).when(F.col("variable") == "tmin", month_temp - 6)
+            .otherwise(month_temp))
+    return grid.select(
+        F.col("state_code").alias("state"), "state_code",
+        F.concat_ws("_", "state_code", F.col("point").cast("string")).alias("grid_id"),
+        (F.lit(40.0) + F.rand(seed) * 2 - 1).alias("latitude"), (F.lit(-90.0) + F.rand(seed + 1) * 2 - 1).alias("longitude"),
+        (base + F.randn(seed + 2) * 10).alias("value"), "variable", F.lit(year).alias("year"), "month")
+
+
+def sample_state_month(spark: SparkSession, year: int = 2017, seed: int = 42) -> DataFrame:
+    """State-month table = A3 of the sample grid (year, month, state_code, variable, value)."""
+    from cropframe.operators import spatial
+    g = sample_grid_points(spark, year, seed)
+    s = spatial.state_month_stats(g)
+    return s.select("year", "month", "state_code", "variable", F.col("mean_value").alias("value"))
+
+
+_ = agro
