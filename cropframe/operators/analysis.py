@@ -85,7 +85,8 @@ def error_histogram(res: DataFrame, col: str = "error", bins: int = 30, by: list
         w = Window.partitionBy(*by)
         lo, hi = F.min(_q(col)).over(w), F.max(_q(col)).over(w)
     else:
-        lo, hi = res.agg(F.min(_q(col))).scalar(), res.agg(F.max(_q(col))).scalar()
+        bounds = res.agg(F.struct(F.min(_q(col)).alias("lo"), F.max(_q(col)).alias("hi"))).scalar()
+        lo, hi = bounds["lo"], bounds["hi"]
     width = (hi - lo) / bins
     # clamp both ends: the bounds come from a separate evaluation of the input, whose
     # floating sums may differ in the last bit from this one
