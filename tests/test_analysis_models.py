@@ -68,3 +68,12 @@ def test_random_search_is_seeded(spark):
     b = modeling.random_search_maps(p, "random_forest", 5, 42)
     assert len(a) == 5 and [sorted((k.name, v) for k, v in m.items()) for m in a] == \
         [sorted((k.name, v) for k, v in m.items()) for m in b]
+
+
+def test_scenario_models_on_synthetic_set(spark):
+    from cropframe.plans.composites import train_scenario_models
+    from cropframe.sources import synth
+    models, metrics = train_scenario_models(synth.scenario_training_set(spark, 200))
+    rows = metrics.collect()
+    assert len(models) == 10 and len(rows) == 10
+    assert all(r["n"] == 40 for r in rows)  # exact 20% of 200 per crop
