@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -28,18 +29,34 @@ def _q(c: str) -> Column:
 
 
 def exact_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, by: list[str] | None = None,
-                key: list[str] | None = None) -> DataFrame:
-    """M2: adds ``is_test``: exactly ceil(fraction x n) rows per group, chosen by a seeded hash.
-
-    Modelling frames are small (one row per crop-year[-state]), so a window per
-    crop is cheap; for a huge group use ``hash_split``.
+                key: list[str] | None = None, bucket_bits: int = 16) -> DataFrame:
+    """M2: adds ``is_test``: exactly ceil(fraction x n) rows per group, the ones with the smallest seeded hash.
+
+    Exact selection without sorting a whole group in one task: rows are
+    bucketed by the top ``bucket_bits`` bits of the hash, bucket counts are
+    aggregated per group (at most 2^bits rows per group), a running count over
+    the buckets finds the bucket holding the cut, and only that bucket's rows
+    (about n / 2^bits) are ranked. Everything before the cut is test.
     """
-    by = by or []
+    by = list(by or [])
     key = key or [c for c in df.columns if c.lower() in ("year", "state_code", "county_fips", "crop")]
     h = F.xxhash64(*[_q(k) for k in key], F.lit(seed))
-    w = Window.partitionBy(*by).orderBy(h, *[_q(k) for k in key]) if by else Window.orderBy(h)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by)) if by else F.count(F.lit(1)).over(Window.partitionBy())
-    return df.withColumn("is_test", F.row_number().over(w) <= F.ceil(n * test_fraction))
+    x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 64 - bucket_bits))
+    counts = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
+    whole = Window.partitionBy(*by) if by else Window.partitionBy()
+    cuts = (counts.withColumn("_after", F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_k", F.ceil(F.sum("_n").over(whole) * test_fraction))
+            .withColumn("_before", F.col("_after") - F.col("_n"))
+            .select(*by, "_b", "_before", "_after", "_k"))
+    j = x.join(cuts, [*by, "_b"])
+    boundary = (F.col("_before") < F.col("_k")) & (F.col("_after") > F.col("_k"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *[_q(k) for k in key]))
+    flag = (F.when(F.col("_after") <= F.col("_k"), F.lit(True))
+            .when(F.col("_before") >= F.col("_k"), F.lit(False))
+            .otherwise(F.col("_before") + rank <= F.col("_k")))
+    out = j.withColumn("is_test", F.when(boundary, flag).otherwise(F.col("_after") <= F.col("_k")))
+    return out.drop("_h", "_b", "_before", "_after", "_k")
 
 
 def hash_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, key: list[str] | None = None) -> DataFrame:
@@ -165,7 +182,7 @@ def linear_contributions(df: DataFrame, model: PipelineModel, names: list[str])
 def train_crop_models(df: DataFrame, crop_col: str = "crop", target: str = "yield",
                       model_types: tuple[str, ...] = ("random_forest", "gradient_boosting", "linear"),
                       features: list[str] | None = None, min_rows: int = 10, seed: int = 42,
-                      crops: list[str] | None = None) -> tuple[dict, DataFrame]:
+                      crops: list[str] | None = None, parallelism: int = 8) -> tuple[dict, DataFrame]:
     """M15 + P13: per crop (with >= min_rows rows) and model type: split, fit, evaluate.
 
     Returns ({(crop, model_type): PipelineModel}, metrics DataFrame). The crop
@@ -176,15 +193,21 @@ def train_crop_models(df: DataFrame, crop_col: str = "crop", target: str = "yiel
     # Crops with fewer than ``min_rows`` rows are skipped (collects one row per crop)
     counts = split.groupBy(crop_col).count()
     eligible = crops or sorted(r[0] for r in counts.filter(F.col("count") >= min_rows).select(crop_col).collect())
-    models, preds = {}, []
-    for crop in eligible:
+    jobs = [(crop, mt) for crop in eligible for mt in model_types]
+
+    def fit(job):
+        crop, mt = job
         part = split.filter(_q(crop_col) == crop)
-        train, test = part.filter(~F.col("is_test")), part.filter(F.col("is_test"))
-        for mt in model_types:
-            m = build_pipeline(stages, mt, seed).fit(train)
-            models[(crop, mt)] = m
-            preds.append(m.transform(test).select(F.lit(crop).alias(crop_col), F.lit(mt).alias("model_type"),
-                                                  "label", "prediction"))
+        m = build_pipeline(stages, mt, seed).fit(part.filter(~F.col("is_test")))
+        pred = m.transform(part.filter(F.col("is_test"))).select(
+            F.lit(crop).alias(crop_col), F.lit(mt).alias("model_type"), "label", "prediction")
+        return job, m, pred
+
+    # independent fits are submitted concurrently (as CrossValidator does with ``parallelism``)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
+        results = list(pool.map(fit, jobs))
+    models = {job: m for job, m, _ in results}
+    preds = [p for _, _, p in results]
     if not preds:
         schema = f"{crop_col} string, model_type string, mse double, mae double, mape double, n bigint, " \
                  "rmse double, r2 double"

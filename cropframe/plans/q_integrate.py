@@ -243,3 +243,17 @@ def q_climate_heatmap(spark, sf_dir):
     """State x month grid of mean temperature (explicit month list)."""
     h = AN.heatmap(B.climate_daily(spark, sf_dir), "state_code", "month", "tmean", list(range(1, 13)))
     return h.select("state_code", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)])
+
+
+@register("lagged_yield", "W2,T2", sql=with_views("crop_census") + """
+SELECT year AS "YEAR", crop AS "CROP", round(yield, 6) AS "YIELD",
+       round(lag(yield) OVER (PARTITION BY crop ORDER BY year), 6) AS "PREV_YIELD",
+       round(yield - lag(yield) OVER (PARTITION BY crop ORDER BY year), 6) AS "YIELD_CHANGE",
+       round((yield - lag(yield) OVER (PARTITION BY crop ORDER BY year))
+             / lag(yield) OVER (PARTITION BY crop ORDER BY year) * 100, 6) AS "YIELD_CHANGE_PCT"
+FROM crop_census""")
+def q_lagged_yield(spark, sf_dir):
+    """Previous census yield, change and percent change per crop, ordered by year."""
+    c = B.crop_census(spark, sf_dir).select(F.col("year").alias("YEAR"), F.col("crop").alias("CROP"),
+                                           F.col("yield").alias("YIELD"))
+    return integrate.lagged_yield(c)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,11 +65,14 @@ def q_cross_validation(spark, sf_dir):
     df = model_dataset(spark, sf_dir).select("year", "state_code", "crop", "yield", *_FEATURES)
     framed, _feats, stages = modeling.modeling_frame(df, "yield", _FEATURES)
     crops = [r[0] for r in framed.select("crop").distinct().orderBy("crop").collect()]
-    rows = []
-    for crop in crops:
+
+    def cv(crop):
         _, scores = modeling.cross_validate(framed.filter(F.col("crop") == crop),
                                             modeling.build_pipeline(stages, "linear"), folds=5)
-        rows.append((crop, float(scores[0])))
+        return crop, float(scores[0])
+
+    with ThreadPoolExecutor(max_workers=max(1, len(crops))) as pool:
+        rows = list(pool.map(cv, crops))
     return spark.createDataFrame(rows, "crop string, cv_r2 double")
 
 

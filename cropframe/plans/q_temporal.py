@@ -106,33 +106,33 @@ def q_critical_period_monthly(spark, sf_dir):
 
 # A13 + A14 + A35 ----------------------------------------------------------------
 _VARS = [("tmean", "temperature_mean"), ("tmin", "temperature_min"), ("tmax", "temperature_max")]
-_A13_SQL = (with_views("climate_daily") + _CAL_SQL + """,
+_PERIODS = {"CORN": ("planting", "vegetative", "reproductive", "maturation"),
+            "WHEAT": ("fall_planting", "winter_dormancy", "spring_growth", "grain_fill")}
+
+
+def _a13_sql(crop: str) -> str:
+    periods = _PERIODS[crop]
+    return (with_views("climate_daily") + _CAL_SQL + f""",
 sd AS (SELECT d.* FROM climate_daily d JOIN regions r ON d.state_code = r.state_code
-       JOIN sdays s ON s.crop = 'CORN' AND s.region = r.region AND s.month = d.month AND s.day = d.day),
+       JOIN sdays s ON s.crop = '{crop}' AND s.region = r.region AND s.month = d.month AND s.day = d.day),
 st AS (SELECT state_code, year, """
             + ", ".join(f"avg({c}) AS {n}_mean, min({c}) AS {n}_min, max({c}) AS {n}_max" for c, n in _VARS)
-            + """, coalesce(sum(greatest(tmean - 10, 0)), 0) AS gdd_base10,
+            + f""", coalesce(sum(greatest(tmean - 10, 0)), 0) AS gdd_base10,
        coalesce(sum(greatest(tmin - 10, 0)), 0) AS gdd_base10_temperature_min,
        coalesce(sum(greatest(least(tmax, 30) - 10, 0)), 0) AS gdd_base10_temperature_max,
        coalesce(sum(ppt), 0) AS precipitation_total, max(ppt) AS precipitation_max_daily,
        count(*) FILTER (WHERE ppt > 0) AS days_with_rain
   FROM sd GROUP BY state_code, year),
 pd AS (SELECT d.*, p.name FROM climate_daily d JOIN regions r ON d.state_code = r.state_code
-       JOIN pdays p ON p.crop = 'CORN' AND p.region = r.region AND p.month = d.month AND p.day = d.day),
+       JOIN pdays p ON p.crop = '{crop}' AND p.region = r.region AND p.month = d.month AND p.day = d.day),
 ps AS (SELECT state_code, year, """
-            + ", ".join(
-                f"avg(CASE WHEN name = '{p}' THEN {c} END) AS {p}_{n}_mean"
-                for p in ("planting", "vegetative", "reproductive", "maturation") for c, n in _VARS)
+            + ", ".join(f"avg(CASE WHEN name = '{p}' THEN {c} END) AS {p}_{n}_mean" for p in periods for c, n in _VARS)
             + ", " + ", ".join(
                 f"CASE WHEN count(*) FILTER (WHERE name = '{p}') > 0 THEN coalesce(sum(CASE WHEN name = '{p}' "
-                f"THEN ppt END), 0) END AS {p}_precipitation_total"
-                for p in ("planting", "vegetative", "reproductive", "maturation"))
+                f"THEN ppt END), 0) END AS {p}_precipitation_total" for p in periods)
             + """ FROM pd GROUP BY state_code, year)
-SELECT st.*, """ + ", ".join(
-                f"ps.{p}_{n}_mean" for p in ("planting", "vegetative", "reproductive", "maturation")
-                for _, n in _VARS + [("ppt", "precipitation")] if n != "precipitation")
-            + ", " + ", ".join(f"ps.{p}_precipitation_total"
-                               for p in ("planting", "vegetative", "reproductive", "maturation"))
+SELECT st.*, """ + ", ".join(f"ps.{p}_{n}_mean" for p in periods for _, n in _VARS)
+            + ", " + ", ".join(f"ps.{p}_precipitation_total" for p in periods)
             + " FROM st LEFT JOIN ps ON st.state_code = ps.state_code AND st.year = ps.year")
 
 
@@ -141,21 +141,30 @@ def _round_all_sql(sql: str, cols: list[str], keep: list[str]) -> str:
             + " FROM (" + sql + ") q")
 
 
-_A13_COLS = ([f"{n}_{s}" for _, n in _VARS for s in ("mean", "min", "max")]
-             + ["gdd_base10", "gdd_base10_temperature_min", "gdd_base10_temperature_max",
-                "precipitation_total", "precipitation_max_daily"]
-             + [f"{p}_{n}_mean" for p in ("planting", "vegetative", "reproductive", "maturation") for _, n in _VARS]
-             + [f"{p}_precipitation_total" for p in ("planting", "vegetative", "reproductive", "maturation")])
+def _a13_cols(crop: str) -> list[str]:
+    return ([f"{n}_{s}" for _, n in _VARS for s in ("mean", "min", "max")]
+            + ["gdd_base10", "gdd_base10_temperature_min", "gdd_base10_temperature_max",
+               "precipitation_total", "precipitation_max_daily"]
+            + [f"{p}_{n}_mean" for p in _PERIODS[crop] for _, n in _VARS]
+            + [f"{p}_precipitation_total" for p in _PERIODS[crop]])
 
 
 @register("season_statistics_daily", "A13,A14,A35,D8",
-          sql=_round_all_sql(_A13_SQL, _A13_COLS, ["state_code", "year", "days_with_rain"]))
+          sql=_round_all_sql(_a13_sql("CORN"), _a13_cols("CORN"), ["state_code", "year", "days_with_rain"]))
 def q_season_statistics_daily(spark, sf_dir):
     """A13 + A14 + A35: season and critical-period statistics of CORN per state-year, one aggregate each."""
     return temporal.season_statistics(B.climate_daily(spark, sf_dir).drop("date"), "CORN",
                                       keys=["state_code", "year"])
 
 
+@register("season_statistics_daily_wheat", "A13,A14,A35,F10",
+          sql=_round_all_sql(_a13_sql("WHEAT"), _a13_cols("WHEAT"), ["state_code", "year", "days_with_rain"]))
+def q_season_statistics_daily_wheat(spark, sf_dir):
+    """A13 + A14 on a year-wrapping season and period (WHEAT; winter dormancy spans Nov-Feb)."""
+    return temporal.season_statistics(B.climate_daily(spark, sf_dir).drop("date"), "WHEAT",
+                                      keys=["state_code", "year"])
+
+
 # A15 --------------------------------------------------------------------------
 @register("census_alignment", "A15", sql=with_views("state_month") + """,
 routed AS (SELECT s.*, cy.census_year FROM state_month s

@@ -77,3 +77,17 @@ def test_scenario_models_on_synthetic_set(spark):
     rows = metrics.collect()
     assert len(models) == 10 and len(rows) == 10
     assert all(r["n"] == 40 for r in rows)  # exact 20% of 200 per crop
+
+
+def test_exact_split_equals_sort_based_selection(spark):
+    from pyspark.sql import Window
+    df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("crop"), F.col("id").alias("year"))
+    for bits in (2, 16):
+        got = modeling.exact_split(df, 0.2, 7, by=["crop"], key=["year"], bucket_bits=bits)
+        h = F.xxhash64(F.col("year"), F.lit(7))
+        ref = df.withColumn("r", F.row_number().over(Window.partitionBy("crop").orderBy(h, "year"))) \
+                .withColumn("n", F.count("*").over(Window.partitionBy("crop"))) \
+                .withColumn("ref", F.col("r") <= F.ceil(F.col("n") * 0.2))
+        cmp = got.join(ref.select("crop", "year", "ref"), ["crop", "year"])
+        assert cmp.filter(F.col("is_test") != F.col("ref")).count() == 0
+        assert got.count() == 1000
