@@ -128,6 +128,21 @@ def tenths_rescaled(df: DataFrame, col: str, threshold: float) -> Column:
     return F.when(column_max(df, col) > threshold, _c(col) / 10.0).otherwise(_c(col).cast("double"))
 
 
+def with_tenths(df: DataFrame, thresholds: dict[str, float], name: str = "_tenths") -> tuple[DataFrame, dict]:
+    """F17 / N12 for several columns at once: ``({col: rescaled column}, frame)``.
+
+    All column maxima come from one aggregate attached once as a struct column
+    ``name`` (drop it when done), so the input is scanned once for the decisions
+    however many columns are checked.
+    """
+    cols = list(thresholds)
+    mx = df.agg(F.struct(*[F.max(_c(c)).alias(f"c{i}") for i, c in enumerate(cols)])).scalar()
+    out = df.select("*", mx.alias(name))
+    exprs = {c: F.when(F.col(name)[f"c{i}"] > thresholds[c], _c(c) / 10.0).otherwise(_c(c).cast("double"))
+             for i, c in enumerate(cols)}
+    return out, exprs
+
+
 def temperature_interaction(t, kind: str, thresholds: dict) -> Column:
     """temperature deviation against crop thresholds; kind in mean/max/min."""
     t = _c(t)

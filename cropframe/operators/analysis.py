@@ -10,6 +10,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cropframe.schema import with_frame_stats
+
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -86,7 +88,8 @@ def error_histogram(res: DataFrame, col: str = "error", bins: int = 30, by: list
         lo, hi = F.min(_q(col)).over(w), F.max(_q(col)).over(w)
     else:
         bounds = res.agg(F.struct(F.min(_q(col)).alias("lo"), F.max(_q(col)).alias("hi"))).scalar()
-        lo, hi = bounds["lo"], bounds["hi"]
+        res = with_frame_stats(res, bounds)
+        lo, hi = F.col("_stats.lo"), F.col("_stats.hi")
     width = (hi - lo) / bins
     # clamp both ends: the bounds come from a separate evaluation of the input, whose
     # floating sums may differ in the last bit from this one

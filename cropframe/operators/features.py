@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropframe.functions import agro
-from cropframe.schema import find_column
+from cropframe.schema import find_column, with_frame_stats
 
 PRCP = ("ppt", "prcp")
 
@@ -142,11 +142,17 @@ def water_balance_features(df: DataFrame, heat_index_keys: tuple[str, ...] = ("s
     if tcol is None or pcol is None:
         return df
     t_raw = _q(tcol)
-    tf = F.when(agro.column_max(df, tcol) > 100, F.lit(10.0)).otherwise(F.lit(1.0))
+    # frame statistics (unit decision, mean latitude) from one aggregate attached once
+    stats = [F.max(t_raw).alias("tmax_all")]
+    if "latitude" in df.columns:
+        stats.append(F.avg("latitude").alias("lat"))
+    cols = [_q(c) for c in df.columns]
+    df = with_frame_stats(df, df.agg(F.struct(*stats)).scalar(), "_wb")
+    tf = F.when(F.col("_wb.tmax_all") > 100, F.lit(10.0)).otherwise(F.lit(1.0))
     pf = 10.0 if "PRCP-NORMAL" in pcol else 1.0
     t = t_raw / tf
     if "day" in df.columns and "month" in df.columns and "year" in df.columns:
-        lat = (df.agg(F.avg("latitude")).scalar() if "latitude" in df.columns else F.lit(40.0))
+        lat = F.col("_wb.lat") if "latitude" in df.columns else F.lit(40.0)
         doy = F.dayofyear(F.make_date("year", "month", "day"))
         ra = agro.extraterrestrial_radiation(doy, lat)
         tmax_c, tmin_c = tcol.replace("mean", "max"), tcol.replace("mean", "min")
@@ -155,15 +161,16 @@ def water_balance_features(df: DataFrame, heat_index_keys: tuple[str, ...] = ("s
         else:
             tr = F.lit(10.0)
         pet = agro.hargreaves_pet(t, tr, ra)
-        return df.withColumn("pet", pet).withColumn("water_balance", _q(pcol) / pf - F.col("pet"))
+        out = df.withColumn("pet", pet).withColumn("water_balance", _q(pcol) / pf - F.col("pet"))
+        return out.select(*cols, "pet", "water_balance")
     if "month" in df.columns:
         keys = [k for k in heat_index_keys if k in df.columns]
         i = F.sum(agro.thornthwaite_i(t)).over(Window.partitionBy(*keys))
         out = df.withColumn("_hi", i)
         out = out.withColumn("pet", agro.thornthwaite_pet(t, F.col("_hi"), F.col("month")))
-        return out.withColumn("water_balance", _q(pcol) / pf - F.col("pet")).withColumn(
-            "heat_index", F.col("_hi")).drop("_hi")
-    return df
+        out = out.withColumn("water_balance", _q(pcol) / pf - F.col("pet")).withColumn("heat_index", F.col("_hi"))
+        return out.select(*cols, "pet", "water_balance", "heat_index")
+    return df.select(*cols)
 
 
 def climate_crop_interactions(df: DataFrame, crop: str | None = None) -> DataFrame:
@@ -175,22 +182,24 @@ def climate_crop_interactions(df: DataFrame, crop: str | None = None) -> DataFra
     Tenths are detected per column from its global max (scalar subquery).
     """
     th = agro.thresholds_for(crop)
-    out = df
+    temps = [c for c in df.columns if any(k in c.lower() for k in ("tmean", "tmax", "tmin", "temperature_"))
+             and not c.lower().startswith("gdd")]
+    out, rescaled = agro.with_tenths(df, {c: 100.0 for c in temps}) if temps else (df, {})
+    new_cols = []
     for c in df.columns:
         low = c.lower()
-        if any(k in low for k in ("tmean", "tmax", "tmin", "temperature_")) and not low.startswith("gdd"):
+        if c in rescaled:
             kind = "max" if "max" in low else ("min" if "min" in low else "mean")
             if low.endswith(("_min", "_max")) and "temperature_mean" in low:
                 kind = "mean"
-            t = F.when(agro.column_max(df, c) > 100, _q(c) / 10.0).otherwise(_q(c))
             suffix = {"mean": "ideal_deviation", "max": "heat_stress", "min": "frost_risk"}[kind]
-            out = out.withColumn(f"{c}_{suffix}", agro.temperature_interaction(t, kind, th))
+            new_cols.append(agro.temperature_interaction(rescaled[c], kind, th).alias(f"{c}_{suffix}"))
         elif any(k in low for k in ("ppt", "prcp", "precip")) and any(
                 k in low for k in ("total", "sum", "season")):
             pfac = 10.0 if "normal" in low else 1.0
             for name, e in agro.precipitation_interactions(_q(c) / pfac, th).items():
-                out = out.withColumn(f"{c}_{name}", e)
-    return out
+                new_cols.append(e.alias(f"{c}_{name}"))
+    return out.select(*[_q(c) for c in df.columns], *new_cols)
 
 
 # --- station (normals) features -------------------------------------------------
@@ -200,9 +209,9 @@ TMIN, TMAX, PRCP_N = "DLY-TMIN-NORMAL", "DLY-TMAX-NORMAL", "DLY-PRCP-NORMAL"
 
 def growing_degree_days(df: DataFrame, base: float = 10.0, cap: float = 30.0) -> DataFrame:
     """F1 + W1: daily GDD from (possibly tenths) tmin/tmax and cumulative GDD per station-year."""
-    tmin = agro.tenths_rescaled(df, TMIN, 100)
-    tmax = agro.tenths_rescaled(df, TMAX, 100)
-    out = df.withColumn("GDD", agro.daily_gdd(tmin, tmax, base, cap))
+    cols = [_q(c) for c in df.columns]
+    df, r = agro.with_tenths(df, {TMIN: 100.0, TMAX: 100.0})
+    out = df.select(*cols, agro.daily_gdd(r[TMIN], r[TMAX], base, cap).alias("GDD"))
     if "DATE" in df.columns:
         out = out.withColumn("YEAR", F.year("DATE"))
         w = Window.partitionBy("STATION", "YEAR").orderBy("DATE").rowsBetween(Window.unboundedPreceding, 0)

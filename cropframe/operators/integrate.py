@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cropframe.schema import numeric_columns
+from cropframe.schema import numeric_columns, with_frame_stats
 
 
 def _q(c: str) -> Column:
@@ -104,8 +104,11 @@ def standardize(df: DataFrame, cols: list[str] | None = None, exclude: tuple[str
     # one struct-valued scalar subquery: Spark evaluates it once and reuses it for every column
     stats = df.agg(F.struct(*[x for i, c in enumerate(cols) for x in (
         F.avg(_q(c)).alias(f"m{i}"), F.stddev_samp(_q(c)).alias(f"s{i}"))]).alias("s")).scalar()
-    return df.select("*", *[F.when(stats[f"s{i}"] > 0, (_q(c) - stats[f"m{i}"]) / stats[f"s{i}"]).alias(f"{c}{suffix}")
-                            for i, c in enumerate(cols)])
+    s = F.col("_stats")
+    return (with_frame_stats(df, stats)
+            .select(*[_q(c) for c in df.columns],
+                    *[F.when(s[f"s{i}"] > 0, (_q(c) - s[f"m{i}"]) / s[f"s{i}"]).alias(f"{c}{suffix}")
+                      for i, c in enumerate(cols)]))
 
 
 def crop_category_pivot(long_df: DataFrame, seq_col: str = "ingest_seq",
@@ -163,8 +166,10 @@ def engineer_yield_features(df: DataFrame) -> DataFrame:
         return out
     stats = out.agg(F.struct(*[x for c in feats for x in (
         F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).alias("s")).scalar()
-    return out.select("*", *[F.try_divide(F.col(c) - stats[f"m_{c}"], stats[f"s_{c}"]).alias(f"{c}_NORM")
-                             for c in feats])
+    s = F.col("_stats")
+    return (with_frame_stats(out, stats)
+            .select(*[_q(c) for c in out.columns],
+                    *[F.try_divide(F.col(c) - s[f"m_{c}"], s[f"s_{c}"]).alias(f"{c}_NORM") for c in feats]))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

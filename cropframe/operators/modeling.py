@@ -182,7 +182,8 @@ def linear_contributions(df: DataFrame, model: PipelineModel, names: list[str])
 def train_crop_models(df: DataFrame, crop_col: str = "crop", target: str = "yield",
                       model_types: tuple[str, ...] = ("random_forest", "gradient_boosting", "linear"),
                       features: list[str] | None = None, min_rows: int = 10, seed: int = 42,
-                      crops: list[str] | None = None, parallelism: int = 8) -> tuple[dict, DataFrame]:
+                      crops: list[str] | None = None, parallelism: int = 8,
+                      rows_per_partition: int = 500_000) -> tuple[dict, DataFrame]:
     """M15 + P13: per crop (with >= min_rows rows) and model type: split, fit, evaluate.
 
     Returns ({(crop, model_type): PipelineModel}, metrics DataFrame). The crop
@@ -191,14 +192,17 @@ def train_crop_models(df: DataFrame, crop_col: str = "crop", target: str = "yiel
     framed, feats, stages = modeling_frame(df, target, features)
     split = exact_split(framed, 0.2, seed, by=[crop_col]).persist()
     # Crops with fewer than ``min_rows`` rows are skipped (collects one row per crop)
-    counts = split.groupBy(crop_col).count()
-    eligible = crops or sorted(r[0] for r in counts.filter(F.col("count") >= min_rows).select(crop_col).collect())
+    sizes = {r[0]: r[1] for r in split.groupBy(crop_col).count().collect()}
+    eligible = crops or sorted(c for c, n in sizes.items() if n >= min_rows)
     jobs = [(crop, mt) for crop in eligible for mt in model_types]
 
     def fit(job):
         crop, mt = job
         part = split.filter(_q(crop_col) == crop)
-        m = build_pipeline(stages, mt, seed).fit(part.filter(~F.col("is_test")))
+        # iterative learners (GBT: one job per tree level per iteration) pay a task per partition per
+        # job; the partition count follows the crop's measured size, not the upstream shuffle's
+        n_parts = max(1, math.ceil(sizes.get(crop, 0) / rows_per_partition))
+        m = build_pipeline(stages, mt, seed).fit(part.filter(~F.col("is_test")).coalesce(n_parts))
         pred = m.transform(part.filter(F.col("is_test"))).select(
             F.lit(crop).alias(crop_col), F.lit(mt).alias("model_type"), "label", "prediction")
         return job, m, pred

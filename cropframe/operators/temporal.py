@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cropframe import dims
 from cropframe.functions import agro
 from cropframe.functions import calendar as cal
+from cropframe.schema import with_frame_stats
 
 VAR_NAMES = {
     "tmin": "temperature_min", "tmax": "temperature_max", "tmean": "temperature_mean", "ppt": "precipitation",
@@ -201,8 +202,10 @@ def season_statistics(daily: DataFrame, crop: str, keys: list[str] | None = None
 
 
 def _one_row_merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Merge two single-row aggregates side by side via scalar subqueries (no join)."""
-    return a.select("*", *[b.select(F.col(f"`{c}`")).scalar().alias(c) for c in b.columns])
+    """Merge two single-row aggregates side by side via one struct scalar subquery (no join)."""
+    one = b.select(F.struct(*[F.col(f"`{c}`") for c in b.columns])).scalar()
+    return (with_frame_stats(a, one, "_b")
+            .select(*[F.col(f"`{c}`") for c in a.columns], *[F.col("_b")[c].alias(c) for c in b.columns]))
 
 
 def census_alignment(climate: DataFrame, state_level: bool = True,

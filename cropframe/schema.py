@@ -152,3 +152,13 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 def coalesce_zero(c: Column) -> Column:
     """pandas' sum of an all-missing group is 0; Spark's is NULL."""
     return F.coalesce(c, F.lit(0.0))
+
+
+def with_frame_stats(df: DataFrame, stats: Column, name: str = "_stats") -> DataFrame:
+    """Attach a one-row aggregate of ``df`` (a struct scalar subquery) as one column.
+
+    Referencing the fields of a scalar subquery directly in many expressions
+    plans one subquery per reference; projecting it once and reading the fields
+    from the column evaluates the aggregate once. The caller drops ``name``.
+    """
+    return df.select("*", stats.alias(name))
