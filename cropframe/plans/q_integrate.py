@@ -10,6 +10,7 @@ from cropframe.operators import integrate
 from cropframe.plans.q_climate import _SEASON_COLS, season_stats
 from cropframe.plans.registry import register
 from cropframe.plans.sql_views import with_views
+from cropframe.session import materialize
 from cropframe.sources import bindings as B
 
 
@@ -75,7 +76,7 @@ SELECT year, state_code, crop, """ + ", ".join(
     f" AS {x}_std" for x in _STD_COLS) + " FROM j4")
 def q_standardized_dataset(spark, sf_dir):
     """Global z-scores (ddof 1) of every numeric feature; the target and identifiers are excluded."""
-    j = integrate.crop_specific_merge(B.state_census(spark, sf_dir), season_stats(spark, sf_dir), "state")
+    j = materialize(integrate.crop_specific_merge(B.state_census(spark, sf_dir), season_stats(spark, sf_dir), "state"))
     z = integrate.standardize(j, exclude=("year", "yield"))
     return z.select("year", "state_code", "crop", *[f"{c}_std" for c in _STD_COLS])
 
@@ -133,10 +134,12 @@ integ AS (SELECT c.year, c.crop, c.yield, n.growing_season_tmax_mean, n.growing_
 _CORR_COLS = ["yield", "growing_season_tmax_mean", "growing_season_ppt_total", "growing_degree_days_base10"]
 
 
-def integrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrate.season_with_census(season_stats(spark, sf_dir), B.crop_census(spark, sf_dir)).select(
+def integrated(spark: SparkSession, sf_dir: str, reused: bool = False) -> DataFrame:
+    """Crop-year dataset (J10). ``reused``: materialise it once for plans that read it several times."""
+    df = integrate.season_with_census(season_stats(spark, sf_dir), B.crop_census(spark, sf_dir)).select(
         "year", "crop", "yield", "growing_season_tmax_mean", "growing_season_ppt_total",
         "growing_degree_days_base10")
+    return materialize(df) if reused else df
 
 
 def _corr_sql() -> str:
@@ -166,7 +169,8 @@ def q_trend_lines(spark, sf_dir):
 
 
 def _ols_residuals(spark, sf_dir) -> DataFrame:
-    integ = integrated(spark, sf_dir)
+    # read twice (fit, then join-back), and the residuals feed further statistics
+    integ = integrated(spark, sf_dir, reused=True)
     tl = AN.trend_lines(integ, "growing_season_tmax_mean", "yield", by=["crop"])
     pred = integ.join(tl, "crop").select(
         "crop", "year", F.col("yield").alias("actual"),

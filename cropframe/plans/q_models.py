@@ -12,6 +12,7 @@ from cropframe.operators import integrate, modeling, scenario
 from cropframe.plans.q_climate import _SEASON_COLS, season_stats
 from cropframe.plans.q_features import _station_crop
 from cropframe.plans.registry import register
+from cropframe.session import materialize
 from cropframe.sources import bindings as B
 
 _FEATURES = ["growing_season_tmean_mean", "growing_season_tmax_max", "growing_season_tmin_min",
@@ -21,11 +22,11 @@ _FEATURES = ["growing_season_tmean_mean", "growing_season_tmax_max", "growing_se
 def model_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State-grain integrated dataset (J4): census x season climate per state, year and crop.
 
-    Persisted: every per-crop fit and CV fold rereads it, and it is small
+    Materialised: every per-crop fit and CV fold rereads it, and it is small
     (one row per state x year x crop) whatever the size of the raw tables.
     """
-    return integrate.crop_specific_merge(B.state_census(spark, sf_dir), season_stats(spark, sf_dir),
-                                         "state").persist()
+    return materialize(integrate.crop_specific_merge(B.state_census(spark, sf_dir), season_stats(spark, sf_dir),
+                                                     "state"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -47,3 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     target = configured or fallback or os.path.join("/tmp", "cropframe-checkpoints")
     spark.sparkContext.setCheckpointDir(target)
     return spark.sparkContext.getCheckpointDir() or target
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small, expensive intermediate once to ``spark.checkpoint.dir`` and read it back.
+
+    For aggregates whose size is bounded by dimensions (crop x year x state)
+    but whose input is the whole fact data: later references (join-backs,
+    scalar statistics, model passes) read the written rows instead of
+    re-running the scans, and a lost executor does not send the job back to
+    the fact tables.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
