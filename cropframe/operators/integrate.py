@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cropframe.schema import numeric_columns, with_frame_stats
+from cropframe.schema import drop_null_columns, feature_columns, numeric_columns, require, with_frame_stats
 
 
 def _q(c: str) -> Column:
@@ -175,3 +175,39 @@ def engineer_yield_features(df: DataFrame) -> DataFrame:
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Concat with missing columns filled by NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def dummy_levels(df: DataFrame, col: str, max_levels: int = 500) -> list:
+    """Sorted distinct values of a categorical column (at most ``max_levels``; more is an error).
+
+    The collect is bounded by the limit, so a mistakenly high-cardinality
+    column fails fast instead of pulling its values to the driver.
+    """
+    vals = [r[0] for r in df.select(_q(col)).distinct().orderBy(_q(col)).limit(max_levels + 1).collect()]
+    if len(vals) > max_levels:
+        raise ValueError(f"{col} has more than {max_levels} levels; not a dummy-encodable category")
+    return vals
+
+
+def modeling_ready(df: DataFrame, target: str = "yield", categorical: tuple[str, ...] = ("state_code",),
+                   ids: tuple[str, ...] = ("year", "state_code", "crop"), drop_first: bool = True) -> DataFrame:
+    """P14 + P10 + P11 + P12 + M3 / U2: the modelling-ready table.
+
+    Required columns are checked (a typed error, no silent empty frame); year is
+    cast to int; numeric features are selected without the target or
+    identifiers; every column holding a NULL is dropped (one aggregate pass);
+    categorical columns become 0/1 dummy columns ``<col>_<level>`` (first level
+    dropped), appended to the kept columns.
+    """
+    require(df, *ids, target)
+    x = df.withColumn("year", _q("year").cast("int")) if "year" in df.columns else df
+    feats = feature_columns(x, target, prefer_standardized=False)
+    x = drop_null_columns(x.select(*[_q(c) for c in ids], _q(target), *[_q(c) for c in feats]))
+    dummies = []
+    for c in categorical:
+        if c not in x.columns:
+            continue
+        levels = dummy_levels(x, c)
+        for v in levels[1:] if drop_first else levels:
+            dummies.append(F.when(_q(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(f"{c}_{v}"))
+    return x.select("*", *dummies)

@@ -41,7 +41,7 @@ def q_state_month_stats(spark, sf_dir):
 
 
 # A10 + A11 + A12 ---------------------------------------------------------------
-@register("season_stats", "A10,A11,A12,X4", sql=with_views("season_stats") + f"""
+@register("season_stats", "A10,A11,A12,X4,J9", sql=with_views("season_stats") + f"""
 SELECT state_code, year, crop, {_rounded(_SEASON_COLS)} FROM season_stats""")
 def q_season_stats(spark, sf_dir):
     """Wide growing-season statistics per state, harvest year and crop."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cropframe.operators import features as FE
 from cropframe.operators import integrate, temporal
+from cropframe.plans import composites
 from cropframe.plans.registry import register
 from cropframe.plans.sql_views import with_views
 from cropframe.sources import bindings as B
@@ -28,7 +29,7 @@ isl_d AS (SELECT {keys}, grp, count(*) AS len FROM isl_c WHERE f = 1 GROUP BY {k
 
 
 # F2 + W3 ----------------------------------------------------------------------
-@register("heat_stress", "F2,W3,D10", sql=with_views("climate_daily") + "," + _islands_sql(
+@register("heat_stress", "F2,W3,D10,J7", sql=with_views("climate_daily") + "," + _islands_sql(
     "climate_daily", "state_code, year", "date", "CASE WHEN tmax > 30 THEN 1 ELSE 0 END",
     "max_consecutive_heat_days") + """
 SELECT a.state_code, a.year, a.hot_days, round(a.hdd, 6) AS heat_degree_days,
@@ -49,7 +50,7 @@ def q_heat_stress(spark, sf_dir):
 
 
 # W4 ---------------------------------------------------------------------------
-@register("dry_spells", "W4", sql=with_views("climate_daily") + "," + _islands_sql(
+@register("dry_spells", "W4,J7", sql=with_views("climate_daily") + "," + _islands_sql(
     "climate_daily", "state_code, year", "date", "CASE WHEN ppt < 1.0 THEN 1 ELSE 0 END",
     "max_consecutive_dry_days") + """
 SELECT a.state_code, a.year, a.dry_days, m.max_consecutive_dry_days
@@ -77,7 +78,7 @@ def q_standardized_precip(spark, sf_dir):
 
 
 # F5 + A31 + W5 ----------------------------------------------------------------
-@register("frost_risk", "F5,A31,W5,J8", sql=with_views("climate_daily") + """,
+@register("frost_risk", "F5,A31,W5,J7,J8", sql=with_views("climate_daily") + """,
 f AS (SELECT *, CASE WHEN tmin <= 0 THEN 1 ELSE 0 END AS fr, dayofyear(date) AS doy FROM climate_daily),
 m AS (SELECT state_code, year, month, sum(fr) AS n FROM f GROUP BY ALL)
 SELECT a.state_code, a.year, a.frost_days, a.last_spring_frost_day, a.first_fall_frost_day,
@@ -100,7 +101,7 @@ def q_frost_risk(spark, sf_dir):
 
 
 # F6 + F7 ----------------------------------------------------------------------
-@register("water_balance_daily", "F6,F7,F15", sql=with_views("climate_daily") + """,
+@register("water_balance_daily", "F6,F7,F15,P3", sql=with_views("climate_daily") + """,
 x AS (SELECT state_code, year, month, ppt, tmean, tmax - tmin AS tr, CAST(dayofyear(date) AS DOUBLE) AS j,
              radians(40.0) AS lat FROM climate_daily),
 r AS (SELECT *, 0.409 * sin(2 * pi() * j / 365 - 1.39) AS decl FROM x),
@@ -352,3 +353,42 @@ def q_station_metadata_join(spark, sf_dir):
     st = (B.station_normals(spark, sf_dir).groupBy("STATION")
           .agg(F.count(F.lit(1)).alias("n_days"), F.max("DLY-TMAX-NORMAL").alias("max_tmax")))
     return integrate.attach_station_metadata(st, B.station_metadata(spark, sf_dir))
+
+
+# X1 -----------------------------------------------------------------------------
+@register("station_climate_summary", "X1,F1,W1,W6,A7,A8,A9,F14", sql=with_views("station_scaled") + "," + _islands_sql(
+    "station_scaled", '"STATION", "YEAR"', '"DATE"', "CASE WHEN p <= 1.0 THEN 1 ELSE 0 END", "dry") + f""",
+gy AS (SELECT "STATION", "YEAR", count(*) AS n_days, sum({_GDD_SQL}) AS gdd_total,
+              count(*) FILTER (WHERE p > 1.0) AS "WET_DAYS_COUNT",
+              count(DISTINCT CASE WHEN "MONTH" IN (12, 1, 2) THEN 'WINTER' WHEN "MONTH" IN (3, 4, 5) THEN 'SPRING'
+                                  WHEN "MONTH" IN (6, 7, 8) THEN 'SUMMER' ELSE 'FALL' END) AS n_seasons
+       FROM station_scaled GROUP BY "STATION", "YEAR"),
+sp AS (SELECT "STATION", "YEAR", CAST(sum(raw_p) AS BIGINT) AS "GROWING_SEASON_PRCP"
+       FROM station_scaled WHERE "MONTH" BETWEEN 4 AND 9 GROUP BY ALL),
+fs AS (SELECT "STATION", "DATE", tmin <= 0 AS fr,
+              make_date(CAST(min(year("DATE")) OVER (PARTITION BY "STATION") AS BIGINT), 7, 1) AS cut
+       FROM station_scaled),
+fr AS (SELECT "STATION", CAST(datediff('day', max(CASE WHEN fr AND "DATE" < cut THEN "DATE" END),
+                                      min(CASE WHEN fr AND "DATE" >= cut THEN "DATE" END)) AS INTEGER) AS "FROST_FREE_DAYS"
+       FROM fs GROUP BY "STATION")
+SELECT gy."STATION", gy."YEAR", gy.n_days, round(gy.gdd_total, 6) AS gdd_total, gy.n_seasons,
+       sp."GROWING_SEASON_PRCP", gy."WET_DAYS_COUNT", dry.dry AS "MAX_CONSECUTIVE_DRY_DAYS", fr."FROST_FREE_DAYS"
+FROM gy LEFT JOIN sp ON gy."STATION" = sp."STATION" AND gy."YEAR" = sp."YEAR"
+LEFT JOIN dry ON gy."STATION" = dry."STATION" AND gy."YEAR" = dry."YEAR"
+LEFT JOIN fr ON gy."STATION" = fr."STATION\"""")
+def q_station_climate_summary(spark, sf_dir):
+    """The station feature frames (GDD with season labels, frost window, precipitation features)
+    from one normals binding, joined per station-year. The per-(station, year) aggregates share
+    their hash partitioning, so the left joins between them add no shuffle of their own."""
+    frames = composites.station_features(B.station_normals(spark, sf_dir))
+    gdd = frames["climate_with_gdd"].groupBy("STATION", "YEAR").agg(
+        F.count(F.lit(1)).alias("n_days"), F.sum("GDD").alias("gdd_total"),
+        F.count_distinct(F.upper("SEASON")).alias("n_seasons"))
+    pf = frames["precipitation_features"]
+    return (gdd.join(pf["growing_season_precipitation"].withColumn(
+                "GROWING_SEASON_PRCP", F.col("GROWING_SEASON_PRCP").cast("bigint")), ["STATION", "YEAR"], "left")
+            .join(pf["wet_days"], ["STATION", "YEAR"], "left")
+            .join(pf["max_consecutive_dry_days"], ["STATION", "YEAR"], "left")
+            .join(frames["frost_dates"].select("STATION", "FROST_FREE_DAYS"), "STATION", "left")
+            .select("STATION", "YEAR", "n_days", "gdd_total", "n_seasons", "GROWING_SEASON_PRCP", "WET_DAYS_COUNT",
+                    "MAX_CONSECUTIVE_DRY_DAYS", "FROST_FREE_DAYS"))

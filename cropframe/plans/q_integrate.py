@@ -261,3 +261,52 @@ def q_lagged_yield(spark, sf_dir):
     c = B.crop_census(spark, sf_dir).select(F.col("year").alias("YEAR"), F.col("crop").alias("CROP"),
                                            F.col("yield").alias("YIELD"))
     return integrate.lagged_yield(c)
+
+
+# P10 + P11 + P12 + P14 + M3 + U2 ----------------------------------------------
+_DUMMY_STATES = ["IL", "IN", "MN", "NE"]  # sorted levels of state_code minus the first (IA)
+
+
+@register("modeling_ready", "P10,P11,P12,P14,M3,U2", sql=_J4_SQL + """
+SELECT CAST(year AS INTEGER) AS year, state_code, crop, round(yield, 6) AS yield, harvested_acres, production, """
+          + ", ".join(f"round({x}, 6) AS {x}" for x in _SEASON_COLS) + ", "
+          + ", ".join(f"CASE WHEN state_code = '{s}' THEN 1 ELSE 0 END AS state_code_{s}" for s in _DUMMY_STATES)
+          + " FROM j4")
+def q_modeling_ready(spark, sf_dir):
+    """Modelling-ready table: checked columns, int year, numeric features, NULL columns dropped, state dummies."""
+    j = materialize(integrate.crop_specific_merge(B.state_census(spark, sf_dir), season_stats(spark, sf_dir),
+                                                  "state"))
+    return integrate.modeling_ready(j, "yield", categorical=("state_code",))
+
+
+# T4 -----------------------------------------------------------------------------
+@register("census_preview", "T4,S1", sql=with_views("crop_census") + """
+SELECT year, crop, round(yield, 6) AS yield, harvested_acres, production FROM crop_census
+ORDER BY year, crop LIMIT 5""")
+def q_census_preview(spark, sf_dir):
+    """T4: head preview of the census table (the limit is the feature; a total order makes it stable)."""
+    return B.crop_census(spark, sf_dir).orderBy("year", "crop").limit(5)
+
+
+# A32 ----------------------------------------------------------------------------
+@register("distinct_keys", "A32,F20", sql=with_views("state_census", "station_normals") + """
+SELECT 'crop' AS key_type, crop AS key_value FROM state_census GROUP BY crop
+UNION ALL SELECT 'state', state_code FROM state_census GROUP BY state_code
+UNION ALL SELECT 'year', CAST(year AS VARCHAR) FROM state_census GROUP BY year
+UNION ALL SELECT 'station', lower("STATION") FROM station_normals GROUP BY "STATION"
+UNION ALL SELECT 'states', array_to_string(list_sort(list(DISTINCT state_code))[1:3], ', ') FROM state_census""")
+def q_distinct_keys(spark, sf_dir):
+    """A32 + F20: the distinct crops, states, years and stations, and the first three states joined as a label."""
+    sc = B.state_census(spark, sf_dir)
+    st = B.station_normals(spark, sf_dir)
+    parts = [sc.select(F.lit("crop").alias("key_type"), F.col("crop").alias("key_value")).distinct(),
+             sc.select(F.lit("state"), F.col("state_code")).distinct(),
+             sc.select(F.lit("year"), F.col("year").cast("string")).distinct(),
+             st.select(F.lit("station"), F.lower("STATION")).distinct(),
+             # the label needs only the distinct states: a bounded array
+             sc.groupBy().agg(F.lit("states"), F.array_join(
+                 F.slice(F.array_sort(F.collect_set("state_code")), 1, 3), ", "))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

@@ -77,6 +77,28 @@ def q_cross_validation(spark, sf_dir):
     return spark.createDataFrame(rows, "crop string, cv_r2 double")
 
 
+@register("random_search", "M10,M9,M7", digits=6)
+def q_random_search(spark, sf_dir):
+    """Seeded random search per crop (20 draws from the elastic-net space, which holds 16, so
+    all of them) scored by 5-fold CV r2; best map and its score. Crops are searched concurrently."""
+    df = model_dataset(spark, sf_dir).select("year", "state_code", "crop", "yield", *_FEATURES)
+    framed, _feats, stages = modeling.modeling_frame(df, "yield", _FEATURES)
+    sizes = {r[0]: r[1] for r in framed.groupBy("crop").count().collect()}
+
+    def search(crop):
+        pipe = modeling.build_pipeline(stages, "elastic_net")
+        maps = modeling.random_search_maps(pipe, "elastic_net", n_iter=20, seed=42)
+        part = framed.filter(F.col("crop") == crop).coalesce(max(1, -(-sizes[crop] // 500_000)))
+        best, scores = modeling.cross_validate(part, pipe, folds=5, param_maps=maps, parallelism=4)
+        est = best.stages[-1]
+        return crop, len(maps), float(max(scores)), float(est.getRegParam()), float(est.getElasticNetParam())
+
+    with ThreadPoolExecutor(max_workers=max(1, len(sizes))) as pool:
+        rows = list(pool.map(search, sorted(sizes)))
+    return spark.createDataFrame(rows, "crop string, n_maps int, best_cv_r2 double, reg_param double, "
+                                       "elastic_net_param double")
+
+
 @register("linear_contributions", "M14", digits=6)
 def q_linear_contributions(spark, sf_dir):
     """Exact additive feature contributions of each crop's linear model, averaged per crop."""

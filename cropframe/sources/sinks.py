@@ -1,4 +1,4 @@
-"""Sinks (S11, S19-S21): partitioned dataset writes, model persistence, metrics and grid exports."""
+"""Sinks (S11, S20, S21): partitioned dataset writes, metrics and grid exports (S19 model persistence: modeling.py)."""
 
 from __future__ import annotations
 
