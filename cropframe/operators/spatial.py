@@ -1,11 +1,12 @@
 """Spatial operators: zonal statistics, point-in-polygon, regional weighting.
 
 Point-in-polygon is a theta join. To keep it a hash join at any size, each
-polygon is exploded over the integer lon/lat cells its bounding box covers
-(a fixed, small table: polygons are states or counties), every point gets its
-cell, and the two meet on the cell key with a broadcast hash join. Only the
-candidate pairs then run the exact ray-casting test, written with native
-higher-order functions (no UDF).
+polygon's bounding box is exploded over the integer lon/lat cells it covers
+(a small table of integers: polygons are states or counties), every point gets
+its cell, and the two meet on the cell key with a broadcast hash join; the
+candidates then meet their polygon's ring (held once, not per cell) and only
+they run the exact ray-casting test, written with native higher-order
+functions (no UDF).
 """
 
 from __future__ import annotations
@@ -62,24 +63,36 @@ def polygon_cells(polygons: DataFrame, cell_deg: float = 1.0) -> DataFrame:
             .select("*", F.explode(cy).alias("_cy")))
 
 
+# FIXED VALUE: above this many ring vertices in total (~16 bytes each) the polygon side is not broadcast
+MAX_BROADCAST_VERTICES = 4_000_000
+
+
 def point_in_polygon(points: DataFrame, polygons: DataFrame, lon: str = "longitude", lat: str = "latitude",
                      polygon_cols: list[str] | None = None, cell_deg: float = 1.0) -> DataFrame:
     """Attach the attributes of the polygon containing each point (inner join).
 
     ``polygons`` must carry ``ring`` and the bbox columns (``lon_min`` ...).
-    The polygon side is a boundary dimension (states, counties: at most a few
-    thousand rows x cells), so it is broadcast; the points are never shuffled.
+    Two joins, neither of which moves the points: (1) a broadcast hash join on
+    the cell key against the distinct (polygon attributes, cell) pairs, a table
+    of small integers whose size is set by the bounding boxes; (2) a join on
+    the attributes against the polygons themselves, each ring held once. The
+    polygon side is broadcast only when its total vertex count (one aggregate
+    over the boundary table) is below ``MAX_BROADCAST_VERTICES``; above that the
+    candidates are shuffled to the rings instead (AQE splits a hot polygon).
     """
     polygon_cols = polygon_cols or [c for c in polygons.columns
                                     if c not in ("ring", "lon_min", "lat_min", "lon_max", "lat_max")]
-    pc = polygon_cells(polygons, cell_deg).select(*polygon_cols, "ring", "lon_min", "lat_min",
-                                                   "lon_max", "lat_max", "_cx", "_cy")
+    cells = polygon_cells(polygons, cell_deg).select(*polygon_cols, "_cx", "_cy").distinct()
+    rings = polygons.select(*polygon_cols, "ring", "lon_min", "lat_min", "lon_max", "lat_max")
+    vertices = polygons.agg(F.sum(F.size("ring"))).first()[0] or 0
     pts = points.select("*", F.floor(F.col(lon) / cell_deg).cast("int").alias("_px"),
                         F.floor(F.col(lat) / cell_deg).cast("int").alias("_py"))
     dup = [c for c in polygon_cols if c in points.columns]
     for c in dup:
         pts = pts.withColumnRenamed(c, f"_pt_{c}")
-    j = pts.join(F.broadcast(pc), (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
+    cand = (pts.join(F.broadcast(cells), (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
+            .drop("_px", "_py", "_cx", "_cy"))
+    j = cand.join(F.broadcast(rings) if vertices <= MAX_BROADCAST_VERTICES else rings, polygon_cols)
     j = j.filter(F.col(lon).between(F.col("lon_min"), F.col("lon_max"))
                  & F.col(lat).between(F.col("lat_min"), F.col("lat_max"))
                  & _inside_ring(F.col("ring"), F.col(lon), F.col(lat)))
