@@ -49,6 +49,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return spark.sparkContext.getCheckpointDir() or target
 
 
+def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
+    """The stable shared folder named by ``spark.checkpoint.dir`` (fallback only when unset, as in tests).
+
+    ``SparkContext.setCheckpointDir`` appends a per-application UUID folder, so
+    anything that must be found again after a driver restart (streaming
+    checkpoints) is rooted here, not at ``getCheckpointDir()``.
+    """
+    return (spark.conf.get("spark.checkpoint.dir", None) or fallback
+            or os.path.join("/tmp", "cropframe-checkpoints")).rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a small, expensive intermediate once to ``spark.checkpoint.dir`` and read it back.
 

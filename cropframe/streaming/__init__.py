@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cropframe.schema import GRID_POINTS
-from cropframe.session import ensure_checkpoint_dir
+from cropframe.session import checkpoint_root
 
 
 def grid_point_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 100) -> DataFrame:
@@ -40,9 +40,13 @@ def state_month_stream(points: DataFrame) -> DataFrame:
 
 
 def start_state_month(spark: SparkSession, root: str, sink_table: str, name: str = "state_month",
-                      available_now: bool = True) -> StreamingQuery:
-    """Run the incremental aggregate into a table (complete mode; the result is small: states x months x 4)."""
-    ckpt = f"{ensure_checkpoint_dir(spark)}/{name}"
+                      available_now: bool = True, checkpoint_location: str | None = None) -> StreamingQuery:
+    """Run the incremental aggregate into a table (complete mode; the result is small: states x months x 4).
+
+    The checkpoint defaults to ``<spark.checkpoint.dir>/streaming/<name>``: stable across driver
+    restarts (the context's checkpoint dir carries a per-application UUID), so a restart resumes.
+    """
+    ckpt = checkpoint_location or f"{checkpoint_root(spark)}/streaming/{name}"
     w = (state_month_stream(grid_point_stream(spark, root)).writeStream
          .outputMode("complete").option("checkpointLocation", ckpt).queryName(name))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

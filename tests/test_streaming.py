@@ -16,9 +16,17 @@ def test_stream_matches_batch(spark):
             fh.write("state,state_code,grid_id,latitude,longitude,value\n")
             for i, v in enumerate(vals):
                 fh.write(f"Iowa,IA,g{i},40.0,-90.0,{v}\n")
-    q = streaming.start_state_month(spark, root, "memory", name="state_month_test")
+    ckpt = tempfile.mkdtemp(prefix="cropframe-stream-ckpt-", dir="/tmp")
+    q = streaming.start_state_month(spark, root, "memory", name="state_month_test", checkpoint_location=ckpt)
     q.awaitTermination(120)
     got = {(r.variable, r.month): (r.mean_value, r["count"]) for r in spark.table("state_month_test").collect()}
     batch = {(r.variable, r.month): (r.mean_value, r["count"])
              for r in spatial.state_month_stats(files.read_grid_points(spark, root)).collect()}
     assert got == batch and got[("ppt", 1)] == (70.0 / 3, 3)
+
+
+def test_stream_checkpoint_is_stable_across_applications(spark):
+    from cropframe.session import checkpoint_root
+    # the context's checkpoint dir ends in a per-application UUID; the streaming root must not contain it
+    app_dir = os.path.basename(spark.sparkContext.getCheckpointDir().rstrip("/"))
+    assert app_dir and app_dir not in checkpoint_root(spark)
