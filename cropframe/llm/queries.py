@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropframe.llm import decontaminate, shards, url_filter
+from cropframe.llm import decontaminate, shards, toxicity, url_filter
 from cropframe.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op4_url_filter, op5_decontamination)}
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op4_url_filter, op5_decontamination)}
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL}
