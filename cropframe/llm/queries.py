@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropframe.llm import decontaminate, shards, toxicity, url_filter
+from cropframe.llm import decontaminate, quality, shards, toxicity, url_filter
 from cropframe.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.contract_rules(spark))
 
@@ -28,5 +32,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sharding, op4_url_filter, op5_decontamination)}
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_url_filter, op5_decontamination)}
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL}
