@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropframe.llm import decontaminate, quality, shards, toxicity, url_filter
+from cropframe.llm import decontaminate, pieces, quality, shards, token_counts, toxicity, url_filter
 from cropframe.llm.common import table
 
 
@@ -31,6 +31,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_url_filter, op5_decontamination)}
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_url_filter, op5_decontamination, op6_sentencepiece,
+                              op10_token_counts)}
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL}
