@@ -140,8 +140,7 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
         for k in range(-d, d + 1, 2):
             if k < -m or k > n:
                 continue
-            x = reach.get(k + 1, -1) if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) \
-                else reach[k - 1] + 1
+            x = max(reach.get(k + 1, -1), reach.get(k - 1, -2) + 1)
             if x < max(0, k) or x > n or x - k > m:
                 continue
             reach[k] = x = slide(x, k)

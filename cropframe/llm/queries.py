@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropframe.llm import decontaminate, near_dedup, pieces, quality, shards, token_counts, toxicity, url_filter
+from cropframe.llm import decontaminate, near_dedup, neighbours, pieces, quality, shards, token_counts, toxicity, url_filter
 from cropframe.llm.common import table
 
 
@@ -39,11 +39,15 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_url_filter, op5_decontamination, op6_sentencepiece, op7_minhash,
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_url_filter, op5_decontamination, op6_sentencepiece, op7_minhash, op8_ann,
                               op10_token_counts)}
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL}
