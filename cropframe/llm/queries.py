@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropframe.llm import decontaminate, near_dedup, neighbours, pieces, quality, shards, token_counts, toxicity, url_filter
+from cropframe.llm import (decontaminate, near_dedup, neighbours, pieces, pseudo_likelihood, quality, shards,
+                           token_counts, toxicity, url_filter)
 from cropframe.llm.common import table
 
 
@@ -43,11 +44,15 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_url_filter, op5_decontamination, op6_sentencepiece, op7_minhash, op8_ann,
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_url_filter, op5_decontamination, op6_sentencepiece, op7_minhash, op8_ann, op9_lm_score,
                               op10_token_counts)}
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL}
