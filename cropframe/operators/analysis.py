@@ -117,10 +117,11 @@ def heatmap(df: DataFrame, index: str, columns: str, values: str, column_values:
 
 
 def top_k(df: DataFrame, k: int, order_col: str, by: list[str] | None = None) -> DataFrame:
-    """Top-k rows by ``order_col`` (desc), globally or per group (row_number)."""
+    """Top-k rows by ``order_col`` (desc; ties by the other columns), globally or per group (row_number)."""
+    order = [_q(order_col).desc(), *[_q(c) for c in df.columns if c != order_col]]
     if not by:
-        return df.orderBy(_q(order_col).desc()).limit(k)
-    w = Window.partitionBy(*by).orderBy(_q(order_col).desc())
+        return df.orderBy(*order).limit(k)
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -134,9 +134,10 @@ def crop_category_pivot(long_df: DataFrame, seq_col: str = "ingest_seq",
     return out
 
 
-def station_variable_pivot(obs: DataFrame, variables: list[str], index: tuple[str, ...] = ("STATION", "DATE"),
+def station_variable_pivot(obs: DataFrame, variables: list[str] | None = None, index: tuple[str, ...] = ("STATION", "DATE"),
                            rename: dict[str, str] | None = None) -> DataFrame:
-    """Long station readings -> one column per variable (mean), explicit value list."""
+    """Long station readings -> one column per variable present (mean), or per listed variable."""
+    variables = dummy_levels(obs.filter(F.col("VARIABLE").isNotNull()), "VARIABLE") if variables is None else variables
     wide = obs.groupBy(*index).pivot("VARIABLE", variables).agg(F.avg("VALUE"))
     for v in variables:
         wide = wide.withColumnRenamed(v, (rename or {}).get(v, f"DLY-{v}-NORMAL"))
@@ -177,16 +178,9 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def dummy_levels(df: DataFrame, col: str, max_levels: int = 500) -> list:
-    """Sorted distinct values of a categorical column (at most ``max_levels``; more is an error).
-
-    The collect is bounded by the limit, so a mistakenly high-cardinality
-    column fails fast instead of pulling its values to the driver.
-    """
-    vals = [r[0] for r in df.select(_q(col)).distinct().orderBy(_q(col)).limit(max_levels + 1).collect()]
-    if len(vals) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; not a dummy-encodable category")
-    return vals
+def dummy_levels(df: DataFrame, col: str) -> list:
+    """Sorted distinct values of a categorical column: each becomes a column, so they are needed to plan."""
+    return [r[0] for r in df.select(_q(col)).distinct().orderBy(_q(col)).collect()]
 
 
 def modeling_ready(df: DataFrame, target: str = "yield", categorical: tuple[str, ...] = ("state_code",),

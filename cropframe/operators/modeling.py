@@ -7,19 +7,21 @@ distributed ``fit`` calls is fine; nothing here collects feature data.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropframe.schema import feature_columns
+from cropframe.session import materialize
 
 MODEL_TYPES = ("random_forest", "gradient_boosting", "elastic_net", "linear")
 
@@ -59,13 +61,6 @@ def exact_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, by: l
     return out.drop("_h", "_b", "_before", "_after", "_k")
 
 
-def hash_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, key: list[str] | None = None) -> DataFrame:
-    """Row-local split for very large frames (expected, not exact, test size; no shuffle)."""
-    key = key or df.columns
-    h = F.pmod(F.xxhash64(*[_q(k) for k in key], F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("is_test", h < int(test_fraction * 1_000_000))
-
-
 def modeling_frame(df: DataFrame, target: str = "yield", features: list[str] | None = None,
                    categorical: list[str] | None = None) -> tuple[DataFrame, list[str], list]:
     """M1 + M3 + P11/P12: feature list, and the stages that build the ``features`` vector.
@@ -84,31 +79,62 @@ def modeling_frame(df: DataFrame, target: str = "yield", features: list[str] | N
     return df.withColumn("label", _q(target).cast("double")), feats, stages
 
 
-def regressor(model_type: str, seed: int = 42, **params):
-    """M5-M8 with the reference's defaults (RF depth None -> 30, MLlib's maximum)."""
+def elastic_penalty(alpha: float, l1_ratio: float, label_sd: float) -> tuple[float, float]:
+    """M7: (regParam, elasticNetParam) whose objective is the textbook elastic net of ``alpha`` and ``l1_ratio``.
+
+    MLlib fits the label divided by its population deviation, which leaves the L1
+    share as given and divides the L2 share by that deviation.
+    """
+    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * label_sd
+    return l1 + l2, l1 / (l1 + l2) if l1 + l2 else 0.0
+
+
+def regressor(model_type: str, seed: int = 42, label_sd: float = 1.0, **params):
+    """M5-M8 with the reference's defaults.
+
+    MLlib's limits: a forest without a depth limit stops at depth 30, and there
+    is no minimum split size. Forests consider all features at every split.
+    """
     if model_type == "random_forest":
         return RandomForestRegressor(featuresCol="features", labelCol="label", seed=seed,
+                                     featureSubsetStrategy="all",
                                      numTrees=params.get("n_estimators", 100),
                                      maxDepth=min(params.get("max_depth") or 30, 30),
                                      minInstancesPerNode=params.get("min_samples_leaf", 1))
     if model_type == "gradient_boosting":
         return GBTRegressor(featuresCol="features", labelCol="label", seed=seed,
                             maxIter=params.get("n_estimators", 100), stepSize=params.get("learning_rate", 0.1),
-                            maxDepth=params.get("max_depth", 3))
+                            maxDepth=params.get("max_depth", 3),
+                            minInstancesPerNode=params.get("min_samples_leaf", 1))
     if model_type == "elastic_net":
-        return LinearRegression(featuresCol="scaled", labelCol="label", regParam=params.get("alpha", 1.0),
-                                elasticNetParam=params.get("l1_ratio", 0.5))
+        reg, ratio = elastic_penalty(params.get("alpha", 1.0), params.get("l1_ratio", 0.5), label_sd)
+        return LinearRegression(featuresCol="scaled", labelCol="label", regParam=reg, elasticNetParam=ratio,
+                                standardization=False, solver="normal", maxIter=1000, tol=1e-10)
     if model_type == "linear":
         return LinearRegression(featuresCol="scaled", labelCol="label", regParam=0.0, solver="normal")
     raise ValueError(f"unknown model type {model_type!r}; expected one of {MODEL_TYPES}")
 
 
-def build_pipeline(stages: list, model_type: str, seed: int = 42, **params) -> Pipeline:
-    """M4: linear models get a StandardScaler (with mean) in front; trees use raw features."""
-    st = list(stages)
+def build_pipeline(stages: list, model_type: str, seed: int = 42, train: DataFrame | None = None, n_features: int = 0,
+                   **params) -> Pipeline:
+    """M4: linear models get a StandardScaler (with mean) in front; trees use raw features.
+
+    The elastic net depends on the spread of its training label and on features
+    scaled by the population deviation, so it takes the ``train`` rows and the
+    number of features.
+    """
+    st, label_sd = list(stages), 1.0
     if model_type in ("elastic_net", "linear"):
-        st.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True))
-    st.append(regressor(model_type, seed, **params))
+        st.append(StandardScaler(inputCol="features", outputCol="sample_scaled" if model_type == "elastic_net" else "scaled",
+                                 withMean=True, withStd=True))
+    if model_type == "elastic_net":
+        if train is None or not n_features:
+            raise ValueError("an elastic net needs its training rows and number of features")
+        n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+        label_sd = sd or 1.0
+        st.append(ElementwiseProduct(inputCol="sample_scaled", outputCol="scaled",
+                                     scalingVec=Vectors.dense([math.sqrt(n / max(1, n - 1))] * n_features)))
+    st.append(regressor(model_type, seed, label_sd, **params))
     return Pipeline(stages=st)
 
 
@@ -127,31 +153,52 @@ def evaluate(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
             .drop("_sse", "_sst"))
 
 
-def cross_validate(df: DataFrame, pipeline: Pipeline, folds: int = 5, seed: int = 42,
-                   param_maps: list | None = None, parallelism: int = 4) -> tuple:
-    """K-fold CV scored by r2; returns (best model, mean r2 per param map)."""
-    ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="r2")
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=param_maps or [{}], evaluator=ev,
-                        numFolds=folds, seed=seed, parallelism=parallelism)
-    model = cv.fit(df)
-    return model.bestModel, list(model.avgMetrics)
+def with_folds(df: DataFrame, folds: int = 5, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """Adds ``fold``: a seeded hash of the row's key."""
+    key = key or [c for c in df.columns if c.lower() in ("year", "state_code", "county_fips", "crop")]
+    return df.withColumn("fold", F.pmod(F.xxhash64(*[_q(k) for k in key], F.lit(seed)), F.lit(folds)).cast("int"))
 
 
-def random_search_maps(pipeline: Pipeline, model_type: str, n_iter: int = 20, seed: int = 42) -> list:
+def cross_validate(df: DataFrame, build, folds: int = 5, seed: int = 42, param_maps: list[dict] | None = None,
+                   parallelism: int = 4) -> tuple[dict, list[float]]:
+    """K-fold CV scored by r2; returns (best parameters, mean r2 per parameter map).
+
+    ``build(train, params)`` gives the pipeline for one fold's training rows, so
+    whatever depends on them (the elastic net's penalty) is set fold by fold.
+    """
+    ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="r2")
+    maps = param_maps or [{}]
+    rows = with_folds(df, folds, seed).persist()
+    parts = [f for (f,) in rows.select("fold").distinct().orderBy("fold").collect()]
+
+    def score(job):
+        params, f = job
+        train = rows.filter(F.col("fold") != f)
+        return ev.evaluate(build(train, params).fit(train).transform(rows.filter(F.col("fold") == f)))
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        found = list(pool.map(score, [(p, f) for p in maps for f in parts]))
+    rows.unpersist()
+    means = [sum(found[i * len(parts):(i + 1) * len(parts)]) / max(1, len(parts)) for i in range(len(maps))]
+    return maps[max(range(len(maps)), key=lambda i: means[i])], means
+
+
+#: M10, fixed values: the search spaces. MLlib has no minimum split size and stops at depth 30
+#: (None and 40 fit as 30); both stay in the spaces.
+SEARCH_SPACES = {
+    "random_forest": {"n_estimators": [50, 100, 200, 300], "max_depth": [None, 10, 20, 30, 40],
+                      "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4]},
+    "gradient_boosting": {"n_estimators": [50, 100, 200, 300], "learning_rate": [0.01, 0.05, 0.1, 0.2],
+                          "max_depth": [3, 5, 7, 9], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4]},
+    "elastic_net": {"alpha": [0.0001, 0.001, 0.01, 0.1, 1.0, 10.0], "l1_ratio": [0.1, 0.3, 0.5, 0.7, 0.9]},
+}
+
+
+def random_search_maps(model_type: str, n_iter: int = 20, seed: int = 42) -> list[dict]:
     """A seeded sample of ``n_iter`` parameter maps from the model's search space."""
-    est = pipeline.getStages()[-1]
-    g = ParamGridBuilder()
-    if model_type == "random_forest":
-        g = (g.addGrid(est.numTrees, [50, 100, 200]).addGrid(est.maxDepth, [5, 10, 20, 30])
-             .addGrid(est.minInstancesPerNode, [1, 2, 4]))
-    elif model_type == "gradient_boosting":
-        g = (g.addGrid(est.maxIter, [50, 100, 200]).addGrid(est.stepSize, [0.01, 0.05, 0.1, 0.2])
-             .addGrid(est.maxDepth, [3, 5, 7]))
-    elif model_type == "elastic_net":
-        g = g.addGrid(est.regParam, [0.01, 0.1, 1.0, 10.0]).addGrid(est.elasticNetParam, [0.1, 0.5, 0.7, 0.9])
-    maps = g.build()
-    rng = random.Random(seed)
-    return maps if len(maps) <= n_iter else rng.sample(maps, n_iter)
+    space = SEARCH_SPACES[model_type]
+    maps = [dict(zip(space, values)) for values in itertools.product(*space.values())]
+    return maps if len(maps) <= n_iter else random.Random(seed).sample(maps, n_iter)
 
 
 def feature_importance(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
@@ -182,15 +229,14 @@ def linear_contributions(df: DataFrame, model: PipelineModel, names: list[str])
 def train_crop_models(df: DataFrame, crop_col: str = "crop", target: str = "yield",
                       model_types: tuple[str, ...] = ("random_forest", "gradient_boosting", "linear"),
                       features: list[str] | None = None, min_rows: int = 10, seed: int = 42,
-                      crops: list[str] | None = None, parallelism: int = 8,
-                      rows_per_partition: int = 500_000) -> tuple[dict, DataFrame]:
+                      crops: list[str] | None = None, parallelism: int = 8) -> tuple[dict, DataFrame]:
     """M15 + P13: per crop (with >= min_rows rows) and model type: split, fit, evaluate.
 
     Returns ({(crop, model_type): PipelineModel}, metrics DataFrame). The crop
     list is a fixed small dimension, so the loop is over crops, not rows.
     """
     framed, feats, stages = modeling_frame(df, target, features)
-    split = exact_split(framed, 0.2, seed, by=[crop_col]).persist()
+    split = materialize(exact_split(framed, 0.2, seed, by=[crop_col]))
     # Crops with fewer than ``min_rows`` rows are skipped (collects one row per crop)
     sizes = {r[0]: r[1] for r in split.groupBy(crop_col).count().collect()}
     eligible = crops or sorted(c for c, n in sizes.items() if n >= min_rows)
@@ -199,10 +245,8 @@ def train_crop_models(df: DataFrame, crop_col: str = "crop", target: str = "yiel
     def fit(job):
         crop, mt = job
         part = split.filter(_q(crop_col) == crop)
-        # iterative learners (GBT: one job per tree level per iteration) pay a task per partition per
-        # job; the partition count follows the crop's measured size, not the upstream shuffle's
-        n_parts = max(1, math.ceil(sizes.get(crop, 0) / rows_per_partition))
-        m = build_pipeline(stages, mt, seed).fit(part.filter(~F.col("is_test")).coalesce(n_parts))
+        train = part.filter(~F.col("is_test"))
+        m = build_pipeline(stages, mt, seed, train, len(feats)).fit(train)
         pred = m.transform(part.filter(F.col("is_test"))).select(
             F.lit(crop).alias(crop_col), F.lit(mt).alias("model_type"), "label", "prediction")
         return job, m, pred
@@ -229,7 +273,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def ceil_fraction(n: int, f: float) -> int:
-    return int(math.ceil(n * f))

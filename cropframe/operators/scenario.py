@@ -29,35 +29,41 @@ def signed_label(x: Column, unit: str = "%") -> Column:
     return F.format_string("%+.1f" + unit.replace("%", "%%"), x)
 
 
+AXES = ("temp_change", "precip_change")
+
+
 def apply_scenario(df: DataFrame, dt: Column, dp: Column, mode: str = "additive",
                    temperature: str = "temperature", precipitation: str = "precipitation",
-                   gdd: str = "AVG_GDD", interaction: tuple[str, str, str] | None = None) -> DataFrame:
-    """C1/C3/C4 transforms.
+                   gdd: str = "AVG_GDD", interaction: tuple[str, str, str] | None = None,
+                   features: list[str] | None = None) -> DataFrame:
+    """C1/C3/C4 transforms, each computed in one projection from the untouched columns.
 
     additive: temperature += dT, precipitation *= (1 + dP/100)
     gdd:      gdd *= (1 + dT/20), precipitation *= (1 + dP/100), interaction recomputed
-    percent:  every temperature-like column *= (1 + dT/100), precipitation-like *= (1 + dP/100)
+    percent:  of ``features`` (all columns but the scenario axes), those named like a
+              temperature *= (1 + dT/100), those named like precipitation *= (1 + dP/100)
     """
     pf = F.lit(1.0) + dp / 100
     if mode == "additive":
-        return df.withColumn(temperature, _q(temperature) + dt).withColumn(precipitation, _q(precipitation) * pf)
-    if mode == "gdd":
-        out = df.withColumn(gdd, _q(gdd) * (F.lit(1.0) + dt / 20)).withColumn(precipitation, _q(precipitation) * pf)
+        changed = {temperature: _q(temperature) + dt, precipitation: _q(precipitation) * pf}
+    elif mode == "gdd":
+        changed = {gdd: _q(gdd) * (F.lit(1.0) + dt / 20), precipitation: _q(precipitation) * pf}
         if interaction:
             a, b, name = interaction
-            out = out.withColumn(name, _q(a) * _q(b))
-        return out
-    if mode == "percent":
-        tf = F.lit(1.0) + dt / 100
-        out = df
-        for c in df.columns:
-            low = c.lower()
-            if any(k in low for k in ("temp", "tmax", "tmin", "tmean", "gdd")):
-                out = out.withColumn(c, _q(c) * tf)
-            elif any(k in low for k in ("precip", "ppt", "prcp")):
-                out = out.withColumn(c, _q(c) * pf)
-        return out
-    raise ValueError(f"unknown scenario mode {mode!r}")
+            changed[name] = changed.get(a, _q(a)) * changed.get(b, _q(b))
+    elif mode == "percent":
+        changed = {}
+        for c in features if features is not None else [c for c in df.columns if c not in AXES]:
+            low, value = c.lower(), _q(c)
+            if any(k in low for k in ("temp", "tmax", "tmin", "tmean")):
+                value = value * (F.lit(1.0) + dt / 100)
+            if any(k in low for k in ("prec", "prcp", "ppt")):
+                value = value * pf
+            changed[c] = value
+    else:
+        raise ValueError(f"unknown scenario mode {mode!r}")
+    return df.select(*[changed.get(c, _q(c)).alias(c) for c in df.columns],
+                     *[v.alias(c) for c, v in changed.items() if c not in df.columns])
 
 
 def scenario_grid(base: DataFrame, t_range: tuple[float, float, int] = (-2.0, 5.0, 8),
@@ -79,16 +85,19 @@ def predict_grid(grid: DataFrame, model: PipelineModel) -> DataFrame:
     return model.transform(grid).withColumnRenamed("prediction", "predicted_yield")
 
 
-def change_vs_baseline(pred: DataFrame, keys: list[str] | None = None, value: str = "predicted_yield") -> DataFrame:
-    """Percent change against the (0, 0) cell of the same base row, and its direction."""
-    keys = keys or []
-    base = (pred.filter((F.col("temp_change") == 0) & (F.col("precip_change") == 0))
-            .select(*keys, _q(value).alias("_baseline")))
-    out = pred.join(base, keys, "left") if keys else pred.join(base, how="left")
-    pct = F.try_divide(_q(value) - F.col("_baseline"), F.col("_baseline")) * 100
+def change_vs_baseline(pred: DataFrame, baseline: DataFrame, keys: list[str],
+                       value: str = "predicted_yield") -> DataFrame:
+    """Percent change against the baseline prediction of the same keys, and its direction.
+
+    ``baseline`` holds the base rows scored with zero deltas, so a grid needs no
+    cell of zero change. No change counts as an increase.
+    """
+    if not keys:
+        raise ValueError("change_vs_baseline needs the keys that name a base row")
+    out = pred.join(baseline.select(*keys, _q(value).alias("baseline_yield")), keys, "left")
+    pct = F.try_divide(_q(value) - F.col("baseline_yield"), F.col("baseline_yield")) * 100
     return (out.withColumn("pct_change", pct)
-            .withColumn("direction", F.when(pct > 0, "increase").when(pct < 0, "decrease").otherwise("no change"))
-            .withColumnRenamed("_baseline", "baseline_yield"))
+            .withColumn("direction", F.when(pct >= 0, "increase").when(pct < 0, "decrease")))
 
 
 def predict_scenario(base: DataFrame, model: PipelineModel, dt: float = 0.0, dp: float = 0.0,

@@ -63,36 +63,28 @@ def polygon_cells(polygons: DataFrame, cell_deg: float = 1.0) -> DataFrame:
             .select("*", F.explode(cy).alias("_cy")))
 
 
-# FIXED VALUE: above this many ring vertices in total (~16 bytes each) the polygon side is not broadcast
-MAX_BROADCAST_VERTICES = 4_000_000
-
-
 def point_in_polygon(points: DataFrame, polygons: DataFrame, lon: str = "longitude", lat: str = "latitude",
                      polygon_cols: list[str] | None = None, cell_deg: float = 1.0) -> DataFrame:
     """Attach the attributes of the polygon containing each point (inner join).
 
     ``polygons`` must carry ``ring`` and the bbox columns (``lon_min`` ...).
-    Two joins, neither of which moves the points: (1) a broadcast hash join on
-    the cell key against the distinct (polygon attributes, cell) pairs, a table
-    of small integers whose size is set by the bounding boxes; (2) a join on
-    the attributes against the polygons themselves, each ring held once. The
-    polygon side is broadcast only when its total vertex count (one aggregate
-    over the boundary table) is below ``MAX_BROADCAST_VERTICES``; above that the
-    candidates are shuffled to the rings instead (AQE splits a hot polygon).
+    Two joins: (1) on the cell key against the distinct (polygon attributes,
+    cell) pairs; (2) on the attributes against the polygons, each ring held once.
+    The planner broadcasts a polygon side that its statistics show to be small
+    and shuffles it otherwise (AQE splits a hot cell or polygon).
     """
     polygon_cols = polygon_cols or [c for c in polygons.columns
                                     if c not in ("ring", "lon_min", "lat_min", "lon_max", "lat_max")]
     cells = polygon_cells(polygons, cell_deg).select(*polygon_cols, "_cx", "_cy").distinct()
     rings = polygons.select(*polygon_cols, "ring", "lon_min", "lat_min", "lon_max", "lat_max")
-    vertices = polygons.agg(F.sum(F.size("ring"))).first()[0] or 0
     pts = points.select("*", F.floor(F.col(lon) / cell_deg).cast("int").alias("_px"),
                         F.floor(F.col(lat) / cell_deg).cast("int").alias("_py"))
     dup = [c for c in polygon_cols if c in points.columns]
     for c in dup:
         pts = pts.withColumnRenamed(c, f"_pt_{c}")
-    cand = (pts.join(F.broadcast(cells), (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
+    cand = (pts.join(cells, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
             .drop("_px", "_py", "_cx", "_cy"))
-    j = cand.join(F.broadcast(rings) if vertices <= MAX_BROADCAST_VERTICES else rings, polygon_cols)
+    j = cand.join(rings, polygon_cols)
     j = j.filter(F.col(lon).between(F.col("lon_min"), F.col("lon_max"))
                  & F.col(lat).between(F.col("lat_min"), F.col("lat_max"))
                  & _inside_ring(F.col("ring"), F.col(lon), F.col(lat)))
@@ -123,25 +115,6 @@ def county_stats_by_polygon(points: DataFrame, counties: DataFrame, ddof: int =
     return zonal_stats(inside, ["state_code", "county_name", "county_fips"], ddof=ddof)
 
 
-def county_fanout(points: DataFrame, counties: DataFrame, seed: int = 42) -> DataFrame:
-    """Every county gets its state's mean x a factor in [0.9, 1.1]; min/max = x0.9/x1.1.
-
-    The reference draws the factor at random; here it is a seeded hash of the
-    FIPS code, so reruns (and retried tasks) give the same numbers.
-    """
-    st = points.groupBy("state_code").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std"))
-    factor = F.lit(0.9) + F.lit(0.2) * (F.pmod(F.xxhash64(F.col("county_fips"), F.lit(seed)), F.lit(1_000_000))
-                                        / F.lit(1_000_000.0))
-    c = counties.select("state_code", "county_name", "county_fips")
-    j = st.join(F.broadcast(c), "state_code")
-    return j.select("state_code", "county_name", "county_fips",
-                    (F.col("_mean") * factor).alias("mean_value"),
-                    (F.col("_mean") * factor * 0.9).alias("min_value"),
-                    (F.col("_mean") * factor * 1.1).alias("max_value"),
-                    (F.col("_std") * factor).alias("std_value"),
-                    F.lit(100).cast("bigint").alias("count"))
-
-
 def crop_region_weighted(state_values: DataFrame, crop_regions: DataFrame, crop_weights: DataFrame,
                          value: str = "mean_value", crop: str | None = None) -> DataFrame:
     """Per crop, weighted mean of the key states present; weight defaults to OTHER, else 0.

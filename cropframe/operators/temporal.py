@@ -149,28 +149,29 @@ def season_statistics(daily: DataFrame, crop: str, keys: list[str] | None = None
     Precipitation -> total, max daily, days with rain (> 0); other variables ->
     mean, min, max; temperatures -> GDD base 10 (capped at 30 for max columns),
     one column per temperature variable (gdd_base10_<var>; ``gdd_base10`` is
-    tmean's). Critical periods add <period>_<var>_total / _mean. Everything is
-    a single aggregate over the season rows joined to the period-day table.
+    tmean's). Critical periods add <period>_<var>_total / _mean, from a second
+    aggregate over the rows joined to the period-day table.
     """
     keys = keys or []
     spark = _spark(daily)
     cols = [(c, n) for c, n in _stat_columns(daily) if c not in keys]
     season = filter_growing_season(daily, crop, state_code, per_row_state)
-    aggs = []
+    named = {}  # a name several columns give (days_with_rain) keeps the last one's statistic
     for c, name in cols:
         x = F.col(f"`{c}`")
         low = name.lower()
         if "precipitation" in low or "ppt" in low:
-            aggs += [F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{name}_total"),
-                     F.max(x).alias(f"{name}_max_daily")]
+            named[f"{name}_total"] = F.coalesce(F.sum(x), F.lit(0.0))
+            named[f"{name}_max_daily"] = F.max(x)
             if "day" in daily.columns:
-                aggs += [F.count_if(x > 0).alias("days_with_rain")]
+                named["days_with_rain"] = F.count_if(x > 0)
         else:
-            aggs += [F.avg(x).alias(f"{name}_mean"), F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max")]
+            named |= {f"{name}_mean": F.avg(x), f"{name}_min": F.min(x), f"{name}_max": F.max(x)}
             if "temp" in low:
                 g = agro.gdd_simple(x, 10.0, 30.0 if "max" in low else None)
-                gname = "gdd_base10" if name == "temperature_mean" else f"gdd_base10_{name}"
-                aggs += [F.coalesce(F.sum(g), F.lit(0.0)).alias(gname)]
+                named["gdd_base10" if name == "temperature_mean" else f"gdd_base10_{name}"] = F.coalesce(
+                    F.sum(g), F.lit(0.0))
+    aggs = [v.alias(k) for k, v in named.items()]
     stats = season.groupBy(*keys).agg(*aggs) if keys else season.agg(*aggs)
     if not periods:
         return stats

@@ -14,10 +14,8 @@ from cropframe.sources import sinks
 def climate_features_for_modeling(daily: DataFrame, crop: str | None = None,
                                   keys: tuple[str, ...] = ("state_code", "year")) -> DataFrame:
     """F2/W3 -> F4/W4/A20 -> F5/W5/A31 -> F7 (daily chain); with a crop, season and
-    critical-period statistics per state-year (A13/A14/A35) and crop interactions (F11/F12).
-
-    All windows of the daily chain share the (state, year) partitioning, so the
-    chain costs one shuffle plus the 12-row climatology broadcast.
+    critical-period statistics of the weather and of the derived columns per state-year
+    (A13/A14/A35), and crop interactions (F11/F12).
     """
     out = FE.heat_stress_features(daily)
     out = FE.drought_features(out)
@@ -25,8 +23,7 @@ def climate_features_for_modeling(daily: DataFrame, crop: str | None = None,
     out = FE.water_balance_features(out)
     if not crop:
         return out
-    stats = temporal.season_statistics(daily.drop("date") if "date" in daily.columns else daily, crop,
-                                       keys=list(keys))
+    stats = temporal.season_statistics(out.drop("date"), crop, keys=list(keys))
     return FE.climate_crop_interactions(stats, crop)
 
 
@@ -41,40 +38,3 @@ def integrate_and_write(census: DataFrame, climate: DataFrame, root: str, level:
     """Crop-aware join (J4), z-scores (A22), one partitioned write per crop."""
     merged = integrate.crop_specific_merge(census, climate, level)
     return sinks.write_dataset(integrate.standardize(merged), root, "integrated", ("crop",), ds)
-
-
-def station_features(normals: DataFrame) -> dict[str, DataFrame]:
-    """Named feature frames over one station scan."""
-    return FE.station_climate_features(normals)
-
-
-def train_scenario_models(training: DataFrame, seed: int = 42) -> tuple[dict, DataFrame]:
-    """Scenario models (random forest 50 trees depth 5, and linear) per crop on the S17 set.
-
-    The wide training set (one target column per crop) is unpivoted to (crop, yield)
-    so one call trains every crop.
-    """
-    feats = ["temperature", "precipitation", "soil_quality", "growing_season", "elevation", "fertilizer"]
-    crops = [c for c in dims.CROPS if c in training.columns]
-    long = (training.withColumn("sample_id", F.monotonically_increasing_id())
-            .unpivot(["sample_id", *feats], crops, "crop", "yield"))
-    framed, _f, stages = modeling.modeling_frame(long, "yield", feats)
-    split = modeling.exact_split(framed, 0.2, seed, by=["crop"], key=["sample_id"]).persist()
-    models, preds = {}, []
-    for crop in crops:
-        part = split.filter(F.col("crop") == crop)
-        train, test = part.filter(~F.col("is_test")), part.filter(F.col("is_test"))
-        for mt, params in (("random_forest", {"n_estimators": 50, "max_depth": 5}), ("linear", {})):
-            m = modeling.build_pipeline(stages, mt, seed, **params).fit(train)
-            models[(crop, mt)] = m
-            preds.append(m.transform(test).select(F.lit(crop).alias("crop"), F.lit(mt).alias("model_type"),
-                                                  "label", "prediction"))
-    allp = preds[0]
-    for p in preds[1:]:
-        allp = allp.unionByName(p)
-    return models, modeling.evaluate(allp, ["crop", "model_type"])
-
-
-def state_stats_for(spark: SparkSession, points: DataFrame, state_code: str | None = None) -> DataFrame:
-    """A1 entry point mirroring the reference signature (optionally one state)."""
-    return spatial.state_stats(points, state_code)

@@ -198,9 +198,3 @@ def q_cropland_state_stats(spark, sf_dir):
     cropland = (B.table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
                 .select(F.col("c_custkey").cast("string").alias("grid_id")))
     return spatial.state_stats(spatial.cropland_filter(B.grid_points(spark, sf_dir), cropland))
-
-
-@register("county_fanout", "J16")
-def q_county_fanout(spark, sf_dir):
-    """County statistics simulated from state means with a seeded per-FIPS factor."""
-    return spatial.county_fanout(B.grid_points(spark, sf_dir), dims.county_boundaries(spark))

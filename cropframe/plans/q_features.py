@@ -329,6 +329,7 @@ def q_station_seasonal_aggregates(spark, sf_dir):
     return FE.seasonal_aggregates(FE.station_monthly_aggregates(B.station_observations(spark, sf_dir)))
 
 
+#: The variables of the given table, for the SQL twin.
 _EVENT_TYPES = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
 
 
@@ -337,8 +338,8 @@ SELECT "STATION", strftime("DATE", '%Y-%m-%d') AS "DATE", """ + ", ".join(
     f"round(avg(CASE WHEN \"VARIABLE\" = '{v}' THEN \"VALUE\" END), 6) AS \"DLY-{v}-NORMAL\"" for v in _EVENT_TYPES)
     + """ FROM station_obs GROUP BY "STATION", "DATE\"""")
 def q_station_variable_pivot(spark, sf_dir):
-    """Long readings pivoted to one mean column per variable (explicit value list)."""
-    w = integrate.station_variable_pivot(B.station_observations(spark, sf_dir), _EVENT_TYPES)
+    """Long readings pivoted to one mean column per variable present."""
+    w = integrate.station_variable_pivot(B.station_observations(spark, sf_dir))
     return w.withColumn("DATE", date_str("DATE"))
 
 

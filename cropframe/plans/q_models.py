@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropframe.operators import integrate, modeling, scenario
-from cropframe.plans.q_climate import _SEASON_COLS, season_stats
+from cropframe.plans.q_climate import season_stats
 from cropframe.plans.q_features import _station_crop
 from cropframe.plans.registry import register
 from cropframe.session import materialize
@@ -49,14 +49,14 @@ def q_elastic_net_metrics(spark, sf_dir):
     return metrics
 
 
-@register("feature_importance", "M13,T1", digits=6)
+@register("feature_importance", "M13", digits=6)
 def q_feature_importance(spark, sf_dir):
-    """M13 + T1: random-forest importances per crop, top 3 features (the limit is the report)."""
+    """Random-forest importances of every feature per crop, ranked."""
     df = model_dataset(spark, sf_dir).select("year", "state_code", "crop", "yield", *_FEATURES)
     models, _ = modeling.train_crop_models(df, features=_FEATURES, model_types=("random_forest",))
     rows = [(crop, name, float(v), rank + 1)
             for (crop, _mt), m in sorted(models.items())
-            for rank, (name, v) in enumerate(modeling.feature_importance(m, _FEATURES)[:3])]
+            for rank, (name, v) in enumerate(modeling.feature_importance(m, _FEATURES))]
     return spark.createDataFrame(rows, "crop string, feature string, importance double, rank int")
 
 
@@ -69,34 +69,31 @@ def q_cross_validation(spark, sf_dir):
 
     def cv(crop):
         _, scores = modeling.cross_validate(framed.filter(F.col("crop") == crop),
-                                            modeling.build_pipeline(stages, "linear"), folds=5)
+                                            lambda train, params: modeling.build_pipeline(stages, "linear"), folds=5)
         return crop, float(scores[0])
 
-    with ThreadPoolExecutor(max_workers=max(1, len(crops))) as pool:
+    with ThreadPoolExecutor(max_workers=4) as pool:
         rows = list(pool.map(cv, crops))
     return spark.createDataFrame(rows, "crop string, cv_r2 double")
 
 
 @register("random_search", "M10,M9,M7", digits=6)
 def q_random_search(spark, sf_dir):
-    """Seeded random search per crop (20 draws from the elastic-net space, which holds 16, so
-    all of them) scored by 5-fold CV r2; best map and its score. Crops are searched concurrently."""
+    """20 seeded draws per crop from the elastic net's space of 30, scored by 5-fold CV r2; best map and score."""
     df = model_dataset(spark, sf_dir).select("year", "state_code", "crop", "yield", *_FEATURES)
     framed, _feats, stages = modeling.modeling_frame(df, "yield", _FEATURES)
-    sizes = {r[0]: r[1] for r in framed.groupBy("crop").count().collect()}
+    maps = modeling.random_search_maps("elastic_net", n_iter=20, seed=42)
 
     def search(crop):
-        pipe = modeling.build_pipeline(stages, "elastic_net")
-        maps = modeling.random_search_maps(pipe, "elastic_net", n_iter=20, seed=42)
-        part = framed.filter(F.col("crop") == crop).coalesce(max(1, -(-sizes[crop] // 500_000)))
-        best, scores = modeling.cross_validate(part, pipe, folds=5, param_maps=maps, parallelism=4)
-        est = best.stages[-1]
-        return crop, len(maps), float(max(scores)), float(est.getRegParam()), float(est.getElasticNetParam())
+        best, scores = modeling.cross_validate(
+            framed.filter(F.col("crop") == crop), lambda train, params: modeling.build_pipeline(
+                stages, "elastic_net", train=train, n_features=len(_FEATURES), **params), folds=5, param_maps=maps)
+        return crop, len(maps), float(max(scores)), float(best["alpha"]), float(best["l1_ratio"])
 
-    with ThreadPoolExecutor(max_workers=max(1, len(sizes))) as pool:
-        rows = list(pool.map(search, sorted(sizes)))
-    return spark.createDataFrame(rows, "crop string, n_maps int, best_cv_r2 double, reg_param double, "
-                                       "elastic_net_param double")
+    crops = [r[0] for r in framed.select("crop").distinct().orderBy("crop").collect()]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = list(pool.map(search, crops))
+    return spark.createDataFrame(rows, "crop string, n_maps int, best_cv_r2 double, alpha double, l1_ratio double")
 
 
 @register("linear_contributions", "M14", digits=6)
@@ -116,20 +113,21 @@ def _scenario_base(df: DataFrame) -> DataFrame:
     return df.groupBy("crop").agg(*[F.avg(c).alias(c) for c in _FEATURES])
 
 
-@register("scenario_grid", "C1,C2,C6,J14,F18,F19", digits=6)
+@register("scenario_grid", "C1,C2,C5,C6,J14,F18,F19", digits=6)
 def q_scenario_grid(spark, sf_dir):
     """C2 + C6: additive 8 x 5 grid around each crop's mean season, scored by its linear model."""
     df = model_dataset(spark, sf_dir).select("year", "state_code", "crop", "yield", *_FEATURES)
     models, _ = modeling.train_crop_models(df, features=_FEATURES, model_types=("linear",))
     base = _scenario_base(df)
-    parts = []
+    columns = {"temperature": "growing_season_tmean_mean", "precipitation": "growing_season_ppt_total"}
+    parts, bases = [], []
     for (crop, _mt), m in sorted(models.items()):
-        grid = scenario.scenario_grid(base.filter(F.col("crop") == crop), mode="additive",
-                                      temperature="growing_season_tmean_mean",
-                                      precipitation="growing_season_ppt_total")
+        own = base.filter(F.col("crop") == crop)
+        grid = scenario.scenario_grid(own, mode="additive", **columns)
         parts.append(scenario.predict_grid(grid, m).select("crop", "temp_change", "precip_change",
                                                            "predicted_yield"))
-    out = scenario.change_vs_baseline(_union(parts), ["crop"])
+        bases.append(scenario.predict_scenario(own, m, required=_FEATURES, **columns).select("crop", "predicted_yield"))
+    out = scenario.change_vs_baseline(_union(parts), _union(bases), ["crop"])
     return out.withColumn("label", F.concat_ws(" / ", scenario.signed_label(F.col("temp_change"), " degC"),
                                                scenario.signed_label(F.col("precip_change"), "%")))
 
@@ -142,29 +140,29 @@ def q_scenario_grid_percent(spark, sf_dir):
     base = _scenario_base(df)
     parts = []
     for (crop, _mt), m in sorted(models.items()):
-        grid = scenario.scenario_grid(base.filter(F.col("crop") == crop), (-10.0, 10.0, 8), (-30.0, 30.0, 8),
-                                      mode="percent")
+        grid = scenario.scenario_grid(base.filter(F.col("crop") == crop), (-2.0, 5.0, 8), (-30.0, 30.0, 8),
+                                      mode="percent", features=_FEATURES)
         parts.append(scenario.predict_grid(grid, m).select("crop", "temp_change", "precip_change",
                                                            "predicted_yield"))
     return _union(parts)
 
 
-@register("scenario_grid_gdd", "C3,C5,F16", digits=6)
+@register("scenario_grid_gdd", "C3,F16", digits=6)
 def q_scenario_grid_gdd(spark, sf_dir):
-    """8 x 7 GDD-scaled grid on the station-feature model (GDD, precipitation, interaction)."""
+    """Crops x models x 8 x 7 GDD-scaled cells on the station-feature models (GDD, precipitation, interaction)."""
     feats = ["AVG_GDD", "GROWING_SEASON_PRCP", "GDD_PRCP_INTERACTION"]
-    df = integrate.engineer_yield_features(_station_crop(spark, sf_dir)).select(
-        F.col("YEAR").alias("year"), F.col("CROP").alias("crop"), F.col("YIELD").alias("yield"), *feats)
-    framed, _f, stages = modeling.modeling_frame(df, "yield", feats)
-    model = modeling.build_pipeline(stages, "linear").fit(framed)
+    df = materialize(integrate.engineer_yield_features(_station_crop(spark, sf_dir)).select(
+        F.col("YEAR").alias("year"), F.col("CROP").alias("crop"), F.col("YIELD").alias("yield"), *feats))
+    models, _ = modeling.train_crop_models(df, features=feats, min_rows=2)
     base = df.groupBy("crop").agg(*[F.avg(c).alias(c) for c in feats])
-    grid = scenario.scenario_grid(base, (-2.0, 5.0, 8), (-20.0, 20.0, 7), mode="gdd",
-                                  precipitation="GROWING_SEASON_PRCP", gdd="AVG_GDD",
-                                  interaction=("AVG_GDD", "GROWING_SEASON_PRCP", "GDD_PRCP_INTERACTION"))
-    return scenario.predict_grid(grid, model).select("crop", "temp_change", "precip_change", "predicted_yield")
-
-
-_ = _SEASON_COLS
+    parts = []
+    for (crop, model_type), m in sorted(models.items()):
+        grid = scenario.scenario_grid(base.filter(F.col("crop") == crop), (-2.0, 5.0, 8), (-30.0, 30.0, 7), mode="gdd",
+                                      precipitation="GROWING_SEASON_PRCP", gdd="AVG_GDD",
+                                      interaction=("AVG_GDD", "GROWING_SEASON_PRCP", "GDD_PRCP_INTERACTION"))
+        parts.append(scenario.predict_grid(grid, m).select("crop", F.lit(model_type).alias("model_type"), "temp_change",
+                                                           "precip_change", "predicted_yield"))
+    return _union(parts)
 
 
 @register("climate_features_for_modeling", "X2,F11,F12,A35", digits=6)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,22 +30,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local") or spark.conf.get("spark.checkpoint.dir", None):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) is a
-    fallback folder set, so lineage cuts never land on a machine-local path on a
-    cluster.
+    The cluster's setting always wins; without one, see ``checkpoint_root``.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    target = configured or fallback or os.path.join("/tmp", "cropframe-checkpoints")
+    target = checkpoint_root(spark, fallback)
     spark.sparkContext.setCheckpointDir(target)
     return spark.sparkContext.getCheckpointDir() or target
 
@@ -56,8 +55,22 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     anything that must be found again after a driver restart (streaming
     checkpoints) is rooted here, not at ``getCheckpointDir()``.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or fallback
-            or os.path.join("/tmp", "cropframe-checkpoints")).rstrip("/")
+    target = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if target:
+        return target.rstrip("/")
+    return _local_root(spark.sparkContext.master)
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="cropframe-")
+
+
+def _local_root(master: str) -> str:
+    """A temporary folder of this process for a local master; on a cluster, executors would not see it."""
+    if not master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is unset: set it to a folder the driver and all executors share")
+    return _own_folder()
 
 
 def materialize(df: DataFrame) -> DataFrame:

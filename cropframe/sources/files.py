@@ -76,7 +76,7 @@ CROP_JSON = T.StructType([T.StructField("data", T.ArrayType(T.StructType([
 
 
 def read_crop_json(spark: SparkSession, path: str, strip_commas: bool = False) -> DataFrame:
-    """``{data: [...]}`` -> YEAR, CROP, CATEGORY, VALUE, UNIT, ingest_seq.
+    """``{data: [...]}`` -> YEAR, CROP, CATEGORY, VALUE, UNIT, ingest_seq (file, position).
 
     Missing fields -> 0 / ''; a value that is not a number ('(D)', or '1,234'
     unless ``strip_commas``) drops the row, as the reference's float() does.
@@ -94,7 +94,7 @@ def read_crop_json(spark: SparkSession, path: str, strip_commas: bool = False) -
         F.coalesce(F.col("r.unit_desc"), F.lit("")).alias("UNIT"),
         F.col("_f"), F.col("_pos"))
     return (out.filter(F.col("VALUE").isNotNull())
-            .withColumn("ingest_seq", F.col("_pos").cast("long")).drop("_f", "_pos"))
+            .withColumn("ingest_seq", F.struct("_f", "_pos")).drop("_f", "_pos"))
 
 
 STATION_JSON = T.StructType([T.StructField("results", T.ArrayType(T.StructType([

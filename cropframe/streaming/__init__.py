@@ -10,12 +10,13 @@ folder, so a lost executor or driver restart resumes where it stopped).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cropframe.schema import GRID_POINTS
-from cropframe.session import checkpoint_root
+from cropframe.session import checkpoint_root, materialize
 
 
 def grid_point_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 100) -> DataFrame:
@@ -39,15 +40,33 @@ def state_month_stream(points: DataFrame) -> DataFrame:
                  F.count("value").alias("count")))
 
 
-def start_state_month(spark: SparkSession, root: str, sink_table: str, name: str = "state_month",
+def start_state_month(spark: SparkSession, root: str, sink: str, name: str = "state_month",
                       available_now: bool = True, checkpoint_location: str | None = None) -> StreamingQuery:
-    """Run the incremental aggregate into a table (complete mode; the result is small: states x months x 4).
+    """Keep the incremental aggregate as Parquet under ``sink``, one folder per year and month.
 
-    The checkpoint defaults to ``<spark.checkpoint.dir>/streaming/<name>``: stable across driver
-    restarts (the context's checkpoint dir carries a per-application UUID), so a restart resumes.
+    Update mode: a trigger brings the groups that changed; the month folders they
+    belong to are rewritten with the other rows kept, so a repeated trigger gives
+    the same files. ``sink="memory"`` is for tests. The checkpoint defaults to
+    ``<spark.checkpoint.dir>/streaming/<name>``: stable across driver restarts.
     """
     ckpt = checkpoint_location or f"{checkpoint_root(spark)}/streaming/{name}"
-    w = (state_month_stream(grid_point_stream(spark, root)).writeStream
-         .outputMode("complete").option("checkpointLocation", ckpt).queryName(name))
+    agg = state_month_stream(grid_point_stream(spark, root))
+    w = agg.writeStream.option("checkpointLocation", ckpt).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.format("memory").start() if sink_table == "memory" else w.toTable(sink_table)
+    if sink == "memory":
+        return w.outputMode("complete").format("memory").start()
+
+    def rewrite(changed: DataFrame, _epoch: int) -> None:
+        changed = materialize(changed)
+        months = changed.select("year", "month").distinct()
+        try:
+            old = changed.sparkSession.read.schema(changed.schema).parquet(sink)
+        except AnalysisException:
+            old = changed.limit(0)
+        kept = old.join(F.broadcast(months), ["year", "month"], "left_semi").join(
+            changed, ["state_code", "year", "month", "variable"], "left_anti")
+        merged = materialize(kept.unionByName(changed))  # read before the folders it came from are replaced
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("year", "month").parquet(sink))
+
+    return w.outputMode("update").foreachBatch(rewrite).start()

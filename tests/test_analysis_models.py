@@ -1,5 +1,8 @@
 """Correlation safety, OLS closed form vs MLlib, exact split, contributions, scenario grid properties."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,23 +63,61 @@ def test_signed_label(spark):
     assert got == ["+1.0%", "-2.0%", "+0.0%"]
 
 
-def test_random_search_is_seeded(spark):
-    framed = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
-    _, _, stages = modeling.modeling_frame(framed, "y", ["x"])
-    p = modeling.build_pipeline(stages, "random_forest")
-    a = modeling.random_search_maps(p, "random_forest", 5, 42)
-    b = modeling.random_search_maps(p, "random_forest", 5, 42)
-    assert len(a) == 5 and [sorted((k.name, v) for k, v in m.items()) for m in a] == \
-        [sorted((k.name, v) for k, v in m.items()) for m in b]
-
-
-def test_scenario_models_on_synthetic_set(spark):
-    from cropframe.plans.composites import train_scenario_models
-    from cropframe.sources import synth
-    models, metrics = train_scenario_models(synth.scenario_training_set(spark, 200))
-    rows = metrics.collect()
-    assert len(models) == 10 and len(rows) == 10
-    assert all(r["n"] == 40 for r in rows)  # exact 20% of 200 per crop
+def test_percent_grid_leaves_axes_and_other_columns(spark):
+    base = spark.createDataFrame([("A", 10.0, 100.0, 5.0)], "crop string, tmean double, ppt_total double, gdd double")
+    rows = scenario.scenario_grid(base, (-2.0, 5.0, 8), (-30.0, 30.0, 8), mode="percent").collect()
+    assert len(rows) == 64
+    assert sorted({round(r.temp_change, 9) for r in rows}) == [float(x) for x in range(-2, 6)]
+    for r in rows:
+        assert abs(r.tmean - 10.0 * (1 + r.temp_change / 100)) < 1e-12 and r.gdd == 5.0
+        assert abs(r.ppt_total - 100.0 * (1 + r.precip_change / 100)) < 1e-12
+
+
+def test_baseline_needs_no_zero_cell(spark):
+    pred = spark.createDataFrame([("A", -1.0, 50.0), ("A", 1.0, 200.0), ("A", 2.0, 100.0)],
+                                 "crop string, temp_change double, predicted_yield double")
+    base = spark.createDataFrame([("A", 100.0)], "crop string, predicted_yield double")
+    got = {r.temp_change: (r.pct_change, r.direction) for r in scenario.change_vs_baseline(pred, base, ["crop"]).collect()}
+    assert got == {-1.0: (-50.0, "decrease"), 1.0: (100.0, "increase"), 2.0: (0.0, "increase")}
+    with pytest.raises(ValueError):
+        scenario.change_vs_baseline(pred, base, [])
+
+
+def test_random_search_draws_from_the_whole_space():
+    for name, size in (("random_forest", 180), ("gradient_boosting", 576), ("elastic_net", 30)):
+        space = modeling.SEARCH_SPACES[name]
+        assert math.prod(map(len, space.values())) == size
+        maps = modeling.random_search_maps(name, 20, 42)
+        assert maps == modeling.random_search_maps(name, 20, 42) and len(maps) == 20 < size
+        assert all(m[k] in space[k] for m in maps for k in space)
+
+
+def test_elastic_net_closed_form_on_one_feature(spark):
+    rnd = random.Random(3)
+    x = [rnd.gauss(5, 2) for _ in range(60)]
+    y = [3 * a + rnd.gauss(0, 4) + 7 for a in x]
+    df = spark.createDataFrame(list(zip(x, y)), "x double, y double")
+    framed, feats, stages = modeling.modeling_frame(df, "y", ["x"])
+    for alpha, ratio in ((1.0, 0.5), (0.1, 0.9), (10.0, 0.1)):
+        pipe = modeling.build_pipeline(stages, "elastic_net", train=framed, n_features=1, alpha=alpha, l1_ratio=ratio)
+        got = pipe.fit(framed).stages[-1].coefficients[0]
+        mx, my = sum(x) / 60, sum(y) / 60
+        sd = math.sqrt(sum((a - mx) ** 2 for a in x) / 60)
+        rho = sum((a - mx) / sd * (b - my) for a, b in zip(x, y)) / 60
+        want = math.copysign(max(abs(rho) - alpha * ratio, 0.0), rho) / (1 + alpha * (1 - ratio))
+        assert abs(got - want) < 1e-6
+
+
+def test_forest_considers_all_features():
+    assert modeling.regressor("random_forest").getFeatureSubsetStrategy() == "all"
+
+
+def test_cross_validation_covers_every_row_once(spark):
+    rows = [(2000 + i, float(i % 7), 2.0 * (i % 7) + 1 + (i % 3) * 0.01) for i in range(60)]
+    framed, _, stages = modeling.modeling_frame(spark.createDataFrame(rows, "year int, x double, y double"), "y", ["x"])
+    assert {r.fold for r in modeling.with_folds(framed).collect()} == set(range(5))
+    best, means = modeling.cross_validate(framed, lambda train, params: modeling.build_pipeline(stages, "linear"))
+    assert best == {} and len(means) == 1 and means[0] > 0.99
 
 
 def test_exact_split_equals_sort_based_selection(spark):

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from cropframe.operators import integrate, spatial
-from cropframe.sources import files, sinks, synth
+from cropframe.sources import files, sinks
 
 
 def _tmp():
@@ -61,16 +61,19 @@ def test_station_json(spark):
 
 def test_write_and_latest_snapshot(spark):
     root = _tmp()
-    df = synth.sample_census(spark)
+    df = spark.createDataFrame([(2000 + i, "CORN", 100.0 + i) for i in range(25)], "year int, crop string, yield double")
     sinks.write_dataset(df, root, "census", ds="20240101")
     sinks.write_dataset(df.withColumn("yield", F.col("yield") + 1), root, "census", ds="20240202")
     back = files.latest_snapshot(spark, f"{root}/census")
     assert back.count() == 25 and back.select("ds").distinct().first()[0] == "20240202"
 
 
-def test_synthetic_generators_shapes(spark):
-    assert synth.sample_census(spark).count() == 25
-    assert synth.scenario_training_set(spark, 200).count() == 200
-    assert synth.sample_state_month(spark).count() == 240
-    d = synth.sample_daily_climate(spark, 2020, ("IA", "IL"))
-    assert d.count() == 366 * 2
+def test_crop_json_last_row_wins_across_files(spark):
+    root = _tmp()
+    for name, value in (("a.json", "1.0"), ("b.json", "2.0")):
+        row = {"year": "2017", "commodity_desc": "CORN", "statisticcat_desc": "YIELD", "Value": value, "unit_desc": "BU"}
+        pad = [dict(row, year="2016")] if name == "a.json" else []
+        with open(f"{root}/{name}", "w") as fh:
+            json.dump({"data": [*pad, row]}, fh)
+    piv = integrate.crop_category_pivot(files.read_crop_json(spark, root), require_complete=False)
+    assert {r.YEAR: r.YIELD for r in piv.collect()} == {2016: 1.0, 2017: 2.0}

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from cropframe import streaming
 from cropframe.operators import spatial
 from cropframe.sources import files
@@ -25,6 +27,33 @@ def test_stream_matches_batch(spark):
     assert got == batch and got[("ppt", 1)] == (70.0 / 3, 3)
 
 
+def test_stream_keeps_a_table_up_to_date(spark):
+    root, sink, ckpt = (tempfile.mkdtemp(prefix="cropframe-stream-", dir="/tmp") for _ in range(3))
+    os.makedirs(f"{root}/ppt")
+
+    def land(name, month, values):
+        with open(f"{root}/ppt/ppt_2017{month}_{name}.csv", "w") as fh:
+            fh.write("state,state_code,grid_id,latitude,longitude,value\n")
+            fh.writelines(f"Iowa,IA,g{i},40.0,-90.0,{v}\n" for i, v in enumerate(values))
+        q = streaming.start_state_month(spark, root, f"{sink}/t", name=f"s{name}", checkpoint_location=ckpt)
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    land("a", "01", [10.0, 20.0])
+    land("b", "02", [5.0])
+    land("c", "01", [60.0])
+    got = {(r.month, r.mean_value, r["count"]) for r in spark.read.parquet(f"{sink}/t").collect()}
+    assert got == {(1, 30.0, 3), (2, 5.0, 1)}
+
+
+def test_no_machine_local_checkpoint_on_a_cluster():
+    from cropframe.session import _local_root
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            _local_root(master)
+    assert os.path.isdir(_local_root("local[4]"))
+
+
 def test_stream_checkpoint_is_stable_across_applications(spark):
     from cropframe.session import checkpoint_root
     # the context's checkpoint dir ends in a per-application UUID; the streaming root must not contain it
