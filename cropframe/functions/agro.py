@@ -15,7 +15,7 @@ from cropframe import dims
 
 
 def _c(x) -> Column:
-    return F.col(f"`{x}`") if isinstance(x, str) else x
+    return F.col(f"`{x}`") if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
 def pos(x: Column) -> Column:
@@ -149,8 +149,8 @@ def temperature_interaction(t, kind: str, thresholds: dict) -> Column:
     if kind == "max":
         return pos(t - thresholds["stress_temp"])
     if kind == "min":
-        return pos(F.lit(thresholds["frost_temp"]) - t)
-    return pos(F.lit(thresholds["ideal_temp_min"]) - t) + pos(t - thresholds["ideal_temp_max"])
+        return pos(_c(thresholds["frost_temp"]) - t)
+    return pos(_c(thresholds["ideal_temp_min"]) - t) + pos(t - thresholds["ideal_temp_max"])
 
 
 def precipitation_interactions(p, thresholds: dict) -> dict[str, Column]:
@@ -158,9 +158,9 @@ def precipitation_interactions(p, thresholds: dict) -> dict[str, Column]:
     p = _c(p)
     lo, hi = thresholds["ideal_precip_min"], thresholds["ideal_precip_max"]
     return {
-        "ideal_deviation": pos(F.lit(lo) - p) + pos(p - hi),
-        "drought_risk": F.when(p > 0, pos(F.lit(lo) - p) / lo).otherwise(F.lit(1.0)),
-        "excess_risk": (pos(p - hi) / hi) if hi > 0 else F.lit(0.0),
+        "ideal_deviation": pos(_c(lo) - p) + pos(p - hi),
+        "drought_risk": F.when(p > 0, pos(_c(lo) - p) / lo).otherwise(F.lit(1.0)),
+        "excess_risk": F.when(_c(hi) > 0, F.try_divide(pos(p - hi), _c(hi))).otherwise(F.lit(0.0)),
     }
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cropframe import dims
 from cropframe.functions import agro
 from cropframe.schema import find_column, with_frame_stats
 
@@ -173,15 +174,27 @@ def water_balance_features(df: DataFrame, heat_index_keys: tuple[str, ...] = ("s
     return df.select(*cols)
 
 
-def climate_crop_interactions(df: DataFrame, crop: str | None = None) -> DataFrame:
+def climate_crop_interactions(df: DataFrame, crop: str | None = None, crop_col: str | None = None) -> DataFrame:
     """F11 + F12: crop-threshold interactions for every temperature / precipitation column.
 
+    With ``crop_col`` every row takes the thresholds of its own crop (F13: a null
+    crop the mean over crops, an unknown one CORN's), in one pass over all crops.
+
     Temperature columns are found by ``tmean|tmax|tmin`` and also by the
     ``temperature_`` names season statistics produce (the reference only knows
     the former, so its state-level chain never fires; both spellings work here).
     Tenths are detected per column from its global max (scalar subquery).
     """
-    th = agro.thresholds_for(crop)
+    if crop_col:
+        pick = agro.thresholds_for(None)
+        known = {c: agro.thresholds_for(c) for c in dims.CROPS}
+        th = {n: F.when(_q(crop_col).isNull(), F.lit(pick[n])) for n in pick}
+        for n in th:
+            for c, values in known.items():
+                th[n] = th[n].when(_q(crop_col) == c, F.lit(values[n]))
+            th[n] = th[n].otherwise(F.lit(agro.thresholds_for("?")[n]))
+    else:
+        th = agro.thresholds_for(crop)
     temps = [c for c in df.columns if any(k in c.lower() for k in ("tmean", "tmax", "tmin", "temperature_"))
              and not c.lower().startswith("gdd")]
     out, rescaled = agro.with_tenths(df, {c: 100.0 for c in temps}) if temps else (df, {})

@@ -60,6 +60,18 @@ def filter_growing_season(df: DataFrame, crop: str, state_code: str | None = Non
     return df.join(F.broadcast(months), "month", "left_semi")
 
 
+def season_days_by_crop(df: DataFrame, state_code: str | None = None, per_row_state: bool = True) -> DataFrame:
+    """P4 over all crops: one row per crop whose adjusted season holds the day (the calendar is broadcast)."""
+    days = cal.season_days(_spark(df)).select("crop", F.col("region").alias("_region"), "month", "day")
+    return _with_region(df, state_code, per_row_state).join(F.broadcast(days), ["_region", "month", "day"]).drop("_region")
+
+
+def period_days_by_crop(df: DataFrame, state_code: str | None = None, per_row_state: bool = True) -> DataFrame:
+    """P6 over all crops and periods: one row per critical period that holds the day."""
+    days = cal.period_days(_spark(df)).select("crop", "period", F.col("region").alias("_region"), "month", "day")
+    return _with_region(df, state_code, per_row_state).join(F.broadcast(days), ["_region", "month", "day"]).drop("_region")
+
+
 def filter_critical_period(df: DataFrame, crop: str, period: str, state_code: str | None = None,
                            per_row_state: bool = True) -> DataFrame:
     """P6 (daily, adjusted period) / P7 (monthly, months overlapping the unadjusted period)."""

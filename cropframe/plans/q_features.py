@@ -158,25 +158,28 @@ def q_climate_indices(spark, sf_dir):
 
 
 # F11 + F12 --------------------------------------------------------------------
-@register("crop_interactions", "F11,F12,F13", sql=with_views("season_stats") + """
-SELECT state_code, year, crop,
-       round(greatest(18.0 - growing_season_tmean_mean, 0) + greatest(growing_season_tmean_mean - 32.0, 0), 6)
+@register("crop_interactions", "F11,F12,F13", sql=with_views("season_stats") + """,
+th(crop, lo, hi, stress, frost, plo, phi) AS (VALUES ('CORN', 18.0, 32.0, 35.0, 0.0, 500.0, 800.0),
+  ('SOYBEANS', 20.0, 30.0, 35.0, 0.0, 450.0, 700.0), ('WHEAT', 15.0, 28.0, 32.0, -5.0, 350.0, 600.0),
+  ('COTTON', 20.0, 32.0, 38.0, 5.0, 500.0, 1000.0), ('RICE', 20.0, 35.0, 40.0, 5.0, 1000.0, 2000.0))
+SELECT state_code, year, s.crop,
+       round(greatest(lo - growing_season_tmean_mean, 0) + greatest(growing_season_tmean_mean - hi, 0), 6)
          AS growing_season_tmean_mean_ideal_deviation,
-       round(greatest(growing_season_tmax_max - 35.0, 0), 6) AS growing_season_tmax_max_heat_stress,
-       round(greatest(0.0 - growing_season_tmin_min, 0), 6) AS growing_season_tmin_min_frost_risk,
-       round(greatest(500.0 - growing_season_ppt_total, 0) + greatest(growing_season_ppt_total - 800.0, 0), 6)
+       round(greatest(growing_season_tmax_max - stress, 0), 6) AS growing_season_tmax_max_heat_stress,
+       round(greatest(frost - growing_season_tmin_min, 0), 6) AS growing_season_tmin_min_frost_risk,
+       round(greatest(plo - growing_season_ppt_total, 0) + greatest(growing_season_ppt_total - phi, 0), 6)
          AS growing_season_ppt_total_ideal_deviation,
-       round(CASE WHEN growing_season_ppt_total > 0 THEN greatest(500.0 - growing_season_ppt_total, 0) / 500.0
+       round(CASE WHEN growing_season_ppt_total > 0 THEN greatest(plo - growing_season_ppt_total, 0) / plo
              ELSE 1.0 END, 6) AS growing_season_ppt_total_drought_risk,
-       round(greatest(growing_season_ppt_total - 800.0, 0) / 800.0, 6) AS growing_season_ppt_total_excess_risk
-FROM season_stats WHERE crop = 'CORN'""")
+       round(greatest(growing_season_ppt_total - phi, 0) / phi, 6) AS growing_season_ppt_total_excess_risk
+FROM season_stats s JOIN th ON s.crop = th.crop""")
 def q_crop_interactions(spark, sf_dir):
-    """F11 + F12 with CORN thresholds on the season statistics of the CORN calendar."""
+    """F11 + F12: every crop's thresholds on its season statistics, all crops in one pass."""
     from cropframe.plans.q_climate import season_stats
-    s = season_stats(spark, sf_dir).filter(F.col("crop") == "CORN").select(
+    s = season_stats(spark, sf_dir).select(
         "state_code", "year", "crop", "growing_season_tmean_mean", "growing_season_tmax_max",
         "growing_season_tmin_min", "growing_season_ppt_total")
-    f = FE.climate_crop_interactions(s, "CORN")
+    f = FE.climate_crop_interactions(s, crop_col="crop")
     return f.drop("growing_season_tmean_mean", "growing_season_tmax_max", "growing_season_tmin_min",
                   "growing_season_ppt_total")
 
@@ -393,3 +396,58 @@ def q_station_climate_summary(spark, sf_dir):
             .join(frames["frost_dates"].select("STATION", "FROST_FREE_DAYS"), "STATION", "left")
             .select("STATION", "YEAR", "n_days", "gdd_total", "n_seasons", "GROWING_SEASON_PRCP", "WET_DAYS_COUNT",
                     "MAX_CONSECUTIVE_DRY_DAYS", "FROST_FREE_DAYS"))
+
+
+# X2 daily chain -----------------------------------------------------------------
+_RUNS = """
+{n}_a AS (SELECT state_code, year, date, {flag} AS f FROM climate_daily),
+{n}_b AS (SELECT *, CASE WHEN f = 1 AND coalesce(lag(f) OVER (PARTITION BY state_code, year ORDER BY date), 0) <> 1
+                         THEN 1 ELSE 0 END AS st FROM {n}_a),
+{n}_c AS (SELECT *, sum(st) OVER (PARTITION BY state_code, year ORDER BY date ROWS UNBOUNDED PRECEDING) AS grp
+          FROM {n}_b),
+{n} AS (SELECT state_code, year, max(len) AS len FROM (SELECT state_code, year, count(*) AS len FROM {n}_c
+        WHERE f = 1 GROUP BY state_code, year, grp) GROUP BY state_code, year)"""
+
+#: CTE ``chain``: every region-day with its heat, drought, frost and water-balance columns.
+CHAIN_SQL = "," + _RUNS.format(n="hot", flag="CASE WHEN tmax > 30 THEN 1 ELSE 0 END") + "," + _RUNS.format(
+    n="dry", flag="CASE WHEN ppt < 1.0 THEN 1 ELSE 0 END") + """,
+clim AS (SELECT month, avg(ppt) AS m, stddev_samp(ppt) AS s FROM climate_daily GROUP BY month),
+fr AS (SELECT *, CASE WHEN tmin <= 0 THEN 1 ELSE 0 END AS f, CAST(dayofyear(date) AS INTEGER) AS doy,
+              0.409 * sin(2 * pi() * dayofyear(date) / 365 - 1.39) AS decl, radians(40.0) AS lat FROM climate_daily),
+ra AS (SELECT *, acos(-tan(lat) * tan(decl)) AS ws FROM fr),
+pe AS (SELECT *, 0.0023 * (tmean + 17.8) * CASE WHEN tmax - tmin >= 0 THEN sqrt(tmax - tmin) END * 0.408
+         * 24 * 60 / pi() * 0.082 * (1 + 0.033 * cos(2 * pi() * doy / 365))
+         * (cos(lat) * cos(decl) * sin(ws) + ws * sin(lat) * sin(decl)) AS pet FROM ra),
+chain AS (SELECT p.month, p.state_code, p.date, p.year, p.day, p.tmean, p.tmin, p.tmax, p.ppt,
+  CASE WHEN p.tmax IS NULL THEN 0.0 ELSE greatest(p.tmax - 30, 0) END AS heat_degree_days,
+  CASE WHEN p.tmax > 30 THEN 1 ELSE 0 END AS extreme_heat_day,
+  CASE WHEN p.tmax > 30 THEN p.tmax - 30 ELSE 0.0 END AS heat_stress_intensity,
+  hot.len AS max_consecutive_heat_days, CASE WHEN p.ppt < 1.0 THEN 1 ELSE 0 END AS dry_day,
+  dry.len AS max_consecutive_dry_days, CASE WHEN clim.s <> 0 THEN (p.ppt - clim.m) / clim.s END AS standardized_precip,
+  p.f AS frost_day, sum(p.f) OVER (PARTITION BY p.state_code, p.year, p.month) AS frost_days_in_month,
+  max(CASE WHEN p.f = 1 AND doy < 182 THEN doy END) OVER (PARTITION BY p.state_code, p.year) AS last_spring_frost_day,
+  min(CASE WHEN p.f = 1 AND doy >= 182 THEN doy END) OVER (PARTITION BY p.state_code, p.year) AS first_fall_frost_day,
+  min(CASE WHEN p.f = 1 AND doy >= 182 THEN doy END) OVER (PARTITION BY p.state_code, p.year)
+    - max(CASE WHEN p.f = 1 AND doy < 182 THEN doy END) OVER (PARTITION BY p.state_code, p.year) AS frost_free_days,
+  p.pet, p.ppt - p.pet AS water_balance
+  FROM pe p LEFT JOIN hot ON p.state_code = hot.state_code AND p.year = hot.year
+  LEFT JOIN dry ON p.state_code = dry.state_code AND p.year = dry.year LEFT JOIN clim ON p.month = clim.month)"""
+
+#: Derived columns of the chain, in order.
+DERIVED = ["heat_degree_days", "extreme_heat_day", "heat_stress_intensity", "max_consecutive_heat_days", "dry_day",
+           "max_consecutive_dry_days", "standardized_precip", "frost_day", "frost_days_in_month",
+           "last_spring_frost_day", "first_fall_frost_day", "frost_free_days", "pet", "water_balance"]
+
+
+@register("daily_feature_chain", "X2,F2,F4,F5,F7,W3,W4,W5,A20,A31", sql=with_views("climate_daily") + CHAIN_SQL + """
+SELECT month, state_code, strftime(date, '%Y-%m-%d') AS date, year, day, """ + ", ".join(
+    f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ("tmean", "tmin", "tmax", "ppt", "heat_degree_days",
+                                                      "heat_stress_intensity", "standardized_precip", "pet",
+                                                      "water_balance")) + ", " + ", ".join(
+    f"CAST({c} AS BIGINT) AS {c}" for c in DERIVED if c not in ("heat_degree_days", "heat_stress_intensity",
+                                                               "standardized_precip", "pet", "water_balance"))
+          + " FROM chain")
+def q_daily_feature_chain(spark, sf_dir):
+    """X2 daily part: heat, drought, frost and water-balance columns on every region-day."""
+    f = composites.climate_features_for_modeling(B.climate_daily(spark, sf_dir))
+    return f.withColumn("date", date_str("date"))

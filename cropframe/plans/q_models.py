@@ -163,18 +163,3 @@ def q_scenario_grid_gdd(spark, sf_dir):
         parts.append(scenario.predict_grid(grid, m).select("crop", F.lit(model_type).alias("model_type"), "temp_change",
                                                            "precip_change", "predicted_yield"))
     return _union(parts)
-
-
-@register("climate_features_for_modeling", "X2,F11,F12,A35", digits=6)
-def q_climate_features_for_modeling(spark, sf_dir):
-    """The modelling feature chain for CORN: season/period statistics per state-year plus interactions."""
-    from cropframe.plans.composites import climate_features_for_modeling
-    return climate_features_for_modeling(B.climate_daily(spark, sf_dir), "CORN")
-
-
-@register("daily_feature_chain", "X2,F2,F4,F5,F7,W3,W4,W5,A20,A31", digits=6)
-def q_daily_feature_chain(spark, sf_dir):
-    """X2 daily part: heat, drought, frost and water-balance columns on every region-day (one shuffle)."""
-    from cropframe.plans.composites import climate_features_for_modeling
-    f = climate_features_for_modeling(B.climate_daily(spark, sf_dir))
-    return f.withColumn("date", F.date_format("date", "yyyy-MM-dd"))

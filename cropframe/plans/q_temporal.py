@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cropframe.operators import spatial, temporal
+from cropframe.plans import composites
+from cropframe.plans.q_features import CHAIN_SQL, DERIVED
 from cropframe.plans.registry import register
 from cropframe.plans.sql_views import with_views
 from cropframe.sources import bindings as B
@@ -22,8 +24,14 @@ shifts(crop, region, s, e) AS (VALUES
 periods(crop, idx, name, sm, sd, em, ed) AS (VALUES
   ('CORN', 0, 'planting', 4, 15, 5, 31), ('CORN', 1, 'vegetative', 6, 1, 7, 15),
   ('CORN', 2, 'reproductive', 7, 16, 8, 31), ('CORN', 3, 'maturation', 9, 1, 9, 30),
+  ('SOYBEANS', 0, 'planting', 5, 1, 5, 31), ('SOYBEANS', 1, 'vegetative', 6, 1, 7, 31),
+  ('SOYBEANS', 2, 'reproductive', 8, 1, 9, 15), ('SOYBEANS', 3, 'maturation', 9, 16, 10, 15),
   ('WHEAT', 0, 'fall_planting', 9, 1, 10, 31), ('WHEAT', 1, 'winter_dormancy', 11, 1, 2, 28),
-  ('WHEAT', 2, 'spring_growth', 3, 1, 5, 31), ('WHEAT', 3, 'grain_fill', 6, 1, 7, 15)),
+  ('WHEAT', 2, 'spring_growth', 3, 1, 5, 31), ('WHEAT', 3, 'grain_fill', 6, 1, 7, 15),
+  ('COTTON', 0, 'planting', 4, 1, 5, 15), ('COTTON', 1, 'vegetative', 5, 16, 7, 15),
+  ('COTTON', 2, 'flowering', 7, 16, 8, 31), ('COTTON', 3, 'boll_development', 9, 1, 10, 31),
+  ('RICE', 0, 'planting', 3, 15, 4, 30), ('RICE', 1, 'vegetative', 5, 1, 6, 30),
+  ('RICE', 2, 'reproductive', 7, 1, 8, 15), ('RICE', 3, 'maturation', 8, 16, 9, 15)),
 regions(state_code, region) AS (VALUES ('IL', 'Central'), ('IA', 'Central'), ('NE', 'Central'),
   ('IN', 'Central'), ('MN', 'Northern')),
 sadj AS (SELECT c.crop, s.region, make_date(2020, c.sm, c.sd) + s.s AS a, make_date(2020, c.em, c.ed) + s.e AS b
@@ -83,6 +91,31 @@ def q_growing_season_monthly(spark, sf_dir):
     return f.select("state_code", "year", "month", "tmean", "ppt")
 
 
+@register("growing_season_crops", "P4,F9,F10,J12", sql=with_views("climate_daily") + _CAL_SQL + """
+SELECT s.crop, d.state_code, d.year, count(*) AS n_days, round(sum(d.ppt), 6) AS ppt_total,
+       round(avg(d.tmean), 6) AS tmean
+FROM climate_daily d JOIN regions r ON d.state_code = r.state_code
+JOIN sdays s ON s.region = r.region AND s.month = d.month AND s.day = d.day
+GROUP BY s.crop, d.state_code, d.year""")
+def q_growing_season_crops(spark, sf_dir):
+    """P4 for all five crops in one job: each day counts for every crop whose adjusted season holds it."""
+    f = temporal.season_days_by_crop(B.climate_daily(spark, sf_dir))
+    return f.groupBy("crop", "state_code", "year").agg(F.count(F.lit(1)).alias("n_days"),
+                                                       F.sum("ppt").alias("ppt_total"), F.avg("tmean").alias("tmean"))
+
+
+@register("critical_period_crops", "P6,F9,F10", sql=with_views("climate_daily") + _CAL_SQL + """
+SELECT p.crop, p.name AS period, d.state_code, d.year, count(*) AS n_days, round(avg(d.tmax), 6) AS tmax
+FROM climate_daily d JOIN regions r ON d.state_code = r.state_code
+JOIN pdays p ON p.region = r.region AND p.month = d.month AND p.day = d.day
+GROUP BY p.crop, p.name, d.state_code, d.year""")
+def q_critical_period_crops(spark, sf_dir):
+    """P6 for all critical periods of all five crops in one job."""
+    f = temporal.period_days_by_crop(B.climate_daily(spark, sf_dir))
+    return f.groupBy("crop", "period", "state_code", "year").agg(F.count(F.lit(1)).alias("n_days"),
+                                                                 F.avg("tmax").alias("tmax"))
+
+
 # P6 / P7 ----------------------------------------------------------------------
 @register("critical_period_daily", "P6,F9", sql=with_views("climate_daily") + _CAL_SQL + """
 SELECT d.state_code, d.year, count(*) AS n_days, round(avg(d.tmax), 6) AS tmax
@@ -165,6 +198,55 @@ def q_season_statistics_daily_wheat(spark, sf_dir):
                                       keys=["state_code", "year"])
 
 
+# X2 with a crop -------------------------------------------------------------------
+def _x2_sql(crop: str) -> str:
+    """Season and period statistics of the weather and derived columns, and the crop's interactions."""
+    lo, hi, stress, frost, plo, phi = (18.0, 32.0, 35.0, 0.0, 500.0, 800.0)
+    cols, periods = [*_VARS, *[(c, c) for c in DERIVED]], _PERIODS[crop]
+    season = [f"{f}({c}) AS {n}_{s}" for c, n in cols for f, s in (("avg", "mean"), ("min", "min"), ("max", "max"))]
+    season += ["coalesce(sum(greatest(tmean - 10, 0)), 0) AS gdd_base10",
+               "coalesce(sum(greatest(tmin - 10, 0)), 0) AS gdd_base10_temperature_min",
+               "coalesce(sum(greatest(least(tmax, 30) - 10, 0)), 0) AS gdd_base10_temperature_max",
+               "coalesce(sum(ppt), 0) AS precipitation_total", "max(ppt) AS precipitation_max_daily",
+               "count(*) FILTER (WHERE ppt > 0) AS days_with_rain"]
+    period = [f"avg(CASE WHEN name = '{p}' THEN {c} END) AS {p}_{n}_mean" for p in periods for c, n in cols]
+    period += [f"CASE WHEN count(*) FILTER (WHERE name = '{p}') > 0 THEN coalesce(sum(CASE WHEN name = '{p}' "
+               f"THEN ppt END), 0) END AS {p}_precipitation_total" for p in periods]
+    names = [x.rsplit(" AS ", 1)[1] for x in season + period]
+    extra = []
+    for n in names:
+        if "temperature_" in n and not n.startswith("gdd"):
+            mean = "temperature_mean" in n
+            if not mean and "max" in n:
+                extra.append((f"{n}_heat_stress", f"greatest({n} - {stress}, 0)"))
+            elif not mean and "min" in n:
+                extra.append((f"{n}_frost_risk", f"greatest({frost} - {n}, 0)"))
+            else:
+                extra.append((f"{n}_ideal_deviation", f"greatest({lo} - {n}, 0) + greatest({n} - {hi}, 0)"))
+        elif n.endswith("precipitation_total"):
+            extra += [(f"{n}_ideal_deviation", f"greatest({plo} - {n}, 0) + greatest({n} - {phi}, 0)"),
+                      (f"{n}_drought_risk", f"CASE WHEN {n} > 0 THEN greatest({plo} - {n}, 0) / {plo} ELSE 1.0 END"),
+                      (f"{n}_excess_risk", f"greatest({n} - {phi}, 0) / {phi}")]
+    shown = [(n, n) for n in names if n != "days_with_rain"] + extra
+    return (with_views("climate_daily") + _CAL_SQL + CHAIN_SQL + f""",
+sd AS (SELECT d.* FROM chain d JOIN regions r ON d.state_code = r.state_code
+       JOIN sdays s ON s.crop = '{crop}' AND s.region = r.region AND s.month = d.month AND s.day = d.day),
+st AS (SELECT state_code, year, {", ".join(season)} FROM sd GROUP BY state_code, year),
+pd AS (SELECT d.*, p.name FROM chain d JOIN regions r ON d.state_code = r.state_code
+       JOIN pdays p ON p.crop = '{crop}' AND p.region = r.region AND p.month = d.month AND p.day = d.day),
+ps AS (SELECT state_code, year, {", ".join(period)} FROM pd GROUP BY state_code, year)
+SELECT state_code, year, days_with_rain, """ + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in shown)
+            + " FROM st LEFT JOIN ps USING (state_code, year)")
+
+
+@register("climate_features_for_modeling", "X2,F11,F12,A35", sql=_x2_sql("CORN"))
+def q_climate_features_for_modeling(spark, sf_dir):
+    """The modelling feature chain for CORN: season/period statistics of weather and derived columns, interactions."""
+    f = composites.climate_features_for_modeling(B.climate_daily(spark, sf_dir), "CORN")
+    return f.select(*[F.col(c) if c in ("state_code", "year", "days_with_rain") else F.col(c).cast("double").alias(c)
+                      for c in f.columns])
+
+
 # A15 --------------------------------------------------------------------------
 @register("census_alignment", "A15", sql=with_views("state_month") + """,
 routed AS (SELECT s.*, cy.census_year FROM state_month s
