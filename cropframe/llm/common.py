@@ -34,14 +34,23 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_root(spark)}/llm/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, tag: str, path: str | None = None, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
+    ``batch_rows`` bounds the rows that Python functions in ``df`` hold at once, for this write only.
+
     Cuts the lineage: a lost executor costs tasks of the reading stage, not the
     stages before it, and several readers share one computation.
     """
     path = path or shared_path(df.sparkSession, tag)
-    df.write.mode("overwrite").parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    if batch_rows:
+        conf.set(key, str(batch_rows))
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -42,7 +42,9 @@ WORD = re.compile(r"\w+")
 K, PICKS, BANDS, SIMILARITY = 5, 4, 32, 0.8
 #: Equal smallest hashes (of 32) below which a pair cannot be at 0.8, but for a probability of 1e-6.
 AGREE = 14
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: Texts, and pairs of texts, a Python worker holds at once.
+TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2000, 200
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,7 +227,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
                     for x, y in zip(frame["text_a"], frame["text_b"])]
             yield frame.loc[keep, ["a", "b"]]
 
-    return stored(full.select("a", "b", "text_a", "text_b").mapInPandas(aligned, "a binary, b binary"), "dedup-links")
+    return stored(full.select("a", "b", "text_a", "text_b").mapInPandas(aligned, "a binary, b binary"), "dedup-links",
+                  batch_rows=PAIRS_AT_ONCE)
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -267,7 +270,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
 
     class_id is the smallest doc_id of the class; rep_id and rep_hash name the document that stays.
     """
-    rows = stored(sketches(docs, k, bands, picks), "dedup-sketches")
+    rows = stored(sketches(docs, k, bands, picks), "dedup-sketches", batch_rows=TEXTS_AT_ONCE)
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     nodes = (rows.where("node is not null").groupBy("node")
              .agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("firsts").alias("firsts"),
