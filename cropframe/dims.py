@@ -182,60 +182,57 @@ THORNTHWAITE_FACTOR = {4: 1.0, 5: 1.0, 8: 1.0, 9: 1.0, 1: 1.1, 2: 1.1, 11: 1.1,
 # ---------------------------------------------------------------------------
 
 
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A literal table. Inline values fold to a local relation, whose size the planner knows."""
+
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
+
+    columns = [c.split() for c in schema.split(", ")]
+    table = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    names = ", ".join(n for n, _ in columns)
+    return spark.sql("SELECT " + ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in columns)
+                     + f" FROM VALUES {table} AS t({names})")
+
+
 def season_calendar(spark: SparkSession) -> DataFrame:
     """crop, start_month, start_day, end_month, end_day (phenology calendar)."""
     rows = [(c, *PHENOLOGY_SEASONS[c]) for c in CROPS]
-    return spark.createDataFrame(rows, "crop string, start_month int, start_day int, end_month int, end_day int")
+    return values(spark, rows, "crop string, start_month int, start_day int, end_month int, end_day int")
 
 
 def critical_periods(spark: SparkSession) -> DataFrame:
     """crop, period_idx, period, start_month, start_day, end_month, end_day."""
     rows = [(c, i, *p) for c in CROPS for i, p in enumerate(CRITICAL_PERIODS[c])]
-    return spark.createDataFrame(
-        rows, "crop string, period_idx int, period string, start_month int, start_day int, "
+    return values(
+        spark, rows, "crop string, period_idx int, period string, start_month int, start_day int, "
               "end_month int, end_day int")
 
 
 def regional_shifts(spark: SparkSession) -> DataFrame:
     """crop, region, start_shift, end_shift."""
     rows = [(c, r, s, e) for c in CROPS for r, (s, e) in REGIONAL_SHIFTS[c].items()]
-    return spark.createDataFrame(rows, "crop string, region string, start_shift int, end_shift int")
-
-
-def state_regions(spark: SparkSession) -> DataFrame:
-    """state_code, region."""
-    return spark.createDataFrame(list(STATE_REGIONS.items()), "state_code string, region string")
-
-
-def monthly_seasons(spark: SparkSession) -> DataFrame:
-    """crop, start_month, end_month (coarse calendar)."""
-    rows = [(c, s, e) for c, (s, e) in MONTHLY_SEASONS.items()]
-    return spark.createDataFrame(rows, "crop string, start_month int, end_month int")
-
-
-def crop_thresholds(spark: SparkSession) -> DataFrame:
-    """crop + the six threshold columns."""
-    rows = [(c, *CROP_THRESHOLDS[c]) for c in CROPS]
-    schema = "crop string, " + ", ".join(f"{n} double" for n in THRESHOLD_COLUMNS)
-    return spark.createDataFrame(rows, schema)
+    return values(spark, rows, "crop string, region string, start_shift int, end_shift int")
 
 
 def crop_state_weights(spark: SparkSession) -> DataFrame:
     """crop, state_code (or OTHER), weight."""
     rows = [(c, s, float(w)) for c in CROPS for s, w in CROP_STATE_WEIGHTS[c].items()]
-    return spark.createDataFrame(rows, "crop string, state_code string, weight double")
+    return values(spark, rows, "crop string, state_code string, weight double")
 
 
 def crop_regions(spark: SparkSession) -> DataFrame:
     """crop, state_code, rank (order of the key-state list)."""
     rows = [(c, s, i) for c in CROPS for i, s in enumerate(CROP_REGIONS[c])]
-    return spark.createDataFrame(rows, "crop string, state_code string, rank int")
+    return values(spark, rows, "crop string, state_code string, rank int")
 
 
 def agricultural_states(spark: SparkSession) -> DataFrame:
     """state_code, weight (importance weight, default 0.5)."""
     rows = [(s, float(AG_STATE_WEIGHTS.get(s, AG_STATE_DEFAULT_WEIGHT))) for s in AGRICULTURAL_STATES]
-    return spark.createDataFrame(rows, "state_code string, weight double")
+    return values(spark, rows, "state_code string, weight double")
 
 
 RING_TYPE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))

@@ -78,11 +78,6 @@ def period_days(spark: SparkSession) -> DataFrame:
     return _explode_days(adjusted_periods(spark), ["crop", "region", "period_idx", "period"])
 
 
-def base_period_days(spark: SparkSession) -> DataFrame:
-    """Unadjusted critical-period days (crop, period_idx, period, month, day)."""
-    return _explode_days(dims.critical_periods(spark), ["crop", "period_idx", "period"])
-
-
 def season_lengths(spark: SparkSession) -> DataFrame:
     """crop, region, days: number of (month, day) pairs in each adjusted season."""
     return season_days(spark).groupBy("crop", "region").agg(F.count(F.lit(1)).alias("days"))

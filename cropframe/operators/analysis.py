@@ -80,12 +80,14 @@ def error_summary(res: DataFrame, by: list[str] | None = None) -> DataFrame:
 def error_histogram(res: DataFrame, col: str = "error", bins: int = 30, by: list[str] | None = None) -> DataFrame:
     """Equal-width bins over [min, max] (max falls in the last bin), count per bin.
 
-    Bounds come from scalar subqueries; the binning itself is a hash aggregate.
+    Bounds are one small aggregate (joined by group, or a scalar subquery); the
+    binning itself is a hash aggregate. No task holds a group.
     """
     by = by or []
     if by:
-        w = Window.partitionBy(*by)
-        lo, hi = F.min(_q(col)).over(w), F.max(_q(col)).over(w)
+        bounds = res.groupBy(*by).agg(F.min(_q(col)).alias("_lo"), F.max(_q(col)).alias("_hi"))
+        res = res.join(bounds, by)
+        lo, hi = F.col("_lo"), F.col("_hi")
     else:
         bounds = res.agg(F.struct(F.min(_q(col)).alias("lo"), F.max(_q(col)).alias("hi"))).scalar()
         res = with_frame_stats(res, bounds)

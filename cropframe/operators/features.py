@@ -25,17 +25,6 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def with_dates(df: DataFrame, date_col: str = "date") -> DataFrame:
-    """add year / month / day / day_of_year from a DATE column (or build DATE from parts)."""
-    if date_col in df.columns:
-        d = F.to_date(_q(date_col))
-        return df.select("*", *[e.alias(n) for n, e in (
-            ("year", F.year(d)), ("month", F.month(d)), ("day", F.dayofmonth(d)),
-            ("day_of_year", F.dayofyear(d))) if n not in df.columns])
-    d = F.make_date("year", "month", "day")
-    return df.select("*", F.dayofyear(d).alias("day_of_year"))
-
-
 def longest_runs(df: DataFrame, flag_col: str, keys: list[str], order: list[str], out: str,
                  run_col: str | None = None) -> DataFrame:
     """Gaps and islands: length of the longest run of flagged consecutive rows per ``keys``.
@@ -236,16 +225,22 @@ def frost_free_period(df: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Per station, last frost before Jul 1 and first frost from Jul 1 of the station's first year.
 
     The reference reads the year from row 0 of the whole frame (D11); here each
-    station uses its own first year. One aggregate with conditional min/max.
+    station uses its own first year. Aggregated per (station, year) first; a
+    station's frosts before and after the cut come from those few rows.
     """
     tmin = agro.tenths_rescaled(df, TMIN, 100)
-    x = df.select("STATION", "DATE", (tmin <= threshold).alias("_frost"))
-    first_year = F.min(F.year("DATE")).over(Window.partitionBy("STATION"))
-    x = x.withColumn("_cut", F.make_date(first_year, F.lit(7), F.lit(1)))
-    # grouping on the window's partition key reuses its shuffle
+    year = F.year("DATE")
+    spring, frost = F.col("DATE") < F.make_date(year, F.lit(7), F.lit(1)), tmin <= threshold
+    x = df.groupBy("STATION", year.alias("_year")).agg(
+        F.max(F.when(frost & spring, F.col("DATE"))).alias("_spring"),
+        F.min(F.when(frost, F.col("DATE"))).alias("_any"),
+        F.min(F.when(frost & ~spring, F.col("DATE"))).alias("_fall"))
+    # the cut is in the first year: later years only add frosts after it
     out = x.groupBy("STATION").agg(
-        F.max(F.when(F.col("_frost") & (F.col("DATE") < F.col("_cut")), F.col("DATE"))).alias("LAST_SPRING_FROST"),
-        F.min(F.when(F.col("_frost") & (F.col("DATE") >= F.col("_cut")), F.col("DATE"))).alias("FIRST_FALL_FROST"))
+        F.min_by("_spring", "_year").alias("LAST_SPRING_FROST"), F.min("_year").alias("_first"),
+        F.min_by("_fall", "_year").alias("_first_fall"), F.sort_array(F.collect_list(F.struct("_year", "_any"))).alias("_y"))
+    later = F.array_min(F.transform(F.filter("_y", lambda r: r["_year"] > F.col("_first")), lambda r: r["_any"]))
+    out = out.select("STATION", "LAST_SPRING_FROST", F.coalesce("_first_fall", later).alias("FIRST_FALL_FROST"))
     return out.withColumn("FROST_FREE_DAYS", F.datediff("FIRST_FALL_FROST", "LAST_SPRING_FROST"))
 
 

@@ -135,12 +135,6 @@ def unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str, value: st
     return out.filter(F.col(value).isNotNull())
 
 
-def pivot_metrics(long_df: DataFrame, index: list[str], metric: str, value: str,
-                  values: list[str]) -> DataFrame:
-    """Long -> wide, mean per cell, explicit value list (no extra distinct pass)."""
-    return long_df.groupBy(*index).pivot(metric, values).agg(F.avg(value))
-
-
 def _stat_columns(df: DataFrame) -> list[tuple[str, str]]:
     """(column, standard name) for the numeric climate columns, in schema order."""
     out = []
@@ -161,21 +155,39 @@ def season_statistics(daily: DataFrame, crop: str, keys: list[str] | None = None
     Precipitation -> total, max daily, days with rain (> 0); other variables ->
     mean, min, max; temperatures -> GDD base 10 (capped at 30 for max columns),
     one column per temperature variable (gdd_base10_<var>; ``gdd_base10`` is
-    tmean's). Critical periods add <period>_<var>_total / _mean, from a second
-    aggregate over the rows joined to the period-day table.
+    tmean's). Critical periods add <period>_<var>_total / _mean. One read and one
+    aggregate: rows join a calendar that says whether the season and which
+    periods hold the day, and every statistic is conditional on it.
     """
     keys = keys or []
     spark = _spark(daily)
     cols = [(c, n) for c, n in _stat_columns(daily) if c not in keys]
-    season = filter_growing_season(daily, crop, state_code, per_row_state)
+    daily_rows = "day" in daily.columns
+    if daily_rows:
+        on = ["_region", "month", "day"]
+        season = cal.season_days(spark).filter(F.col("crop") == crop).select(
+            F.col("region").alias("_region"), "month", "day", F.lit(True).alias("_season"))
+        periods_of = cal.period_days(spark).filter(F.col("crop") == crop).withColumnRenamed("region", "_region")
+        base = _with_region(daily, state_code, per_row_state)
+    else:
+        on = ["month"]
+        season = cal.crop_months(spark, "phenology", "wrap").filter(F.col("crop") == crop).select(
+            "month", F.lit(True).alias("_season"))
+        periods_of = cal.period_months(spark).filter(F.col("crop") == crop)
+        base = daily
+    in_periods = periods_of.groupBy(*on).agg(F.collect_set("period").alias("_periods"))
+    calendar = season.distinct().join(in_periods, on, "full")
+    tagged = base.join(F.broadcast(calendar), on)  # the calendar has at most 366 days x 3 regions
+
+    in_season = F.coalesce("_season", F.lit(False))
     named = {}  # a name several columns give (days_with_rain) keeps the last one's statistic
     for c, name in cols:
-        x = F.col(f"`{c}`")
+        x = F.when(in_season, F.col(f"`{c}`"))
         low = name.lower()
         if "precipitation" in low or "ppt" in low:
             named[f"{name}_total"] = F.coalesce(F.sum(x), F.lit(0.0))
             named[f"{name}_max_daily"] = F.max(x)
-            if "day" in daily.columns:
+            if daily_rows:
                 named["days_with_rain"] = F.count_if(x > 0)
         else:
             named |= {f"{name}_mean": F.avg(x), f"{name}_min": F.min(x), f"{name}_max": F.max(x)}
@@ -183,42 +195,20 @@ def season_statistics(daily: DataFrame, crop: str, keys: list[str] | None = None
                 g = agro.gdd_simple(x, 10.0, 30.0 if "max" in low else None)
                 named["gdd_base10" if name == "temperature_mean" else f"gdd_base10_{name}"] = F.coalesce(
                     F.sum(g), F.lit(0.0))
-    aggs = [v.alias(k) for k, v in named.items()]
-    stats = season.groupBy(*keys).agg(*aggs) if keys else season.agg(*aggs)
-    if not periods:
-        return stats
-    # One pass over the period-day table (days of all periods of this crop)
-    if "day" in daily.columns:
-        pdays = cal.period_days(spark).filter(F.col("crop") == crop).select(
-            F.col("region").alias("_region"), "period", "month", "day")
-        base = _with_region(daily, state_code, per_row_state)
-        tagged = base.join(F.broadcast(pdays), ["_region", "month", "day"])
-    else:
-        pm = cal.period_months(spark).filter(F.col("crop") == crop).select("period", "month")
-        tagged = daily.join(F.broadcast(pm), "month")
-    period_names = [p[0] for p in dims.CRITICAL_PERIODS.get(crop, [])]
-    paggs = []
-    for p in period_names:
-        inp = F.col("period") == p
+    for p in [p[0] for p in dims.CRITICAL_PERIODS.get(crop, [])] if periods else []:
+        inp = F.coalesce(F.array_contains("_periods", p), F.lit(False))
         for c, name in cols:
             x = F.when(inp, F.col(f"`{c}`"))
             low = name.lower()
             if "precipitation" in low or "ppt" in low:
-                paggs.append(F.when(F.count_if(inp) > 0, F.coalesce(F.sum(x), F.lit(0.0)))
-                             .alias(f"{p}_{name}_total"))
+                named[f"{p}_{name}_total"] = F.when(F.count_if(inp) > 0, F.coalesce(F.sum(x), F.lit(0.0)))
             else:
-                paggs.append(F.avg(x).alias(f"{p}_{name}_mean"))
-    pstats = tagged.groupBy(*keys).agg(*paggs) if keys else tagged.agg(*paggs)
-    if keys:
-        return stats.join(pstats, keys, "left")
-    return _one_row_merge(stats, pstats)
-
-
-def _one_row_merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Merge two single-row aggregates side by side via one struct scalar subquery (no join)."""
-    one = b.select(F.struct(*[F.col(f"`{c}`") for c in b.columns])).scalar()
-    return (with_frame_stats(a, one, "_b")
-            .select(*[F.col(f"`{c}`") for c in a.columns], *[F.col("_b")[c].alias(c) for c in b.columns]))
+                named[f"{p}_{name}_mean"] = F.avg(x)
+    aggs = [v.alias(k) for k, v in named.items()]
+    if not keys:
+        return tagged.agg(*aggs)
+    found = tagged.groupBy(*keys).agg(*aggs, F.count_if(in_season).alias("_days"))
+    return found.filter(F.col("_days") > 0).drop("_days")
 
 
 def census_alignment(climate: DataFrame, state_level: bool = True,

@@ -31,7 +31,7 @@ def season_stats(spark: SparkSession, sf_dir: str, wheat_mode: str = "harvest_ye
 
 
 # A3 --------------------------------------------------------------------------
-@register("state_month_stats", "S4,S5,A3,U1", sql=with_views("state_month") + """
+@register("state_month_stats", "A3", sql=with_views("state_month") + """
 SELECT state_code, year, month, variable, round(mean_value, 6) AS mean_value, round(min_value, 6) AS min_value,
        round(max_value, 6) AS max_value, round(std_value, 6) AS std_value, count
 FROM state_month""")
@@ -41,7 +41,7 @@ def q_state_month_stats(spark, sf_dir):
 
 
 # A10 + A11 + A12 ---------------------------------------------------------------
-@register("season_stats", "A10,A11,A12,X4,J9", sql=with_views("season_stats") + f"""
+@register("season_stats", "A10,A11,A12,J9", sql=with_views("season_stats") + f"""
 SELECT state_code, year, crop, {_rounded(_SEASON_COLS)} FROM season_stats""")
 def q_season_stats(spark, sf_dir):
     """Wide growing-season statistics per state, harvest year and crop."""
@@ -83,7 +83,7 @@ def q_season_stats_long(spark, sf_dir):
 
 
 # J10 -------------------------------------------------------------------------
-@register("season_census_join", "J10,J4,X3", sql=with_views("season_stats", "crop_census") + f""",
+@register("season_census_join", "J10,J4", sql=with_views("season_stats", "crop_census") + f""",
 national AS (
   SELECT year, crop, {", ".join(f"avg({c}) AS {c}" for c in _SEASON_COLS)}
   FROM season_stats GROUP BY year, crop)
@@ -99,7 +99,7 @@ _STATS = "round(avg(value), 6) AS mean_value, round(min(value), 6) AS min_value,
          "round(max(value), 6) AS max_value, round(stddev_samp(value), 6) AS std_value, count(value) AS count"
 
 
-@register("state_stats", "A1,S5", sql=with_views("grid_points") + f"""
+@register("state_stats", "A1", sql=with_views("grid_points") + f"""
 SELECT state_code, {_STATS} FROM grid_points WHERE value IS NOT NULL GROUP BY state_code""")
 def q_state_stats(spark, sf_dir):
     """A1 (point table carrying state_code): zonal statistics per state, ddof 1."""

@@ -310,7 +310,7 @@ def q_yield_features(spark, sf_dir):
 
 
 # A4 / A5 / A24 / J6 / S7 --------------------------------------------------------
-@register("station_monthly_aggregates", "S7,A4", sql=with_views("station_obs") + """
+@register("station_monthly_aggregates", "A4", sql=with_views("station_obs") + """
 SELECT "STATION", CAST(month("DATE") AS INTEGER) AS "MONTH", "VARIABLE", round(avg("VALUE"), 6) AS "MEAN",
        round(min("VALUE"), 6) AS "MIN", round(max("VALUE"), 6) AS "MAX", round(sum("VALUE"), 6) AS "SUM"
 FROM station_obs GROUP BY ALL""")
@@ -346,7 +346,7 @@ def q_station_variable_pivot(spark, sf_dir):
     return w.withColumn("DATE", date_str("DATE"))
 
 
-@register("station_metadata_join", "J6,S8", sql=with_views("station_normals", "station_metadata") + """
+@register("station_metadata_join", "J6", sql=with_views("station_normals", "station_metadata") + """
 SELECT s."STATION", count(*) AS n_days, max(s."DLY-TMAX-NORMAL") AS max_tmax, m."STATION_NAME",
        round(m."LATITUDE", 6) AS "LATITUDE", round(m."LONGITUDE", 6) AS "LONGITUDE",
        round(m."ELEVATION", 6) AS "ELEVATION"

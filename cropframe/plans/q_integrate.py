@@ -70,7 +70,7 @@ def q_crop_specific_merge(spark, sf_dir):
 _STD_COLS = ["harvested_acres", "production"] + _SEASON_COLS
 
 
-@register("standardized_dataset", "A22,D9,X3", sql=_J4_SQL + """
+@register("standardized_dataset", "A22,D9", sql=_J4_SQL + """
 SELECT year, state_code, crop, """ + ", ".join(
     f"round(CASE WHEN stddev_samp({x}) OVER () > 0 THEN ({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () END, 6)"
     f" AS {x}_std" for x in _STD_COLS) + " FROM j4")
@@ -92,7 +92,7 @@ def census_long(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "'ACRES', 'PRODUCTION', CAST(production AS DOUBLE), 'BU') AS (CATEGORY, VALUE, UNIT)"))
 
 
-@register("crop_category_pivot", "A23,P9,S6", sql=with_views("state_census") + """,
+@register("crop_category_pivot", "A23,P9", sql=with_views("state_census") + """,
 lng AS (
   SELECT year AS "YEAR", crop AS "CROP", CASE state_code WHEN 'IL' THEN 1 WHEN 'IA' THEN 2 WHEN 'NE' THEN 3
            WHEN 'MN' THEN 4 WHEN 'IN' THEN 5 END AS seq, yield AS y, CAST(harvested_acres AS DOUBLE) AS a,
@@ -280,7 +280,7 @@ def q_modeling_ready(spark, sf_dir):
 
 
 # T4 -----------------------------------------------------------------------------
-@register("census_preview", "T4,S1", sql=with_views("crop_census") + """
+@register("census_preview", "T4", sql=with_views("crop_census") + """
 SELECT year, crop, round(yield, 6) AS yield, harvested_acres, production FROM crop_census
 ORDER BY year, crop LIMIT 5""")
 def q_census_preview(spark, sf_dir):

@@ -33,8 +33,3 @@ def register(name: str, ids: str, sql: str | None = None, digits: int | None = 6
         return fn
 
     return deco
-
-
-def r6(expr: str, alias: str) -> str:
-    """SQL: round a double expression to 6 decimals under an alias."""
-    return f"round({expr}, 6) AS {alias}"

@@ -149,11 +149,6 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def coalesce_zero(c: Column) -> Column:
-    """pandas' sum of an all-missing group is 0; Spark's is NULL."""
-    return F.coalesce(c, F.lit(0.0))
-
-
 def with_frame_stats(df: DataFrame, stats: Column, name: str = "_stats") -> DataFrame:
     """Attach a one-row aggregate of ``df`` (a struct scalar subquery) as one column.
 
