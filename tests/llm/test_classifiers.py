@@ -66,6 +66,26 @@ def test_shared_backoff_cancels_rare_steps():
     assert found.word("a") > 0
 
 
+def test_dropped_branches_change_no_word():
+    rnd = random.Random(8)
+    steps = {}
+    for _ in range(3000):
+        word = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) + "$"
+        for i in range(1, len(word) + 1):
+            steps.setdefault(word[:i], rnd.gauss(0, 0.7))
+    kept = toxicity._deciding(steps, 1.5)
+    assert len(kept) < len(steps)
+    ratios = toxicity.Ratios(kept, 1.5)
+    for _ in range(3000):
+        word = "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7)))
+        whole = 0.0
+        for i in range(1, len(word) + 2):
+            if (word + "$")[:i] not in steps:
+                break
+            whole += steps[(word + "$")[:i]]
+        assert abs(ratios.word(word) - (whole if abs(whole) > 1.5 else 0.0)) < 1e-9
+
+
 def test_quality_finds_held_out(spark, documents):
     rows = [(i, prose(80) + ". " + prose(30) if i % 5 else " ".join(w.upper() + "!!" for w in prose(90).split()))
             for i in range(400)]
