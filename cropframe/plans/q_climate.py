@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cropframe import dims
 from cropframe.operators import integrate, spatial, temporal
 from cropframe.plans.registry import register
-from cropframe.plans.sql_views import with_views
+from cropframe.plans.sql_views import STATE_CASE, with_views
 from cropframe.sources import bindings as B
 
 _SEASON_COLS = ["growing_season_ppt_total",
@@ -41,6 +41,22 @@ def q_state_month_stats(spark, sf_dir):
 
 
 # A10 + A11 + A12 ---------------------------------------------------------------
+@register("state_month_readings", "A3", sql="""
+WITH r AS (SELECT """ + STATE_CASE.format(k="n.n_regionkey") + """ AS state_code,
+             CAST(year(l.l_shipdate) AS INTEGER) AS year, CAST(month(l.l_shipdate) AS INTEGER) AS month,
+             CAST(l.l_quantity - 10 AS DOUBLE) AS t, CAST(round(l.l_discount * 100) AS DOUBLE) AS p
+           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+           JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
+v AS (SELECT state_code, year, month, 'tmean' AS variable, t AS value FROM r
+      UNION ALL SELECT state_code, year, month, 'ppt', p FROM r)
+SELECT state_code, year, month, variable, round(avg(value), 6) AS mean_value, round(min(value), 6) AS min_value,
+       round(max(value), 6) AS max_value, round(stddev_samp(value), 6) AS std_value, count(value) AS count
+FROM v GROUP BY state_code, year, month, variable""")
+def q_state_month_readings(spark, sf_dir):
+    """A3 over raw readings, one per line of lineitem and variable."""
+    return spatial.state_month_stats(B.raw_readings(spark, sf_dir))
+
+
 @register("season_stats", "A10,A11,A12,J9", sql=with_views("season_stats") + f"""
 SELECT state_code, year, crop, {_rounded(_SEASON_COLS)} FROM season_stats""")
 def q_season_stats(spark, sf_dir):

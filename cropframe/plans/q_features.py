@@ -10,6 +10,7 @@ from cropframe.operators import integrate, temporal
 from cropframe.plans import composites
 from cropframe.plans.registry import register
 from cropframe.plans.sql_views import with_views
+from cropframe.session import materialize
 from cropframe.sources import bindings as B
 
 
@@ -73,7 +74,7 @@ SELECT d.state_code, strftime(d.date, '%Y-%m-%d') AS date,
 FROM climate_daily d JOIN clim c ON d.month = c.month""")
 def q_standardized_precip(spark, sf_dir):
     """A20 + F4: monthly climatology over all rows (12-row broadcast) and standardised precipitation."""
-    f = FE.drought_features(B.climate_daily(spark, sf_dir))
+    f = FE.drought_features(materialize(B.climate_daily(spark, sf_dir)))
     return f.select("state_code", date_str("date").alias("date"), "standardized_precip")
 
 
@@ -113,7 +114,7 @@ SELECT state_code, year, month, round(avg(pet), 6) AS mean_pet, round(sum(ppt -
 FROM p GROUP BY state_code, year, month""")
 def q_water_balance_daily(spark, sf_dir):
     """F6 + F7: Hargreaves PET from extraterrestrial radiation and P - PET, summed per state-month."""
-    f = FE.water_balance_features(B.climate_daily(spark, sf_dir))
+    f = FE.water_balance_features(materialize(B.climate_daily(spark, sf_dir)))
     return f.groupBy("state_code", "year", "month").agg(
         F.avg("pet").alias("mean_pet"), F.sum("water_balance").alias("water_balance"))
 
@@ -439,6 +440,26 @@ DERIVED = ["heat_degree_days", "extreme_heat_day", "heat_stress_intensity", "max
            "last_spring_frost_day", "first_fall_frost_day", "frost_free_days", "pet", "water_balance"]
 
 
+_CELL_SQL = """WITH climate_daily AS (
+  SELECT 'C' || CAST(o.o_custkey AS VARCHAR) AS state_code, CAST(l.l_shipdate AS DATE) AS date,
+         CAST(year(l.l_shipdate) AS INTEGER) AS year, CAST(month(l.l_shipdate) AS INTEGER) AS month,
+         CAST(day(l.l_shipdate) AS INTEGER) AS day,
+         avg(l.l_quantity) - 10 AS tmean, min(l.l_quantity) - 10 AS tmin, max(l.l_quantity) - 10 AS tmax,
+         CAST(0.4 AS DOUBLE) * CAST(sum(CAST(round(l.l_discount * 100) AS INTEGER)) AS DOUBLE) AS ppt
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY ALL)"""
+_CELL_DOUBLES = ("heat_degree_days", "heat_stress_intensity", "standardized_precip", "pet", "water_balance")
+
+
+@register("cell_feature_chain", "X2,F2,F4,F5,F7,W3,W4,W5,A20,A31", sql=_CELL_SQL + CHAIN_SQL + """
+SELECT state_code AS cell, strftime(date, '%Y-%m-%d') AS date, """ + ", ".join(
+    f"round(CAST({c} AS DOUBLE), 6) AS {c}" if c in _CELL_DOUBLES else f"CAST({c} AS BIGINT) AS {c}" for c in DERIVED)
+          + " FROM chain")
+def q_cell_feature_chain(spark, sf_dir):
+    """X2 daily part over grid cells that grow with the data: one cell per customer, one row per cell-day."""
+    f = composites.climate_features_for_modeling(materialize(B.cell_daily(spark, sf_dir)))
+    return f.select(F.col("state_code").alias("cell"), date_str("date").alias("date"), *DERIVED)
+
+
 @register("daily_feature_chain", "X2,F2,F4,F5,F7,W3,W4,W5,A20,A31", sql=with_views("climate_daily") + CHAIN_SQL + """
 SELECT month, state_code, strftime(date, '%Y-%m-%d') AS date, year, day, """ + ", ".join(
     f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ("tmean", "tmin", "tmax", "ppt", "heat_degree_days",
@@ -449,5 +470,5 @@ SELECT month, state_code, strftime(date, '%Y-%m-%d') AS date, year, day, """ + "
           + " FROM chain")
 def q_daily_feature_chain(spark, sf_dir):
     """X2 daily part: heat, drought, frost and water-balance columns on every region-day."""
-    f = composites.climate_features_for_modeling(B.climate_daily(spark, sf_dir))
+    f = composites.climate_features_for_modeling(materialize(B.climate_daily(spark, sf_dir)))
     return f.withColumn("date", date_str("date"))

@@ -9,6 +9,7 @@ from cropframe.plans import composites
 from cropframe.plans.q_features import CHAIN_SQL, DERIVED
 from cropframe.plans.registry import register
 from cropframe.plans.sql_views import with_views
+from cropframe.session import materialize
 from cropframe.sources import bindings as B
 
 # SQL calendar (independent of the Python calendar code): base season, periods, shifts, state regions.
@@ -242,7 +243,7 @@ SELECT state_code, year, days_with_rain, """ + ", ".join(f"round(CAST({e} AS DOU
 @register("climate_features_for_modeling", "X2,F11,F12,A35", sql=_x2_sql("CORN"))
 def q_climate_features_for_modeling(spark, sf_dir):
     """The modelling feature chain for CORN: season/period statistics of weather and derived columns, interactions."""
-    f = composites.climate_features_for_modeling(B.climate_daily(spark, sf_dir), "CORN")
+    f = composites.climate_features_for_modeling(materialize(B.climate_daily(spark, sf_dir)), "CORN")
     return f.select(*[F.col(c) if c in ("state_code", "year", "days_with_rain") else F.col(c).cast("double").alias(c)
                       for c in f.columns])
 

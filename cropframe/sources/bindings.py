@@ -75,6 +75,34 @@ def climate_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.dayofmonth("date").alias("day"), "tmean", "tmin", "tmax", "ppt")
 
 
+def cell_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``climate_daily`` with one grid cell per customer ('C' and the key), which grows with the data.
+
+    A cell-day holds the customer's lines shipped that day; rows are about as many as lineitem's.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    g = (li.join(orders, li.l_orderkey == orders.o_orderkey)
+         .groupBy("o_custkey", F.to_date("l_shipdate").alias("date"))
+         .agg((F.avg("l_quantity") - 10).alias("tmean"), (F.min("l_quantity") - 10).alias("tmin"),
+              (F.max("l_quantity") - 10).alias("tmax"),
+              (F.lit(0.4) * F.sum(F.round(F.col("l_discount") * 100).cast("int"))).alias("ppt")))
+    return g.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("state_code"), "date",
+                    F.year("date").alias("year"), F.month("date").alias("month"),
+                    F.dayofmonth("date").alias("day"), "tmean", "tmin", "tmax", "ppt")
+
+
+def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """state_code, year, month, variable, value: every line of lineitem is one reading of two variables."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_shipdate")
+    oa = order_attributes(spark, sf_dir).select("o_orderkey", "n_regionkey")
+    date = F.to_date("l_shipdate")
+    j = li.join(oa, li.l_orderkey == oa.o_orderkey).select(
+        region_state(F.col("n_regionkey")).alias("state_code"), F.year(date).alias("year"), F.month(date).alias("month"),
+        (F.col("l_quantity") - 10).cast("double").alias("t"), F.round(F.col("l_discount") * 100).cast("double").alias("p"))
+    return j.select("state_code", "year", "month", F.expr("stack(2, 'tmean', t, 'ppt', p) as (variable, value)"))
+
+
 def climate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long point observations: state_code, year, month, variable, value (one per region-day-variable).
 
