@@ -206,8 +206,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     result = decontaminate(docs, benchmark, **options)
     bad = result.where(F.col("n_hit") > 0).select(F.col("doc_id").alias("bad_id"),
                                                   F.col("text_hash").alias("bad_hash")).distinct()
+    bad = stored(bad, "decontaminate-bad")
     text = F.col("text") if "text" in docs.columns else F.lit(None).cast("string")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(bad["bad_id"]) &
+    return docs.join(small(bad, bad.count()), F.col("doc_id").cast("long").eqNullSafe(bad["bad_id"]) &
                      (F.xxhash64(text.cast("string")) == bad["bad_hash"]), "left_anti")
 
 

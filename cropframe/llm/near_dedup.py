@@ -311,14 +311,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
 
 
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns: one document of each class, and every row of null text."""
-    classes = near_classes(docs, **options)
-    keep = (classes.where("not null_text and text_hash = rep_hash and doc_id <=> rep_id")
-            .groupBy("rep_id", "rep_hash").agg(F.count(F.lit(1)).alias("repeats")))
-    repeated = keep.where("repeats > 1").limit(1).count() > 0
+    """The rows of ``docs``, all columns: one document of each class, and every row of null text.
+
+    The documents that go are fewer than those that stay, so these are joined away.
+    """
+    classes = near_classes(docs, **options).where("not null_text")
+    stays = F.col("text_hash").eqNullSafe(F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
+    gone = stored(classes.where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+                  .distinct(), "dedup-gone")
     text = F.col("text").cast("string")
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(keep["rep_id"]) &
-                     (F.xxhash64(text) == keep["rep_hash"]) & text.isNotNull(), "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where(text.isNull()))
+    kept = docs.join(small(gone, gone.count()), F.col("doc_id").cast("long").eqNullSafe(gone["gone_id"]) &
+                     (F.xxhash64(text) == gone["gone_hash"]) & text.isNotNull(), "left_anti")
+    repeated = classes.where(stays).groupBy("rep_id", "rep_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.limit(1).count():
+        kept = kept.where(text.isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(text.isNull()))
+    return kept
