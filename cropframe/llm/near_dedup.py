@@ -18,7 +18,8 @@
 
 Similarity: M / (a + b - M) for texts of a and b shingles whose best alignment
 in text order matches M; a link needs at least ``similarity``. The alignment
-only follows diagonals that a similarity that high can reach.
+only follows diagonals that a similarity that high can reach, a row of its
+table at a time in one long integer.
 
 Defined cases: null text never matches (a class of its own row). Texts without
 words match only equal texts. Null doc_ids count as the largest. Repeated rows
@@ -28,7 +29,6 @@ share a class. An empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -106,8 +106,40 @@ def sketch(marked: np.ndarray, bands: int = BANDS, picks: int = PICKS) -> tuple[
     return values, firsts
 
 
+def _bits(at: list[int], size: int) -> int:
+    flags = np.zeros(size, bool)
+    flags[at] = True
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def banded_matches(a: list[int], b: list[int], band: int) -> int:
+    """Most equal entries of ``a`` and ``b`` in text order, on diagonals at most ``band`` off.
+
+    One row of the alignment table is one integer, a bit for each entry of ``a``:
+    a row takes a few operations on it instead of a step per cell.
+    """
+    where: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, []).append(i)
+    often = {x: _bits(at, len(a)) for x, at in where.items() if len(at) > 8}
+    row = full = (1 << len(a)) - 1
+    near = (1 << (2 * band + 1)) - 1
+    for j, x in enumerate(b):
+        if x in often:
+            hits = often[x] & (near << (j - band) if j >= band else near >> (band - j))
+        else:
+            hits = 0
+            for i in where.get(x, ()):
+                if abs(i - j) <= band:
+                    hits |= 1 << i
+        if hits:
+            taken = row & hits
+            row = ((row + taken) | (row - taken)) & full
+    return len(a) - row.bit_count()
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """M / (|a| + |b| - M) for the longest in-order matching M; 0.0 if it is under ``least``."""
+    """M / (|a| + |b| - M) for the best in-order matching M; 0.0 if it is under ``least``."""
     total = len(a) + len(b)
     most = int(total * (1 - least) / (1 + least) + 1e-9)  # unmatched shingles a similarity of ``least`` allows
     if not len(a) or not len(b) or abs(len(a) - len(b)) > most:
@@ -118,38 +150,10 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     low = min(len(a), len(b))
     differ = np.flatnonzero(a[:low] != b[:low])
     head = int(differ[0]) if len(differ) else low
-    a, b = a[head:], b[head:]
-    low = min(len(a), len(b))
-    differ = np.flatnonzero(a[::-1][:low] != b[::-1][:low])
-    tail = int(differ[0]) if len(differ) else low
-    a, b = a[:len(a) - tail], b[:len(b) - tail]
-    n, m = len(a), len(b)
-    breaks: dict[int, list[int]] = {}
-
-    def slide(x: int, k: int) -> int:
-        """First x on diagonal k (x - y) at or after ``x`` where the texts differ or one ends."""
-        found = breaks.get(k)
-        lo = max(0, k)
-        if found is None:
-            size = min(n - lo, m - lo + k)
-            found = np.flatnonzero(a[lo:lo + size] != b[lo - k:lo - k + size]) + lo if size > 0 else np.zeros(0, int)
-            found = breaks[k] = [*found.tolist(), lo + max(size, 0)]
-        at = bisect_left(found, x)
-        return found[at] if at < len(found) else x
-
-    reach = {1: 0}
-    for d in range(most + 1):
-        for k in range(-d, d + 1, 2):
-            if k < -m or k > n:
-                continue
-            x = max(reach.get(k + 1, -1), reach.get(k - 1, -2) + 1)
-            if x < max(0, k) or x > n or x - k > m:
-                continue
-            reach[k] = x = slide(x, k)
-            if x >= n and x - k >= m:
-                matched = (total - d) // 2
-                return matched / (total - matched)
-    return 0.0
+    differ = np.flatnonzero(a[::-1][:low - head] != b[::-1][:low - head])
+    tail = int(differ[0]) if len(differ) else low - head
+    matched = head + tail + banded_matches(a[head:len(a) - tail].tolist(), b[head:len(b) - tail].tolist(), most)
+    return matched / (total - matched) if total - 2 * matched <= most else 0.0
 
 
 def sketches(docs: DataFrame, k: int = K, bands: int = BANDS, picks: int = PICKS) -> DataFrame:
@@ -223,8 +227,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
     def aligned(batches):
         hashes = WordHashes()
         for frame in batches:
-            keep = [aligned_similarity(shingles(x, hashes, k), shingles(y, hashes, k), similarity) >= similarity
-                    for x, y in zip(frame["text_a"], frame["text_b"])]
+            firsts = {node: shingles(text, hashes, k) for node, text in zip(frame["a"], frame["text_a"])}
+            keep = [aligned_similarity(firsts[node], shingles(text, hashes, k), similarity) >= similarity
+                    for node, text in zip(frame["a"], frame["text_b"])]
             yield frame.loc[keep, ["a", "b"]]
 
     return stored(full.select("a", "b", "text_a", "text_b").mapInPandas(aligned, "a binary, b binary"), "dedup-links",
