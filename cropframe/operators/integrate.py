@@ -145,12 +145,13 @@ def station_variable_pivot(obs: DataFrame, variables: list[str] | None = None, i
 
 
 def lagged_yield(df: DataFrame, crop_col: str = "CROP", year_col: str = "YEAR",
-                 yield_col: str = "YIELD") -> DataFrame:
+                 yield_col: str = "YIELD", by: tuple[str, ...] = ()) -> DataFrame:
     """Previous yield, change and percent change per crop (order by year).
 
-    A crop's history is one row per census year, so the window partition is tiny.
+    ``by`` names further keys of a row (state, county): a unit's history of a crop
+    is one row per census year, so the window partition is tiny at any grain.
     """
-    w = Window.partitionBy(crop_col).orderBy(year_col)
+    w = Window.partitionBy(crop_col, *by).orderBy(year_col)
     prev = F.lag(_q(yield_col)).over(w)
     return (df.withColumn("PREV_YIELD", prev)
             .withColumn("YIELD_CHANGE", _q(yield_col) - F.col("PREV_YIELD"))

@@ -53,6 +53,14 @@ def _inside_ring(ring: Column, lon: Column, lat: Column) -> Column:
     return (hits % 2) == 1
 
 
+def _inside(polygons: DataFrame, lon: Column, lat: Column) -> Column:
+    """Even-odd rule over all rings of a polygon: parts add up, holes cancel."""
+    if "rings" not in polygons.columns:
+        return _inside_ring(F.col("ring"), lon, lat)
+    inside = F.transform("rings", lambda r: F.when(_inside_ring(r, lon, lat), F.lit(1)).otherwise(F.lit(0)))
+    return F.aggregate(inside, F.lit(0), lambda acc, x: acc + x) % 2 == 1
+
+
 def polygon_cells(polygons: DataFrame, cell_deg: float = 1.0) -> DataFrame:
     """Explode each polygon over the integer cells its bbox touches (small, fixed-size)."""
     cx = F.explode(F.sequence(F.floor(F.col("lon_min") / cell_deg).cast("int"),
@@ -67,16 +75,18 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, lon: str = "longitu
                      polygon_cols: list[str] | None = None, cell_deg: float = 1.0) -> DataFrame:
     """Attach the attributes of the polygon containing each point (inner join).
 
-    ``polygons`` must carry ``ring`` and the bbox columns (``lon_min`` ...).
+    ``polygons`` must carry ``ring``, or ``rings`` (outer rings and holes of all
+    parts), and the bbox columns (``lon_min`` ...).
     Two joins: (1) on the cell key against the distinct (polygon attributes,
     cell) pairs; (2) on the attributes against the polygons, each ring held once.
     The planner broadcasts a polygon side that its statistics show to be small
     and shuffles it otherwise (AQE splits a hot cell or polygon).
     """
     polygon_cols = polygon_cols or [c for c in polygons.columns
-                                    if c not in ("ring", "lon_min", "lat_min", "lon_max", "lat_max")]
+                                    if c not in ("ring", "rings", "lon_min", "lat_min", "lon_max", "lat_max")]
     cells = polygon_cells(polygons, cell_deg).select(*polygon_cols, "_cx", "_cy").distinct()
-    rings = polygons.select(*polygon_cols, "ring", "lon_min", "lat_min", "lon_max", "lat_max")
+    shape = "rings" if "rings" in polygons.columns else "ring"
+    rings = polygons.select(*polygon_cols, shape, "lon_min", "lat_min", "lon_max", "lat_max")
     pts = points.select("*", F.floor(F.col(lon) / cell_deg).cast("int").alias("_px"),
                         F.floor(F.col(lat) / cell_deg).cast("int").alias("_py"))
     dup = [c for c in polygon_cols if c in points.columns]
@@ -87,7 +97,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, lon: str = "longitu
     j = cand.join(rings, polygon_cols)
     j = j.filter(F.col(lon).between(F.col("lon_min"), F.col("lon_max"))
                  & F.col(lat).between(F.col("lat_min"), F.col("lat_max"))
-                 & _inside_ring(F.col("ring"), F.col(lon), F.col(lat)))
+                 & _inside(polygons, F.col(lon), F.col(lat)))
     keep = [c for c in pts.columns if c not in ("_px", "_py")] + polygon_cols
     return j.select(*keep)
 

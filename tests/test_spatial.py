@@ -28,6 +28,28 @@ def test_point_in_rectangle_and_triangle(spark):
     assert got == {1: "R", 3: "T", 5: "T"}
 
 
+def test_holes_and_parts_by_edge_crossing(spark):
+    rings = [[(0.0, 0.0), (6.0, 0.0), (6.0, 5.0), (3.0, 7.0), (0.0, 5.0)], [(1.0, 1.0), (3.0, 1.0), (2.0, 4.0)],
+             [(8.0, 1.0), (9.5, 1.5), (8.5, 3.0)]]
+
+    def inside(x, y):
+        odd = False
+        for ring in rings:
+            for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+                if (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0:
+                    odd = not odd
+        return odd
+
+    polygon = spark.createDataFrame([("P", rings, 0.0, 0.0, 9.5, 7.0)],
+                                    "code string, rings array<array<struct<x:double,y:double>>>, lon_min double, "
+                                    "lat_min double, lon_max double, lat_max double")
+    points = [(i, 0.137 + 0.31 * (i % 33), 0.071 + 0.29 * (i // 33)) for i in range(33 * 26)]
+    got = spatial.point_in_polygon(spark.createDataFrame(points, "id int, longitude double, latitude double"), polygon,
+                                   polygon_cols=["code"])
+    want = {i for i, x, y in points if inside(x, y)}
+    assert {r.id for r in got.collect()} == want and 0 < len(want) < len(points)
+
+
 def test_zonal_stats_ddof_and_single_row(spark):
     pts = spark.createDataFrame([("A", 1.0), ("A", 3.0), ("B", 5.0), ("B", None), ("C", float("nan"))],
                                 "state_code string, value double")
