@@ -31,12 +31,19 @@ def test_alignment_matches_full_table():
                 b.insert(i, rnd.randrange(letters))
         if not b:
             continue
-        matched = lcs(a, b)
+        a, b = (M.labelled(np.array(x, np.uint64)) for x in (a, b))
+        matched = lcs(a.tolist(), b.tolist())
         want = matched / (len(a) + len(b) - matched)
-        got = M.aligned_similarity(np.array(a, np.uint64), np.array(b, np.uint64))
+        got = M.aligned_similarity(a, b)
         assert abs(got - want) < 1e-12 if want >= 0.8 else got == 0.0
 
 
+def test_labels_first_and_again():
+    marks = M.labelled(np.array([7, 8, 7, 7, 9, 8, 7], np.uint64))
+    assert len(marks) == len(set(marks.tolist())) == 5
+    assert [int(x) for x in marks if x in (7, 8, 9)] == [7, 8, 9]
+
+
 def planted(seed=1):
     rnd = random.Random(seed)
     vocab = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
@@ -59,6 +66,7 @@ def classes(rows):
     """Brute force: components of the links at 0.8 in alignment."""
     hashes = M.WordHashes()
     s = [M.shingles(t, hashes) for _, t in rows]
+    s = [M.labelled(x) if len(x) else x for x in s]
     up = list(range(len(rows)))
 
     def root(i):
