@@ -12,9 +12,9 @@
    out the similarity are dropped; the rest are aligned, one per node first, the
    others only if their ends are not yet connected.
 4. Round two takes the buckets whose nodes are still in different components and
-   pairs nodes across components. Buckets over ``big`` nodes are first split by
-   the further bands their nodes share (a pair at 0.8 shares three of 32 bands
-   with probability 1 - 4e-6), so no bucket is enumerated whole.
+   pairs nodes across components. Buckets over ``big`` nodes are first split,
+   twice at most, by the ``NEXT_BANDS`` bands after theirs: a pair at 0.8 shares 13
+   of 32 bands, and all but 1e-8 of such pairs share three that follow this closely.
 5. Linked nodes form components (smallest label, joins until nothing changes).
 
 Similarity: M / (a + b - M) for texts of a and b labelled shingles whose best
@@ -45,6 +45,8 @@ K, PICKS, BANDS, SIMILARITY = 5, 4, 32, 0.8
 #: Equal smallest hashes (of 32) below which a pair cannot be at 0.8, but for a probability of 1e-6.
 AGREE = 14
 CACHE_WORDS = 200_000
+#: Nodes over which a bucket is split by the bands after its own, and how many of these.
+BIG, NEXT_BANDS = 4096, 4
 #: Texts, and pairs of texts, a Python worker holds at once.
 TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2000, 200
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -225,9 +227,9 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float, agree: int,
-            big: int) -> DataFrame:
+            big: int, bands: int) -> DataFrame:
     """Possible pairs across components inside the buckets that hold several components."""
-    named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    named = buckets.join(labels, "node", "left").select("bucket", "i", "node", F.coalesce("component", "node").alias("c"))
     mixed = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"),
                                         F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
     members = stored(named.join(mixed, "bucket"), "dedup-mixed")
@@ -236,13 +238,15 @@ def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity:
         wide = members.where(F.col("size") > big)
         if not wide.limit(1).count():
             break
+        following = F.slice(F.concat("bands", "bands"), F.col("i") + 2, F.lit(NEXT_BANDS))
         split = wide.join(facts.select("node", "bands"), "node").select(
-            "node", "c", "bucket", F.posexplode("bands").alias("i", "v")).select(
-            F.xxhash64("bucket", "i", "v").alias("bucket"), "node", "c").distinct()
+            "node", "c", "bucket", "i", F.posexplode(following).alias("d", "v")).select(
+            F.xxhash64("bucket", "v").alias("bucket"),
+            ((F.col("i") + F.col("d") + 1) % F.lit(bands)).cast("int").alias("i"), "node", "c")
         sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("low"),
                                             F.max("c").alias("high")).where("low <> high").select("bucket", "size")
-        members = stored(members.where(F.col("size") <= big).select("bucket", "node", "c", "size").unionByName(
-            split.join(sizes, "bucket").select("bucket", "node", "c", "size")), f"dedup-split{depth}")
+        members = stored(members.where(F.col("size") <= big).select("bucket", "i", "node", "c", "size").unionByName(
+            split.join(sizes, "bucket").select("bucket", "i", "node", "c", "size")), f"dedup-split{depth}")
     facts = members.join(facts.drop("bands"), "node")
     a, b = (facts.select("bucket", *[F.col(c).alias(x) for c, x in (("node", s), ("c", f"c_{s}"), ("n", f"n_{s}"),
                                                                     ("firsts", f"firsts_{s}"))]) for s in "ab")
@@ -251,7 +255,7 @@ def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity:
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, bands: int = BANDS, picks: int = PICKS,
-                 agree: int = AGREE, big: int = 256) -> DataFrame:
+                 agree: int = AGREE, big: int = BIG) -> DataFrame:
     """(doc_id, text_hash, class_id, class_size, rep_id, rep_hash): one row per document, stored.
 
     class_id is the smallest doc_id of the class; rep_id and rep_hash name the document that stays.
@@ -263,7 +267,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
                   rep.alias("rep"), F.count(F.lit(1)).alias("copies")))
     nodes = stored(nodes.select("node", "n", "bands", "firsts", F.col("rep.doc_id").alias("rep_id"),
                                 F.col("rep.text_hash").alias("rep_hash"), "copies"), "dedup-nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = nodes.select("node", F.posexplode("bands").alias("i", "bucket"))
     leaders = stored(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
                      .where("size > 1").select("bucket", "leader"), "dedup-leaders")
     shared = stored(buckets.join(leaders, "bucket"), "dedup-buckets")
@@ -276,7 +280,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
     if rest.limit(1).count():
         links = links.unionByName(verified(rest, nodes, docs, similarity, k))
         labels = components(links)
-    across = _across(shared.select("bucket", "node"), labels, nodes, similarity, agree, big)
+    across = _across(shared.select("bucket", "i", "node"), labels, nodes, similarity, agree, big, bands)
     across = stored(across.join(pairs, ["a", "b"], "left_anti"), "dedup-across")
     if across.limit(1).count():
         links = links.unionByName(verified(across, nodes, docs, similarity, k))
