@@ -1,9 +1,8 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
 1. Words are runs of word characters, lower-cased; ``k`` of them (5) make a
-   shingle (a shorter text is one shingle). Occurrences are labelled first or
-   again, and each label of a shingle counts once, so a passage repeated a
-   hundred times weighs as one repeated twice. Texts of equal words are one node.
+   shingle (a shorter text is one shingle). The j-th occurrence of a shingle is
+   labelled j for the sketch. Texts of equal words are one node.
 2. Each of ``bands`` permutations takes the ``picks`` smallest labelled shingles
    and hashes them in text order: nodes of one band value share a bucket. At
    similarity 0.8 a pair shares none of 32 buckets of 4 with probability 5e-8.
@@ -17,10 +16,11 @@
    of 32 bands, and all but 1e-8 of such pairs share three that follow this closely.
 5. Linked nodes form components (smallest label, joins until nothing changes).
 
-Similarity: M / (a + b - M) for texts of a and b labelled shingles whose best
-alignment in text order matches M; a link needs at least ``similarity``. The
-alignment only follows diagonals that a similarity that high can reach. Without
-moved passages it equals the Jaccard similarity of the labelled shingles.
+Similarity: M / (a + b - M) for texts of a and b shingles whose best alignment
+in text order matches M; a link needs at least ``similarity``. Any two equal
+shingles may be matched, whatever their labels. The alignment only follows
+diagonals that a similarity that high can reach, a row of its table at a time in
+one long integer.
 
 Defined cases: null text never matches (a class of its own row). Texts without
 words match only equal texts. Null doc_ids count as the largest. Repeated rows
@@ -30,7 +30,6 @@ share a class. An empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -79,8 +78,22 @@ def shingles(text: str | None, hashes: WordHashes, k: int = K) -> np.ndarray:
     return _mix(out)
 
 
+def numbered(s: np.ndarray) -> np.ndarray:
+    """Shingle hashes made different by their occurrence number."""
+    order = np.argsort(s, kind="stable")
+    run = s[order]
+    starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    number = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
+    out = np.empty_like(s)
+    out[order] = run + number.astype(np.uint64) * _P
+    return out
+
+
 def labelled(s: np.ndarray) -> np.ndarray:
-    """First and second occurrences, in text order, as different values: (shingle, first), (shingle, again)."""
+    """First and second occurrences, in text order, as different values: (shingle, first), (shingle, again).
+
+    Drops later occurrences; no query uses it.
+    """
     order = np.argsort(s, kind="stable")
     run = s[order]
     starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -112,28 +125,53 @@ def sketch(marked: np.ndarray, bands: int = BANDS, picks: int = PICKS) -> tuple[
     return values, firsts
 
 
-def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """M / (|a| + |b| - M) for the best in-order matching M of labelled shingles; 0.0 if it is under ``least``.
+def _bits(at: list[int], size: int) -> int:
+    flags = np.zeros(size, bool)
+    flags[at] = True
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
 
-    Entries differ within a text, so the table has one cell to match for each
-    common entry: those inside the band are chained, the longest rising chain is M.
+def banded_matches(a: list[int], b: list[int], band: int) -> int:
+    """Most equal entries of ``a`` and ``b`` in text order, on diagonals at most ``band`` off.
+
+    One row of the alignment table is one integer, a bit for each entry of ``a``:
+    a row takes a few operations on it instead of a step per cell.
     """
+    where: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, []).append(i)
+    often = {x: _bits(at, len(a)) for x, at in where.items() if len(at) > 8}
+    row = full = (1 << len(a)) - 1
+    near = (1 << (2 * band + 1)) - 1
+    for j, x in enumerate(b):
+        if x in often:
+            hits = often[x] & (near << (j - band) if j >= band else near >> (band - j))
+        else:
+            hits = 0
+            for i in where.get(x, ()):
+                if abs(i - j) <= band:
+                    hits |= 1 << i
+        if hits:
+            taken = row & hits
+            row = ((row + taken) | (row - taken)) & full
+    return len(a) - row.bit_count()
+
+
+def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """M / (|a| + |b| - M) for the best in-order matching M; 0.0 if it is under ``least``."""
     total = len(a) + len(b)
     most = int(total * (1 - least) / (1 + least) + 1e-9)  # unmatched shingles a similarity of ``least`` allows
     if not len(a) or not len(b) or abs(len(a) - len(b)) > most:
         return 0.0
-    _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if total - 2 * len(at_a) > most:
+    common = len(np.intersect1d(numbered(a), numbered(b), assume_unique=True))
+    if total - 2 * common > most:
         return 0.0
-    order = np.argsort(at_a)
-    at_a, at_b = at_a[order], at_b[order]
-    ends: list[int] = []
-    for y in at_b[np.abs(at_a - at_b) <= most].tolist():
-        if not ends or y > ends[-1]:
-            ends.append(y)
-        else:
-            ends[bisect_left(ends, y)] = y
-    matched = len(ends)
+    low = min(len(a), len(b))
+    differ = np.flatnonzero(a[:low] != b[:low])
+    head = int(differ[0]) if len(differ) else low
+    differ = np.flatnonzero(a[::-1][:low - head] != b[::-1][:low - head])
+    tail = int(differ[0]) if len(differ) else low - head
+    matched = head + tail + banded_matches(a[head:len(a) - tail].tolist(), b[head:len(b) - tail].tolist(), most)
     return matched / (total - matched) if total - 2 * matched <= most else 0.0
 
 
@@ -147,11 +185,10 @@ def sketches(docs: DataFrame, k: int = K, bands: int = BANDS, picks: int = PICKS
             nodes, sizes, values, firsts = [], [], [], []
             for text in frame["text"]:
                 s = shingles(text, hashes, k)
-                marks = labelled(s) if len(s) else s
-                sizes.append(len(marks))
+                sizes.append(len(s))
                 if len(s):
                     nodes.append(xxhash.xxh128_digest(s.tobytes()))
-                    v, f = sketch(marks, bands, picks)
+                    v, f = sketch(numbered(s), bands, picks)
                     values.append(v.view(np.int64))
                     firsts.append(f.view(np.int64).astype(np.int32))
                 else:
@@ -209,7 +246,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
     def aligned(batches):
         hashes = WordHashes()
         for frame in batches:
-            seen = {node: labelled(shingles(text, hashes, k))
+            seen = {node: shingles(text, hashes, k)
                     for s in "ab" for node, text in zip(frame[s], frame[f"text_{s}"])}
             keep = [aligned_similarity(seen[x], seen[y], similarity) >= similarity
                     for x, y in zip(frame["a"], frame["b"])]

@@ -109,3 +109,31 @@ def test_one_per_class_and_defined_cases(documents):
     assert kept == sorted([(2, a.upper()), (7, None), (None, None), (8, ""), (None, "solo x")], key=str)
     assert M.one_per_class(docs).columns == docs.columns
     assert M.near_classes(documents([])).count() == 0
+
+
+def test_alignment_of_raw_sequences():
+    rnd = random.Random(4)
+    for _ in range(1500):
+        letters = rnd.choice([2, 5, 30])
+        a = [rnd.randrange(letters) for _ in range(rnd.randint(1, 60))]
+        b = a[rnd.randint(0, 3):] + a[:rnd.randint(0, 5)]
+        for _ in range(rnd.randint(0, 4)):
+            b.insert(rnd.randrange(len(b) + 1), rnd.randrange(letters))
+        if not b:
+            continue
+        matched = lcs(a, b)
+        want = matched / (len(a) + len(b) - matched)
+        got = M.aligned_similarity(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert abs(got - want) < 1e-12 if want >= 0.8 else got == 0.0
+
+
+def test_every_occurrence_counts(documents):
+    p, x, y = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 20), ("x", 40), ("y", 60)))
+    once = [f"o{i}" for i in range(60)]
+    line = [f"l{i}" for i in range(12)]
+    rows = [(0, p + x + p + y), (1, x + p + y), (2, once + line * 2), (3, once + line * 40)]
+    s = [M.shingles(" ".join(t), M.WordHashes()) for _, t in rows]
+    matched = lcs(s[0].tolist(), s[1].tolist())
+    assert matched / (len(s[0]) + len(s[1]) - matched) > 0.85
+    got = M.near_classes(documents([(i, " ".join(t)) for i, t in rows])).collect()
+    assert {r.doc_id: r.class_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 3}
