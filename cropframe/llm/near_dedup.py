@@ -11,9 +11,9 @@
    out the similarity are dropped; the rest are aligned, one per node first, the
    others only if their ends are not yet connected.
 4. Round two takes the buckets whose nodes are still in different components and
-   pairs nodes across components. Buckets over ``big`` nodes are first split,
-   twice at most, by the ``NEXT_BANDS`` bands after theirs: a pair at 0.8 shares 13
-   of 32 bands, and all but 1e-8 of such pairs share three that follow this closely.
+   pairs nodes across components. Buckets stay whole, so the 5e-8 of step 2 holds
+   for them: the nodes outside a bucket's largest component meet all its nodes, in
+   blocks of ``big``, and the conditions of step 3 rule pairs out before any is listed.
 5. Linked nodes form components (smallest label, joins until nothing changes).
 
 Similarity: M / (a + b - M) for texts of a and b shingles whose best alignment
@@ -44,8 +44,8 @@ K, PICKS, BANDS, SIMILARITY = 5, 4, 32, 0.8
 #: Equal smallest hashes (of 32) below which a pair cannot be at 0.8, but for a probability of 1e-6.
 AGREE = 14
 CACHE_WORDS = 200_000
-#: Nodes over which a bucket is split by the bands after its own, and how many of these.
-BIG, NEXT_BANDS = 4096, 4
+#: Nodes of a bucket that meet in one join key.
+BIG = 4096
 #: Texts, and pairs of texts, a Python worker holds at once.
 TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2000, 200
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -264,30 +264,35 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float, agree: int,
-            big: int, bands: int) -> DataFrame:
-    """Possible pairs across components inside the buckets that hold several components."""
-    named = buckets.join(labels, "node", "left").select("bucket", "i", "node", F.coalesce("component", "node").alias("c"))
-    mixed = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"),
-                                        F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
-    members = stored(named.join(mixed, "bucket"), "dedup-mixed")
-    facts = nodes.select("node", "n", "firsts", "bands")
-    for depth in range(2):
-        wide = members.where(F.col("size") > big)
-        if not wide.limit(1).count():
-            break
-        following = F.slice(F.concat("bands", "bands"), F.col("i") + 2, F.lit(NEXT_BANDS))
-        split = wide.join(facts.select("node", "bands"), "node").select(
-            "node", "c", "bucket", "i", F.posexplode(following).alias("d", "v")).select(
-            F.xxhash64("bucket", "v").alias("bucket"),
-            ((F.col("i") + F.col("d") + 1) % F.lit(bands)).cast("int").alias("i"), "node", "c")
-        sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("low"),
-                                            F.max("c").alias("high")).where("low <> high").select("bucket", "size")
-        members = stored(members.where(F.col("size") <= big).select("bucket", "i", "node", "c", "size").unionByName(
-            split.join(sizes, "bucket").select("bucket", "i", "node", "c", "size")), f"dedup-split{depth}")
-    facts = members.join(facts.drop("bands"), "node")
-    a, b = (facts.select("bucket", *[F.col(c).alias(x) for c, x in (("node", s), ("c", f"c_{s}"), ("n", f"n_{s}"),
-                                                                    ("firsts", f"firsts_{s}"))]) for s in "ab")
-    return a.join(b, "bucket").where((F.col("c_a") < F.col("c_b")) & _can_link(similarity, agree)).select(
+            big: int) -> DataFrame:
+    """Possible pairs across components inside the buckets that hold several components.
+
+    A pair across components has an end outside the bucket's main component, so these ends alone meet all nodes.
+    """
+    named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    parts = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("size"),
+                                        F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = F.ceil(F.col("size") / big).cast("int")
+    outer_blocks = F.ceil((F.col("size") - F.col("main.n")) / big).cast("int")
+    mixed = mixed.select("bucket", F.col("main.c").alias("main"), blocks.alias("blocks"), outer_blocks.alias("outers"))
+    facts = nodes.select("node", "n", "firsts")
+    members = stored(named.join(mixed, "bucket").join(facts, "node"), "dedup-mixed")
+
+    def side(rows: DataFrame, s: str, block, outer) -> DataFrame:
+        return rows.select("bucket", block.alias("block"), outer.alias("outer"), F.col("node").alias(s), *[
+            F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "firsts")])
+
+    def dealt(count: str):
+        return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+    def each(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    a = side(members.where("c <> main").withColumn("block", each("blocks")), "a", F.col("block"), dealt("outers"))
+    b = side(members.withColumn("outer", each("outers")), "b", dealt("blocks"), F.col("outer"))
+    return a.join(b, ["bucket", "block", "outer"]).where(
+        (F.col("c_a") != F.col("c_b")) & _can_link(similarity, agree)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -304,7 +309,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
                   rep.alias("rep"), F.count(F.lit(1)).alias("copies")))
     nodes = stored(nodes.select("node", "n", "bands", "firsts", F.col("rep.doc_id").alias("rep_id"),
                                 F.col("rep.text_hash").alias("rep_hash"), "copies"), "dedup-nodes")
-    buckets = nodes.select("node", F.posexplode("bands").alias("i", "bucket"))
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = stored(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
                      .where("size > 1").select("bucket", "leader"), "dedup-leaders")
     shared = stored(buckets.join(leaders, "bucket"), "dedup-buckets")
@@ -317,7 +322,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
     if rest.limit(1).count():
         links = links.unionByName(verified(rest, nodes, docs, similarity, k))
         labels = components(links)
-    across = _across(shared.select("bucket", "i", "node"), labels, nodes, similarity, agree, big, bands)
+    across = _across(shared.select("bucket", "node"), labels, nodes, similarity, agree, big)
     across = stored(across.join(pairs, ["a", "b"], "left_anti"), "dedup-across")
     if across.limit(1).count():
         links = links.unionByName(verified(across, nodes, docs, similarity, k))

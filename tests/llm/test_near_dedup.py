@@ -137,3 +137,17 @@ def test_every_occurrence_counts(documents):
     assert matched / (len(s[0]) + len(s[1]) - matched) > 0.85
     got = M.near_classes(documents([(i, " ".join(t)) for i, t in rows])).collect()
     assert {r.doc_id: r.class_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_wide_buckets_stay_whole(spark):
+    """Seven nodes share one band only; every pair across components is listed whatever the block size."""
+    nodes = spark.createDataFrame([(bytes([x]), 50, [1] * 32, [7] + [100 * x + i for i in range(31)]) for x in range(7)],
+                                  "node binary, n int, firsts array<int>, bands array<long>")
+    labels = spark.createDataFrame([(bytes([x]), bytes([0])) for x in range(3)] + [(bytes([x]), bytes([4])) for x in (4, 5)],
+                                   "node binary, component binary")
+    buckets = nodes.selectExpr("node", "bands[0] as bucket")
+    of = {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 6}
+    want = sorted((x, y) for x in of for y in of if x < y and of[x] != of[y])
+    for big in (1, 2, 4096):
+        got = M._across(buckets, labels, nodes, 0.8, 14, big).collect()
+        assert sorted((r.a[0], r.b[0]) for r in got) == want
