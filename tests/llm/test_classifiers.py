@@ -116,3 +116,41 @@ def test_quality_without_labels(spark, documents):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality.scored(documents([(1, "a")]), labels).collect()] == [0.0]
     assert quality.scored(documents([]), labels).count() == 0
+
+
+def test_toxicity_reads_whole_words_and_runs(spark, documents):
+    """The telling part stands behind letter 12 of a word, or anywhere in text without spaces."""
+    rnd = random.Random(12)
+    signs = [chr(0x4E00 + i) for i in range(40)]
+
+    def unspaced(toxic):
+        run = [rnd.choice(signs) for _ in range(60)]
+        if toxic:
+            for at in (20, 33, 47):
+                run[at:at + 3] = "\u7000\u7001\u7002"
+        return "".join(run)
+
+    def spaced(toxic):
+        words = [rnd.choice(ORDINARY) for _ in range(40)]
+        for at in (5, 18, 31):
+            words[at] = "gemeinschaftsz" + ("vilex" if toxic else "grund")
+        return " ".join(words)
+
+    for text in (unspaced, spaced):
+        rows = [(i, text(i % 4 == 0)) for i in range(300)]
+        labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+        got = toxicity.scored(documents(rows), labels).collect()
+        assert [r.doc_id for r in got if r.predicted != int(r.doc_id % 4 == 0)] == []
+
+
+def test_toxicity_run_counts_stay_bounded(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(toxicity, "HELD_STEPS", 1000)
+    rnd = random.Random(13)
+    run = "".join(rnd.choice("abcdefgh") for _ in range(3000))
+    frame = pd.DataFrame({"fold": [0], "toxic": [1], "text": [run]})
+    parts = list(toxicity._step_counts([frame]))
+    assert len(parts) > 5 and max(map(len, parts)) <= 1000 + toxicity.RUN_LETTERS + 1
+    want = {(run + "$")[i:i + toxicity.RUN_LETTERS] for i in range(len(run))}
+    assert want <= set(pd.concat(parts)["step"])
