@@ -18,7 +18,8 @@ one fixed order, so equal vectors tie exactly; ties go to the smaller vec_id.
 Defined cases: vectors that are null, empty, all zero, of another length than
 most, or hold a null or non-finite component take no part. Null vec_ids are no
 queries; as candidates they come last among ties. Rows repeating a vec_id are
-separate candidates, never for a query of their own id. An empty table gives no
+separate candidates, never for a query of their own id; a query id in several rows
+asks once, with the smallest of its vectors (component by component). An empty table gives no
 rows; fewer than ``k`` candidates are all returned; extra columns are ignored.
 """
 
@@ -181,8 +182,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float = 0
     sizes = F.broadcast(stored(sizes, "ann-blocks"))  # one row per leaf: bounded by the sample
     block = F.pmod(F.xxhash64("vec_id", "vec"), F.col("blocks")).cast("int")
     candidates = placed.join(sizes, "leaf").select("leaf", block.alias("block"), "vec_id", "vec")
-    asked = placed.where((F.col("vec_id") % every) == 0).select(F.col("vec_id").alias("query_id"),
-                                                                F.col("vec").alias("q_vec"))
+    asked = placed.where((F.col("vec_id") % every) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(
+        F.min("vec").alias("q_vec"))
 
     def routed(batches):
         for frame in batches:
@@ -206,8 +207,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float = 0
     hits = visited.groupBy("leaf", "block").cogroup(candidates.groupBy("leaf", "block")).applyInPandas(met, out)
     hits = stored(hits, "ann-hits")
     total = rows.count()
-    short = (asked.select("query_id", "q_vec").distinct()
-             .join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    short = (asked.join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
              .where(F.coalesce("n", F.lit(0)) < min(k, total - 1)).select("query_id", "q_vec"))
     short = stored(short, "ann-short")
     if short.limit(1).count():
@@ -216,7 +216,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float = 0
         whole = short.withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tree.leaves - 1).cast("long"))))
         whole = whole.join(every_block, "leaf").select("leaf", "block", "query_id", "q_vec")
         more = whole.groupBy("leaf", "block").cogroup(candidates.groupBy("leaf", "block")).applyInPandas(met, out)
-        hits = hits.unionByName(more).distinct()
+        hits = hits.join(short.select("query_id"), "query_id", "left_anti").unionByName(more)
     return ranked(hits, k)
 
 

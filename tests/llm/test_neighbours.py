@@ -53,3 +53,24 @@ def test_defined_cases(spark):
     assert found(spark, []) == {}
     only = found(spark, [(0, [1.0, 2.0])])
     assert only == {}
+
+
+def test_repeated_rows_equal_brute_force(spark):
+    random = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in random.normal(size=8)]) for i in range(400)]
+    rows += [r for r in rows if r[0] % 100 == 0] * 2 + [r for r in rows if r[0] % 7 == 0]
+    assert found(spark, rows, recall=1.0, calibration_queries=len(rows), block_rows=50) == brute(rows)
+
+
+def test_repeated_rows_in_queries_searched_in_all(spark):
+    random = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in random.normal(size=4)]) for i in range(60)]
+    rows += [r for r in rows if r[0] % 3 == 2] * 2 + [r for r in rows if r[0] == 0]
+    assert found(spark, rows, recall=0.01, leaf_rows=1) == brute(rows)
+
+
+def test_id_with_several_vectors_asks_with_the_smallest(spark):
+    rows = [(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(1, 30)]
+    one, other = [-1.0, 0.5], [1.0, 0.2]
+    want = brute([*rows, (50, one)])
+    assert found(spark, [*rows, (50, other), (50, one), (50, other)], recall=1.0, calibration_queries=60) == want
