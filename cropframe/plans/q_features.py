@@ -385,7 +385,7 @@ def q_station_climate_summary(spark, sf_dir):
     """The station feature frames (GDD with season labels, frost window, precipitation features)
     from one normals binding, joined per station-year. The per-(station, year) aggregates share
     their hash partitioning, so the left joins between them add no shuffle of their own."""
-    frames = composites.station_features(B.station_normals(spark, sf_dir))
+    frames = FE.station_climate_features(B.station_normals(spark, sf_dir))
     gdd = frames["climate_with_gdd"].groupBy("STATION", "YEAR").agg(
         F.count(F.lit(1)).alias("n_days"), F.sum("GDD").alias("gdd_total"),
         F.count_distinct(F.upper("SEASON")).alias("n_seasons"))
