@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropframe.llm import (decontaminate, near_dedup, neighbours, pieces, pseudo_likelihood, quality, shards,
-                           token_counts, toxicity, url_filter)
+from cropframe.llm import (decontaminate, fill_middle, hard_negatives, near_dedup, neighbours, packing, pieces,
+                           pseudo_likelihood, quality, shards, token_counts, toxicity, url_filter)
 from cropframe.llm.common import table
 
 
@@ -52,7 +52,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_url_filter, op5_decontamination, op6_sentencepiece, op7_minhash, op8_ann, op9_lm_score,
-                              op10_token_counts)}
-ORACLE: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL}
+    f.__name__: f for f in (
+        op1_toxicity, op2_sharding, op3_quality, op4_url_filter, op5_decontamination, op6_sentencepiece, op7_minhash,
+        op8_ann, op9_lm_score, op10_token_counts, op11_fill_middle, op12_hard_negatives, op13_packing)}
+ORACLE: dict[str, str] = {
+    "op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL, "op11_fill_middle": fill_middle.SQL,
+    "op12_hard_negatives": hard_negatives.SQL}
