@@ -16,18 +16,21 @@
 Defined cases: null and empty texts are the one id ``end_id``. Repeated rows are packed
 each for itself. An empty table gives no rows; extra columns are ignored; a null doc_id
 stays null. A very long text is encoded in parts of about ``SLICE_CHARS``
-characters, cut only before a white space, where this tokenizer never joins; its ids are
-one row. Memory per task: one batch, or one group.
+characters, cut only before a white space, where the tokenizer never joins; its ids are
+one row. Memory per task: one batch and ``CACHE_WORDS`` words, or one group.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,11 @@ from cropframe.llm.common import doc_rows, stored
 
 LENGTH, END_ID = 2048, 1
 SLICE_CHARS = 1_000_000
+#: Words whose ids are kept, twice.
+CACHE_WORDS = 400_000
+CACHE_BYTES = 64
+#: Words given to the tokenizer in one text.
+TOGETHER = 200
 PIECES = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
@@ -56,32 +64,107 @@ def text_parts(text: str, most: int = SLICE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids binary, n long) of every row: little-endian unsigned 32-bit ids, ``end_id`` last."""
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        shipped = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
+class Encoder:
+    """Ids of texts as bytes, two a piece if the vocabulary allows it, else four.
 
-    def encoded(batches):
+    Where white space only separates (probed), every distinct word is given to the
+    tokenizer once and its ids are kept; other tokenizers get whole texts.
+    """
+
+    def __init__(self, vocabulary: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_str(shipped.value)
-        end = np.array([end_id], "<u4").tobytes()
-        for frame in batches:
-            texts, at = [t or "" for t in frame["text"]], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE_CHARS):
-                    size += len(texts[to])
-                    to += 1
-                parts = [list(text_parts(t)) for t in texts[at:to]]
-                found = iter(model.encode_batch_fast([p for x in parts for p in x], add_special_tokens=False))
-                ids = [b"".join(np.array(next(found).ids, "<u4").tobytes() for _ in x) + end for x in parts]
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[at:to].astype("Int64"), "ids": ids,
-                                    "n": [len(x) // 4 for x in ids]})
-                at = to
-
-    return doc_rows(docs).mapInPandas(encoded, "doc_id long, ids binary, n long")
+        self.model, self.known, self.older = Tokenizer.from_str(vocabulary), {}, {}
+        self.kind = id_type(self.model)
+        self.code = {"<u2": "H", "<u4": "I"}[self.kind]
+        self.end = np.array([end_id], self.kind).tobytes()
+        self.apart = self._white_space_separates()
+
+    def _white_space_separates(self) -> bool:
+        probes, gaps = ["a", "it's", "12", "-)", "e\u0301", "\u039f\u03a3", "\u65e5"], [" ", "\n", "\t ", "\r\n", "\x0b\x0c"]
+        alone = {p: self.model.encode(p, add_special_tokens=False).ids for p in probes}
+        return not any(" " in t.content for t in self.model.get_added_tokens_decoder().values()) and all(
+            self.model.encode(g + x + g + y + g, add_special_tokens=False).ids == alone[x] + alone[y]
+            for g in gaps for x in probes for y in probes)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: ``TOGETHER`` words are one text, whose ids' offsets tell the words apart."""
+        out, size = [], array(self.code).itemsize
+        for at in range(0, len(words), TOGETHER):
+            part = words[at:at + TOGETHER]
+            found = self.model.encode(" ".join(part), add_special_tokens=False)
+            ids = array(self.code, found.ids).tobytes()
+            ends = np.cumsum([len(w) + 1 for w in part])
+            places = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids) // size)
+            cuts = [0, *(np.searchsorted(places, ends) * size).tolist()]
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, ``end_id`` last."""
+        if not self.apart:
+            return [x + self.end for x in self._encoded(texts)]
+        if sum(map(len, texts)) > SLICE_CHARS:
+            return [b"".join(self._words([p])[0] for p in text_parts(t)) + self.end for t in texts]
+        return [x + self.end for x in self._words(texts)]
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        words, ends = [], []
+        for t in texts:
+            words += t.encode().split()  # at ASCII white space
+            ends.append(len(words))
+        ids = list(map(self.known.get, words))
+        places = [i for i, x in enumerate(ids) if x is None]
+        if places:
+            new = dict.fromkeys(map(words.__getitem__, places))
+            for w in new:
+                new[w] = self.older.get(w)
+            unknown = [w for w, x in new.items() if x is None]
+            new.update(zip(unknown, self._apart([w.decode() for w in unknown])))
+            for i in places:
+                ids[i] = new[words[i]]
+            self.known.update((w, x) for w, x in new.items() if len(w) <= CACHE_BYTES)
+            if len(self.known) > CACHE_WORDS:  # words not met again until the next change go
+                self.known, self.older = {}, self.known
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+def id_type(model) -> str:
+    """Little-endian unsigned integers that hold every id of the vocabulary."""
+    return "<u2" if model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str, end_id: int) -> Encoder:
+    """One encoder a worker: later tasks find its words."""
+    return Encoder(vocabulary, end_id)
+
+
+def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, ids binary, n long) of every row: the ids (``id_type``), ``end_id`` last."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
+
+    def encoded(batches):
+        encoder = _encoder(shipped.value, end_id)
+        size = len(encoder.end)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                texts, chars, start = [], 0, at
+                while at < batch.num_rows and (not texts or chars < SLICE_CHARS // 2):
+                    texts.append(batch.column(1)[at].as_py() or "")
+                    chars += len(texts[-1])
+                    at += 1
+                ids = encoder.of(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, at - start), pa.array(ids, pa.binary()),
+                     pa.array([len(x) // size for x in ids], pa.int64())], ["doc_id", "ids", "n"])
+
+    return doc_rows(docs).mapInArrow(encoded, "doc_id long, ids binary, n long")
 
 
 class Rooms:
@@ -149,8 +232,15 @@ def packed(lengths: list[int], room: int = LENGTH) -> list[list[tuple[int, int,
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID,
          group_tokens: int = 1 << 20, group_rows: int = 1 << 15) -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset, ids (of the piece) of every piece."""
-    rows = stored(tokenised(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()), "packing-ids")
+    """doc_id, start, length, doc_tokens, sequence_id, offset, ids of every piece.
+
+    ``ids``: the piece's ids as little-endian unsigned 32-bit integers.
+    """
+    with open(path or tokenizer_path(), encoding="utf-8") as f:
+        vocabulary = f.read()
+    kind = _encoder(vocabulary, end_id).kind
+    size_of = int(kind[-1])
+    rows = stored(tokenised(docs, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()), "packing-ids")
     size = rows.agg(F.sum("n").alias("ids"), F.count(F.lit(1)).alias("rows")).first()
     groups = max(1, -(-(size["ids"] or 0) // group_tokens), -(-size["rows"] // group_rows))
 
@@ -164,7 +254,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
             "doc_id": frame["doc_id"].astype("Int64").take(out["d"]).to_numpy(), "start": out["start"], "length": out["length"],
             "doc_tokens": frame["n"].to_numpy()[out["d"]], "sequence_id": (int(key[0]) << 32) + out["sequence"],
             "offset": out.groupby("sequence")["length"].cumsum() - out["length"],
-            "ids": [ids[d][4 * s:4 * (s + n)] for d, s, n, _, _ in pieces]})
+            "ids": [np.frombuffer(ids[d], kind, n, size_of * s).astype("<u4").tobytes() for d, s, n, _, _ in pieces]})
 
     group = F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group")
     return rows.select(group, "row", "doc_id", "ids", "n").groupBy("group").applyInPandas(filled, PIECES)

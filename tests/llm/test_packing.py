@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -102,3 +103,23 @@ def test_long_texts_in_parts_have_the_same_ids(model):
         got = [i for p in parts for i in model.encode(p, add_special_tokens=False).ids]
         assert got == model.encode(text, add_special_tokens=False).ids
     assert list(M.text_parts("x" * 50, 10)) == ["x" * 50]
+
+
+def test_encoder_equals_the_tokenizer_on_whole_texts(model, monkeypatch):
+    monkeypatch.setattr(M, "CACHE_WORDS", 20)
+    random.seed(2)
+    letters = "ab'stDé́ΣσИ日\xa0\u2003\x1c\x85 \n\t\r1<|>endoftext.,😀"
+    texts = ["", " ", "x" * 500, "<|endoftext|>", "a<|endoftext|> b", "don't it's we'll"]
+    texts += ["".join(random.choices(letters, k=random.randint(1, 300))) for _ in range(300)]
+    encoder = M.Encoder(open(M.tokenizer_path(), encoding="utf-8").read(), 1)
+    assert encoder.apart and encoder.kind == "<u2"
+    for t, ids in zip(texts, encoder.of(texts)):
+        assert list(np.frombuffer(ids, "<u2")) == [*model.encode(t, add_special_tokens=False).ids, 1], repr(t)
+
+
+def test_tokenizer_whose_pieces_hold_spaces_gets_whole_texts(spark, documents):
+    path = M.tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
+    other = Tokenizer.from_file(path)
+    assert not M.Encoder(open(path, encoding="utf-8").read(), 1).apart
+    docs = [(i, f"some text  with {i} spaces\n here") for i in range(20)]
+    check(M.digest(M.pack(documents(docs), path=path)).collect(), docs, other, M.LENGTH)
