@@ -30,35 +30,45 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def exact_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, by: list[str] | None = None,
-                key: list[str] | None = None, bucket_bits: int = 16) -> DataFrame:
-    """M2: adds ``is_test``: exactly ceil(fraction x n) rows per group, the ones with the smallest seeded hash.
-
-    Exact selection without sorting a whole group in one task: rows are
-    bucketed by the top ``bucket_bits`` bits of the hash, bucket counts are
-    aggregated per group (at most 2^bits rows per group), a running count over
-    the buckets finds the bucket holding the cut, and only that bucket's rows
-    (about n / 2^bits) are ranked. Everything before the cut is test.
+def _default_key(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.lower() in ("year", "state_code", "county_fips", "crop")]
+
+
+def seeded_parts(df: DataFrame, ends, seed: int = 42, by: list[str] | None = None, key: list[str] | None = None,
+                 digits: int = 3) -> DataFrame:
+    """Adds ``part``: every group's rows in the order of a seeded hash of their key, cut at exact places.
+
+    ``ends(n)`` gives, for a group of n rows, the rising numbers of rows after
+    which a part ends; the rows behind the last one are the last part.
+
+    No group is sorted in one task: rows are counted by the first ``digits``
+    hexadecimal digits of their hash, a running sum over these (at most 16^digits a
+    group) gives each bucket's place, and a bucket that lies within one part takes it
+    as a whole. Only rows of buckets that a cut falls into are ranked.
     """
-    by = list(by or [])
-    key = key or [c for c in df.columns if c.lower() in ("year", "state_code", "county_fips", "crop")]
-    h = F.xxhash64(*[_q(k) for k in key], F.lit(seed))
-    x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 64 - bucket_bits))
+    by, key = list(by or []), key or _default_key(df)
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[_q(k).cast("string") for k in key]).cast("binary"))
+    x = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
     counts = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    cuts = (counts.withColumn("_after", F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_k", F.ceil(F.sum("_n").over(whole) * test_fraction))
-            .withColumn("_before", F.col("_after") - F.col("_n"))
-            .select(*by, "_b", "_before", "_after", "_k"))
-    j = x.join(cuts, [*by, "_b"])
-    boundary = (F.col("_before") < F.col("_k")) & (F.col("_after") > F.col("_k"))
+    order = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    places = (counts.withColumn("_after", F.sum("_n").over(order)).withColumn("_before", F.col("_after") - F.col("_n"))
+              .withColumn("_ends", ends(F.sum("_n").over(Window.partitionBy(*by)))).drop("_n"))
+
+    def part(place: Column) -> Column:
+        return F.size(F.filter("_ends", lambda e: e < place)).cast("int")
+
+    x = x.join(places, [*by, "_b"]).withColumn("part", part(F.col("_before") + 1))
+    whole = F.col("part") == part(F.col("_after"))
     rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *[_q(k) for k in key]))
-    flag = (F.when(F.col("_after") <= F.col("_k"), F.lit(True))
-            .when(F.col("_before") >= F.col("_k"), F.lit(False))
-            .otherwise(F.col("_before") + rank <= F.col("_k")))
-    out = j.withColumn("is_test", F.when(boundary, flag).otherwise(F.col("_after") <= F.col("_k")))
-    return out.drop("_h", "_b", "_before", "_after", "_k")
+    cut = x.where(~whole).withColumn("_rank", rank).withColumn("part", part(F.col("_before") + F.col("_rank"))).drop("_rank")
+    return x.where(whole).unionByName(cut).drop("_h", "_b", "_after", "_before", "_ends")
+
+
+def exact_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, by: list[str] | None = None,
+                key: list[str] | None = None, digits: int = 3) -> DataFrame:
+    """M2: adds ``is_test``: exactly ceil(fraction x n) rows per group, the ones with the smallest seeded hash."""
+    x = seeded_parts(df, lambda n: F.array(F.ceil(n * test_fraction)), seed, by, key, digits)
+    return x.withColumn("is_test", F.col("part") == 0).drop("part")
 
 
 def modeling_frame(df: DataFrame, target: str = "yield", features: list[str] | None = None,
@@ -153,10 +163,14 @@ def evaluate(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
             .drop("_sse", "_sst"))
 
 
-def with_folds(df: DataFrame, folds: int = 5, seed: int = 42, key: list[str] | None = None) -> DataFrame:
-    """Adds ``fold``: a seeded hash of the row's key."""
-    key = key or [c for c in df.columns if c.lower() in ("year", "state_code", "county_fips", "crop")]
-    return df.withColumn("fold", F.pmod(F.xxhash64(*[_q(k) for k in key], F.lit(seed)), F.lit(folds)).cast("int"))
+def with_folds(df: DataFrame, folds: int = 5, seed: int = 42, key: list[str] | None = None,
+               by: list[str] | None = None) -> DataFrame:
+    """Adds ``fold``, 0 to folds - 1: per group folds of equal size, the first n % folds of them one row longer."""
+    def ends(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(folds - 1)),
+                           lambda i: i * F.floor(n / folds) + F.least(i, F.pmod(n, F.lit(folds))))
+
+    return seeded_parts(df, ends, seed, by, key).withColumnRenamed("part", "fold")
 
 
 def cross_validate(df: DataFrame, build, folds: int = 5, seed: int = 42, param_maps: list[dict] | None = None,

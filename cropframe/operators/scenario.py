@@ -11,6 +11,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cropframe.operators import linear_models
+
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -80,6 +82,22 @@ def scenario_grid(base: DataFrame, t_range: tuple[float, float, int] = (-2.0, 5.
     return apply_scenario(g, F.col("temp_change"), F.col("precip_change"), mode, **kw)
 
 
+def score_grid(base: DataFrame, models: DataFrame, inputs: list[str], by: list[str], t_range=(-2.0, 5.0, 8),
+               p_range=(-20.0, 20.0, 5), mode: str = "additive", **kw) -> DataFrame:
+    """C1-C4 from a table of linear models: every base row, model of its group and cell in one join and projection.
+
+    ``inputs``: the models' features. Returns ``by``, model_type, the two axes and predicted_yield.
+    """
+    grid = scenario_grid(base, t_range, p_range, mode, **kw)
+    return linear_models.predict(grid, models, inputs, by, "predicted_yield").select(
+        *by, "model_type", *AXES, "predicted_yield")
+
+
+def score_baseline(base: DataFrame, models: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """C5 on a table of linear models: the base rows as they are."""
+    return linear_models.predict(base, models, features, by, "predicted_yield").select(*by, "model_type", "predicted_yield")
+
+
 def predict_grid(grid: DataFrame, model: PipelineModel) -> DataFrame:
     """One batch transform for the whole grid; rows the model cannot score keep NULL."""
     return model.transform(grid).withColumnRenamed("prediction", "predicted_yield")

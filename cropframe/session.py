@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,14 +75,36 @@ def _local_root(master: str) -> str:
     return _own_folder()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a small, expensive intermediate once to ``spark.checkpoint.dir`` and read it back.
+_SCRATCH: dict[str, SparkSession] = {}
 
-    For aggregates whose size is bounded by dimensions (crop x year x state)
-    but whose input is the whole fact data: later references (join-backs,
-    scalar statistics, model passes) read the written rows instead of
-    re-running the scans, and a lost executor does not send the job back to
-    the fact tables.
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared checkpoint folder, deleted when this driver process ends."""
+    path = f"{checkpoint_root(spark)}/frames/{tag}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_drop_scratch)
+    _SCRATCH[path] = spark
+    return path
+
+
+def _drop_scratch() -> None:
+    """Best effort: a driver that was killed leaves its folders, named by tag, to the cluster's clean-up."""
+    for path, spark in _SCRATCH.items():
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return
+
+
+def materialize(df: DataFrame, tag: str = "frame") -> DataFrame:
+    """Write an expensive intermediate once, as Parquet in the shared checkpoint folder, and read it back.
+
+    Later references (join-backs, scalar statistics, model passes) read the columns they
+    need from the written rows, with their statistics, instead of going back to the fact
+    tables; a lost executor costs tasks of the reading stage only.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

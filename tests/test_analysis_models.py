@@ -123,12 +123,23 @@ def test_cross_validation_covers_every_row_once(spark):
 def test_exact_split_equals_sort_based_selection(spark):
     from pyspark.sql import Window
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("crop"), F.col("id").alias("year"))
-    for bits in (2, 16):
-        got = modeling.exact_split(df, 0.2, 7, by=["crop"], key=["year"], bucket_bits=bits)
-        h = F.xxhash64(F.col("year"), F.lit(7))
+    for digits in (1, 2, 4):
+        got = modeling.exact_split(df, 0.2, 7, by=["crop"], key=["year"], digits=digits)
+        h = F.md5(F.concat(F.lit("7|"), F.col("year").cast("string")).cast("binary"))
         ref = df.withColumn("r", F.row_number().over(Window.partitionBy("crop").orderBy(h, "year"))) \
                 .withColumn("n", F.count("*").over(Window.partitionBy("crop"))) \
                 .withColumn("ref", F.col("r") <= F.ceil(F.col("n") * 0.2))
         cmp = got.join(ref.select("crop", "year", "ref"), ["crop", "year"])
         assert cmp.filter(F.col("is_test") != F.col("ref")).count() == 0
         assert got.count() == 1000
+
+
+def test_folds_are_exact_and_of_equal_size(spark):
+    df = spark.range(137).select((F.col("id") % 2).alias("crop"), F.col("id").alias("year"))
+    got = modeling.with_folds(df, 5, 3, key=["year"], by=["crop"]).groupBy("crop", "fold").count().collect()
+    assert {(r["crop"], r["fold"]): r["count"] for r in got} == {
+        **{(0, f): 14 if f < 4 else 13 for f in range(5)}, **{(1, f): 14 if f < 3 else 13 for f in range(5)}}
+    again = modeling.with_folds(df.repartition(7), 5, 3, key=["year"], by=["crop"])
+    assert modeling.with_folds(df, 5, 3, key=["year"], by=["crop"]).exceptAll(again).count() == 0
+    assert modeling.with_folds(df.limit(3), 5, 3, key=["year"]).select("fold").distinct().count() == 3
+    assert modeling.with_folds(df.limit(0), 5).count() == 0
