@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropframe.operators import features as FE
-from cropframe.operators import integrate, temporal
+from cropframe.operators import integrate, temporal, unit_years
 from cropframe.plans import composites
 from cropframe.plans.registry import register
 from cropframe.plans.sql_views import with_views
@@ -42,12 +42,7 @@ FROM (SELECT state_code, year, CAST(sum(CASE WHEN tmax > 30 THEN 1 ELSE 0 END) A
 LEFT JOIN max_consecutive_heat_days m ON a.state_code = m.state_code AND a.year = m.year""")
 def q_heat_stress(spark, sf_dir):
     """F2 + W3: heat degree days, hot-day count, intensity and longest hot spell per state-year."""
-    f = FE.heat_stress_features(B.climate_daily(spark, sf_dir))
-    return f.groupBy("state_code", "year").agg(
-        F.sum("extreme_heat_day").cast("bigint").alias("hot_days"),
-        F.sum("heat_degree_days").alias("heat_degree_days"),
-        F.sum("heat_stress_intensity").alias("heat_stress_intensity"),
-        F.max("max_consecutive_heat_days").alias("max_consecutive_heat_days"))
+    return unit_years.heat_years(B.climate_daily(spark, sf_dir))
 
 
 # W4 ---------------------------------------------------------------------------
@@ -60,10 +55,7 @@ FROM (SELECT state_code, year, CAST(sum(CASE WHEN ppt < 1.0 THEN 1 ELSE 0 END) A
 LEFT JOIN max_consecutive_dry_days m ON a.state_code = m.state_code AND a.year = m.year""")
 def q_dry_spells(spark, sf_dir):
     """Dry days (< 1) and longest dry spell per state-year."""
-    f = FE.drought_features(B.climate_daily(spark, sf_dir))
-    return f.groupBy("state_code", "year").agg(
-        F.sum("dry_day").cast("bigint").alias("dry_days"),
-        F.max("max_consecutive_dry_days").alias("max_consecutive_dry_days"))
+    return unit_years.dry_years(B.climate_daily(spark, sf_dir))
 
 
 # A20 + F4 ---------------------------------------------------------------------
@@ -251,18 +243,16 @@ def q_station_wet_days(spark, sf_dir):
 SELECT * FROM MAX_CONSECUTIVE_DRY_DAYS""")
 def q_station_dry_spells(spark, sf_dir):
     """Longest dry spell (<= 1) per station-year, restarting each year."""
-    return FE.precipitation_features(B.station_normals(spark, sf_dir))["max_consecutive_dry_days"]
+    years = unit_years.station_years(B.station_normals(spark, sf_dir))
+    return years.select("STATION", "YEAR", "MAX_CONSECUTIVE_DRY_DAYS").where(F.col("MAX_CONSECUTIVE_DRY_DAYS").isNotNull())
 
 
 # J5 + A16-A18 + W2 + F16 ------------------------------------------------------
 def _station_crop(spark, sf_dir) -> DataFrame:
-    st = B.station_normals(spark, sf_dir)
-    gdd = FE.growing_degree_days(st)
-    frost = FE.frost_free_period(st)
-    season = FE.precipitation_features(st)["growing_season_precipitation"]
-    crop = B.crop_census(spark, sf_dir).select(F.col("year").alias("YEAR"), F.col("crop").alias("CROP"),
-                                              F.col("yield").alias("YIELD"))
-    return integrate.station_crop_features(crop, gdd, frost, season)
+    """J5 on one read of the normals; written once (a row a crop and year) for the statistics over it."""
+    c = B.crop_census(spark, sf_dir).select(F.col("year").alias("YEAR"), F.col("crop").alias("CROP"),
+                                           F.col("yield").alias("YIELD"))
+    return materialize(unit_years.crop_years(c, unit_years.station_years(B.station_normals(spark, sf_dir))), "station-crop")
 
 
 _STATION_CROP_SQL = with_views("station_scaled", "crop_census") + f""",
@@ -382,19 +372,10 @@ FROM gy LEFT JOIN sp ON gy."STATION" = sp."STATION" AND gy."YEAR" = sp."YEAR"
 LEFT JOIN dry ON gy."STATION" = dry."STATION" AND gy."YEAR" = dry."YEAR"
 LEFT JOIN fr ON gy."STATION" = fr."STATION\"""")
 def q_station_climate_summary(spark, sf_dir):
-    """The station feature frames (GDD with season labels, frost window, precipitation features)
-    from one normals binding, joined per station-year. The per-(station, year) aggregates share
-    their hash partitioning, so the left joins between them add no shuffle of their own."""
-    frames = FE.station_climate_features(B.station_normals(spark, sf_dir))
-    gdd = frames["climate_with_gdd"].groupBy("STATION", "YEAR").agg(
-        F.count(F.lit(1)).alias("n_days"), F.sum("GDD").alias("gdd_total"),
-        F.count_distinct(F.upper("SEASON")).alias("n_seasons"))
-    pf = frames["precipitation_features"]
-    return (gdd.join(pf["growing_season_precipitation"].withColumn(
-                "GROWING_SEASON_PRCP", F.col("GROWING_SEASON_PRCP").cast("bigint")), ["STATION", "YEAR"], "left")
-            .join(pf["wet_days"], ["STATION", "YEAR"], "left")
-            .join(pf["max_consecutive_dry_days"], ["STATION", "YEAR"], "left")
-            .join(frames["frost_dates"].select("STATION", "FROST_FREE_DAYS"), "STATION", "left")
+    """GDD, seasons, frost window and precipitation features per station-year, from one read of the normals."""
+    years = unit_years.station_years(B.station_normals(spark, sf_dir))
+    return (years.withColumn("GROWING_SEASON_PRCP", F.col("GROWING_SEASON_PRCP").cast("bigint"))
+            .join(unit_years.frost_free(years).select("STATION", "FROST_FREE_DAYS"), "STATION", "left")
             .select("STATION", "YEAR", "n_days", "gdd_total", "n_seasons", "GROWING_SEASON_PRCP", "WET_DAYS_COUNT",
                     "MAX_CONSECUTIVE_DRY_DAYS", "FROST_FREE_DAYS"))
 
