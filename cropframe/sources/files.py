@@ -7,6 +7,7 @@ reference's per-file Python loop disappears.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,17 +20,76 @@ CENSUS_CSV = T.StructType([
     T.StructField("PRODUCTION", T.LongType())])
 
 
+def found_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, modificationTime, length) of the files that a path or glob names; no row if there is none.
+
+    A listing: the contents are not read, their column is pruned.
+    """
+    try:
+        return spark.read.format("binaryFile").load(pattern).select("path", "modificationTime", "length")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long")
+
+
+def newest_file(spark: SparkSession, pattern: str) -> str | None:
+    """The most recently modified file of a glob; ties go to the last name. None without a file."""
+    row = found_files(spark, pattern).orderBy(F.col("modificationTime").desc(), F.col("path").desc()).limit(1).collect()
+    return row[0]["path"] if row else None
+
+
+def first_file(spark: SparkSession, *patterns: str) -> str | None:
+    """The first of ``patterns``, in order, that names a file; of several files its newest."""
+    return next((path for path in (newest_file(spark, p) for p in patterns) if path), None)
+
+
+def census_file(spark: SparkSession, raw: str, processed: str) -> str:
+    """The census file: the raw sample, else the processed table, else any processed CSV named like it."""
+    path = first_file(spark, f"{raw}/sample/usda_crop_data_sample.csv", f"{processed}/usda_crop_data_processed.csv",
+                      f"{processed}/*[uU][sS][dD][aA]*.csv")
+    if path is None:
+        raise FileNotFoundError(f"no crop census file below {raw} or {processed}")
+    return path
+
+
+#: The name pattern of each kind of climate table.
+CLIMATE_PATTERNS = {"growing_season": "prism_growing_season", "monthly": "prism_monthly", "state_level": "prism_state"}
+
+
+def climate_file(spark: SparkSession, processed: str, kind: str = "growing_season") -> str:
+    """The climate table of a kind: its sample, else the newest CSV whose name holds the kind's pattern."""
+    name = CLIMATE_PATTERNS.get(kind, "prism")
+    path = first_file(spark, f"{processed}/prism/{name}_sample.csv", f"{processed}/prism/*{name}*.csv")
+    if path is None:
+        raise FileNotFoundError(f"no {kind} climate table below {processed}/prism")
+    return path
+
+
 def read_crop_census(spark: SparkSession, path: str) -> DataFrame:
     """Crop census CSV (YEAR, CROP, YIELD, HARVESTED_ACRES, PRODUCTION) -> lower-case model names."""
     df = spark.read.schema(CENSUS_CSV).option("header", True).csv(path)
     return nan_to_null(df.select(*[F.col(f.name).alias(g.name) for f, g in zip(CENSUS_CSV.fields, CROP_CENSUS.fields)]))
 
 
+#: Columns of climate tables that are no measurements.
+KEY_TYPES = {"year": T.IntegerType(), "month": T.IntegerType(), "day": T.IntegerType(), "date": T.DateType(),
+             "crop": T.StringType(), "state": T.StringType(), "state_code": T.StringType(), "county_fips": T.StringType(),
+             "variable": T.StringType(), "region": T.StringType(), "grid_id": T.StringType()}
+
+
 def read_climate_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                        crop: str | None = None, year: int | None = None) -> DataFrame:
-    """A processed climate table with optional equality filters (pushed to the scan)."""
+    """A processed climate table with optional equality filters (pushed to the scan).
+
+    Without a ``schema`` the header names the columns and the fixed names are keys of
+    known types; every other column is a double. No pass over the data infers types.
+    """
     reader = spark.read.option("header", True)
-    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    if schema is None:
+        names = reader.csv(path).columns
+        schema = T.StructType([T.StructField(c, KEY_TYPES.get(c.lower(), T.DoubleType())) for c in names])
+    df = reader.schema(schema).csv(path)
     if crop is not None and "crop" in df.columns:
         df = df.filter(F.col("crop") == crop)
     if year is not None and "year" in df.columns:
