@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropframe import dims
+from cropframe.session import materialize
 
 
 def zonal_stats(points: DataFrame, keys: list[str], value: str = "value", ddof: int = 1,
@@ -102,6 +103,83 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, lon: str = "longitu
     return j.select(*keep)
 
 
+def _all_edges(polygons: DataFrame) -> Column:
+    """Every edge of every ring as (x0, y0, x1, y1)."""
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    return F.flatten(F.transform(rings, lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.struct(
+        F.get(r, i)["x"].alias("x0"), F.get(r, i)["y"].alias("y0"), F.get(r, (i + 1) % F.size(r))["x"].alias("x1"),
+        F.get(r, (i + 1) % F.size(r))["y"].alias("y1")))))
+
+
+def _touches(e: Column, x: Column, y: Column, size: float) -> Column:
+    """An edge meets the closed cell whose lower corner is (x, y): the parts of the edge within both slabs overlap."""
+    def slab(a: Column, b: Column, lo: Column) -> tuple[Column, Column]:
+        t0, t1 = F.try_divide(lo - a, b - a), F.try_divide(lo + size - a, b - a)
+        flat_in = (a >= lo) & (a <= lo + size)
+        enter = F.when(a == b, F.when(flat_in, F.lit(0.0)).otherwise(F.lit(2.0))).otherwise(F.least(t0, t1))
+        leave = F.when(a == b, F.when(flat_in, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.greatest(t0, t1))
+        return enter, leave
+
+    ex, lx = slab(e["x0"], e["x1"], x)
+    ey, ly = slab(e["y0"], e["y1"], y)
+    return F.greatest(ex, ey, F.lit(0.0)) <= F.least(lx, ly, F.lit(1.0)) + 1e-12
+
+
+def polygon_cover(polygons: DataFrame, ids: list[str], cell_deg: float = 1.0, levels: int = 6) -> DataFrame:
+    """Quadtree cover of polygons: ``ids``, level, cx, cy, inside.
+
+    Cells of ``cell_deg`` over the bounding box are split in four where an edge meets
+    them, down to ``cell_deg`` / 2^(levels - 1): small cells follow the edges, large ones
+    fill the inner part. A cell that no edge meets is inside or outside as a whole
+    (its centre decides) and is kept only if inside; the smallest cells on an edge
+    are kept with ``inside`` false. Cells grow with the edges' length, not the area.
+    """
+    shape = "rings" if "rings" in polygons.columns else "ring"
+    cells = polygon_cells(polygons.select(*ids, shape, "lon_min", "lat_min", "lon_max", "lat_max"), cell_deg)
+    cells = cells.select(*ids, shape, F.col("_cx").cast("long").alias("cx"), F.col("_cy").cast("long").alias("cy"),
+                         _all_edges(polygons).alias("_edges"))
+    out = None
+    for level in range(levels):
+        size = cell_deg / 2 ** level
+        x, y = F.col("cx") * size, F.col("cy") * size
+        # an edge that misses a cell misses its children
+        cells = cells.withColumn("_edges", F.filter("_edges", lambda e: _touches(e, x, y, size)))
+        cells = cells.withColumn("_cut", F.size("_edges") > 0)
+        centre = _inside(polygons, x + size / 2, y + size / 2)
+        whole = cells.where(~F.col("_cut")).where(centre).select(*ids, F.lit(level).alias("level"), "cx", "cy", F.lit(True).alias("inside"))
+        out = whole if out is None else out.unionByName(whole)
+        cut = cells.where("_cut")
+        if level == levels - 1:
+            return out.unionByName(cut.select(*ids, F.lit(level).alias("level"), "cx", "cy", F.lit(False).alias("inside")))
+        quarter = F.explode(F.array(*[F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy"))
+                                      for i in (0, 1) for j in (0, 1)]))
+        cells = cut.withColumn("_q", quarter).select(*ids, shape, "_q.cx", "_q.cy", "_edges")
+    raise ValueError("a cover needs at least one level")
+
+
+def points_in_cover(points: DataFrame, polygons: DataFrame, ids: list[str], lon: str = "longitude", lat: str = "latitude",
+                    cell_deg: float = 1.0, levels: int = 6) -> DataFrame:
+    """J11 by a quadtree cover: points with the ``ids`` of every polygon that holds them.
+
+    A point looks up its cell of each size (``levels`` keys). Cells marked inside settle
+    it; only points in the smallest cells on an edge meet the rings and run the ray
+    test, with the same half-open rule as ``point_in_polygon``. The cover is written once
+    (it is as long as the edges) and joined by the planner's choice.
+    """
+    cover = materialize(polygon_cover(polygons, ids, cell_deg, levels), "polygon-cover")
+    shape = "rings" if "rings" in polygons.columns else "ring"
+    keys = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(lon) / (cell_deg / 2 ** k)).alias("cx"),
+                              F.floor(F.col(lat) / (cell_deg / 2 ** k)).alias("cy")) for k in range(levels)])
+    clash = [c for c in points.columns if c in (*ids, "level", "cx", "cy", "inside", "_key", shape)]
+    rows = points.drop(*clash)
+    found = (rows.withColumn("_key", F.explode(keys)).select(*rows.columns, "_key.*").join(cover, ["level", "cx", "cy"])
+             .drop("level", "cx", "cy"))
+    rings = polygons.select(*ids, shape).withColumn("inside", F.lit(False))  # inner points carry no ring
+    j = found.join(rings, [*ids, "inside"], "left")
+    settled = F.when(F.col("inside"), F.lit(True)).otherwise(_inside(polygons, F.col(lon), F.col(lat)))
+    return j.where(settled).select(*rows.columns, *ids)
+
+
 def state_stats_by_polygon(points: DataFrame, states: DataFrame, ddof: int = 1,
                            state_code: str | None = None) -> DataFrame:
     """A1 (raster branch): assign points to states by J11, then zonal statistics."""

@@ -211,6 +211,73 @@ def season_statistics(daily: DataFrame, crop: str, keys: list[str] | None = None
     return found.filter(F.col("_days") > 0).drop("_days")
 
 
+def season_statistics_by_crop(daily: DataFrame, keys: list[str], state_code: str | None = None,
+                              per_row_state: bool = True) -> DataFrame:
+    """A13 + A35 for all crops in one job: crop, ``keys`` and the season's statistics, names as ``season_statistics``.
+
+    Each day counts for every crop whose adjusted season holds it (at most the five
+    crops of the calendar), then one aggregate.
+    """
+    cols = [(c, n) for c, n in _stat_columns(daily) if c not in keys]
+    aggs = {}
+    for c, name in cols:
+        x, low = F.col(f"`{c}`"), name.lower()
+        if "precipitation" in low:
+            aggs |= {f"{name}_total": F.coalesce(F.sum(x), F.lit(0.0)), f"{name}_max_daily": F.max(x),
+                     "days_with_rain": F.count_if(x > 0)}
+            continue
+        aggs |= {f"{name}_mean": F.avg(x), f"{name}_min": F.min(x), f"{name}_max": F.max(x)}
+        if "temp" in low:
+            gdd = F.coalesce(F.sum(agro.gdd_simple(x, 10.0, 30.0 if "max" in low else None)), F.lit(0.0))
+            aggs["gdd_base10" if name == "temperature_mean" else f"gdd_base10_{name}"] = gdd
+    rows = season_days_by_crop(daily, state_code, per_row_state)
+    return rows.groupBy("crop", *keys).agg(*[e.alias(n) for n, e in aggs.items()])
+
+
+def period_statistics_by_crop(daily: DataFrame, keys: list[str], state_code: str | None = None,
+                              per_row_state: bool = True) -> DataFrame:
+    """A14 + A35 for all crops and critical periods, long: crop, period, ``keys``, n_days, <var>_mean, precipitation_total."""
+    aggs = [F.count(F.lit(1)).alias("n_days")]
+    for c, name in [(c, n) for c, n in _stat_columns(daily) if c not in keys]:
+        x = F.col(f"`{c}`")
+        aggs.append(F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{name}_total") if "precipitation" in name
+                    else F.avg(x).alias(f"{name}_mean"))
+    return period_days_by_crop(daily, state_code, per_row_state).groupBy("crop", "period", *keys).agg(*aggs)
+
+
+def season_months_by_crop(monthly: DataFrame) -> DataFrame:
+    """P5 for all crops: one row per crop whose unadjusted season holds the month."""
+    return monthly.join(F.broadcast(cal.crop_months(_spark(monthly), "phenology", "wrap").select("crop", "month").distinct()), "month")
+
+
+def period_months_by_crop(monthly: DataFrame) -> DataFrame:
+    """P7 for all crops and periods: one row per unadjusted critical period that overlaps the month."""
+    months = cal.period_months(_spark(monthly)).select("crop", "period", "month").distinct()
+    return monthly.join(F.broadcast(months), "month")
+
+
+def phenology_by_crop(df: DataFrame, state_code: str | None = None, per_row_state: bool = True) -> DataFrame:
+    """W7 (daily) / W8 (monthly) for all crops: every row once per crop with that crop's stage.
+
+    Daily rows take the calendar of their own state's region (``per_row_state``), else
+    of ``state_code``, else Iowa's; monthly rows that of ``state_code``, else Iowa's.
+    """
+    spark = _spark(df)
+    days = cal.period_days(spark)
+    rows = df.withColumn("crop", F.explode(F.array(*[F.lit(c) for c in dims.CROPS])))
+    if "day" in df.columns:
+        on = ["crop", "_region", "month", "day"]
+        stage = days.withColumnRenamed("region", "_region").groupBy(*on).agg(F.max_by("period", "period_idx").alias("phenology_stage"))
+        rows = _with_region(rows, state_code, per_row_state)
+    else:
+        on = ["crop", "month"]
+        region = cal.region_of(F.lit(state_code) if state_code else F.lit(None).cast("string"))
+        counts = days.where(F.col("region") == region).groupBy(*on, "period", "period_idx").agg(F.count(F.lit(1)).alias("_n"))
+        stage = counts.groupBy(*on).agg(F.max_by("period", F.struct("_n", -F.col("period_idx"))).alias("phenology_stage"))
+    return (rows.join(F.broadcast(stage), on, "left").drop("_region")  # at most 366 days x 3 regions x 5 crops
+            .withColumn("phenology_stage", F.coalesce("phenology_stage", F.lit("outside_growing_season"))))
+
+
 def census_alignment(climate: DataFrame, state_level: bool = True,
                      census_years: list[int] | None = None, group_cols: list[str] | None = None) -> DataFrame:
     """Mean over {cy-1, cy, cy+1} (the years present) of every numeric column per census year.

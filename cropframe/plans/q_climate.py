@@ -153,9 +153,7 @@ def q_county_stats_polygon(spark, sf_dir):
     return spatial.county_stats_by_polygon(pts, dims.county_boundaries(spark))
 
 
-@register("crop_region_climate", "A19,J13", sql=with_views("grid_points") + """,
-st AS (SELECT state_code, avg(value) AS v FROM grid_points WHERE value IS NOT NULL GROUP BY state_code),
-regions(crop, state_code, rnk) AS (VALUES
+_REGION_SQL = """regions(crop, state_code, rnk) AS (VALUES
   ('CORN', 'IL', 0), ('CORN', 'IA', 1), ('CORN', 'NE', 2), ('CORN', 'MN', 3), ('CORN', 'IN', 4), ('CORN', 'OH', 5),
   ('CORN', 'MO', 6), ('SOYBEANS', 'IL', 0), ('SOYBEANS', 'IA', 1), ('SOYBEANS', 'MN', 2), ('SOYBEANS', 'IN', 3),
   ('SOYBEANS', 'NE', 4), ('SOYBEANS', 'OH', 5), ('SOYBEANS', 'MO', 6), ('WHEAT', 'KS', 0), ('WHEAT', 'ND', 1),
@@ -176,7 +174,12 @@ weights(crop, state_code, w) AS (VALUES
   ('RICE', 'MO', 0.03)),
 labels AS (SELECT crop, string_agg(state_code, ', ' ORDER BY rnk) FILTER (WHERE rnk < 3) || '...' AS primary_region
            FROM regions GROUP BY crop),
-agg AS (
+"""
+
+
+@register("crop_region_climate", "A19,J13", sql=with_views("grid_points") + """,
+st AS (SELECT state_code, avg(value) AS v FROM grid_points WHERE value IS NOT NULL GROUP BY state_code),
+""" + _REGION_SQL + """agg AS (
   SELECT r.crop, sum(st.v * coalesce(w.w, o.w, 0)) AS ws, sum(coalesce(w.w, o.w, 0)) AS wt, count(*) AS n
   FROM st JOIN regions r ON st.state_code = r.state_code
   LEFT JOIN weights w ON w.crop = r.crop AND w.state_code = r.state_code
@@ -214,3 +217,80 @@ def q_cropland_state_stats(spark, sf_dir):
     cropland = (B.table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
                 .select(F.col("c_custkey").cast("string").alias("grid_id")))
     return spatial.state_stats(spatial.cropland_filter(B.grid_points(spark, sf_dir), cropland))
+
+
+@register("crop_region_climate_states", "A19,J13", sql=with_views("nation_points") + """,
+st AS (SELECT state_code, avg(value) AS v FROM nation_points WHERE value IS NOT NULL GROUP BY state_code),
+""" + _REGION_SQL + """more AS (SELECT * FROM regions UNION ALL SELECT DISTINCT crop, 'WI', 90 FROM regions
+         UNION ALL SELECT DISTINCT crop, 'KY', 91 FROM regions),
+agg AS (
+  SELECT r.crop, sum(st.v * CAST(coalesce(w.w, o.w, 0) AS DOUBLE)) AS ws, CAST(sum(coalesce(w.w, o.w, 0)) AS DOUBLE) AS wt, count(*) AS n
+  FROM st JOIN more r ON st.state_code = r.state_code
+  LEFT JOIN weights w ON w.crop = r.crop AND w.state_code = r.state_code
+  LEFT JOIN weights o ON o.crop = r.crop AND o.state_code = 'OTHER'
+  GROUP BY r.crop)
+SELECT a.crop, round(CASE WHEN wt > 0 THEN ws / wt END, 6) AS climate_value, a.n AS states_included, l.primary_region
+FROM agg a JOIN labels l ON a.crop = l.crop""")
+def q_crop_region_climate_states(spark, sf_dir):
+    """A19 for all five crops over 25 states; two states outside every crop's list take the weight of OTHER."""
+    st = spatial.state_stats(B.nation_points(spark, sf_dir))
+    regions = dims.crop_regions(spark)
+    more = regions.select("crop").distinct().select("crop", F.explode(F.array(
+        F.struct(F.lit("WI").alias("state_code"), F.lit(90).alias("rank")),
+        F.struct(F.lit("KY").alias("state_code"), F.lit(91).alias("rank")))).alias("r")).select("crop", "r.*")
+    return spatial.crop_region_weighted(st, regions.unionByName(more), dims.crop_state_weights(spark))
+
+
+@register("agricultural_states", "A33,P8", sql=with_views("nation_points") + """
+SELECT p.state_code, round(CAST(w.w AS DOUBLE), 6) AS weight, count(*) AS n_points, round(avg(p.value), 6) AS mean_value
+FROM nation_points p JOIN (VALUES """ + ", ".join(
+    f"('{s}', {dims.AG_STATE_WEIGHTS.get(s, dims.AG_STATE_DEFAULT_WEIGHT)})" for s in dims.AGRICULTURAL_STATES) + """) AS w(state_code, w)
+  ON p.state_code = w.state_code GROUP BY p.state_code, w.w""")
+def q_agricultural_states(spark, sf_dir):
+    """P8 + A33 over all agricultural states that hold points, with their importance weights (0.5 where none is given)."""
+    pts = spatial.agricultural_filter(B.nation_points(spark, sf_dir))
+    return (pts.join(F.broadcast(dims.agricultural_states(spark)), "state_code").groupBy("state_code", "weight")
+            .agg(F.count(F.lit(1)).alias("n_points"), F.avg("value").alias("mean_value")))
+
+
+@register("county_stats_orders", "J11,A2,S10", sql=with_views("order_points", "county_rects") + f"""
+SELECT r.state_code, r.county_name, r.county_fips, {_STATS}
+FROM order_points p JOIN county_rects r
+  ON p.longitude > r.lon_min AND p.longitude < r.lon_max AND p.latitude > r.lat_min AND p.latitude < r.lat_max
+WHERE value IS NOT NULL GROUP BY r.state_code, r.county_name, r.county_fips""")
+def q_county_stats_orders(spark, sf_dir):
+    """J11 + A2: all ten counties, points found by the counties' quadtree cover."""
+    inside = spatial.points_in_cover(B.order_points(spark, sf_dir), dims.county_boundaries(spark),
+                                     ["county_name", "state_code", "county_fips"])
+    return spatial.zonal_stats(inside, ["state_code", "county_name", "county_fips"])
+
+
+#: Three regions of several rings (outer rings, holes, parts), half a thousandth off no point.
+REGION_RINGS = {
+    "pentagon": [[(-103.0, 37.0), (-96.0, 36.5), (-94.5, 42.0), (-99.0, 47.0), (-104.0, 43.0)],
+                 [(-100.0, 39.0), (-97.0, 39.5), (-98.5, 43.0)], [(-92.0, 37.0), (-88.0, 38.2), (-90.5, 41.7)]],
+    "ell": [[(-95.0, 43.0), (-86.0, 43.0), (-86.0, 45.0), (-92.0, 45.0), (-92.0, 49.5), (-95.0, 49.5)]],
+    "ring": [[(-89.0, 36.2), (-85.0, 36.2), (-84.2, 39.0), (-85.0, 41.5), (-89.0, 41.5), (-89.8, 39.0)],
+             [(-88.2, 37.3), (-85.9, 37.3), (-85.9, 40.4), (-88.2, 40.4)], [(-87.5, 38.3), (-86.5, 38.3), (-87.0, 39.6)]],
+}
+
+
+def _edges_sql() -> str:
+    rows = [f"('{name}', {x0}, {y0}, {x1}, {y1})" for name, rings in REGION_RINGS.items() for ring in rings
+            for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1])]
+    return f"edges(region, x0, y0, x1, y1) AS (SELECT region, x0::DOUBLE, y0::DOUBLE, x1::DOUBLE, y1::DOUBLE FROM (VALUES {', '.join(rows)}) " \
+           "AS v(region, x0, y0, x1, y1))"
+
+
+@register("region_stats_quadtree", "J11,A1", sql=with_views("order_points") + ",\n" + _edges_sql() + f""",
+crossings AS (SELECT p.o_orderkey, e.region, any_value(p.value) AS value, count(*) AS n FROM order_points p JOIN edges e
+  ON (e.y0 > p.latitude) <> (e.y1 > p.latitude) AND p.longitude < (e.x1 - e.x0) * (p.latitude - e.y0) / (e.y1 - e.y0) + e.x0
+  GROUP BY p.o_orderkey, e.region)
+SELECT region, {_STATS} FROM crossings WHERE n % 2 = 1 AND value IS NOT NULL GROUP BY region""")
+def q_region_stats_quadtree(spark, sf_dir):
+    """J11 + A1: regions with slanted edges, holes and parts; inner cells of the cover decide without the ring test."""
+    rows = [(n, [[{"x": x, "y": y} for x, y in r] for r in rings], min(x for r in rings for x, _ in r), min(y for r in rings for _, y in r),
+             max(x for r in rings for x, _ in r), max(y for r in rings for _, y in r)) for n, rings in REGION_RINGS.items()]
+    polygons = spark.createDataFrame(rows, "region string, rings array<array<struct<x:double,y:double>>>, lon_min double, "
+                                           "lat_min double, lon_max double, lat_max double")
+    return spatial.zonal_stats(spatial.points_in_cover(B.order_points(spark, sf_dir), polygons, ["region"]), ["region"])

@@ -285,3 +285,79 @@ FROM climate_monthly m LEFT JOIN dom d ON m.month = d.month GROUP BY 1""")
 def q_phenology_monthly(spark, sf_dir):
     """W8 + A34: WHEAT stage with most days in each month (ties -> earlier stage), rows per stage."""
     return temporal.stage_counts(temporal.phenology_stage(B.climate_monthly(spark, sf_dir), "WHEAT"))
+
+
+# All five crops over grid cells, whose number grows with the data -----------------
+@register("season_statistics_cells", "A13,A35,D8", sql=with_views("cell_days") + _CAL_SQL + """
+SELECT s.crop, d.cell, d.year, """ + ", ".join(
+    f"round(avg({c}), 6) AS {n}_mean, round(min({c}), 6) AS {n}_min, round(max({c}), 6) AS {n}_max" for c, n in _VARS) + """,
+       round(sum(greatest(tmean - 10, 0)), 6) AS gdd_base10, round(sum(greatest(tmin - 10, 0)), 6) AS gdd_base10_temperature_min,
+       round(sum(greatest(least(tmax, 30) - 10, 0)), 6) AS gdd_base10_temperature_max,
+       round(sum(ppt), 6) AS precipitation_total, round(max(ppt), 6) AS precipitation_max_daily,
+       count(*) FILTER (WHERE ppt > 0) AS days_with_rain
+FROM cell_days d JOIN regions r ON d.state_code = r.state_code
+JOIN sdays s ON s.region = r.region AND s.month = d.month AND s.day = d.day GROUP BY s.crop, d.cell, d.year""")
+def q_season_statistics_cells(spark, sf_dir):
+    """A13 + A35: season statistics of all five crops per grid cell and year."""
+    return temporal.season_statistics_by_crop(B.cell_days(spark, sf_dir).drop("date"), ["cell", "year"])
+
+
+@register("period_statistics_cells", "A14,A35,P6", sql=with_views("cell_days") + _CAL_SQL + """
+SELECT p.crop, p.name AS period, d.state_code, d.year, count(*) AS n_days, """ + ", ".join(
+    f"round(avg({c}), 6) AS {n}_mean" for c, n in _VARS) + """, round(sum(ppt), 6) AS precipitation_total
+FROM cell_days d JOIN regions r ON d.state_code = r.state_code
+JOIN pdays p ON p.region = r.region AND p.month = d.month AND p.day = d.day GROUP BY p.crop, p.name, d.state_code, d.year""")
+def q_period_statistics_cells(spark, sf_dir):
+    """Every critical period of all five crops, statistics over the cell-days of each state and year."""
+    return temporal.period_statistics_by_crop(B.cell_days(spark, sf_dir).drop("date", "cell"), ["state_code", "year"])
+
+
+def cell_months(spark, sf_dir):
+    return B.cell_days(spark, sf_dir).groupBy("cell", "state_code", "year", "month").agg(
+        F.avg("tmean").alias("tmean"), F.min("tmin").alias("tmin"), F.sum("ppt").alias("ppt"))
+
+
+@register("growing_season_months_cells", "P5", sql=with_views("cell_months") + _CAL_SQL + """
+SELECT c.crop, m.cell, m.year, count(*) AS n_months, round(avg(m.tmean), 6) AS tmean, round(sum(m.ppt), 6) AS ppt
+FROM cell_months m JOIN cal c ON (c.sm <= c.em AND m.month BETWEEN c.sm AND c.em)
+  OR (c.sm > c.em AND (m.month >= c.sm OR m.month <= c.em)) GROUP BY c.crop, m.cell, m.year""")
+def q_growing_season_months_cells(spark, sf_dir):
+    """P5: months inside each crop's unadjusted (possibly wrapping) season, per cell and year."""
+    f = temporal.season_months_by_crop(cell_months(spark, sf_dir))
+    return f.groupBy("crop", "cell", "year").agg(F.count(F.lit(1)).alias("n_months"), F.avg("tmean").alias("tmean"),
+                                                 F.sum("ppt").alias("ppt"))
+
+
+@register("critical_period_months_cells", "P7", sql=with_views("cell_months") + _CAL_SQL + """
+SELECT p.crop, p.name AS period, m.state_code, m.year, m.month, count(*) AS n_cells, round(min(m.tmin), 6) AS tmin
+FROM cell_months m JOIN periods p ON (p.sm <= p.em AND m.month BETWEEN p.sm AND p.em)
+  OR (p.sm > p.em AND (m.month >= p.sm OR m.month <= p.em)) GROUP BY ALL""")
+def q_critical_period_months_cells(spark, sf_dir):
+    """Months overlapping every unadjusted critical period of all crops, cells and coldest day per state."""
+    f = temporal.period_months_by_crop(cell_months(spark, sf_dir))
+    return f.groupBy("crop", "period", "state_code", "year", "month").agg(F.count(F.lit(1)).alias("n_cells"),
+                                                                          F.min("tmin").alias("tmin"))
+
+
+@register("phenology_cells", "W7,A34", sql=with_views("cell_days") + _CAL_SQL + """,
+stage AS (SELECT crop, region, month, day, arg_max(name, idx) AS phenology_stage FROM pdays GROUP BY crop, region, month, day),
+crops AS (SELECT DISTINCT crop FROM cal)
+SELECT c.crop, d.state_code, coalesce(s.phenology_stage, 'outside_growing_season') AS phenology_stage, count(*) AS n_rows
+FROM cell_days d JOIN regions r ON d.state_code = r.state_code CROSS JOIN crops c
+LEFT JOIN stage s ON s.crop = c.crop AND s.region = r.region AND s.month = d.month AND s.day = d.day GROUP BY ALL""")
+def q_phenology_cells(spark, sf_dir):
+    """W7 + A34: stage of every cell-day for all crops by its own state's calendar; rows per crop, state and stage."""
+    f = temporal.phenology_by_crop(B.cell_days(spark, sf_dir))
+    return f.groupBy("crop", "state_code", "phenology_stage").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("phenology_months_cells", "W8,A34", sql=with_views("cell_months") + _CAL_SQL + """,
+cnt AS (SELECT crop, month, name, idx, count(*) AS n FROM pdays WHERE region = 'Central' GROUP BY ALL),
+dom AS (SELECT crop, month, arg_min(name, (-n) * 100 + idx) AS phenology_stage FROM cnt GROUP BY crop, month),
+crops AS (SELECT DISTINCT crop FROM cal)
+SELECT c.crop, coalesce(d.phenology_stage, 'outside_growing_season') AS phenology_stage, count(*) AS n_rows
+FROM cell_months m CROSS JOIN crops c LEFT JOIN dom d ON d.crop = c.crop AND m.month = d.month GROUP BY ALL""")
+def q_phenology_months_cells(spark, sf_dir):
+    """W8 + A34: the stage with most days in each cell-month, all crops; rows per crop and stage."""
+    f = temporal.phenology_by_crop(cell_months(spark, sf_dir))
+    return f.groupBy("crop", "phenology_stage").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -129,6 +129,33 @@ VIEWS["grid_points"] = f"""grid_points AS (
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 )"""
 
+VIEWS["cell_days"] = f"""cell_days AS (
+  SELECT 'C' || CAST(o.o_custkey AS VARCHAR) AS cell, {STATE_CASE.format(k='n.n_regionkey')} AS state_code,
+         CAST(l.l_shipdate AS DATE) AS date, CAST(year(l.l_shipdate) AS INTEGER) AS year,
+         CAST(month(l.l_shipdate) AS INTEGER) AS month, CAST(day(l.l_shipdate) AS INTEGER) AS day,
+         avg(l.l_quantity) - 10 AS tmean, min(l.l_quantity) - 10 AS tmin, max(l.l_quantity) - 10 AS tmax,
+         CAST(0.4 AS DOUBLE) * CAST(sum(CAST(round(l.l_discount * 100) AS INTEGER)) AS DOUBLE) AS ppt
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY ALL
+)"""
+
+VIEWS["cell_months"] = """cell_months AS (
+  SELECT cell, state_code, year, month, avg(tmean) AS tmean, min(tmin) AS tmin, sum(ppt) AS ppt
+  FROM cell_days GROUP BY ALL
+)"""
+
+VIEWS["nation_points"] = """nation_points AS (
+  SELECT o.o_orderkey, o.o_totalprice AS value, ['IL', 'IA', 'NE', 'MN', 'IN', 'OH', 'MO', 'KS', 'ND', 'MT', 'WA', 'OK', 'SD',
+         'TX', 'GA', 'MS', 'AR', 'AL', 'NC', 'LA', 'CA', 'WI', 'KY', 'NV', 'ME'][c.c_nationkey + 1] AS state_code
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+)"""
+
+VIEWS["order_points"] = """order_points AS (
+  SELECT o_orderkey, CAST(36.0005 AS DOUBLE) + CAST((o_orderkey * 7919) % 14000 AS DOUBLE) / 1000 AS latitude,
+         CAST(-105.0005 AS DOUBLE) + CAST((o_orderkey * 104729) % 21000 AS DOUBLE) / 1000 AS longitude, o_totalprice AS value
+  FROM orders
+)"""
+
 VIEWS["state_rects"] = """state_rects AS (
   SELECT * FROM (VALUES ('IL', 'Illinois', -91.5, 37.0, -89.0, 42.5), ('IA', 'Iowa', -96.6, 40.4, -91.0, 43.5),
     ('NE', 'Nebraska', -104.0, 40.0, -95.3, 43.0), ('MN', 'Minnesota', -97.2, 43.5, -91.4, 49.4),
@@ -185,6 +212,7 @@ DEPS = {
     "climate_points": ["climate_daily"],
     "state_month": ["climate_points"],
     "climate_monthly": ["climate_daily"],
+    "cell_months": ["cell_days"],
     "season_stats": ["state_month"],
     "crop_census": ["order_totals"],
     "state_census": ["order_totals"],

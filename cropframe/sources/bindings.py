@@ -92,6 +92,51 @@ def cell_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.dayofmonth("date").alias("day"), "tmean", "tmin", "tmax", "ppt")
 
 
+def cell_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell, state_code, date, year, month, day, tmean, tmin, tmax, ppt: one cell per customer, in its region's state.
+
+    Like ``cell_daily``, with the state that calendars need; grows with the data.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = _customer_region(spark, sf_dir).select("c_custkey", "n_regionkey")
+    oc = orders.join(customers, orders.o_custkey == customers.c_custkey).drop("c_custkey")
+    g = (li.join(oc, li.l_orderkey == oc.o_orderkey)
+         .groupBy("o_custkey", "n_regionkey", F.to_date("l_shipdate").alias("date"))
+         .agg((F.avg("l_quantity") - 10).alias("tmean"), (F.min("l_quantity") - 10).alias("tmin"),
+              (F.max("l_quantity") - 10).alias("tmax"),
+              (F.lit(0.4) * F.sum(F.round(F.col("l_discount") * 100).cast("int"))).alias("ppt")))
+    return g.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("cell"),
+                    region_state(F.col("n_regionkey")).alias("state_code"), "date", F.year("date").alias("year"),
+                    F.month("date").alias("month"), F.dayofmonth("date").alias("day"), "tmean", "tmin", "tmax", "ppt")
+
+
+#: Nation key -> state code, for queries over more states than regions.
+NATION_STATES = ["IL", "IA", "NE", "MN", "IN", "OH", "MO", "KS", "ND", "MT", "WA", "OK", "SD", "TX", "GA", "MS", "AR", "AL",
+                 "NC", "LA", "CA", "WI", "KY", "NV", "ME"]
+
+
+def nation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grid_id, state_code, value: one point per order in the state of its customer's nation; value = order total."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    state = F.element_at(F.array(*[F.lit(s) for s in NATION_STATES]), F.col("c_nationkey") + 1)
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").cast("string").alias("grid_id"), state.alias("state_code"), F.col("o_totalprice").alias("value"))
+
+
+def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grid_id, latitude, longitude, value: one point per order, spread at a thousandth of a degree by its key.
+
+    Places end on half a thousandth, so none lies on a boundary that is given in hundredths.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    k = F.col("o_orderkey")
+    return o.select(k.cast("string").alias("grid_id"), (F.lit(36.0005) + ((k * 7919) % 14000) / 1000.0).alias("latitude"),
+                    (F.lit(-105.0005) + ((k * 104729) % 21000) / 1000.0).alias("longitude"),
+                    F.col("o_totalprice").alias("value"))
+
+
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """state_code, year, month, variable, value: every line of lineitem is one reading of two variables."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_shipdate")

@@ -50,6 +50,28 @@ def test_holes_and_parts_by_edge_crossing(spark):
     assert {r.id for r in got.collect()} == want and 0 < len(want) < len(points)
 
 
+def test_quadtree_cover_equals_ray_casting(spark):
+    rings = {"P": [[(0.0, 0.0), (6.0, 0.0), (6.0, 5.0), (3.0, 7.0), (0.0, 5.0)], [(1.0, 1.0), (3.0, 1.0), (2.0, 4.0)],
+                   [(8.0, 1.0), (9.5, 1.5), (8.5, 3.0)]],
+             "Q": [[(2.25, 2.25), (9.0, 2.5), (2.5, 6.75)]], "tiny": [[(7.01, 6.01), (7.02, 6.01), (7.015, 6.02)]]}
+    rows = [(n, r, min(x for q in r for x, _ in q), min(y for q in r for _, y in q), max(x for q in r for x, _ in q),
+             max(y for q in r for _, y in q)) for n, r in rings.items()]
+    polygons = spark.createDataFrame(rows, "code string, rings array<array<struct<x:double,y:double>>>, lon_min double, "
+                                           "lat_min double, lon_max double, lat_max double")
+    points = [(i, 0.137 + 0.31 * (i % 33), 0.071 + 0.29 * (i // 33)) for i in range(33 * 26)]
+    points += [(1000 + i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (6.0, 2.0), (3.0, 1.0), (1.0, 1.0), (7.015, 6.012),
+                                                            (2.0, 2.0), (2.5, 3.0), (0.5, 0.0), (-0.001, 1.0), (5.0, 5.0)])]
+    points = spark.createDataFrame([(*p, "x") for p in points], "id int, longitude double, latitude double, level string")
+    want = {(r.id, r.code) for r in spatial.point_in_polygon(points, polygons, polygon_cols=["code"]).collect()}
+    for levels in (1, 4, 7):
+        got = spatial.points_in_cover(points, polygons, ["code"], levels=levels).collect()
+        assert {(r.id, r.code) for r in got} == want and len(got) == len(want)
+    cover = spatial.polygon_cover(polygons, ["code"], levels=6)
+    assert cover.where("inside and level < 3").count() > 0
+    inner = cover.where("inside").agg(F.sum(F.pow(F.lit(0.25), F.col("level")))).first()[0]
+    assert inner > 0.8 * (36 - 3 + 0.5)  # most of the area is settled without a ring test
+
+
 def test_zonal_stats_ddof_and_single_row(spark):
     pts = spark.createDataFrame([("A", 1.0), ("A", 3.0), ("B", 5.0), ("B", None), ("C", float("nan"))],
                                 "state_code string, value double")
