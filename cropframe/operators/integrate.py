@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cropframe.schema import drop_null_columns, feature_columns, numeric_columns, require, with_frame_stats
+from cropframe.schema import complete_columns, feature_columns, numeric_columns, require, with_frame_stats
 
 
 def _q(c: str) -> Column:
@@ -136,12 +136,25 @@ def crop_category_pivot(long_df: DataFrame, seq_col: str = "ingest_seq",
 
 def station_variable_pivot(obs: DataFrame, variables: list[str] | None = None, index: tuple[str, ...] = ("STATION", "DATE"),
                            rename: dict[str, str] | None = None) -> DataFrame:
-    """Long station readings -> one column per variable present (mean), or per listed variable."""
-    variables = dummy_levels(obs.filter(F.col("VARIABLE").isNotNull()), "VARIABLE") if variables is None else variables
-    wide = obs.groupBy(*index).pivot("VARIABLE", variables).agg(F.avg("VALUE"))
-    for v in variables:
-        wide = wide.withColumnRenamed(v, (rename or {}).get(v, f"DLY-{v}-NORMAL"))
-    return wide
+    """Long station readings -> the mean of every variable present, one row per ``index``.
+
+    With listed ``variables`` one column each. Without a list the variables stay open: a
+    column ``VALUES`` maps each variable's column name to its mean, so no distinct
+    list is collected to plan the query and a new variable needs no new column.
+    """
+    def name(v: str) -> str:
+        return (rename or {}).get(v, f"DLY-{v}-NORMAL")
+
+    if variables is not None:
+        wide = obs.groupBy(*index).pivot("VARIABLE", variables).agg(F.avg("VALUE"))
+        for v in variables:
+            wide = wide.withColumnRenamed(v, name(v))
+        return wide
+    label = F.concat(F.lit("DLY-"), F.col("VARIABLE"), F.lit("-NORMAL"))
+    for v, to in (rename or {}).items():
+        label = F.when(F.col("VARIABLE") == v, F.lit(to)).otherwise(label)
+    means = obs.where(F.col("VARIABLE").isNotNull()).groupBy(*index, label.alias("_v")).agg(F.avg("VALUE").alias("_mean"))
+    return means.groupBy(*index).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_v", "_mean")))).alias("VALUES"))
 
 
 def lagged_yield(df: DataFrame, crop_col: str = "CROP", year_col: str = "YEAR",
@@ -179,30 +192,46 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def dummy_levels(df: DataFrame, col: str) -> list:
-    """Sorted distinct values of a categorical column: each becomes a column, so they are needed to plan."""
-    return [r[0] for r in df.select(_q(col)).distinct().orderBy(_q(col)).collect()]
+def dummies(df: DataFrame, categorical: dict[str, list | None], drop_first: bool = True, out: str = "dummies") -> DataFrame:
+    """0/1 columns ``<col>_<level>`` for columns with listed levels, a sparse map for open ones.
+
+    An open column (None) adds ``<col>_<level>`` -> 1 of the row's own level to the map
+    column ``out``; levels not in it are 0. Its first level, by order, has no
+    entry (``drop_first``): that is one aggregated value, so no list of levels is
+    collected, however many there are. A null has no entry.
+    """
+    wide, entries = [], []
+    for c, levels in categorical.items():
+        if levels is not None:
+            wide += [F.when(_q(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(f"{c}_{v}")
+                     for v in (sorted(levels)[1:] if drop_first else sorted(levels))]
+            continue
+        entry = F.struct(F.concat(F.lit(f"{c}_"), _q(c).cast("string")).alias("k"), F.lit(1).alias("v"))
+        kept = _q(c).isNotNull()
+        if drop_first:
+            kept = kept & (_q(c) != df.agg(F.min(_q(c))).scalar())
+        entries.append(F.when(kept, entry))
+    if entries:
+        wide.append(F.map_from_entries(F.array_compact(F.array(*entries))).alias(out))
+    return df.select("*", *wide)
 
 
-def modeling_ready(df: DataFrame, target: str = "yield", categorical: tuple[str, ...] = ("state_code",),
-                   ids: tuple[str, ...] = ("year", "state_code", "crop"), drop_first: bool = True) -> DataFrame:
-    """P14 + P10 + P11 + P12 + M3 / U2: the modelling-ready table.
+def modeling_ready(df: DataFrame, target: str = "yield", categorical: dict[str, list | None] | None = None,
+                   ids: tuple[str, ...] = ("year", "state_code", "crop"), drop_first: bool = True,
+                   prefer_standardized: bool = False) -> DataFrame:
+    """P14 + P10 + P11 + P12 + M3 / U2 (+ M1 pooled): the modelling-ready table.
 
     Required columns are checked (a typed error, no silent empty frame); year is
-    cast to int; numeric features are selected without the target or
-    identifiers; every column holding a NULL is dropped (one aggregate pass);
-    categorical columns become 0/1 dummy columns ``<col>_<level>`` (first level
-    dropped), appended to the kept columns.
+    cast to int; numeric features are selected without the target or identifiers
+    (``prefer_standardized``: only the _std columns, if there are any); every column
+    holding a NULL is dropped (observed while the frame is written); categorical
+    columns become dummies (see ``dummies``; by default an open map of states).
+    M1's pooled frame of all crops is this table with the crop among ``categorical``.
     """
     require(df, *ids, target)
     x = df.withColumn("year", _q("year").cast("int")) if "year" in df.columns else df
-    feats = feature_columns(x, target, prefer_standardized=False)
-    x = drop_null_columns(x.select(*[_q(c) for c in ids], _q(target), *[_q(c) for c in feats]))
-    dummies = []
-    for c in categorical:
-        if c not in x.columns:
-            continue
-        levels = dummy_levels(x, c)
-        for v in levels[1:] if drop_first else levels:
-            dummies.append(F.when(_q(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(f"{c}_{v}"))
-    return x.select("*", *dummies)
+    feats = feature_columns(x, target, prefer_standardized)
+    x, complete = complete_columns(x.select(*[_q(c) for c in ids], _q(target), *[_q(c) for c in feats]))
+    x = x.select(*[_q(c) for c in complete])
+    chosen = {"state_code": None} if categorical is None else categorical
+    return dummies(x, {c: levels for c, levels in chosen.items() if c in complete}, drop_first)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cropframe import dims
 from cropframe.operators import features as FE
 from cropframe.operators import integrate, modeling, spatial, temporal
+from cropframe.session import materialize
 from cropframe.sources import sinks
 
 
@@ -36,5 +37,5 @@ def census_batch(state_month: DataFrame, census_years: list[int] | None = None)
 def integrate_and_write(census: DataFrame, climate: DataFrame, root: str, level: str = "state",
                         ds: str | None = None) -> str:
     """Crop-aware join (J4), z-scores (A22), one partitioned write per crop."""
-    merged = integrate.crop_specific_merge(census, climate, level)
+    merged = materialize(integrate.crop_specific_merge(census, climate, level), "integrated")  # read for statistics and rows
     return sinks.write_dataset(integrate.standardize(merged), root, "integrated", ("crop",), ds)

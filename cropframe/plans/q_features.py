@@ -323,7 +323,7 @@ def q_station_seasonal_aggregates(spark, sf_dir):
     return FE.seasonal_aggregates(FE.station_monthly_aggregates(B.station_observations(spark, sf_dir)))
 
 
-#: The variables of the given table, for the SQL twin.
+#: The variables of the given table.
 _EVENT_TYPES = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
 
 
@@ -332,11 +332,24 @@ SELECT "STATION", strftime("DATE", '%Y-%m-%d') AS "DATE", """ + ", ".join(
     f"round(avg(CASE WHEN \"VARIABLE\" = '{v}' THEN \"VALUE\" END), 6) AS \"DLY-{v}-NORMAL\"" for v in _EVENT_TYPES)
     + """ FROM station_obs GROUP BY "STATION", "DATE\"""")
 def q_station_variable_pivot(spark, sf_dir):
-    """Long readings pivoted to one mean column per variable present."""
-    w = integrate.station_variable_pivot(B.station_observations(spark, sf_dir))
+    """Long readings pivoted to one mean column per listed variable."""
+    w = integrate.station_variable_pivot(B.station_observations(spark, sf_dir), _EVENT_TYPES)
     return w.withColumn("DATE", date_str("DATE"))
 
 
+@register("station_variable_map", "A24,N10", sql=with_views("station_obs") + """,
+m AS (SELECT "STATION", "DATE", "VARIABLE", avg("VALUE") AS v FROM station_obs WHERE "VARIABLE" IS NOT NULL GROUP BY ALL)
+SELECT "STATION", strftime("DATE", '%Y-%m-%d') AS "DATE", CAST(count(*) AS INTEGER) AS n_variables,
+       string_agg('DLY-' || "VARIABLE" || '-NORMAL', ',' ORDER BY "VARIABLE") AS variables, round(sum(v), 6) AS total
+FROM m GROUP BY "STATION", "DATE\"""")
+def q_station_variable_map(spark, sf_dir):
+    """A24 with an open set of variables: a map of means per station-day, here its size, names and sum."""
+    w = integrate.station_variable_pivot(B.station_observations(spark, sf_dir))
+    total = F.aggregate(F.map_values("VALUES"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return w.select("STATION", date_str("DATE").alias("DATE"), F.size("VALUES").alias("n_variables"),
+                    F.array_join(F.map_keys("VALUES"), ",").alias("variables"), total.alias("total"))
+
+
 @register("station_metadata_join", "J6", sql=with_views("station_normals", "station_metadata") + """
 SELECT s."STATION", count(*) AS n_days, max(s."DLY-TMAX-NORMAL") AS max_tmax, m."STATION_NAME",
        round(m."LATITUDE", 6) AS "LATITUDE", round(m."LONGITUDE", 6) AS "LONGITUDE",

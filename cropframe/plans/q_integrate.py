@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from cropframe.operators import analysis as AN
 from cropframe.operators import integrate
+from cropframe.plans import composites
 from cropframe.plans.q_climate import _SEASON_COLS, season_stats
 from cropframe.plans.registry import register
 from cropframe.plans.sql_views import with_views
-from cropframe.session import materialize
+from cropframe.session import materialize, scratch_path
 from cropframe.sources import bindings as B
+from cropframe.sources import files
 
 
 def annual_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +266,8 @@ def q_lagged_yield(spark, sf_dir):
 
 
 # P10 + P11 + P12 + P14 + M3 + U2 ----------------------------------------------
+_POOLED = ["harvested_acres", "growing_season_ppt_total", "growing_season_tmean_mean", "growing_season_tmax_mean",
+           "growing_degree_days_base10"]
 _DUMMY_STATES = ["IL", "IN", "MN", "NE"]  # sorted levels of state_code minus the first (IA)
 
 
@@ -274,9 +278,26 @@ SELECT CAST(year AS INTEGER) AS year, state_code, crop, round(yield, 6) AS yield
           + " FROM j4")
 def q_modeling_ready(spark, sf_dir):
     """Modelling-ready table: checked columns, int year, numeric features, NULL columns dropped, state dummies."""
-    j = materialize(integrate.crop_specific_merge(B.state_census(spark, sf_dir), season_stats(spark, sf_dir),
-                                                  "state"))
-    return integrate.modeling_ready(j, "yield", categorical=("state_code",))
+    j = integrate.crop_specific_merge(B.state_census(spark, sf_dir), season_stats(spark, sf_dir), "state")
+    return integrate.modeling_ready(j, "yield", {"state_code": B.REGION_STATES})
+
+
+#: Crops with a dummy column: the sorted crops but the first.
+_DUMMY_CROPS = sorted(B.SEGMENT_CROPS.values())[1:]
+
+
+@register("modeling_pooled", "M1,P11,M3,A22", sql=_J4_SQL + """
+SELECT CAST(year AS INTEGER) AS year, state_code, crop, round(yield, 6) AS yield, """ + ", ".join(
+    f"round(CASE WHEN stddev_samp({x}) OVER () > 0 THEN ({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () END, 6) AS {x}_std"
+    for x in _POOLED) + ", " + ", ".join(f"CASE WHEN crop = '{c}' THEN 1 ELSE 0 END AS crop_{c}" for c in _DUMMY_CROPS)
+          + ", CASE WHEN state_code <> 'IA' THEN 'state_code_' || state_code ELSE '' END AS state_dummy FROM j4")
+def q_modeling_pooled(spark, sf_dir):
+    """M1 pooled + P11: all crops in one frame, standardised features preferred, crop columns, an open map of states."""
+    j = integrate.crop_specific_merge(B.state_census(spark, sf_dir), season_stats(spark, sf_dir), "state").select(
+        "year", "state_code", "crop", "yield", *_POOLED)
+    z = integrate.standardize(materialize(j), exclude=("year", "yield"))
+    x = integrate.modeling_ready(z, "yield", {"crop": _DUMMY_CROPS + ["CORN"], "state_code": None}, prefer_standardized=True)
+    return x.withColumn("state_dummy", F.array_join(F.map_keys("dummies"), ",")).drop("dummies")
 
 
 # T4 -----------------------------------------------------------------------------
@@ -297,8 +318,10 @@ UNION ALL SELECT 'station', lower("STATION") FROM station_normals GROUP BY "STAT
 UNION ALL SELECT 'states', array_to_string(list_sort(list(DISTINCT state_code))[1:3], ', ') FROM state_census""")
 def q_distinct_keys(spark, sf_dir):
     """A32 + F20: the distinct crops, states, years and stations, and the first three states joined as a label."""
-    sc = B.state_census(spark, sf_dir)
-    st = B.station_normals(spark, sf_dir)
+    # the keys of the census are attributes of its orders, and its rows are small once written
+    sc = materialize(B.state_census(spark, sf_dir).select("crop", "state_code", "year"), "census-keys")
+    st = B.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("ST"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("STATION"))
     parts = [sc.select(F.lit("crop").alias("key_type"), F.col("crop").alias("key_value")).distinct(),
              sc.select(F.lit("state"), F.col("state_code")).distinct(),
              sc.select(F.lit("year"), F.col("year").cast("string")).distinct(),
@@ -310,3 +333,50 @@ def q_distinct_keys(spark, sf_dir):
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+# W2 with the unit in the key, X3, X4 ------------------------------------------------
+@register("lagged_yield_states", "W2,T2", sql=with_views("state_census") + """
+SELECT year AS "YEAR", state_code, crop AS "CROP", round(yield, 6) AS "YIELD",
+       round(lag(yield) OVER w, 6) AS "PREV_YIELD", round(yield - lag(yield) OVER w, 6) AS "YIELD_CHANGE",
+       round((yield - lag(yield) OVER w) / lag(yield) OVER w * 100, 6) AS "YIELD_CHANGE_PCT"
+FROM state_census WINDOW w AS (PARTITION BY crop, state_code ORDER BY year)""")
+def q_lagged_yield_states(spark, sf_dir):
+    """W2 per crop and state: a window holds one unit's census years."""
+    c = B.state_census(spark, sf_dir).select(F.col("year").alias("YEAR"), "state_code", F.col("crop").alias("CROP"),
+                                             F.col("yield").alias("YIELD"))
+    return integrate.lagged_yield(c, by=("state_code",))
+
+
+@register("lagged_yield_counties", "W2,T2", sql=with_views("county_census") + """
+SELECT year AS "YEAR", county_fips, crop AS "CROP", round(yield, 6) AS "YIELD", round(lag(yield) OVER w, 6) AS "PREV_YIELD",
+       round(yield - lag(yield) OVER w, 6) AS "YIELD_CHANGE",
+       round((yield - lag(yield) OVER w) / lag(yield) OVER w * 100, 6) AS "YIELD_CHANGE_PCT"
+FROM county_census WINDOW w AS (PARTITION BY crop, county_fips ORDER BY year)""")
+def q_lagged_yield_counties(spark, sf_dir):
+    """W2 per crop and county."""
+    c = B.county_census(spark, sf_dir).select(F.col("year").alias("YEAR"), "county_fips", F.col("crop").alias("CROP"),
+                                              F.col("yield").alias("YIELD"))
+    return integrate.lagged_yield(c, by=("county_fips",))
+
+
+@register("integrated_dataset", "X3,J4,A22,S11,S12", sql=_J4_SQL + """
+SELECT CAST(year AS INTEGER) AS year, state_code, crop, round(yield, 6) AS yield, harvested_acres, production, """
+          + ", ".join(f"round({x}, 6) AS {x}" for x in _SEASON_COLS) + ", " + ", ".join(
+    f"round(CASE WHEN stddev_samp({x}) OVER () > 0 THEN ({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER () END, 6) AS {x}_std"
+    for x in _STD_COLS) + ", '20240101' AS ds FROM j4")
+def q_integrated_dataset(spark, sf_dir):
+    """Crop-aware join, z-scores, one write partitioned by crop (S11), read back as the newest snapshot."""
+    root = scratch_path(spark, "integrated")
+    composites.integrate_and_write(B.state_census(spark, sf_dir), season_stats(spark, sf_dir), root, ds="20240101")
+    return files.latest_snapshot(spark, f"{root}/integrated").select(
+        "year", "state_code", "crop", "yield", "harvested_acres", "production", *_SEASON_COLS, *[f"{c}_std" for c in _STD_COLS], "ds")
+
+
+@register("census_batch", "X4,A10", sql=with_views("season_stats") + """
+SELECT state_code, year, crop, """ + ", ".join(f"round({x}, 6) AS {x}" for x in _SEASON_COLS) + """
+FROM season_stats WHERE year IN (1992, 1997, 2002)""")
+def q_census_batch(spark, sf_dir):
+    """Season statistics of the census years that the given dates reach, one job."""
+    from cropframe.plans.q_climate import state_month
+    return composites.census_batch(state_month(spark, sf_dir), [1992, 1997, 2002])

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cropframe.session import materialize
+
 CROP_CENSUS = T.StructType([
     T.StructField("year", T.IntegerType()),
     T.StructField("crop", T.StringType()),
@@ -138,6 +140,21 @@ def drop_null_columns(df: DataFrame, cols: Iterable[str] | None = None) -> DataF
     return df.drop(*[c for c in cols if counts[c] > 0])
 
 
+def complete_columns(df: DataFrame, cols: Iterable[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """P12 while the frame is written: (the frame read back, its columns without a NULL).
+
+    The null counts are observed during the one write, not by a second pass over the
+    input; the frame that comes back reads only the columns asked of it.
+    """
+    cols = list(cols) if cols is not None else df.columns
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("_rows"), *[
+        F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(cols)])
+    back = materialize(counted, "observed")
+    found = seen.get
+    return back, [c for i, c in enumerate(cols) if not found[f"n{i}"]]
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every fractional column (used at the end of compared queries)."""
     out = []

@@ -26,7 +26,7 @@ def _frame(spark):
 
 
 def test_modeling_ready_dummies_nulls_and_casts(spark):
-    out = integrate.modeling_ready(_frame(spark), "yield", categorical=("state_code",))
+    out = integrate.modeling_ready(_frame(spark), "yield", {"state_code": ["IA", "IL", "NE"]})
     assert dict(out.dtypes)["year"] == "int"
     # the column holding a NULL is dropped; the first level (IA) has no dummy
     assert "sparse" not in out.columns
@@ -37,16 +37,26 @@ def test_modeling_ready_dummies_nulls_and_casts(spark):
     assert out.count() == 30
 
 
+def test_open_levels_are_a_map(spark):
+    df = spark.range(700).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("k"), F.lit(1.0).alias("yield"))
+    got = {r.k: r.dummies for r in integrate.dummies(df, {"k": None}).collect()}
+    assert got == {f"{i:03}": {f"k_{i:03}": 1} if i else {} for i in range(700)}
+    assert integrate.dummies(df, {"k": None}, drop_first=False).where("size(dummies) = 1").count() == 700
+    null = spark.createDataFrame([(None,), ("a",), ("b",)], "k string")
+    assert [r.dummies for r in integrate.dummies(null, {"k": None}).collect()] == [{}, {}, {"k_b": 1}]
+
+
+def test_pooled_frame_prefers_standardised_features(spark):
+    z = integrate.standardize(_frame(spark).drop("sparse"))
+    out = integrate.modeling_ready(z, "yield", {"crop": ["CORN", "RICE"], "state_code": None}, prefer_standardized=True)
+    assert out.columns == ["year", "state_code", "crop", "yield", "tmean_std", "ppt_std", "crop_RICE", "dummies"]
+
+
 def test_modeling_ready_requires_columns(spark):
     with pytest.raises(MissingColumnsError):
         integrate.modeling_ready(_frame(spark).drop("crop"), "yield")
 
 
-def test_dummy_levels_are_all_kept(spark):
-    df = spark.range(700).select(F.col("id").cast("string").alias("k"))
-    assert len(integrate.dummy_levels(df, "k")) == 700
-
-
 def test_model_save_load_roundtrip(spark):
     df = _frame(spark).drop("sparse")
     framed, feats, stages = modeling.modeling_frame(df, "yield", ["tmean", "ppt"])
