@@ -11,9 +11,14 @@
    out the similarity are dropped; the rest are aligned, one per node first, the
    others only if their ends are not yet connected.
 4. Round two takes the buckets whose nodes are still in different components and
-   pairs nodes across components. Buckets stay whole, so the 5e-8 of step 2 holds
-   for them: the nodes outside a bucket's largest component meet all its nodes, in
-   blocks of ``big``, and the conditions of step 3 rule pairs out before any is listed.
+   pairs nodes across components: a pair has an end outside the largest one, so these
+   outer nodes meet the others. Buckets of one large group overlap, and listing each
+   would make a pair once for each bucket. Buckets that share components are therefore
+   gathered to a field; where it is cheaper, the field's outer nodes meet all its nodes
+   once, in blocks of about ``BLOCK_SHINGLES`` shingles, and an exact count of common
+   shingles (no alignment can match more) rules pairs out before any is listed. In the
+   other fields pairs are listed bucket by bucket, in blocks of ``big``, under the
+   conditions of step 3. Both see every pair of a bucket, so the 5e-8 of step 2 holds.
 5. Linked nodes form components (smallest label, joins until nothing changes).
 
 Similarity: M / (a + b - M) for texts of a and b shingles whose best alignment
@@ -46,6 +51,8 @@ AGREE = 14
 CACHE_WORDS = 200_000
 #: Nodes of a bucket that meet in one join key.
 BIG = 4096
+#: Shingles of a block of a field, and how many pairs met in blocks cost as much as one listed and aligned.
+BLOCK_SHINGLES, MET_PER_LISTED = 1_000_000, 20
 #: Texts, and pairs of texts, a Python worker holds at once.
 TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2000, 200
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -89,22 +96,6 @@ def numbered(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled(s: np.ndarray) -> np.ndarray:
-    """First and second occurrences, in text order, as different values: (shingle, first), (shingle, again).
-
-    Drops later occurrences; no query uses it.
-    """
-    order = np.argsort(s, kind="stable")
-    run = s[order]
-    starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    number = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
-    marks = np.empty_like(s)
-    marks[order] = run + number.astype(np.uint64) * _P
-    kept = np.empty(len(s), bool)
-    kept[order] = number < 2
-    return marks[kept]
-
-
 def sketch(marked: np.ndarray, bands: int = BANDS, picks: int = PICKS) -> tuple[np.ndarray, np.ndarray]:
     """(band values, smallest hash per band) of labelled shingles."""
     take = min(picks, len(marked))
@@ -157,13 +148,15 @@ def banded_matches(a: list[int], b: list[int], band: int) -> int:
     return len(a) - row.bit_count()
 
 
-def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """M / (|a| + |b| - M) for the best in-order matching M; 0.0 if it is under ``least``."""
+def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, marks_a: np.ndarray | None = None,
+                       marks_b: np.ndarray | None = None) -> float:
+    """M / (|a| + |b| - M) for the best in-order matching M; 0.0 if it is under ``least``. ``marks``: numbered shingles."""
     total = len(a) + len(b)
     most = int(total * (1 - least) / (1 + least) + 1e-9)  # unmatched shingles a similarity of ``least`` allows
     if not len(a) or not len(b) or abs(len(a) - len(b)) > most:
         return 0.0
-    common = len(np.intersect1d(numbered(a), numbered(b), assume_unique=True))
+    marks_a, marks_b = (numbered(x) if m is None else m for x, m in ((a, marks_a), (b, marks_b)))
+    common = len(np.intersect1d(marks_a, marks_b, assume_unique=True))
     if total - 2 * common > most:
         return 0.0
     low = min(len(a), len(b))
@@ -232,27 +225,38 @@ def _can_link(similarity: float, agree: int):
     return ((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity) & (same >= agree))
 
 
+def shingled(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, s): the shingles of the nodes of ``wanted`` (node, rep_id, rep_hash), as 64-bit integers in text order."""
+    rows = doc_rows(docs).withColumn("text_hash", F.xxhash64("text"))
+    keys = small(wanted.select("node", "rep_id", "rep_hash"), wanted.count(), BROADCAST_ROWS)
+    texts = rows.join(keys, rows["doc_id"].eqNullSafe(keys["rep_id"]) & (rows["text_hash"] == keys["rep_hash"]))
+
+    def cut(batches):
+        hashes = WordHashes()
+        for frame in batches:
+            yield pd.DataFrame({"node": frame["node"], "s": [shingles(t, hashes, k).tobytes() for t in frame["text"]]})
+
+    found = texts.select("node", "text").mapInPandas(cut, "node binary, s binary")
+    return stored(found.dropDuplicates(["node"]), "dedup-shingles", batch_rows=TEXTS_AT_ONCE)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, k: int) -> DataFrame:
-    """The pairs whose alignment reaches ``similarity``."""
+    """The pairs whose alignment reaches ``similarity``; every end is cut into shingles once."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ends = stored(nodes.select("node", "rep_id", "rep_hash").join(ends, "node"), "dedup-ends")
-    rows = doc_rows(docs).withColumn("text_hash", F.xxhash64("text"))
-    keys = small(ends, ends.count(), BROADCAST_ROWS)
-    texts = rows.join(keys, rows["doc_id"].eqNullSafe(keys["rep_id"]) & (rows["text_hash"] == keys["rep_hash"]))
-    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "dedup-texts")
-    ta, tb = (texts.select(F.col("node").alias(f"node_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
-    full = pairs.join(ta, pairs["a"] == ta["node_a"]).join(tb, pairs["b"] == tb["node_b"])
+    cut = shingled(ends, docs, k)
+    sa, sb = (cut.select(F.col("node").alias(f"node_{s}"), F.col("s").alias(f"s_{s}")) for s in "ab")
+    full = pairs.join(sa, pairs["a"] == sa["node_a"]).join(sb, pairs["b"] == sb["node_b"])
 
     def aligned(batches):
-        hashes = WordHashes()
         for frame in batches:
-            seen = {node: shingles(text, hashes, k)
-                    for s in "ab" for node, text in zip(frame[s], frame[f"text_{s}"])}
-            keep = [aligned_similarity(seen[x], seen[y], similarity) >= similarity
+            seen = {node: np.frombuffer(x, np.uint64) for s in "ab" for node, x in zip(frame[s], frame[f"s_{s}"])}
+            marks = {node: numbered(x) for node, x in seen.items()}
+            keep = [aligned_similarity(seen[x], seen[y], similarity, marks[x], marks[y]) >= similarity
                     for x, y in zip(frame["a"], frame["b"])]
             yield frame.loc[keep, ["a", "b"]]
 
-    return stored(full.select("a", "b", "text_a", "text_b").mapInPandas(aligned, "a binary, b binary"), "dedup-links",
+    return stored(full.select("a", "b", "s_a", "s_b").mapInPandas(aligned, "a binary, b binary"), "dedup-links",
                   batch_rows=PAIRS_AT_ONCE)
 
 
@@ -263,21 +267,43 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b"))).select("a", "b")
 
 
-def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float, agree: int,
-            big: int) -> DataFrame:
-    """Possible pairs across components inside the buckets that hold several components.
-
-    A pair across components has an end outside the bucket's main component, so these ends alone meet all nodes.
-    """
+def _contested(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, c) of the buckets that hold several components; (bucket, main, size, outer) of these buckets."""
     named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     parts = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("size"),
                                         F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    blocks = F.ceil(F.col("size") / big).cast("int")
-    outer_blocks = F.ceil((F.col("size") - F.col("main.n")) / big).cast("int")
-    mixed = mixed.select("bucket", F.col("main.c").alias("main"), blocks.alias("blocks"), outer_blocks.alias("outers"))
+    mixed = stored(mixed.select("bucket", F.col("main.c").alias("main"), "size",
+                                (F.col("size") - F.col("main.n")).alias("outer")), "dedup-mixed")
+    return stored(named.join(mixed.select("bucket"), "bucket"), "dedup-contested"), mixed
+
+
+def _fields(members: DataFrame, mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(c, field) and (field, main, n, outer, listed) of the fields whose nodes better meet in blocks.
+
+    A field is what buckets that share components connect. ``listed``: pairs that
+    listing its buckets one by one would make.
+    """
+    edges = members.join(mixed, "bucket").where("c <> main").select(F.col("main").alias("a"), F.col("c").alias("b")).distinct()
+    fields = components(edges).select(F.col("node").alias("c"), F.col("component").alias("field"))
+    fields = stored(fields, "dedup-fields")
+    nodes = members.select("node", "c").distinct().join(fields, "c")
+    sizes = nodes.groupBy("field", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("field").agg(
+        F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("n"))
+    listed = mixed.join(fields, mixed["main"] == fields["c"]).groupBy("field").agg(
+        F.sum(F.col("size") * F.col("outer")).alias("listed"))
+    chosen = sizes.join(listed, "field").select(
+        "field", F.col("most.c").alias("main"), "n", (F.col("n") - F.col("most.m")).alias("outer"), "listed")
+    chosen = chosen.where(F.col("n") * F.col("outer") <= F.col("listed") * MET_PER_LISTED)
+    return fields, stored(chosen.where("listed > 64"), "dedup-met-fields")
+
+
+def _listed(members: DataFrame, mixed: DataFrame, nodes: DataFrame, similarity: float, agree: int, big: int) -> DataFrame:
+    """Possible pairs across components, bucket by bucket: the nodes outside a bucket's main component meet all its nodes."""
+    mixed = mixed.select("bucket", "main", F.ceil(F.col("size") / big).cast("int").alias("blocks"),
+                         F.ceil(F.col("outer") / big).cast("int").alias("outers"))
     facts = nodes.select("node", "n", "firsts")
-    members = stored(named.join(mixed, "bucket").join(facts, "node"), "dedup-mixed")
+    members = members.join(mixed, "bucket").join(facts, "node")
 
     def side(rows: DataFrame, s: str, block, outer) -> DataFrame:
         return rows.select("bucket", block.alias("block"), outer.alias("outer"), F.col("node").alias(s), *[
@@ -296,6 +322,62 @@ def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def common_counts(outer: list[np.ndarray], others: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Places (outer, other) of the pairs whose common numbered shingles allow a similarity of ``least``."""
+    order = sorted(range(len(others)), key=lambda i: len(others[i]))
+    sizes = np.array([len(others[i]) for i in order])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    _, ids = np.unique(np.concatenate([*outer, *(others[i] for i in order)]), return_inverse=True)
+    at = sum(map(len, outer))
+    pool, mark, found, place = ids[at:], np.zeros(int(ids.max()) + 1, np.int32), [], 0
+    for o, x in enumerate(outer):
+        own = ids[place:place + len(x)]
+        place += len(x)
+        a, b = np.searchsorted(sizes, np.ceil(len(x) * least - 1e-9)), np.searchsorted(sizes, len(x) / least + 1e-9, "right")
+        if a >= b:
+            continue
+        mark[own] = 1
+        common = np.add.reduceat(mark[pool[starts[a]:ends[b - 1]]], starts[a:b] - starts[a])
+        mark[own] = 0
+        fit = np.flatnonzero(common >= least * (len(x) + sizes[a:b] - common) - 1e-9)
+        found += [(o, order[a + i]) for i in fit]
+    return found
+
+
+def _met(members: DataFrame, fields: DataFrame, chosen: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float,
+         k: int) -> DataFrame:
+    """Pairs across components of the chosen fields whose common shingles allow the similarity."""
+    inside = members.select("node", "c").distinct().join(fields, "c").join(chosen.select("field", "main"), "field")
+    inside = stored(inside.join(nodes.select("node", "n", "rep_id", "rep_hash"), "node"), "dedup-field-nodes")
+    cut = shingled(inside, docs, k)
+    total, outside = F.sum("n"), F.sum(F.when(F.col("c") != F.col("main"), F.col("n")).otherwise(0))
+    blocks = inside.groupBy("field").agg(F.ceil(total / BLOCK_SHINGLES).cast("int").alias("blocks"),
+                                         F.ceil(outside / BLOCK_SHINGLES).cast("int").alias("outers"))
+    rows = stored(inside.join(cut, "node").join(blocks, "field"), "dedup-field-shingles")
+
+    def dealt(count: str):
+        return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+    def each(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    a = rows.where("c <> main").select("field", each("blocks").alias("block"), dealt("outers").alias("outer"), "node", "c", "s")
+    b = rows.select(F.col("field").alias("field"), dealt("blocks").alias("block"), each("outers").alias("outer"),
+                    F.col("node").alias("node"), F.col("c").alias("c"), F.col("s").alias("s"))
+
+    def met(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pairs = []
+        if len(left) and len(right):
+            mine, others = ([numbered(np.frombuffer(x, np.uint64)) for x in f["s"]] for f in (left, right))
+            na, ca, nb, cb = (f[x].tolist() for f in (left, right) for x in ("node", "c"))
+            pairs = [(min(na[i], nb[j]), max(na[i], nb[j])) for i, j in common_counts(mine, others, similarity) if ca[i] != cb[j]]
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    on = ["field", "block", "outer"]
+    return a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(met, "a binary, b binary").distinct()
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, bands: int = BANDS, picks: int = PICKS,
                  agree: int = AGREE, big: int = BIG) -> DataFrame:
     """(doc_id, text_hash, class_id, class_size, rep_id, rep_hash): one row per document, stored.
@@ -322,8 +404,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
     if rest.limit(1).count():
         links = links.unionByName(verified(rest, nodes, docs, similarity, k))
         labels = components(links)
-    across = _across(shared.select("bucket", "node"), labels, nodes, similarity, agree, big)
-    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "dedup-across")
+    members, mixed = _contested(shared.select("bucket", "node"), labels)
+    fields, chosen = _fields(members, mixed)
+    across = _met(members, fields, chosen, nodes, docs, similarity, k)
+    others = mixed.join(fields, mixed["main"] == fields["c"]).join(chosen.select("field"), "field", "left_anti")
+    listed = stored(_listed(members, others.select(*mixed.columns), nodes, similarity, agree, big), "dedup-listed")
+    across = stored(across.union(listed).distinct().join(pairs, ["a", "b"], "left_anti"), "dedup-across")
     if across.limit(1).count():
         links = links.unionByName(verified(across, nodes, docs, similarity, k))
         labels = components(links)
