@@ -267,43 +267,32 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b"))).select("a", "b")
 
 
-def _contested(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket, node, c) of the buckets that hold several components; (bucket, main, size, outer) of these buckets."""
+def _contested(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, main, size, outer, node, c) of the buckets that hold several components; main: the largest."""
     named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     parts = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("size"),
                                         F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = stored(mixed.select("bucket", F.col("main.c").alias("main"), "size",
-                                (F.col("size") - F.col("main.n")).alias("outer")), "dedup-mixed")
-    return stored(named.join(mixed.select("bucket"), "bucket"), "dedup-contested"), mixed
+    mixed = mixed.select("bucket", F.col("main.c").alias("main"), "size", (F.col("size") - F.col("main.n")).alias("outer"))
+    return stored(mixed.join(named, "bucket"), "dedup-contested")
 
 
-def _fields(members: DataFrame, mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(c, field) and (field, main, n, outer, listed) of the fields whose nodes better meet in blocks.
+def _met_fields(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(main, node, c) of all fields; (main) of the fields whose nodes better meet in blocks.
 
-    A field is what buckets that share components connect. ``listed``: pairs that
-    listing its buckets one by one would make.
+    The buckets of one largest component ``main`` are a field: listing makes size x outer pairs of each.
     """
-    edges = members.join(mixed, "bucket").where("c <> main").select(F.col("main").alias("a"), F.col("c").alias("b")).distinct()
-    fields = components(edges).select(F.col("node").alias("c"), F.col("component").alias("field"))
-    fields = stored(fields, "dedup-fields")
-    nodes = members.select("node", "c").distinct().join(fields, "c")
-    sizes = nodes.groupBy("field", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("field").agg(
-        F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("n"))
-    listed = mixed.join(fields, mixed["main"] == fields["c"]).groupBy("field").agg(
-        F.sum(F.col("size") * F.col("outer")).alias("listed"))
-    chosen = sizes.join(listed, "field").select(
-        "field", F.col("most.c").alias("main"), "n", (F.col("n") - F.col("most.m")).alias("outer"), "listed")
-    chosen = chosen.where(F.col("n") * F.col("outer") <= F.col("listed") * MET_PER_LISTED)
-    return fields, stored(chosen.where("listed > 64"), "dedup-met-fields")
-
-
-def _listed(members: DataFrame, mixed: DataFrame, nodes: DataFrame, similarity: float, agree: int, big: int) -> DataFrame:
+    nodes = stored(members.select("main", "node", "c").distinct(), "dedup-field-nodes")
+    sizes = nodes.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") != F.col("main")).alias("outer"))
+    listed = members.groupBy("main").agg(F.sum("outer").alias("listed"))  # a row for each of a bucket's ``size`` nodes
+    chosen = sizes.join(listed, "main").where((F.col("listed") > 64) & (F.col("n") * F.col("outer") <= F.col("listed") * MET_PER_LISTED))
+    return nodes, stored(chosen.select("main"), "dedup-met-fields")
+
+
+def _listed(members: DataFrame, nodes: DataFrame, similarity: float, agree: int, big: int) -> DataFrame:
     """Possible pairs across components, bucket by bucket: the nodes outside a bucket's main component meet all its nodes."""
-    mixed = mixed.select("bucket", "main", F.ceil(F.col("size") / big).cast("int").alias("blocks"),
-                         F.ceil(F.col("outer") / big).cast("int").alias("outers"))
-    facts = nodes.select("node", "n", "firsts")
-    members = members.join(mixed, "bucket").join(facts, "node")
+    members = members.select("bucket", "main", "node", "c", F.ceil(F.col("size") / big).cast("int").alias("blocks"),
+                             F.ceil(F.col("outer") / big).cast("int").alias("outers")).join(nodes.select("node", "n", "firsts"), "node")
 
     def side(rows: DataFrame, s: str, block, outer) -> DataFrame:
         return rows.select("bucket", block.alias("block"), outer.alias("outer"), F.col("node").alias(s), *[
@@ -345,16 +334,15 @@ def common_counts(outer: list[np.ndarray], others: list[np.ndarray], least: floa
     return found
 
 
-def _met(members: DataFrame, fields: DataFrame, chosen: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float,
-         k: int) -> DataFrame:
-    """Pairs across components of the chosen fields whose common shingles allow the similarity."""
-    inside = members.select("node", "c").distinct().join(fields, "c").join(chosen.select("field", "main"), "field")
-    inside = stored(inside.join(nodes.select("node", "n", "rep_id", "rep_hash"), "node"), "dedup-field-nodes")
-    cut = shingled(inside, docs, k)
-    total, outside = F.sum("n"), F.sum(F.when(F.col("c") != F.col("main"), F.col("n")).otherwise(0))
-    blocks = inside.groupBy("field").agg(F.ceil(total / BLOCK_SHINGLES).cast("int").alias("blocks"),
-                                         F.ceil(outside / BLOCK_SHINGLES).cast("int").alias("outers"))
-    rows = stored(inside.join(cut, "node").join(blocks, "field"), "dedup-field-shingles")
+def _met(inside: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Pairs across components inside fields (main, node, c) whose common shingles allow the similarity."""
+    facts = nodes.select("node", "n", "rep_id", "rep_hash")
+    inside = stored(inside.join(facts, "node"), "dedup-met-nodes")
+    cut = shingled(inside.select("node", "rep_id", "rep_hash").distinct(), docs, k)
+    outside = F.sum(F.when(F.col("c") != F.col("main"), F.col("n")).otherwise(0))
+    blocks = inside.groupBy("main").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"),
+                                        F.ceil(outside / BLOCK_SHINGLES).cast("int").alias("outers"))
+    rows = stored(inside.join(cut, "node").join(blocks, "main").select("main", "node", "c", "s", "blocks", "outers"), "dedup-met-shingles")
 
     def dealt(count: str):
         return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
@@ -362,8 +350,8 @@ def _met(members: DataFrame, fields: DataFrame, chosen: DataFrame, nodes: DataFr
     def each(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    a = rows.where("c <> main").select("field", each("blocks").alias("block"), dealt("outers").alias("outer"), "node", "c", "s")
-    b = rows.select(F.col("field").alias("field"), dealt("blocks").alias("block"), each("outers").alias("outer"),
+    a = rows.where("c <> main").select("main", each("blocks").alias("block"), dealt("outers").alias("outer"), "node", "c", "s")
+    b = rows.select(F.col("main").alias("main"), dealt("blocks").alias("block"), each("outers").alias("outer"),
                     F.col("node").alias("node"), F.col("c").alias("c"), F.col("s").alias("s"))
 
     def met(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -374,7 +362,7 @@ def _met(members: DataFrame, fields: DataFrame, chosen: DataFrame, nodes: DataFr
             pairs = [(min(na[i], nb[j]), max(na[i], nb[j])) for i, j in common_counts(mine, others, similarity) if ca[i] != cb[j]]
         return pd.DataFrame(pairs, columns=["a", "b"])
 
-    on = ["field", "block", "outer"]
+    on = ["main", "block", "outer"]
     return a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(met, "a binary, b binary").distinct()
 
 
@@ -404,12 +392,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
     if rest.limit(1).count():
         links = links.unionByName(verified(rest, nodes, docs, similarity, k))
         labels = components(links)
-    members, mixed = _contested(shared.select("bucket", "node"), labels)
-    fields, chosen = _fields(members, mixed)
-    across = _met(members, fields, chosen, nodes, docs, similarity, k)
-    others = mixed.join(fields, mixed["main"] == fields["c"]).join(chosen.select("field"), "field", "left_anti")
-    listed = stored(_listed(members, others.select(*mixed.columns), nodes, similarity, agree, big), "dedup-listed")
-    across = stored(across.union(listed).distinct().join(pairs, ["a", "b"], "left_anti"), "dedup-across")
+    members = _contested(shared.select("bucket", "node"), labels)
+    fields, chosen = _met_fields(members)
+    across = _listed(members.join(chosen, "main", "left_anti"), nodes, similarity, agree, big)
+    if chosen.limit(1).count():
+        across = across.union(_met(fields.join(chosen, "main"), nodes, docs, similarity, k)).distinct()
+    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "dedup-across")
     if across.limit(1).count():
         links = links.unionByName(verified(across, nodes, docs, similarity, k))
         labels = components(links)
