@@ -117,40 +117,60 @@ class Model:
         return float(applied(self.knots, ratio))
 
 
+@dataclass
+class Steps:
+    """Counted steps: prefixes, the place of the prefix one letter shorter (-1: none), documents by fold and class."""
+
+    names: list[str]
+    before: np.ndarray
+    counts: np.ndarray  # (steps, folds, classes)
+
+    @classmethod
+    def of(cls, names: list[str], counts: np.ndarray) -> Steps:
+        row = {step: i for i, step in enumerate(names)}
+        before = np.fromiter((row.get(step[:-1], -1) if step else -1 for step in names), np.int32, len(names))
+        return cls(names, before, counts)
+
+    def ratios(self, folds, min_count: int, discount: float, prior: float, evidence: float) -> Ratios:
+        """Fitted on the documents of ``folds``."""
+        ordinary, toxic = (self.counts[:, folds, k].sum(axis=1).astype(np.float64) for k in (0, 1))
+        used = np.flatnonzero((self.before >= 0) & (ordinary + toxic >= min_count))
+        up = self.before[used]
+        shared = (ordinary[used] + toxic[used]) / (ordinary[up] + toxic[up])
+        log_p = []
+        for n in (ordinary, toxic):
+            kinds = np.bincount(self.before[(self.before >= 0) & (n > 0)], minlength=len(n))
+            mass = prior + discount * kinds[up]
+            log_p.append(np.log((np.maximum(n[used] - discount, 0.0) + mass * shared) / (n[up] + mass)))
+        step = np.full(len(self.names), np.nan)
+        step[used] = log_p[1] - log_p[0]
+        return Ratios(self._deciding(step, evidence), evidence)
+
+    def _deciding(self, step: np.ndarray, evidence: float) -> dict[str, float]:
+        """Ratios of whole prefixes, without the branches in which no prefix reaches ``evidence``.
+
+        A prefix below one that reaches it stays too, since it can take a word back.
+        """
+        size = np.fromiter(map(len, self.names), np.int32, len(self.names))
+        total = np.full(len(step), np.nan)
+        levels = [np.flatnonzero(size == n) for n in range(1, int(size.max(initial=0)) + 1)]
+        for n, at in enumerate(levels):
+            total[at] = step[at] + (0.0 if n == 0 else np.where(self.before[at] >= 0, total[self.before[at]], np.nan))
+        far = np.abs(total) > evidence
+        reaches = np.zeros(len(step), bool)
+        for at in reversed(levels):
+            reaches[at] |= far[at]
+            above = self.before[at[reaches[at] & ~np.isnan(total[at])]]
+            reaches[above[above >= 0]] = True
+        below_far = np.where(self.before >= 0, far[self.before], False)
+        kept = np.flatnonzero(~np.isnan(total) & (size > 0) & (reaches | below_far))
+        return dict(zip((self.names[i] for i in kept), total[kept].tolist()))
+
+
 def ratios_from(steps: pd.DataFrame, min_count: int, discount: float, prior: float, evidence: float) -> Ratios:
     """``steps``: columns step, ordinary, toxic (documents that hold a word with that prefix, summed over words)."""
-    names = steps["step"].tolist()
-    row = {step: i for i, step in enumerate(names)}
-    before = np.fromiter((row.get(step[:-1], -1) if step else -1 for step in names), np.int64, len(names))
-    counts = [steps[c].to_numpy(np.float64) for c in ("ordinary", "toxic")]
-    used = np.flatnonzero((before >= 0) & (counts[0] + counts[1] >= min_count))
-    up = before[used]
-    shared = (counts[0][used] + counts[1][used]) / (counts[0][up] + counts[1][up])
-    log_p = []
-    for n in counts:
-        kinds = np.bincount(before[(before >= 0) & (n > 0)], minlength=len(names))
-        mass = prior + discount * kinds[up]
-        log_p.append(np.log((np.maximum(n[used] - discount, 0.0) + mass * shared) / (n[up] + mass)))
-    out = dict(zip((names[i] for i in used), (log_p[1] - log_p[0]).tolist()))
-    return Ratios(_deciding(out, evidence), evidence)
-
-
-def _deciding(steps: dict[str, float], evidence: float) -> dict[str, float]:
-    """Ratios of whole prefixes, without the branches in which no prefix reaches ``evidence``.
-
-    A prefix below one that reaches it stays too, since it can take a word back.
-    """
-    order = sorted(steps, key=len)
-    total: dict[str, float] = {}
-    for step in order:
-        if len(step) == 1 or step[:-1] in total:
-            total[step] = total.get(step[:-1], 0.0) + steps[step]
-    reaches: set[str] = set()
-    for step in reversed(order):
-        if step in total and (step in reaches or abs(total[step]) > evidence):
-            reaches.add(step)
-            reaches.add(step[:-1])
-    return {s: t for s, t in total.items() if s in reaches or abs(total.get(s[:-1], 0.0)) > evidence}
+    counts = steps[["ordinary", "toxic"]].to_numpy(np.int32)[:, None, :]
+    return Steps.of(steps["step"].tolist(), counts).ratios([0], min_count, discount, prior, evidence)
 
 
 def _step_counts(batches):
@@ -196,12 +216,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, max_steps
     steps = (rows.mapInPandas(_step_counts, "fold int, toxic int, step string, n long")
              .groupBy("step").agg(*per_fold))
     total = sum(F.col(f"c{f}{k}") for f in range(FOLDS) for k in (0, 1))
-    steps = (steps.where(total >= min_count).orderBy(total.desc(), "step").limit(max_steps)).toPandas()
+    steps = stored(steps.where(total >= min_count).orderBy(total.desc(), "step").limit(max_steps), "toxicity-steps")
+    found = steps.toArrow()
+    counts = np.stack([found.column(c).to_numpy().astype(np.int32) for c in found.column_names[1:]], axis=1)
+    counted = Steps.of(found.column("step").to_pylist(), counts.reshape(-1, FOLDS, 2))
+    del found, counts
 
     def fitted(folds) -> Ratios:
-        part = pd.DataFrame({"step": steps["step"]} | {
-            name: sum(steps[f"c{f}{k}"] for f in folds) for k, name in ((0, "ordinary"), (1, "toxic"))})
-        return ratios_from(part, min_count, discount, prior, evidence)
+        return counted.ratios(list(folds), min_count, discount, prior, evidence)
 
     crossed = spark.sparkContext.broadcast([fitted([f for f in range(FOLDS) if f != g]) for g in range(FOLDS)])
 

@@ -73,7 +73,9 @@ def test_dropped_branches_change_no_word():
         word = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) + "$"
         for i in range(1, len(word) + 1):
             steps.setdefault(word[:i], rnd.gauss(0, 0.7))
-    kept = toxicity._deciding(steps, 1.5)
+    names = ["", *steps]
+    counted = toxicity.Steps.of(names, np.zeros((len(names), 1, 2), np.int32))
+    kept = counted._deciding(np.array([np.nan, *steps.values()]), 1.5)
     assert len(kept) < len(steps)
     ratios = toxicity.Ratios(kept, 1.5)
     for _ in range(3000):
