@@ -9,7 +9,7 @@
 3. Round one pairs every node with the smallest node of each of its buckets, so a
    bucket of n nodes gives n pairs. Pairs whose lengths or smallest hashes rule
    out the similarity are dropped; the rest are aligned, one per node first, the
-   others only if their ends are not yet connected.
+   others only if their ends are not yet connected (round two likewise).
 4. Round two takes the buckets whose nodes are still in different components and
    pairs nodes across components: a pair has an end outside the largest one, so these
    outer nodes meet the others. Buckets of one large group overlap, and listing each
@@ -52,7 +52,7 @@ CACHE_WORDS = 200_000
 #: Nodes of a bucket that meet in one join key.
 BIG = 4096
 #: Shingles of a block of a field, and how many pairs met in blocks cost as much as one listed and aligned.
-BLOCK_SHINGLES, MET_PER_LISTED = 1_000_000, 20
+BLOCK_SHINGLES, MET_PER_LISTED = 250_000, 20
 #: Texts, and pairs of texts, a Python worker holds at once.
 TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2000, 200
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -212,6 +212,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further ``links``: components over the components they join, not over all nodes again."""
+    la, lb = (labels.select(F.col("node").alias(f"n_{s}"), F.col("component").alias(f"c_{s}")) for s in "ab")
+    named = links.join(la, links["a"] == la["n_a"], "left").join(lb, links["b"] == lb["n_b"], "left").select(
+        "a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
+    named = stored(named, "dedup-named-links")
+    joined = components(named.where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    ends = named.select(F.col("a").alias("node"), F.col("c_a").alias("component")).union(named.select("b", "c_b")).distinct()
+    every = labels.union(ends.join(labels.select("node"), "node", "left_anti"))
+    new = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    return stored(every.join(new, every["component"] == new["old"], "left").select(
+        "node", F.coalesce("new", "component").alias("component")), "dedup-labels")
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float, agree: int) -> DataFrame:
     """Pairs (a, b) whose lengths and smallest hashes allow the similarity."""
     facts = nodes.select("node", "n", "firsts")
@@ -390,8 +404,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
     labels = components(links)
     rest = stored(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), "dedup-rest")
     if rest.limit(1).count():
-        links = links.unionByName(verified(rest, nodes, docs, similarity, k))
-        labels = components(links)
+        labels = _merged(labels, verified(rest, nodes, docs, similarity, k))
     members = _contested(shared.select("bucket", "node"), labels)
     fields, chosen = _met_fields(members)
     across = _listed(members.join(chosen, "main", "left_anti"), nodes, similarity, agree, big)
@@ -399,8 +412,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ba
         across = across.union(_met(fields.join(chosen, "main"), nodes, docs, similarity, k)).distinct()
     across = stored(across.join(pairs, ["a", "b"], "left_anti"), "dedup-across")
     if across.limit(1).count():
-        links = links.unionByName(verified(across, nodes, docs, similarity, k))
-        labels = components(links)
+        # one pair of each end first: in a large group that joins most ends, and their other pairs need no alignment
+        nearest = across.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(
+            across.groupBy("a").agg(F.min("b").alias("b"))).distinct()
+        nearest = stored(nearest, "dedup-nearest")
+        labels = _merged(labels, verified(nearest, nodes, docs, similarity, k))
+        rest = stored(_apart(across.join(nearest, ["a", "b"], "left_anti"), labels), "dedup-rest")
+        if rest.limit(1).count():
+            labels = _merged(labels, verified(rest, nodes, docs, similarity, k))
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"),
                                                       "rep_id", "rep_hash", "copies")
     named = stored(named, "dedup-named")
