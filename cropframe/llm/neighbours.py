@@ -135,8 +135,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _halved(x: np.ndarray) -> np.ndarray:
+    """Vectors divided by the power of two above their largest component: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of ``q`` with every row of ``x``, every row summed alike."""
+    q, x = _halved(q), _halved(x)
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 

@@ -19,15 +19,18 @@ often; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cropframe.llm.common import doc_rows, stored
+from cropframe.llm.common import doc_rows, shared_path, stored
 
 SLOTS = 4096
 SHARDS = 8
 LAW = "bytes"
+#: Copies of one row that are numbered together.
+RUN = 10_000
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -35,8 +38,11 @@ def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     rows = doc_rows(docs).select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
                                  F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.select("doc_id", "size", "text_crc32",
-                       F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    # copies are numbered in runs, so that no array is as long as the most repeated row
+    rows = rows.select("doc_id", "size", "text_crc32", "copies", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))).alias("run"))
+    rows = rows.select("doc_id", "size", "text_crc32", F.explode(F.sequence(
+        F.col("run") * RUN + 1, F.least("copies", (F.col("run") + 1) * RUN))).alias("copy"))
     return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(slots)).cast("int"))
 
 
@@ -76,15 +82,34 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> Da
     return placed.select("version", F.explode("out").alias("o")).select("version", "o.virtual_slot", "o.shard")
 
 
+def stored_map(spark: SparkSession, path: str, slots: int = SLOTS) -> DataFrame | None:
+    """All versions of the map at ``path``; None where nothing is stored yet."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    if found.select("virtual_slot").distinct().count() != slots:
+        raise ValueError(f"the map at {path} has another number of slots than {slots}")
+    return found
+
+
 def shard_documents(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS, map_path: str | None = None) -> DataFrame:
     """Every row's shard, position in it, virtual slot and map version.
 
-    The map's versions are stored at ``map_path`` (default: a new path in the shared folder).
+    The map's versions are stored at ``map_path`` (default: a new path in the shared folder). A path
+    that holds a map keeps its history: the newest version is edited for these rows
+    and appended as the next one, so slots move only where the bytes ask for it.
     """
+    spark, path = docs.sparkSession, map_path or shared_path(docs.sparkSession, "sharding-map")
     rows = stored(slotted(docs, slots), "sharding-rows")
     sizes = slot_sizes(rows, slots)
-    v0 = first_map(docs.sparkSession, slots, shards)
-    maps = stored(v0.unionByName(rebalance(v0, sizes, shards)), "sharding-map", map_path)
+    history = stored_map(spark, path, slots)
+    known = first_map(spark, slots, shards) if history is None else history
+    edited = rebalance(known, sizes, shards)
+    (known.unionByName(edited) if history is None else edited).write.mode("append").parquet(path)
+    maps = spark.read.schema(known.schema).parquet(path)
     now = maps.where(F.col("version") == maps.agg(F.max("version")).scalar()).join(F.broadcast(sizes), "virtual_slot")
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
     now = now.select("version", "virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))

@@ -74,3 +74,12 @@ def test_id_with_several_vectors_asks_with_the_smallest(spark):
     one, other = [-1.0, 0.5], [1.0, 0.2]
     want = brute([*rows, (50, one)])
     assert found(spark, [*rows, (50, other), (50, one), (50, other)], recall=1.0, calibration_queries=60) == want
+
+
+def test_cosines_of_huge_and_tiny_components_are_finite():
+    rnd = np.random.default_rng(5)
+    x, q = rnd.normal(size=(40, 6)), rnd.normal(size=6)
+    plain = (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+    assert (N.cosines(q, x) == plain).all()  # a power of two changes no bit
+    for factor in (2.0**700, 2.0**-700):
+        assert (N.cosines(q * factor, x * factor) == plain).all()

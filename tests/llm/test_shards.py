@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+import pytest
+
 from cropframe.llm import shards as S
 
 
@@ -41,5 +43,29 @@ def test_map_versions(spark, documents, tmp_path):
     rows.unpersist()
 
 
+def test_stored_map_is_edited_and_keeps_its_history(spark, documents, tmp_path):
+    docs = documents([(i, "x" * (i % 90)) for i in range(4000)])
+    path = str(tmp_path / "map")
+    S.shard_documents(docs, 256, 8, path).count()
+    grown = S.shard_documents(docs, 256, 9, path)
+    assert {r.map_version for r in grown.select("map_version").distinct().collect()} == {2}
+    maps = {}
+    for r in spark.read.parquet(path).collect():
+        maps.setdefault(r.version, {})[r.virtual_slot] = r.shard
+    assert {v: len(m) for v, m in maps.items()} == {0: 256, 1: 256, 2: 256}
+    assert set(maps[2].values()) == set(range(9)) and sum(maps[1][s] == maps[2][s] for s in maps[1]) > 0.8 * 256
+    with pytest.raises(ValueError):
+        S.shard_documents(docs, 128, 8, path)
+
+
+def test_copies_are_numbered_in_runs(documents, monkeypatch):
+    monkeypatch.setattr(S, "RUN", 7)
+    got = S.slotted(documents([(1, "a")] * 50 + [(2, "b")] + [(3, "c")] * 7 + [(4, "d")] * 8)).collect()
+    copies = {}
+    for r in got:
+        copies.setdefault(r.doc_id, []).append(r.copy)
+    assert {i: sorted(c) for i, c in copies.items()} == {1: list(range(1, 51)), 2: [1], 3: list(range(1, 8)), 4: list(range(1, 9))}
+
+
 def test_empty(documents):
     assert S.shard_documents(documents([])).count() == 0
