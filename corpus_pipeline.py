@@ -2,8 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 stage's rows as Parquet to the shared folder and gives them to the next one. All
-but the last return the columns of ``docs``. Nulls, empty tables, repeated rows
-and extra columns are treated as the operators state it.
+but the last return the columns of ``docs``, extra ones included.
+
+Defined cases, as the operators state them: texts without words keep the score of
+the sample (so toxicity and quality treat them alike), match only equal texts and hold
+no benchmark window; rows of null text are never copies of each other and encode to
+null; of repeated rows the near-duplicate stage keeps one; an empty table stays empty.
 """
 
 from __future__ import annotations
