@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropframe.session import checkpoint_root
+from cropframe.session import checkpoint_root, scratch_path
 
 #: Rows of a join side that are broadcast at most; beyond it the join shuffles both sides.
 BROADCAST_ROWS = 200_000
@@ -39,10 +39,11 @@ def stored(df: DataFrame, tag: str, path: str | None = None, batch_rows: int | N
 
     ``batch_rows`` bounds the rows that Python functions in ``df`` hold at once, for this write only.
 
+    Without a ``path`` of its own the table is deleted when the driver process ends.
     Cuts the lineage: a lost executor costs tasks of the reading stage, not the
     stages before it, and several readers share one computation.
     """
-    path = path or shared_path(df.sparkSession, tag)
+    path = path or scratch_path(df.sparkSession, f"llm-{tag}")
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
     if batch_rows:

@@ -105,7 +105,7 @@ def shard_documents(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS, m
     spark, path = docs.sparkSession, map_path or shared_path(docs.sparkSession, "sharding-map")
     rows = stored(slotted(docs, slots), "sharding-rows")
     sizes = slot_sizes(rows, slots)
-    history = stored_map(spark, path, slots)
+    history = stored_map(spark, path, slots) if map_path else None
     known = first_map(spark, slots, shards) if history is None else history
     edited = rebalance(known, sizes, shards)
     (known.unionByName(edited) if history is None else edited).write.mode("append").parquet(path)
