@@ -1,39 +1,35 @@
-"""Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
-
-Expressions are words, spelled out whole along a prefix tree: P(word) is the
-product of P(next letter | letters so far), one Kneser-Ney model per class (toxic,
-ordinary). A run of over ``MAX_LETTERS`` letters (text without spaces, glued words)
-has an expression of ``RUN_LETTERS`` letters from each of its letters on, and
-counts as one word per ``RUN_LETTERS`` letters. A step's counts are documents, not occurrences, so repeated lines
-carry no weight. Each class discounts its count of a step by ``discount`` and
-gives the freed mass, plus ``prior`` pseudo-counts, to the shared backoff: the
-step's share in both classes together. Steps seen in fewer than ``min_count``
-documents, and words whose classes differ by less than ``evidence`` in log
-likelihood, are rare or undecided and score by the shared counts alone, which
-cancel out.
-
-A text's score compares its toxic and ordinary log-likelihood per word; an
-isotonic curve, fitted on cross-fitted ratios, maps it to 0..1.
-
-Learning counts in Spark over at most ``sample_rows`` labelled rows (those with
-the smallest hash of doc_id; the documented bound of the fit) and brings the at
-most ``max_steps`` most frequent steps to the driver. Scoring covers every row
-and whole texts.
-
-Defined cases: null, empty and word-free texts get the share of toxic rows in
-the sample. Null labels teach nothing; a doc_id labelled twice counts under each
-label. Without labels of both classes every score is the share of toxic rows (0
-without any). Repeated rows score alike; extra columns are ignored.
+"""Toxicity by class-conditional Kneser-Ney models of words and word pairs with shared backoff counts.
+
+One model per class (toxic, ordinary) gives P(word | word before). A pair's counts
+back off to the word's, a word's to the counts of both classes together. Counts are
+documents, not occurrences, so repeated lines carry no weight. A class's count of an
+expression departs from what the backoff expects of it; the departure is discounted
+by ``deviations`` standard deviations of a count of that size, and the freed mass goes
+to the backoff. So rare expressions, of which a class cannot have many, and those
+that both classes share score by the backoff alone, which cancels out at the word
+level; an expression of mild but well attested difference keeps most of it.
+
+A text's score compares its toxic and ordinary log-likelihood per word; an isotonic
+curve, fitted on cross-fitted ratios, maps it to 0..1.
+
+Words are runs of letters and digits; in scripts written without spaces every sign is
+one. Learning counts in Spark over at most ``sample_rows`` labelled rows (of the
+doc_ids with the smallest hashes, one row each; the documented bound of the fit) and
+fits the ratios there; the driver gets the expressions that keep a departure. Scoring
+covers every row and whole texts.
+
+Defined cases: null, empty and word-free texts get the share of toxic rows in the
+sample. Null labels teach nothing; a doc_id labelled twice counts under each label;
+of several rows of one doc_id the smallest text teaches. Without labels of both
+classes every score is the share of toxic rows (0 without any). Repeated rows score
+alike; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,64 +40,38 @@ from pyspark.sql import types as T
 from cropframe.llm.calibrate import applied, isotonic
 from cropframe.llm.common import doc_rows, label_bucket, stored
 
-WORD = re.compile(r"\w+")
-MAX_LETTERS, RUN_LETTERS = 24, 12
-#: Steps a counting task holds before it hands them on.
-HELD_STEPS = 500_000
-#: Words a scoring task remembers before it starts over.
-CACHE_WORDS = 1_000_000
+# Blocks of scripts written without spaces (Thai and Lao, Myanmar, Khmer, kana, Han and its extensions).
+UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+            "\U00020000-\U000323af")
+WORD = re.compile(f"[{UNSPACED}]|[^\\W_{UNSPACED}]+")
+#: Expressions a counting task holds before it hands them on.
+HELD = 500_000
 FOLDS = 5
-#: Words of ratio 0 added to every text, so that one word does not decide a text of two.
-EXTRA_WORDS = 20
+CLASSES = ("o", "t")  # ordinary, toxic
+#: What the driver fits: model f leaves fold f out, the last one takes all.
+MODELS = range(FOLDS + 1)
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def expressions(word: str) -> Iterator[str]:
-    """A word as spelled, its end marked; of a longer run, the part from each letter on, its end marked if it is the run's."""
-    if len(word) <= MAX_LETTERS:
-        yield word + "$"
-        return
-    ended = word + "$"
-    for at in range(len(word)):
-        yield ended[at:at + RUN_LETTERS]
-
-
 @dataclass
 class Ratios:
-    """log P(prefix | toxic) - log P(prefix | ordinary) of the prefixes that can decide a word."""
-
-    steps: dict[str, float]  # prefix -> ratio of the whole prefix
-    evidence: float
-    cache: dict[str, float] = field(default_factory=dict)
-
-    def word(self, word: str) -> float:
-        found = self.cache.get(word)
-        if found is None:
-            found = sum(map(self.expression, expressions(word)))
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
-
-    def expression(self, spelled: str) -> float:
-        found = 0.0
-        for i in range(1, len(spelled) + 1):
-            so_far = self.steps.get(spelled[:i])
-            if so_far is None:
-                break
-            found = so_far
-        return found if abs(found) > self.evidence else 0.0
+    """log P(toxic) - log P(ordinary) of words, and how far that of a pair departs from its word's."""
+
+    words: dict[str, float] = field(default_factory=dict)
+    pairs: dict[tuple[str, str], float] = field(default_factory=dict)
 
     def text(self, text: str | None) -> float | None:
         """The log-likelihood ratio per word; None without words."""
         words = words_of(text)
         if not words:
             return None
-        n = sum(1 if len(w) <= MAX_LETTERS else len(w) / RUN_LETTERS for w in words)
-        return sum(map(self.word, words)) / (n + EXTRA_WORDS)
+        total = sum(self.words[w] for w in words if w in self.words)
+        if self.pairs:
+            total += sum(self.pairs[p] for p in zip(["", *words], words) if p in self.pairs)
+        return total / len(words)
 
 
 @dataclass
@@ -117,126 +87,126 @@ class Model:
         return float(applied(self.knots, ratio))
 
 
-@dataclass
-class Steps:
-    """Counted steps: prefixes, the place of the prefix one letter shorter (-1: none), documents by fold and class."""
-
-    names: list[str]
-    before: np.ndarray
-    counts: np.ndarray  # (steps, folds, classes)
-
-    @classmethod
-    def of(cls, names: list[str], counts: np.ndarray) -> Steps:
-        row = {step: i for i, step in enumerate(names)}
-        before = np.fromiter((row.get(step[:-1], -1) if step else -1 for step in names), np.int32, len(names))
-        return cls(names, before, counts)
-
-    def ratios(self, folds, min_count: int, discount: float, prior: float, evidence: float) -> Ratios:
-        """Fitted on the documents of ``folds``."""
-        ordinary, toxic = (self.counts[:, folds, k].sum(axis=1).astype(np.float64) for k in (0, 1))
-        used = np.flatnonzero((self.before >= 0) & (ordinary + toxic >= min_count))
-        up = self.before[used]
-        shared = (ordinary[used] + toxic[used]) / (ordinary[up] + toxic[up])
-        log_p = []
-        for n in (ordinary, toxic):
-            kinds = np.bincount(self.before[(self.before >= 0) & (n > 0)], minlength=len(n))
-            mass = prior + discount * kinds[up]
-            log_p.append(np.log((np.maximum(n[used] - discount, 0.0) + mass * shared) / (n[up] + mass)))
-        step = np.full(len(self.names), np.nan)
-        step[used] = log_p[1] - log_p[0]
-        return Ratios(self._deciding(step, evidence), evidence)
-
-    def _deciding(self, step: np.ndarray, evidence: float) -> dict[str, float]:
-        """Ratios of whole prefixes, without the branches in which no prefix reaches ``evidence``.
-
-        A prefix below one that reaches it stays too, since it can take a word back.
-        """
-        size = np.fromiter(map(len, self.names), np.int32, len(self.names))
-        total = np.full(len(step), np.nan)
-        levels = [np.flatnonzero(size == n) for n in range(1, int(size.max(initial=0)) + 1)]
-        for n, at in enumerate(levels):
-            total[at] = step[at] + (0.0 if n == 0 else np.where(self.before[at] >= 0, total[self.before[at]], np.nan))
-        far = np.abs(total) > evidence
-        reaches = np.zeros(len(step), bool)
-        for at in reversed(levels):
-            reaches[at] |= far[at]
-            above = self.before[at[reaches[at] & ~np.isnan(total[at])]]
-            reaches[above[above >= 0]] = True
-        below_far = np.where(self.before >= 0, far[self.before], False)
-        kept = np.flatnonzero(~np.isnan(total) & (size > 0) & (reaches | below_far))
-        return dict(zip((self.names[i] for i in kept), total[kept].tolist()))
-
-
-def ratios_from(steps: pd.DataFrame, min_count: int, discount: float, prior: float, evidence: float) -> Ratios:
-    """``steps``: columns step, ordinary, toxic (documents that hold a word with that prefix, summed over words)."""
-    counts = steps[["ordinary", "toxic"]].to_numpy(np.int32)[:, None, :]
-    return Steps.of(steps["step"].tolist(), counts).ratios([0], min_count, discount, prior, evidence)
-
-
-def _step_counts(batches):
-    """Per task: (fold, toxic, step) -> documents, in bounded batches."""
+def departure(toxic: Column, ordinary: Column, all_toxic: Column, all_ordinary: Column, backoff: Column,
+              min_count: int, deviations: float, prior: float) -> Column:
+    """What an expression's class counts add to its ``backoff`` ratio after the discount; 0.0 if nothing is left.
+
+    ``all_toxic``, ``all_ordinary``: the counts of its history in each class.
+    """
+    n = toxic + ordinary
+    weight = all_toxic * F.exp(backoff)
+    share = weight / (weight + all_ordinary)
+    beyond = toxic - n * share
+    left = F.abs(beyond) - deviations * F.sqrt(n * share * (1 - share))
+    kept = n * share + F.signum(beyond) * left
+    ratio = F.log((kept + prior * share) / (n - kept + prior * (1 - share))) - F.log(all_toxic / all_ordinary)
+    enough = (n >= min_count) & (all_toxic > 0) & (all_ordinary > 0)
+    return F.when(enough, F.when(left > 0, ratio - backoff)).otherwise(F.lit(None))
+
+
+def _expression_counts(batches):
+    """Per task: (fold, toxic, before, word) -> documents, in bounded batches; before is null for words alone."""
     held: Counter = Counter()
 
     def flush():
         keys = list(held)
         return pd.DataFrame({"fold": [k[0] for k in keys], "toxic": [k[1] for k in keys],
-                             "step": pd.Series([k[2] for k in keys], dtype=object), "n": [held[k] for k in keys]})
+                             "before": pd.Series([k[2] for k in keys], dtype=object),
+                             "word": pd.Series([k[3] for k in keys], dtype=object), "n": [held[k] for k in keys]})
 
     for frame in batches:
         for fold, toxic, text in zip(frame["fold"], frame["toxic"], frame["text"]):
-            words = set(words_of(text))
-            runs = {w for w in words if len(w) > MAX_LETTERS}
-            spelled_once = {e for w in runs for e in expressions(w)}
-            for spelled in chain((w + "$" for w in words - runs), spelled_once):
-                for i in range(len(spelled) + 1):
-                    held[fold, toxic, spelled[:i]] += 1
-                if len(held) > HELD_STEPS:
+            words = words_of(text)
+            for expression in {*((None, w) for w in words), *zip(["", *words], words)}:
+                held[(fold, toxic, *expression)] += 1
+                if len(held) >= HELD:
                     yield flush()
                     held.clear()
     if held:
         yield flush()
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, max_steps: int = 300_000, min_count: int = 3,
-          discount: float = 0.75, prior: float = 20.0, evidence: float = 1.5) -> Model:
+def counts_of(rows: DataFrame) -> DataFrame:
+    """before, word and documents by fold and class (``t0``, ``o0``, ...) of ``rows`` (fold, toxic, text)."""
+    parts = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == k), F.col("n")).otherwise(0)).alias(f"{c}{f}")
+             for f in range(FOLDS) for k, c in enumerate(CLASSES)]
+    return (rows.mapInPandas(_expression_counts, "fold int, toxic int, before string, word string, n long")
+            .groupBy("before", "word").agg(*parts))
+
+
+def _summed(side: str = "") -> list[Column]:
+    return [F.sum(f"{c}{f}").alias(f"{side}{c}{f}") for f in range(FOLDS) for c in CLASSES]
+
+
+def _of_model(c: str, model: int) -> Column:
+    """The counts ``c`` of all folds but the model's own."""
+    return sum(F.col(f"{c}{f}") for f in range(FOLDS) if f != model).cast("double")
+
+
+def fitted(counts: DataFrame, min_count: int, deviations: float, prior: float) -> tuple[DataFrame, DataFrame]:
+    """(words, pairs) that keep a departure in some model: word or before and word, ``r0`` .. of the models."""
+    options = (min_count, deviations, prior)
+    often = sum(F.col(f"{c}{f}") for f in range(FOLDS) for c in CLASSES) >= min_count
+    some = F.coalesce(*(F.col(f"r{m}") for m in MODELS)).isNotNull()
+    alone, paired = counts.where("before is null"), counts.where("before is not null")
+    all_words = alone.agg(*_summed()).first()
+
+    def of_all(c, model):
+        return F.lit(float(sum(all_words[f"{c}{f}"] or 0 for f in range(FOLDS) if f != model)))
+
+    words = stored(alone.where(often).select("word", *(departure(
+        _of_model("t", m), _of_model("o", m), of_all("t", m), of_all("o", m), F.lit(0.0), *options).alias(f"r{m}")
+        for m in MODELS)).where(some), "toxicity-words")
+    histories = paired.groupBy("before").agg(*_summed("all_"))
+    backoff = words.select("word", *(F.col(f"r{m}").alias(f"u{m}") for m in MODELS))
+    pairs = paired.where(often).join(histories, "before").join(backoff, "word", "left")
+    return words, pairs.select("before", "word", *(departure(
+        _of_model("t", m), _of_model("o", m), _of_model("all_t", m), _of_model("all_o", m),
+        F.coalesce(f"u{m}", F.lit(0.0)), *options).alias(f"r{m}") for m in MODELS)).where(some)
+
+
+def ratios_of(words: DataFrame, pairs: DataFrame) -> list[Ratios]:
+    """The fitted models, in the order of ``MODELS``."""
+    found = [Ratios() for _ in MODELS]
+    for r in words.toArrow().to_pylist():
+        for m in MODELS:
+            if r[f"r{m}"] is not None:
+                found[m].words[r["word"]] = r[f"r{m}"]
+    for r in pairs.toArrow().to_pylist():
+        for m in MODELS:
+            if r[f"r{m}"] is not None:
+                found[m].pairs[r["before"], r["word"]] = r[f"r{m}"]
+    return found
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_count: int = 3, deviations: float = 4.0,
+          prior: float = 1.0) -> Model:
     """Fit the class models on the labelled rows outside the held-out fold (crc32 mod 3 = 1)."""
     spark = docs.sparkSession
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (label_bucket(F.col("doc_id"), 3) != 1))
               .distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    rows = stored(doc_rows(docs).join(F.broadcast(chosen), "doc_id").select(fold.alias("fold"), "toxic", "text")
-                  .repartition(32), "toxicity-sample")
-    seen = dict(((r["toxic"]), r["n"]) for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect())
+    rows = stored(doc_rows(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+                  .agg(F.min("text").alias("text")).select(fold.alias("fold"), "toxic", "text").repartition(32),
+                  "toxicity-sample")
+    seen = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     base = seen.get(1, 0) / max(1, sum(seen.values()))
     if len(seen) < 2:
-        return Model(Ratios({}, evidence), None, base)
-    per_fold = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == k), F.col("n")).otherwise(0)).cast("long")
-                .alias(f"c{f}{k}") for f in range(FOLDS) for k in (0, 1)]
-    steps = (rows.mapInPandas(_step_counts, "fold int, toxic int, step string, n long")
-             .groupBy("step").agg(*per_fold))
-    total = sum(F.col(f"c{f}{k}") for f in range(FOLDS) for k in (0, 1))
-    steps = stored(steps.where(total >= min_count).orderBy(total.desc(), "step").limit(max_steps), "toxicity-steps")
-    found = steps.toArrow()
-    counts = np.stack([found.column(c).to_numpy().astype(np.int32) for c in found.column_names[1:]], axis=1)
-    counted = Steps.of(found.column("step").to_pylist(), counts.reshape(-1, FOLDS, 2))
-    del found, counts
-
-    def fitted(folds) -> Ratios:
-        return counted.ratios(list(folds), min_count, discount, prior, evidence)
-
-    crossed = spark.sparkContext.broadcast([fitted([f for f in range(FOLDS) if f != g]) for g in range(FOLDS)])
+        return Model(Ratios(), None, base)
+    *crossed, whole = ratios_of(*fitted(stored(counts_of(rows), "toxicity-counts"), min_count, deviations, prior))
+    shipped = spark.sparkContext.broadcast(crossed)
 
     def held_ratios(batches):
         for frame in batches:
-            found = [crossed.value[f].text(t) for f, t in zip(frame["fold"], frame["text"])]
+            found = [shipped.value[f].text(t) for f, t in zip(frame["fold"], frame["text"])]
             yield pd.DataFrame({"toxic": frame["toxic"], "ratio": pd.Series(found, dtype="float64")})
 
     pairs = rows.mapInPandas(held_ratios, "toxic int, ratio double").where("ratio is not null").toPandas()
-    crossed.destroy()
+    shipped.destroy()
     if pairs.empty:
-        return Model(Ratios({}, evidence), None, base)
-    return Model(fitted(range(FOLDS)), isotonic(pairs["ratio"].to_numpy(), pairs["toxic"].to_numpy()), base)
+        return Model(Ratios(), None, base)
+    return Model(whole, isotonic(pairs["ratio"].to_numpy(), pairs["toxic"].to_numpy()), base)
 
 
 def scorer(docs: DataFrame, model: Model):

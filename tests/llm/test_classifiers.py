@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -57,35 +58,103 @@ def test_toxicity_without_labels(spark, documents):
     assert toxicity.scored(documents([]), labels).count() == 0
 
 
-def test_shared_backoff_cancels_rare_steps():
-    import pandas as pd
+def brute_force_ratios(rows, min_count, deviations, prior):
+    """words, pairs of (text, toxic) rows, from the formulas."""
+    alone, paired = [{}, {}], [{}, {}]
+    for text, toxic in rows:
+        words = toxicity.words_of(text)
+        for counts, found in ((alone, set(words)), (paired, set(zip(["", *words], words)))):
+            for e in found:
+                counts[toxic][e] = counts[toxic].get(e, 0) + 1
+
+    def departed(n_t, n_o, all_t, all_o, backoff):
+        n = n_t + n_o
+        if n < min_count or not all_t or not all_o:
+            return None
+        share = all_t * math.exp(backoff) / (all_t * math.exp(backoff) + all_o)
+        left = abs(n_t - n * share) - deviations * math.sqrt(n * share * (1 - share))
+        if left <= 0:
+            return None
+        kept = n * share + math.copysign(left, n_t - n * share)
+        return math.log((kept + prior * share) / (n - kept + prior * (1 - share))) - math.log(all_t / all_o)
+
+    every = [sum(c.values()) for c in alone]
+    words = {w: departed(alone[1].get(w, 0), alone[0].get(w, 0), every[1], every[0], 0.0) for w in {*alone[0], *alone[1]}}
+    words = {w: r for w, r in words.items() if r is not None}
+    pairs = {}
+    for before, word in {*paired[0], *paired[1]}:
+        of = [sum(n for e, n in c.items() if e[0] == before) for c in paired]
+        backoff = words.get(word, 0.0)
+        r = departed(paired[1].get((before, word), 0), paired[0].get((before, word), 0), of[1], of[0], backoff)
+        if r is not None:
+            pairs[before, word] = r - backoff
+    return words, pairs
+
+
+def test_toxicity_ratios_match_brute_force(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        toxic = int(i % 3 == 0)
+        words = [rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 25))]
+        for at in range(0, len(words) - 2, 5):
+            words[at:at + 2] = rnd.choice(["xy", "yx"] if rnd.random() < 0.3 else ["xy"] if toxic else ["yx"])
+        if toxic and words:
+            words[rnd.randrange(len(words))] = "vilex"
+        rows.append((i % toxicity.FOLDS, toxic, " ".join(words)))
+    counts = toxicity.counts_of(spark.createDataFrame(rows, "fold int, toxic int, text string"))
+    *crossed, whole = toxicity.ratios_of(*toxicity.fitted(counts.cache(), 3, 2.0, 1.0))
+    for model, left_out in [*zip(crossed, range(toxicity.FOLDS)), (whole, None)]:
+        words, pairs = brute_force_ratios([(t, k) for f, k, t in rows if f != left_out], 3, 2.0, 1.0)
+        assert "vilex" in words and ("x", "y") in pairs
+        assert model.words == pytest.approx(words) and model.pairs == pytest.approx(pairs)
+
+
+def held_out_accuracy(spark, documents, rows):
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+    got = [r for r in toxicity.scored(documents([r[:2] for r in rows]), labels, 0.5).collect() if r.held_out]
+    truth = {i: k for i, _, k in rows}
+    return sum(r.predicted == truth[r.doc_id] for r in got) / len(got)
+
+
+def test_toxicity_of_many_mild_words(spark, documents):
+    """Every word is at most four times likelier in one of the classes."""
+    rnd = random.Random(5)
+    halves = [[f"{c}{i}q" for i in range(40)] for c in "ab"]
+    rows = [(i, " ".join(rnd.choice(halves[rnd.random() < (0.8 if i % 2 else 0.2)]) for _ in range(40)), i % 2)
+            for i in range(900)]
+    assert held_out_accuracy(spark, documents, rows) > 0.9
+
+
+def test_toxicity_of_word_order(spark, documents):
+    """Both classes hold the same words equally often; only their order tells."""
+    rnd = random.Random(6)
+
+    def text(toxic):
+        words = [f"w{rnd.randrange(30)}" for _ in range(30)]
+        for at in (3, 13, 23):
+            a, b = rnd.choice([("red", "dog"), ("old", "cat"), ("big", "hen")])
+            words[at:at + 2] = (b, a) if toxic else (a, b)
+        return " ".join(words)
+
+    assert held_out_accuracy(spark, documents, [(i, text(i % 2), i % 2) for i in range(600)]) > 0.9
+
+
+def test_toxicity_sample_holds_one_row_of_a_doc_id(spark, documents, toxic_rows):
+    """A labelled row repeated over more than half of all rows teaches once."""
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in toxic_rows], "doc_id long, toxic int")
+    once = {r.doc_id: r.score for r in toxicity.scored(documents(toxic_rows), labels).collect()}
+    many = toxicity.scored(documents(toxic_rows + [toxic_rows[4]] * 600), labels).collect()
+    assert len(many) == len(toxic_rows) + 600 and all(r.score == once[r.doc_id] for r in many)
+
 
-    steps = pd.DataFrame({"step": ["", "a", "a$", "b"], "ordinary": [10, 5, 5, 2], "toxic": [10, 9, 9, 0]})
-    found = toxicity.ratios_from(steps, 3, 0.75, 20.0, 0.0)
-    assert "b" not in found.steps and found.word("b") == 0.0
-    assert found.word("a") > 0
-
-
-def test_dropped_branches_change_no_word():
-    rnd = random.Random(8)
-    steps = {}
-    for _ in range(3000):
-        word = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) + "$"
-        for i in range(1, len(word) + 1):
-            steps.setdefault(word[:i], rnd.gauss(0, 0.7))
-    names = ["", *steps]
-    counted = toxicity.Steps.of(names, np.zeros((len(names), 1, 2), np.int32))
-    kept = counted._deciding(np.array([np.nan, *steps.values()]), 1.5)
-    assert len(kept) < len(steps)
-    ratios = toxicity.Ratios(kept, 1.5)
-    for _ in range(3000):
-        word = "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7)))
-        whole = 0.0
-        for i in range(1, len(word) + 2):
-            if (word + "$")[:i] not in steps:
-                break
-            whole += steps[(word + "$")[:i]]
-        assert abs(ratios.word(word) - (whole if abs(whole) > 1.5 else 0.0)) < 1e-9
+def test_toxicity_short_and_very_long_texts(spark, documents, toxic_rows):
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in toxic_rows], "doc_id long, toxic int")
+    clean, rude = prose(100_000), " ".join(["vilex", "grotz"] * 50_000)
+    model = toxicity.learn(documents(toxic_rows), labels)
+    assert model.score("vilex") >= 0.7 and model.score(rude) >= 0.7
+    assert all(model.score(w) < 0.7 for w in ORDINARY) and model.score(clean) < 0.7
+    assert model.score("never seen words " + "z" * 50_000) < 0.7
 
 
 def test_quality_finds_held_out(spark, documents):
@@ -145,14 +214,15 @@ def test_toxicity_reads_whole_words_and_runs(spark, documents):
         assert [r.doc_id for r in got if r.predicted != int(r.doc_id % 4 == 0)] == []
 
 
-def test_toxicity_run_counts_stay_bounded(monkeypatch):
+def test_toxicity_counts_stay_bounded(monkeypatch):
     import pandas as pd
 
-    monkeypatch.setattr(toxicity, "HELD_STEPS", 1000)
+    monkeypatch.setattr(toxicity, "HELD", 1000)
     rnd = random.Random(13)
-    run = "".join(rnd.choice("abcdefgh") for _ in range(3000))
-    frame = pd.DataFrame({"fold": [0], "toxic": [1], "text": [run]})
-    parts = list(toxicity._step_counts([frame]))
-    assert len(parts) > 5 and max(map(len, parts)) <= 1000 + toxicity.RUN_LETTERS + 1
-    want = {(run + "$")[i:i + toxicity.RUN_LETTERS] for i in range(len(run))}
-    assert want <= set(pd.concat(parts)["step"])
+    words = [f"w{rnd.randrange(2000)}" for _ in range(5000)]
+    frame = pd.DataFrame({"fold": [0], "toxic": [1], "text": [" ".join(words)]})
+    parts = list(toxicity._expression_counts([frame]))
+    assert len(parts) > 5 and max(map(len, parts)) <= 1000
+    got = pd.concat(parts)
+    assert set(got["word"][got["before"].isna()]) == set(words) and len(got) == got["n"].sum()
+    assert len(got) == len(set(words)) + len(set(zip(["", *words], words)))
