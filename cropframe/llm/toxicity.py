@@ -138,44 +138,40 @@ def _summed(side: str = "") -> list[Column]:
     return [F.sum(f"{c}{f}").alias(f"{side}{c}{f}") for f in range(FOLDS) for c in CLASSES]
 
 
-def _of_model(c: str, model: int) -> Column:
-    """The counts ``c`` of all folds but the model's own."""
-    return sum(F.col(f"{c}{f}") for f in range(FOLDS) if f != model).cast("double")
+def _by_model(counts: DataFrame, *sides: str) -> DataFrame:
+    """One row per model instead of the folds' columns: model and, for every side, the counts of all folds but its own."""
+    def of(side, c, model):
+        return sum(F.col(f"{side}{c}{f}") for f in range(FOLDS) if f != model).cast("double").alias(f"{side}{c}")
+
+    models = F.array(*(F.struct(F.lit(m).alias("model"), *(of(s, c, m) for s in sides for c in CLASSES)) for m in MODELS))
+    kept = [c for c in ("before", "word") if c in counts.columns]
+    return counts.select(*kept, F.explode(models).alias("of")).select(*kept, "of.*")
 
 
 def fitted(counts: DataFrame, min_count: int, deviations: float, prior: float) -> tuple[DataFrame, DataFrame]:
-    """(words, pairs) that keep a departure in some model: word or before and word, ``r0`` .. of the models."""
-    options = (min_count, deviations, prior)
+    """(words, pairs) that keep a departure: model, word or before and word, ratio."""
     often = sum(F.col(f"{c}{f}") for f in range(FOLDS) for c in CLASSES) >= min_count
-    some = F.coalesce(*(F.col(f"r{m}") for m in MODELS)).isNotNull()
-    alone, paired = counts.where("before is null"), counts.where("before is not null")
-    all_words = alone.agg(*_summed()).first()
+    alone, paired = counts.where("before is null").drop("before"), counts.where("before is not null")
+    everything = _by_model(alone.agg(*_summed("all_")), "all_")  # one row a model
 
-    def of_all(c, model):
-        return F.lit(float(sum(all_words[f"{c}{f}"] or 0 for f in range(FOLDS) if f != model)))
+    def ratio(backoff: Column) -> Column:
+        return departure(*(F.col(c) for c in ("t", "o", "all_t", "all_o")), backoff, min_count, deviations, prior).alias("ratio")
 
-    words = stored(alone.where(often).select("word", *(departure(
-        _of_model("t", m), _of_model("o", m), of_all("t", m), of_all("o", m), F.lit(0.0), *options).alias(f"r{m}")
-        for m in MODELS)).where(some), "toxicity-words")
-    histories = paired.groupBy("before").agg(*_summed("all_"))
-    backoff = words.select("word", *(F.col(f"r{m}").alias(f"u{m}") for m in MODELS))
-    pairs = paired.where(often).join(histories, "before").join(backoff, "word", "left")
-    return words, pairs.select("before", "word", *(departure(
-        _of_model("t", m), _of_model("o", m), _of_model("all_t", m), _of_model("all_o", m),
-        F.coalesce(f"u{m}", F.lit(0.0)), *options).alias(f"r{m}") for m in MODELS)).where(some)
+    words = _by_model(alone.where(often), "").join(F.broadcast(everything), "model")
+    words = stored(words.select("model", "word", ratio(F.lit(0.0))).where("ratio is not null"), "toxicity-words")
+    pairs = paired.where(often).join(paired.groupBy("before").agg(*_summed("all_")), "before")
+    pairs = _by_model(pairs, "", "all_").join(words.withColumnRenamed("ratio", "of_word"), ["model", "word"], "left")
+    pairs = pairs.select("model", "before", "word", ratio(F.coalesce("of_word", F.lit(0.0))))
+    return words, pairs.where("ratio is not null")
 
 
 def ratios_of(words: DataFrame, pairs: DataFrame) -> list[Ratios]:
     """The fitted models, in the order of ``MODELS``."""
     found = [Ratios() for _ in MODELS]
     for r in words.toArrow().to_pylist():
-        for m in MODELS:
-            if r[f"r{m}"] is not None:
-                found[m].words[r["word"]] = r[f"r{m}"]
+        found[r["model"]].words[r["word"]] = r["ratio"]
     for r in pairs.toArrow().to_pylist():
-        for m in MODELS:
-            if r[f"r{m}"] is not None:
-                found[m].pairs[r["before"], r["word"]] = r[f"r{m}"]
+        found[r["model"]].pairs[r["before"], r["word"]] = r["ratio"]
     return found
 
 
