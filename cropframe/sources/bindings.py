@@ -8,7 +8,9 @@ Join strategy: ``nation`` is the fixed 25-row TPC-H dimension and is broadcast;
 the fact joins (lineitem - orders - customer) are left to the planner (sort-merge
 by default, AQE may switch to broadcast when a side is small at run time).
 ``orders`` is joined to ``customer`` first so that the big ``lineitem`` side is
-shuffled once, on ``l_orderkey``.
+shuffled once, on ``l_orderkey``. The grid cells, about as many rows as ``lineitem``,
+are dealt over ``task_count`` tasks: left to itself, adaptive execution makes about
+one task a core of them, whose sorts and hash maps grow with the data.
 """
 
 from __future__ import annotations
@@ -27,10 +29,19 @@ SEGMENT_CROPS = {
 }
 
 
+#: Rows of ``lineitem`` for each task that grid cells are dealt over.
+TASK_ROWS = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def task_count(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for ``lineitem``-sized work: one per ``TASK_ROWS`` rows (the count reads file footers), at least one a core."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
+
+
 def region_state(regionkey: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in REGION_STATES]), regionkey + 1)
 
@@ -75,6 +86,25 @@ def climate_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.dayofmonth("date").alias("day"), "tmean", "tmin", "tmax", "ppt")
 
 
+def _cell_lines(spark: SparkSession, sf_dir: str, orders: DataFrame, *keys: str) -> DataFrame:
+    """cell ('C' and the customer's key), ``keys`` of ``orders``, date, year and readings by line, dealt by cell and year.
+
+    Aggregates and windows by cell and year need no further exchange.
+    """
+    parts = task_count(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_shipdate")
+    j = li.repartition(parts, "l_orderkey").join(orders.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("cell"), *keys,
+                    F.to_date("l_shipdate").alias("date"), F.year(F.to_date("l_shipdate")).alias("year"),
+                    "l_quantity", "l_discount").repartition(parts, "cell", "year")
+
+
+def _cell_readings() -> list[Column]:
+    return [(F.avg("l_quantity") - 10).alias("tmean"), (F.min("l_quantity") - 10).alias("tmin"),
+            (F.max("l_quantity") - 10).alias("tmax"),
+            (F.lit(0.4) * F.sum(F.round(F.col("l_discount") * 100).cast("int"))).alias("ppt")]
+
+
 def cell_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of ``climate_daily`` with one grid cell per customer ('C' and the key), which grows with the data.
 
@@ -97,17 +127,13 @@ def cell_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Like ``cell_daily``, with the state that calendars need; grows with the data.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = _customer_region(spark, sf_dir).select("c_custkey", "n_regionkey")
-    oc = orders.join(customers, orders.o_custkey == customers.c_custkey).drop("c_custkey")
-    g = (li.join(oc, li.l_orderkey == oc.o_orderkey)
-         .groupBy("o_custkey", "n_regionkey", F.to_date("l_shipdate").alias("date"))
-         .agg((F.avg("l_quantity") - 10).alias("tmean"), (F.min("l_quantity") - 10).alias("tmin"),
-              (F.max("l_quantity") - 10).alias("tmax"),
-              (F.lit(0.4) * F.sum(F.round(F.col("l_discount") * 100).cast("int"))).alias("ppt")))
-    return g.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("cell"),
-                    region_state(F.col("n_regionkey")).alias("state_code"), "date", F.year("date").alias("year"),
+    parts = task_count(spark, sf_dir)
+    oc = (orders.repartition(parts, "o_custkey").join(customers.repartition(parts, "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+          .drop("c_custkey"))
+    g = _cell_lines(spark, sf_dir, oc, "n_regionkey").groupBy("cell", "n_regionkey", "date", "year").agg(*_cell_readings())
+    return g.select("cell", region_state(F.col("n_regionkey")).alias("state_code"), "date", "year",
                     F.month("date").alias("month"), F.dayofmonth("date").alias("day"), "tmean", "tmin", "tmax", "ppt")
 
 
