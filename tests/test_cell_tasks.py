@@ -53,3 +53,7 @@ def matches_sql_in_tasks_by_rows(spark, tables, monkeypatch, name):
 
 def test_season_statistics_of_cells(spark, tables, monkeypatch):
     matches_sql_in_tasks_by_rows(spark, tables, monkeypatch, "season_statistics_cells")
+
+
+def test_growing_season_months_of_cells(spark, tables, monkeypatch):
+    matches_sql_in_tasks_by_rows(spark, tables, monkeypatch, "growing_season_months_cells")
