@@ -450,7 +450,8 @@ SELECT state_code AS cell, strftime(date, '%Y-%m-%d') AS date, """ + ", ".join(
           + " FROM chain")
 def q_cell_feature_chain(spark, sf_dir):
     """X2 daily part over grid cells that grow with the data: one cell per customer, one row per cell-day."""
-    f = composites.climate_features_for_modeling(materialize(B.cell_daily(spark, sf_dir)))
+    days = materialize(B.cell_daily(spark, sf_dir)).repartition(B.task_count(spark, sf_dir), "state_code", "year")
+    f = composites.climate_features_for_modeling(days)
     return f.select(F.col("state_code").alias("cell"), date_str("date").alias("date"), *DERIVED)
 
 

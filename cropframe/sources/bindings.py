@@ -110,15 +110,9 @@ def cell_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A cell-day holds the customer's lines shipped that day; rows are about as many as lineitem's.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    g = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-         .groupBy("o_custkey", F.to_date("l_shipdate").alias("date"))
-         .agg((F.avg("l_quantity") - 10).alias("tmean"), (F.min("l_quantity") - 10).alias("tmin"),
-              (F.max("l_quantity") - 10).alias("tmax"),
-              (F.lit(0.4) * F.sum(F.round(F.col("l_discount") * 100).cast("int"))).alias("ppt")))
-    return g.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("state_code"), "date",
-                    F.year("date").alias("year"), F.month("date").alias("month"),
+    g = _cell_lines(spark, sf_dir, orders).groupBy("cell", "date", "year").agg(*_cell_readings())
+    return g.select(F.col("cell").alias("state_code"), "date", "year", F.month("date").alias("month"),
                     F.dayofmonth("date").alias("day"), "tmean", "tmin", "tmax", "ppt")
 
 

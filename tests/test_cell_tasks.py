@@ -57,3 +57,7 @@ def test_season_statistics_of_cells(spark, tables, monkeypatch):
 
 def test_growing_season_months_of_cells(spark, tables, monkeypatch):
     matches_sql_in_tasks_by_rows(spark, tables, monkeypatch, "growing_season_months_cells")
+
+
+def test_feature_chain_of_cells(spark, tables, monkeypatch):
+    matches_sql_in_tasks_by_rows(spark, tables, monkeypatch, "cell_feature_chain")
