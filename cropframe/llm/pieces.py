@@ -15,7 +15,8 @@ text exactly (a space mark in a text is encoded as bytes).
 
 Defined cases: null gives null pieces and null text; the empty text gives no
 pieces. Repeated rows repeat; an empty table gives no rows; extra columns are
-ignored. Memory per task: a batch and ``CACHE_WORDS`` encoded words.
+ignored. Memory per task: an Arrow batch, the words of one slice and twice ``CACHE_WORDS``
+encoded words.
 """
 
 from __future__ import annotations
@@ -32,16 +33,18 @@ from cropframe.llm import vocabulary
 from cropframe.llm.common import doc_rows
 
 WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-CACHE_WORDS = 400_000
+#: Words whose ids are kept, twice.
+CACHE_WORDS = 100_000
 CACHE_LETTERS = 64
 #: Characters of text whose distinct words are encoded together.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 1_000_000
 
 
 class Encoder:
     def __init__(self, vocab: vocabulary.Vocabulary):
         self.vocab = vocab
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.older: dict[str, bytes] = {}
         self.scored = {p: (vocab.log_p[i], i) for p, i in vocab.pieces.items()}
         self.longest = max(map(len, vocab.pieces), default=1)
 
@@ -82,35 +85,34 @@ class Encoder:
         """Ids of whole texts."""
         cut = [WORDS.findall(" " + t) if t else [] for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = set(chain.from_iterable(cut))
+        again = new.intersection(self.older)
         ids = self.known
-        ids.update(self.encode_words(new))
-        out = [None if t is None else array("i", chain.from_iterable(map(ids.__getitem__, words)))
-               for t, words in zip(texts, cut)]
-        if len(ids) > CACHE_WORDS:
-            self.known = {}
-        else:
-            for w in [w for w in new if len(w) > CACHE_LETTERS]:
-                del ids[w]
+        ids.update((w, self.older[w]) for w in again)
+        ids.update((w, array("i", x).tobytes()) for w, x in self.encode_words(new.difference(again)).items())
+        out = [None if t is None else array("i", b"".join(map(ids.__getitem__, words))) for t, words in zip(texts, cut)]
+        for w in [w for w in new if len(w) > CACHE_LETTERS]:
+            del ids[w]
+        if len(ids) > CACHE_WORDS:  # words not met again until the next change go
+            self.known, self.older = {}, ids
         return out
 
     def decode(self, ids) -> str | None:
         return None if ids is None else b"".join(map(self.vocab.as_bytes.__getitem__, ids))[1:].decode()
 
 
-def _slices(texts: list[str | None]):
-    """Ranges of rows of at most ``SLICE_CHARS`` characters, a longer text alone."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
+def _slices(texts: pa.StringArray):
+    """(first row, texts) of at most ``SLICE_CHARS`` characters, a longer text alone."""
+    start, size, held = 0, 0, []
+    for i, text in enumerate(texts):
+        t = text.as_py()
         n = len(t) if t else 0
-        if i > start and size + n > SLICE_CHARS:
-            yield start, i
-            start, size = i, 0
+        if held and size + n > SLICE_CHARS:
+            yield start, held
+            start, size, held = i, 0, []
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+        held.append(t)
+    if held:
+        yield start, held
 
 
 def encode_documents(docs: DataFrame, model_path: str = vocabulary.MODEL_PATH) -> DataFrame:
@@ -120,18 +122,17 @@ def encode_documents(docs: DataFrame, model_path: str = vocabulary.MODEL_PATH) -
     def encoded(batches):
         encoder = Encoder(shipped.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
-                ids = encoder.encode(texts[a:b])
+            for a, texts in _slices(batch.column(1)):
+                ids = encoder.encode(texts)
                 counts = [0 if x is None else len(x) for x in ids]
                 flat = np.frombuffer(b"".join(x.tobytes() for x in ids if x is not None), np.int32)
-                offsets = np.zeros(b - a + 1, np.int32)
+                offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum(counts, out=offsets[1:])
                 missing = pa.array([x is None for x in ids])
                 pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=missing)
-                same = [None if x is None else encoder.decode(x) == t for x, t in zip(ids, texts[a:b])]
+                same = [None if x is None else encoder.decode(x) == t for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a),
+                    [batch.column(0).slice(a, len(ids)),
                      pa.array([None if x is None else n for x, n in zip(ids, counts)], pa.int64()),
                      pieces, pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "pieces", "round_trip"])
 

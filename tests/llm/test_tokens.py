@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from cropframe.llm import pieces, token_counts, vocabulary
@@ -54,6 +55,30 @@ def test_shared_prefixes_do_not_change_results(vocab):
     assert together == {w: pieces.Encoder(vocab).encode_words([w])[w] for w in words}
 
 
+def test_an_encoder_holds_little_and_keeps_frequent_words(vocab, monkeypatch):
+    held = list(pieces._slices(pa.array(["x" * 400_000, None, ""] * 6 + ["y" * 3_000_000, "z"])))
+    assert [a for a, _ in held] == [0, 6, 12, 18, 19] and sum(len(t) for _, t in held) == 20
+    assert all(sum(len(x or "") for x in t) <= 1_000_000 for a, t in held if a != 18)
+
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 3000)
+    rnd = random.Random(3)
+    texts = [" the the " + " ".join("".join(rnd.choice("thenrasio") for _ in range(9)) for _ in range(1000)) for _ in range(12)]
+    encoder = pieces.Encoder(vocab)
+    got = [encoder.encode([t])[0] for t in texts]
+    assert got == [pieces.Encoder(vocab).encode([t])[0] for t in texts]
+    assert len(encoder.known) + len(encoder.older) <= 2 * 4001
+
+
+def test_words_met_again_are_not_encoded_again(vocab, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 50)
+    encoder, met = pieces.Encoder(vocab), []
+    real = encoder.encode_words
+    encoder.encode_words = lambda words: met.extend(words) or real(words)
+    for i in range(40):
+        encoder.encode(["the " + " ".join(f"w{i}x{j}" for j in range(20))])
+    assert met.count(" the") == 1 and len(met) == 1 + 40 * 20
+
+
 def test_encode_and_decode_documents(spark, documents):
     rows = list(enumerate(TEXTS)) + [(50, None), (51, ""), (None, "null id"), (0, TEXTS[0])]
     encoded = pieces.encode_documents(documents(rows))
