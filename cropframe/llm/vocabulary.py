@@ -10,7 +10,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 
 
-@dataclass
+@dataclass(eq=False)
 class Vocabulary:
     """``pieces``: text (space mark as a space) -> id; ``byte_ids``: the 256 byte pieces; ``log_p``: by id."""
 

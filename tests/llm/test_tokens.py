@@ -55,6 +55,40 @@ def test_shared_prefixes_do_not_change_results(vocab):
     assert together == {w: pieces.Encoder(vocab).encode_words([w])[w] for w in words}
 
 
+def test_pieces_that_end_at_a_character_are_found_in_one_step(vocab):
+    trie = pieces.Trie(vocab)
+    text = " the thenation shear 漢字 é déjà 🙂\x00xx" + "".join(random.Random(6).choices("thenrasiod ", k=400))
+    state, longest = 0, max(map(len, vocab.pieces))
+    for end in range(1, len(text) + 1):
+        state = trie._after(state, text[end - 1])
+        found = [(n, vocab.pieces[p]) for n in range(min(longest, end), 0, -1) if (p := text[end - n:end]) in vocab.pieces]
+        hits = trie.hits[state] or trie.spelled(text[end - 1])
+        assert [(step[0], step[1][0]) for _, _, step in hits if len(step[1]) == 1 and step[1][0] not in vocab.byte_ids] == found
+        assert text[end - 1] in vocab.pieces or hits[-1] == trie.spelled(text[end - 1])[0]
+
+
+def test_words_side_by_side_have_the_pieces_of_words_one_by_one(vocab, monkeypatch):
+    rnd = random.Random(8)
+    words = {" " + "".join(rnd.choices("thenrasio.,TH-0é漢\x00", [9] * 9 + [1] * 9, k=rnd.randrange(50))) for _ in range(4000)}
+    words |= {"", " ", "\n", "a", " a", "x" * 32, "x" * 33, "the" * 400}
+    encoder = pieces.Encoder(vocab)
+    apart = encoder._one_by_one(sorted(words))
+    assert encoder.encode_words(words) == apart
+    side = [w for w in words if 0 < len(w) <= pieces.SHORT and encoder.trie.letters.issuperset(w)]
+    assert 1000 < len(side) < len(words) and dict(encoder._together(sorted(side))) == {w: apart[w] for w in side}
+    few = vocabulary.Vocabulary({"ab": 300, "c": 301}, vocab.byte_ids, [*vocab.log_p], [])
+    assert [*pieces.Encoder(few).encode_words(["abc"])["abc"]] == [300, 301]
+    assert [*pieces.Encoder(vocabulary.Vocabulary({}, vocab.byte_ids, vocab.log_p, [])).encode_words(["é"])["é"]] == [
+        vocab.byte_ids[x] for x in "é".encode()]
+    monkeypatch.setattr(pieces, "BLOCK", 7)
+    texts = ["".join(rnd.choices(sorted(words), k=30)) for _ in range(20)]
+    assert pieces.Encoder(vocab).encode(texts) == encoder.encode(texts)
+
+
+def test_tasks_of_a_worker_share_one_encoder(vocab):
+    assert pieces._encoder(vocab) is pieces._encoder(vocab)
+
+
 def test_an_encoder_holds_little_and_keeps_frequent_words(vocab, monkeypatch):
     held = list(pieces._slices(pa.array(["x" * 400_000, None, ""] * 6 + ["y" * 3_000_000, "z"])))
     assert [a for a, _ in held] == [0, 6, 12, 18, 19] and sum(len(t) for _, t in held) == 20
