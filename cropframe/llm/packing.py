@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from cropframe.llm.common import doc_rows, stored
 LENGTH, END_ID = 2048, 1
 SLICE_CHARS = 1_000_000
 #: Words whose ids are kept, twice.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CACHE_BYTES = 64
 #: Words given to the tokenizer in one text.
 TOGETHER = 200
@@ -80,6 +81,7 @@ class Encoder:
         self.code = {"<u2": "H", "<u4": "I"}[self.kind]
         self.end = np.array([end_id], self.kind).tobytes()
         self.apart = self._white_space_separates()
+        self.letters = self._letters() if self.apart else None
 
     def _white_space_separates(self) -> bool:
         probes, gaps = ["a", "it's", "12", "-)", "e\u0301", "\u039f\u03a3", "\u65e5"], [" ", "\n", "\t ", "\r\n", "\x0b\x0c"]
@@ -91,19 +93,41 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self) -> np.ndarray:
+        """Bytes that each id stands for, where the vocabulary has one letter a byte (``_apart`` checks what it finds)."""
+        added = self.model.get_added_tokens_decoder()
+        suffix = getattr(self.model.model, "end_of_word_suffix", None) or ""
+        out = np.zeros(self.model.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.model.get_vocab(with_added_tokens=True).items():
+            if i < len(out):
+                out[i] = len(token if i in added or not suffix else token.removesuffix(suffix))
+        return out
+
     def _apart(self, words: list[str]) -> list[bytes]:
-        """Ids of each word: ``TOGETHER`` words are one text, whose ids' offsets tell the words apart."""
+        """Ids of each word: ``TOGETHER`` words are one text; the bytes of its ids tell words apart, else offsets."""
         out, size = [], array(self.code).itemsize
         for at in range(0, len(words), TOGETHER):
             part = words[at:at + TOGETHER]
-            found = self.model.encode(" ".join(part), add_special_tokens=False)
-            ids = array(self.code, found.ids).tobytes()
-            ends = np.cumsum([len(w) + 1 for w in part])
-            places = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids) // size)
-            cuts = [0, *(np.searchsorted(places, ends) * size).tolist()]
-            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+            ids = array(self.code, self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            read = np.cumsum(self.letters[np.frombuffer(ids, self.kind)])
+            ends = np.cumsum([len(w) if w.isascii() else len(normalize("NFC", w).lower().encode()) for w in part])
+            last = np.searchsorted(read, ends)
+            if len(read) and read[-1] == ends[-1] and (read[last] == ends).all():  # an id ends where each word ends
+                cuts, ids = [0, *((last + 1) * size).tolist()], ids.tobytes()
+                out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:
+                out += self._apart_by_offsets(part)
         return out
 
+    def _apart_by_offsets(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: the words are one text, whose ids' offsets tell the words apart."""
+        size, found = array(self.code).itemsize, self.model.encode(" ".join(words), add_special_tokens=False)
+        ids = array(self.code, found.ids).tobytes()
+        ends = np.cumsum([len(w) + 1 for w in words])
+        places = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids) // size)
+        cuts = [0, *(np.searchsorted(places, ends) * size).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, ``end_id`` last."""
         if not self.apart:

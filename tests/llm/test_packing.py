@@ -117,6 +117,21 @@ def test_encoder_equals_the_tokenizer_on_whole_texts(model, monkeypatch):
         assert list(np.frombuffer(ids, "<u2")) == [*model.encode(t, add_special_tokens=False).ids, 1], repr(t)
 
 
+def test_words_are_told_apart_by_bytes_of_ids_else_by_offsets(model, monkeypatch):
+    monkeypatch.setattr(M, "TOGETHER", 30)
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("thenrasioTHE.,'0é&ñßΣ日", [9] * 9 + [1] * 13, k=rnd.randint(1, 14))) for _ in range(3000)]
+    words += ["e\u0301", "<|endoftext|>", "\u0130", "ΟΔΟΣ", "\u00a0", "\u2003x", "\x1c", "don't"]
+    encoder = M.Encoder(open(M.tokenizer_path(), encoding="utf-8").read(), 1)
+    apart, real = [], encoder._apart_by_offsets
+    encoder._apart_by_offsets = lambda part: apart.extend(part) or real(part)
+    for w, ids in zip(words, encoder._apart(words), strict=True):
+        assert list(np.frombuffer(ids, "<u2")) == model.encode(w, add_special_tokens=False).ids, repr(w)
+    assert len(apart) < 100
+    encoder.letters = np.ones_like(encoder.letters)  # not what ids stand for: all by offsets
+    assert encoder._apart(words) == [y for i in range(0, len(words), 30) for y in real(words[i:i + 30])]
+
+
 def test_tokenizer_whose_pieces_hold_spaces_gets_whole_texts(spark, documents):
     path = M.tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
     other = Tokenizer.from_file(path)
