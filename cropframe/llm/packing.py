@@ -17,7 +17,8 @@ Defined cases: null and empty texts are the one id ``end_id``. Repeated rows are
 each for itself. An empty table gives no rows; extra columns are ignored; a null doc_id
 stays null. A very long text is encoded in parts of about ``SLICE_CHARS``
 characters, cut only before a white space, where the tokenizer never joins; its ids are
-one row. Memory per task: one batch and ``CACHE_WORDS`` words, or one group.
+one row. Memory per task: one batch, the words of one slice of it and two times
+``CACHE_WORDS`` words, or one group.
 """
 
 from __future__ import annotations
@@ -27,23 +28,30 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_letters, punctuation
 from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cropframe.llm.common import doc_rows, stored
 
 LENGTH, END_ID = 2048, 1
-SLICE_CHARS = 1_000_000
+#: Characters of a part of a long text, and bytes of the texts whose distinct words are looked up together.
+SLICE_CHARS = 4_000_000
 #: Words whose ids are kept, twice.
 CACHE_WORDS = 800_000
 CACHE_BYTES = 64
 #: Words given to the tokenizer in one text.
 TOGETHER = 200
+#: Words of these letters (Latin but U+0130, whose small form has a mark) are looked up in small ASCII letters,
+#: without the signs behind them.
+LETTERS = ascii_letters + "".join(chr(x) for x in range(0xc0, 0x250) if x not in (0xd7, 0xf7, 0x130))
+SIGNS = punctuation
 PIECES = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
@@ -69,19 +77,22 @@ class Encoder:
     """Ids of texts as bytes, two a piece if the vocabulary allows it, else four.
 
     Where white space only separates (probed), every distinct word is given to the
-    tokenizer once and its ids are kept; other tokenizers get whole texts.
+    tokenizer once and its ids are kept; other tokenizers get whole texts. Where ASCII case
+    does not count and signs behind letters are pieces of their own (probed), a word is
+    looked up without both.
     """
 
     def __init__(self, vocabulary: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.model, self.known, self.older = Tokenizer.from_str(vocabulary), {}, {}
+        self.model, self.known, self.older = Tokenizer.from_str(vocabulary), {b"": b""}, {}
         self.kind = id_type(self.model)
         self.code = {"<u2": "H", "<u4": "I"}[self.kind]
         self.end = np.array([end_id], self.kind).tobytes()
         self.apart = self._white_space_separates()
         self.letters = self._letters() if self.apart else None
+        self.plain = self.apart and self._plain_words()
 
     def _white_space_separates(self) -> bool:
         probes, gaps = ["a", "it's", "12", "-)", "e\u0301", "\u039f\u03a3", "\u65e5"], [" ", "\n", "\t ", "\r\n", "\x0b\x0c"]
@@ -90,8 +101,20 @@ class Encoder:
             self.model.encode(g + x + g + y + g, add_special_tokens=False).ids == alone[x] + alone[y]
             for g in gaps for x in probes for y in probes)
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain_words(self) -> bool:
+        """Whether ids of ``LETTERS`` with ``SIGNS`` behind them are those of both, whatever the ASCII letters' case."""
+        if any(not t.content.lstrip(LETTERS).lstrip(SIGNS) for t in self.model.get_added_tokens_decoder().values()):
+            return False
+
+        def ids(x: str) -> list[int]:
+            return self.model.encode(x, add_special_tokens=False).ids
+
+        pairs = [(x, y) for x in ["The", "MAIZE", "\u00c9t\u00e9"] for y in ["", *SIGNS, "...", ".,", "$$$", "-)", "''"]]
+        pairs += [(x, y) for x in LETTERS for y in ("", ",")] + [("b" + x + "D", "'") for x in LETTERS]
+        return all(ids(x + y) == ids(x.encode().lower().decode()) + ids(y) for x, y in pairs)
+
+    def _encoded(self, text: str) -> bytes:
+        return array(self.code, self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _letters(self) -> np.ndarray:
         """Bytes that each id stands for, where the vocabulary has one letter a byte (``_apart`` checks what it finds)."""
@@ -130,31 +153,63 @@ class Encoder:
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, ``end_id`` last."""
-        if not self.apart:
-            return [x + self.end for x in self._encoded(texts)]
-        if sum(map(len, texts)) > SLICE_CHARS:
-            return [b"".join(self._words([p])[0] for p in text_parts(t)) + self.end for t in texts]
-        return [x + self.end for x in self._words(texts)]
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        words, ends = [], []
-        for t in texts:
-            words += t.encode().split()  # at ASCII white space
-            ends.append(len(words))
+        return [x for ids in self.slices(pa.array(texts, pa.string())) for x in ids.to_pylist()]
+
+    def slices(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """Ids of each text, ``end_id`` last, as binary columns; each holds the next rows of ``SLICE_CHARS`` bytes."""
+        texts = texts.fill_null("")
+        read, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < len(texts):
+            before = read[at - 1] if at else 0
+            rows = max(1, int(np.searchsorted(read, before + SLICE_CHARS, side="right")) - at)
+            part = texts.slice(at, rows)
+            if not self.apart:
+                yield pa.array([self._encoded(t) + self.end for t in part.to_pylist()], pa.binary())
+            elif read[at + rows - 1] - before > SLICE_CHARS:  # one long text
+                parts = [self._words(pa.array([p], texts.type))[0].as_py() for p in text_parts(part[0].as_py(), SLICE_CHARS)]
+                yield pa.array([b"".join(x[:-len(self.end)] for x in parts) + self.end], pa.binary())
+            else:
+                yield self._words(part)
+            at += rows
+
+    def _words(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text from those of its words, ``end_id`` last."""
+        split = pc.ascii_split_whitespace(texts)
+        words, stops = split.values.dictionary_encode(), split.offsets.to_numpy()[1:]
+        places = np.insert(words.indices.to_numpy(), stops, len(words.dictionary))  # the end id behind each text
+        ids = pa.concat_arrays([self._distinct(words.dictionary), pa.array([self.end], pa.binary())])
+        _, offsets, held = ids.take(pa.array(places)).buffers()
+        ends = np.frombuffer(offsets, np.int32)[[0, *(stops + np.arange(1, len(stops) + 1))]]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), held])
+
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """Ids of each word; plain words (``_plain_words``) share what is looked up."""
+        if not self.plain:
+            return pa.array(self._looked_up(words), pa.binary())
+        stems = pc.ascii_rtrim(words, SIGNS)
+        plain = pc.equal(pc.binary_length(pc.utf8_ltrim(stems, LETTERS)), 0)
+        stems = pc.if_else(plain, pc.ascii_lower(stems), words)
+        signs = pc.if_else(plain, pc.utf8_ltrim(words, LETTERS), "")
+        parts = pa.concat_arrays([stems, signs]).dictionary_encode()
+        ids = pa.array(self._looked_up(parts.dictionary), pa.binary()).take(parts.indices)
+        return pc.binary_join_element_wise(ids[:len(words)], ids[len(words):], b"")
+
+    def _looked_up(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words."""
+        words = words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.known.get, words))
         places = [i for i, x in enumerate(ids) if x is None]
         if places:
-            new = dict.fromkeys(map(words.__getitem__, places))
-            for w in new:
-                new[w] = self.older.get(w)
+            met = [words[i] for i in places]
+            new = dict(zip(met, map(self.older.get, met)))
             unknown = [w for w, x in new.items() if x is None]
             new.update(zip(unknown, self._apart([w.decode() for w in unknown])))
             for i in places:
                 ids[i] = new[words[i]]
             self.known.update((w, x) for w, x in new.items() if len(w) <= CACHE_BYTES)
             if len(self.known) > CACHE_WORDS:  # words not met again until the next change go
-                self.known, self.older = {}, self.known
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
+                self.known, self.older = {b"": b""}, self.known
+        return ids
 
 
 def id_type(model) -> str:
@@ -177,16 +232,11 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
         size = len(encoder.end)
         for batch in batches:
             at = 0
-            while at < batch.num_rows:
-                texts, chars, start = [], 0, at
-                while at < batch.num_rows and (not texts or chars < SLICE_CHARS // 2):
-                    texts.append(batch.column(1)[at].as_py() or "")
-                    chars += len(texts[-1])
-                    at += 1
-                ids = encoder.of(texts)
+            for ids in encoder.slices(batch.column(1)):
+                n = pc.binary_length(ids).to_numpy() // size
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, at - start), pa.array(ids, pa.binary()),
-                     pa.array([len(x) // size for x in ids], pa.int64())], ["doc_id", "ids", "n"])
+                    [batch.column(0).slice(at, len(ids)), ids, pa.array(n, pa.int64())], ["doc_id", "ids", "n"])
+                at += len(ids)
 
     return doc_rows(docs).mapInArrow(encoded, "doc_id long, ids binary, n long")
 

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -132,6 +133,47 @@ def test_words_are_told_apart_by_bytes_of_ids_else_by_offsets(model, monkeypatch
     assert encoder._apart(words) == [y for i in range(0, len(words), 30) for y in real(words[i:i + 30])]
 
 
+def test_plain_words_share_one_look_up(model):
+    encoder = M.Encoder(open(M.tokenizer_path(), encoding="utf-8").read(), 1)
+    assert encoder.plain
+    given, real = [], encoder._apart
+    encoder._apart = lambda words: given.extend(words) or real(words)
+    texts = ["The crop, THE CROP. the crop", "(the) crop... the, été été,", "Crop's the; it's It's, \u0130x, j\u030c, J\u030c,", "$$$ the$$$"]
+    for t, ids in zip(texts * 2, encoder.of(texts * 2), strict=True):
+        assert list(np.frombuffer(ids, "<u2")) == [*model.encode(t, add_special_tokens=False).ids, 1], t
+    assert len(given) == len(set(given)) and {w for w in given if w.strip(M.SIGNS).isalpha() and w != "(the)"} == {
+        "the", "crop", "été", "\u0130x,"}
+    random.seed(11)
+    kinds = [M.LETTERS, M.SIGNS, "ABCxyz", "'st", "<|endoftext|>", "1٣", "\u0301\u030c\u0130\u1e9eΣσИ日ª", ".,", " \n"]
+    texts = ["".join(random.choice(random.choice(kinds)) for _ in range(random.randint(1, 60))) for _ in range(3000)]
+    texts += [f"{x}<|endoftext|>{y} {x}<|ENDOFTEXT|>{y}," for x in ("a", "Ab,") for y in ("", "b", ".")]
+    for t, ids in zip(texts, encoder.of(texts), strict=True):
+        assert list(np.frombuffer(ids, "<u2")) == [*model.encode(t, add_special_tokens=False).ids, 1], repr(t)
+
+
+def test_added_tokens_of_letters_and_signs_leave_words_whole():
+    changed = Tokenizer.from_file(M.tokenizer_path())
+    changed.add_tokens(["Crop,"])
+    encoder = M.Encoder(changed.to_str(), 1)
+    assert encoder.apart and not encoder.plain
+    for t, ids in zip(["Crop, crop, crop", "a Crop,x"], encoder.of(["Crop, crop, crop", "a Crop,x"]), strict=True):
+        assert list(np.frombuffer(ids, "<u2")) == [*changed.encode(t, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_slices_hold_every_row_in_order(model, monkeypatch, kind):
+    monkeypatch.setattr(M, "SLICE_CHARS", 60)
+    monkeypatch.setattr(M, "CACHE_WORDS", 9)
+    random.seed(5)
+    texts = [None, "", " \n ", "it's über, 日本. " * 40, None]
+    texts += [" ".join(random.choices("a The the, über. Yield yield x1 日".split(), k=random.randint(0, 30))) for _ in range(80)]
+    encoder = M.Encoder(open(M.tokenizer_path(), encoding="utf-8").read(), 1)
+    slices = list(encoder.slices(pa.array(["left out", *texts], kind)[1:]))
+    assert len(slices) > 30
+    for t, ids in zip(texts, [x for s in slices for x in s.to_pylist()], strict=True):
+        assert list(np.frombuffer(ids, "<u2")) == [*model.encode(t or "", add_special_tokens=False).ids, 1], repr(t)
+
+
 def test_tokenizer_whose_pieces_hold_spaces_gets_whole_texts(spark, documents):
     path = M.tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
     other = Tokenizer.from_file(path)
